@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from turnloom.llm.minhash_dedup import link_near_duplicates
 from turnloom.llm.substring_dedup import remove_repeated_windows
 
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -16,7 +18,12 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_windows(docs, digest=True).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {"op8_substring_dedup": op8_substring_dedup}
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return link_near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+QUERIES = {"op8_substring_dedup": op8_substring_dedup, "op5_minhash_dedup": op5_minhash_dedup}
 
 #: No SQL stands for these: the hashes and fitted models have no SQL form; tests hold them against brute force.
 ORACLES: dict[str, str] = {}

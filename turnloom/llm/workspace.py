@@ -4,10 +4,28 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_root: str | None = None
+_shipped: str | None = None
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives executors the package's modules, once per application."""
+    global _shipped
+    context = spark.sparkContext
+    if _shipped == context.applicationId:
+        return
+    package = Path(__file__).parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="turnloom-code-")) / "turnloom_code.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _shipped = context.applicationId
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -29,6 +47,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        ship(spark)
         self.root = f"{shared_root(spark)}/turnloom-{uuid.uuid4().hex}"
         self._n = 0
 
