@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from turnloom.llm.license_scan import scan_licenses
 from turnloom.llm.minhash_dedup import link_near_duplicates
 from turnloom.llm.quality_rules import judge_quality
 from turnloom.llm.substring_dedup import remove_repeated_windows
+from turnloom.llm.toxicity import fit_toxicity, score_toxicity
+
 
 
 
@@ -37,7 +40,15 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(docs, with_text=False).drop("lang", "source")
 
 
-QUERIES = {"op8_substring_dedup": op8_substring_dedup, "op5_minhash_dedup": op5_minhash_dedup, "op10_license_scan": op10_license_scan, "op3_quality_rules": op3_quality_rules}
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out)
+    scored = score_toxicity(docs, fit_toxicity(docs, labels), keep_text=False)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+QUERIES = {"op8_substring_dedup": op8_substring_dedup, "op5_minhash_dedup": op5_minhash_dedup, "op10_license_scan": op10_license_scan, "op3_quality_rules": op3_quality_rules, "op4_toxicity": op4_toxicity}
 
 #: No SQL stands for these: the hashes and fitted models have no SQL form; tests hold them against brute force.
 ORACLES: dict[str, str] = {}
