@@ -8,8 +8,11 @@ is posted, rarest keys first: what many texts share (a common line, a licence)
 falls out of the prefixes, and lists stay short. Collisions are counted on the
 signatures, pairs above the match threshold are confirmed on the full sets.
 Pairs already in one group are skipped: lists are first merged as stars around
-one member, and only members of different groups are compared afterwards, in
-blocks of bounded size.
+one member, and only lists that several groups have are looked at again. In
+short ones pairs are counted on the signatures. The members of long ones form
+families, whose full sets are merged block by block: inverted lists give exact
+intersections without writing out pairs, and only links that join groups leave
+a block.
 
 A pair of similarity 0.75 fails to agree in 12 of 32 coordinates with
 probability 1.5e-6; any higher similarity less often. Nothing is capped.
@@ -44,9 +47,9 @@ PERCENT = 75
 COORDINATES = 32
 MATCHES = 12
 KEY_BUCKETS = 1 << 18
-#: Members of a posting list that meet in one block, and list size from which stars go on.
-BLOCK = 512
-LONG_LIST = 64
+#: Texts of a family in one block, and members up to which a list is short.
+BLOCK = 1024
+LONG_LIST = 16
 
 _draw = np.random.default_rng(5)
 _FACTORS = _draw.integers(1, 2**63, COORDINATES, dtype=np.uint64) | np.uint64(1)
@@ -180,22 +183,58 @@ def _confirm(batches):
         yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def _block(table: pa.Table) -> pa.Table:
-    """Of one block of a list: pairs that agree often enough and lie in different groups."""
+def _short_list(table: pa.Table) -> pa.Table:
+    """Of one short list: pairs that agree often enough and lie in different groups."""
     table = table.combine_chunks()
-    node, group, side = (table.column(c).to_numpy() for c in ("node", "group", "side"))
+    node, group = table.column("node").to_numpy(), table.column("group").to_numpy()
     signatures = _matrix(table.column("signature"))
+    a, b = [], []
+    for i in range(len(node) - 1):
+        other = i + 1 + np.flatnonzero((group[i + 1 :] != group[i]) & ((signatures[i + 1 :] == signatures[i]).sum(axis=1) >= MATCHES))
+        a += [node[i]] * len(other)
+        b += node[other].tolist()
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _merge(table: pa.Table) -> pa.Table:
+    """Of two blocks of a family: links that join groups, from merged lists of the full sets.
+
+    Every member's shingles are looked up in the other block's inverted lists;
+    the counts are exact intersections with all texts there at once. Only
+    links between groups that are still apart are returned.
+    """
+    table = table.combine_chunks()
+    node, group, side = (table.column(c).to_numpy() for c in ("node", "group", "side"))
+    sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in table.column("members")]
     one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    alone = not len(two)
-    if alone:
+    if not len(two):
         two = one
+    sizes = np.array([len(sets[i]) for i in two])
+    values, owner = np.concatenate([sets[i] for i in two]), np.repeat(np.arange(len(two)), sizes)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    parent = {g: g for g in np.unique(group).tolist()}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
     a, b = [], []
     for i in one:
-        other = two[two > i] if alone else two
-        other = other[group[other] != group[i]]
-        other = other[(signatures[other] == signatures[i]).sum(axis=1) >= MATCHES]
-        a += [node[i]] * len(other)
-        b += node[other].tolist()
+        first, last = np.searchsorted(values, sets[i], "left"), np.searchsorted(values, sets[i], "right")
+        per = last - first
+        total = int(per.sum())
+        if not total:
+            continue
+        at = np.arange(total) + np.repeat(first - (np.cumsum(per) - per), per)
+        shared = np.bincount(owner[at], minlength=len(two))
+        for j in np.flatnonzero(100 * shared >= PERCENT * (len(sets[i]) + sizes - shared)):
+            x, y = root(group[i]), root(group[two[j]])
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                a.append(node[i])
+                b.append(node[two[j]])
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
@@ -232,52 +271,45 @@ def link_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
             pairs = pairs.join(side.select(F.col("node").alias(s), F.col("signature").alias(f"sig_{s}"), F.col("n").alias(f"n_{s}")), s)
         return pairs.mapInArrow(_agree, "a long, b long")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = ends.join(nodes.select("node", "set_key", "rep"), "node")
+    def sets_of(ends: DataFrame) -> DataFrame:
+        wanted = ends.distinct().join(nodes.select("node", "set_key", "rep"), "node")
         found = rows.select(F.col(doc_id).alias("rep_id"), text).join(wanted, F.col("rep_id").eqNullSafe(F.col("rep")))
-        sets = ws.keep(found.select("node", "set_key", text).mapInArrow(_sets(text), "node long, members binary").dropDuplicates(["node"]), "sets", "none")
+        return ws.keep(found.select("node", "set_key", text).mapInArrow(_sets(text), "node long, members binary").dropDuplicates(["node"]), "sets", "none")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")))
         for s in "ab":
             pairs = pairs.join(sets.select(F.col("node").alias(s), F.col("members").alias(f"m_{s}")), s)
         links = ws.keep(pairs.mapInArrow(_confirm, "a long, b long"), "links")
         ws.drop(sets)
         return links
 
-    def grouped(groups: DataFrame | None) -> DataFrame:
-        """Posts of lists that more than one group has."""
-        table = shared.where("n > 2")
-        table = table.join(groups.withColumnsRenamed({"component": "group"}), "node", "left").withColumn("group", F.coalesce("group", "node"))
-        mixed = table.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo != hi").select("key")
-        return ws.keep(table.join(mixed, "key", "left_semi"), "mixed")
-
     stars = shared.where("node != center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
     links = confirmed(ws.keep(agreeing(stars), "pairs"))
     groups = components(ws, links)
-    mixed = grouped(groups)
-    long, turn = mixed.where(F.col("n") > LONG_LIST).count(), 0
-    while long:
-        turn += 1
-        pick = mixed.where(F.col("n") > LONG_LIST).groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "group")).alias("c"))
-        stars = mixed.join(pick, "key").where("group != c.group").select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
-        more = confirmed(ws.keep(agreeing(stars), "pairs"))
-        if not more.isEmpty():
-            links = links.union(more)
-            groups = components(ws, links)
-            mixed = grouped(groups)
-        left = mixed.where(F.col("n") > LONG_LIST).count()
-        if left > 0.8 * long:
-            break
-        long = left
-    if not mixed.isEmpty():
-        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-        spread = mixed.where("node != center").withColumns({"blocks": blocks, "own": own}).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        spread = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "group")
-        spread = spread.join(side.select("node", "signature"), "node")
-        pairs = spread.groupBy("key", "i", "j").applyInArrow(_block, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = confirmed(ws.keep(agreeing(pairs), "pairs"))
-        if not more.isEmpty():
-            groups = components(ws, links.union(more))
+
+    # lists that more than one group has; their centers have met all members
+    table = shared.where("n > 2").join(groups.withColumnsRenamed({"component": "group"}), "node", "left").withColumn("group", F.coalesce("group", "node"))
+    apart = table.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo != hi").select("key")
+    mixed = ws.keep(table.join(apart, "key", "left_semi"), "mixed")
+
+    short = mixed.where((F.col("n") <= LONG_LIST) & (F.col("node") != F.col("center"))).join(side.select("node", "signature"), "node")
+    met = short.groupBy("key").applyInArrow(_short_list, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = confirmed(ws.keep(agreeing(met), "pairs"))
+
+    # members of long lists overlap in most of their prefix; lists with common members form one family
+    long = mixed.where(F.col("n") > LONG_LIST)
+    family = ws.keep(components(ws, long.select("center", "node")), "families")
+    placed = family.join(long.select("node", "group").distinct(), "node")
+    placed = placed.join(family.groupBy("component").agg(F.count("*").alias("size")), "component")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    spread = placed.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "group")
+    merged = spread.join(sets_of(family.select("node")), "node").groupBy("component", "i", "j").applyInArrow(_merge, "a long, b long")
+    more = ws.keep(more.union(merged), "links")
+    if not more.isEmpty():
+        groups = components(ws, links.union(more))
 
     least = nodes.join(groups, "node", "left").select("set_key", "rep", F.coalesce("component", "node").alias("component"))
     heads = least.groupBy("component").agg(F.min("rep").alias("component_id"))

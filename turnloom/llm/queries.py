@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turnloom.llm.license_scan import scan_licenses
 from turnloom.llm.minhash_dedup import link_near_duplicates
+from turnloom.llm.packing import pack_documents
 from turnloom.llm.quality_rules import judge_quality
 from turnloom.llm.substring_dedup import remove_repeated_windows
 from turnloom.llm.toxicity import fit_toxicity, score_toxicity
@@ -16,6 +17,7 @@ from turnloom.llm.toxicity import fit_toxicity, score_toxicity
 
 
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -48,7 +50,14 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op8_substring_dedup": op8_substring_dedup, "op5_minhash_dedup": op5_minhash_dedup, "op10_license_scan": op10_license_scan, "op3_quality_rules": op3_quality_rules, "op4_toxicity": op4_toxicity}
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {"op8_substring_dedup": op8_substring_dedup, "op5_minhash_dedup": op5_minhash_dedup, "op10_license_scan": op10_license_scan, "op3_quality_rules": op3_quality_rules, "op4_toxicity": op4_toxicity, "op6_packing": op6_packing}
 
 #: No SQL stands for these: the hashes and fitted models have no SQL form; tests hold them against brute force.
 ORACLES: dict[str, str] = {}
