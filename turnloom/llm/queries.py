@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 from turnloom.llm.license_scan import scan_licenses
 from turnloom.llm.minhash_dedup import link_near_duplicates
+from turnloom.llm.mixing import mix_sources
 from turnloom.llm.packing import pack_documents
 from turnloom.llm.quality_rules import judge_quality
 from turnloom.llm.substring_dedup import remove_repeated_windows
 from turnloom.llm.toxicity import fit_toxicity, score_toxicity
+from turnloom.llm.url_filters import filter_urls
+
+
 
 
 
@@ -57,7 +61,17 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op8_substring_dedup": op8_substring_dedup, "op5_minhash_dedup": op5_minhash_dedup, "op10_license_scan": op10_license_scan, "op3_quality_rules": op3_quality_rules, "op4_toxicity": op4_toxicity, "op6_packing": op6_packing}
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix_sources(docs, with_text=False).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return filter_urls(pages, keep_html=False).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+
+
+QUERIES = {"op8_substring_dedup": op8_substring_dedup, "op5_minhash_dedup": op5_minhash_dedup, "op10_license_scan": op10_license_scan, "op3_quality_rules": op3_quality_rules, "op4_toxicity": op4_toxicity, "op6_packing": op6_packing, "op7_mixing": op7_mixing, "op1_url_filters": op1_url_filters}
 
 #: No SQL stands for these: the hashes and fitted models have no SQL form; tests hold them against brute force.
 ORACLES: dict[str, str] = {}
