@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnloom.llm.chat_format import digests, format_conversations
 from turnloom.llm.license_scan import scan_licenses
 from turnloom.llm.minhash_dedup import link_near_duplicates
 from turnloom.llm.mixing import mix_sources
@@ -22,6 +23,7 @@ from turnloom.llm.url_filters import filter_urls
 
 
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -71,7 +73,14 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, keep_html=False).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
 
 
-QUERIES = {"op8_substring_dedup": op8_substring_dedup, "op5_minhash_dedup": op5_minhash_dedup, "op10_license_scan": op10_license_scan, "op3_quality_rules": op3_quality_rules, "op4_toxicity": op4_toxicity, "op6_packing": op6_packing, "op7_mixing": op7_mixing, "op1_url_filters": op1_url_filters}
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return digests(format_conversations(turns.unionByName(own)))
+
+
+QUERIES = {"op8_substring_dedup": op8_substring_dedup, "op5_minhash_dedup": op5_minhash_dedup, "op10_license_scan": op10_license_scan, "op3_quality_rules": op3_quality_rules, "op4_toxicity": op4_toxicity, "op6_packing": op6_packing, "op7_mixing": op7_mixing, "op1_url_filters": op1_url_filters, "op2_chat_format": op2_chat_format}
 
 #: No SQL stands for these: the hashes and fitted models have no SQL form; tests hold them against brute force.
 ORACLES: dict[str, str] = {}
