@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.llm.chat_format import digests, format_conversations
+from turnloom.llm.embedding_dedup import link_embeddings
 from turnloom.llm.license_scan import scan_licenses
 from turnloom.llm.minhash_dedup import link_near_duplicates
 from turnloom.llm.mixing import mix_sources
@@ -24,6 +25,7 @@ from turnloom.llm.url_filters import filter_urls
 
 
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -80,7 +82,12 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_conversations(turns.unionByName(own)))
 
 
-QUERIES = {"op8_substring_dedup": op8_substring_dedup, "op5_minhash_dedup": op5_minhash_dedup, "op10_license_scan": op10_license_scan, "op3_quality_rules": op3_quality_rules, "op4_toxicity": op4_toxicity, "op6_packing": op6_packing, "op7_mixing": op7_mixing, "op1_url_filters": op1_url_filters, "op2_chat_format": op2_chat_format}
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return link_embeddings(vectors, keep_vector=False).select("vec_id", "n_links", "component_id", "kept")
+
+
+QUERIES = {"op8_substring_dedup": op8_substring_dedup, "op5_minhash_dedup": op5_minhash_dedup, "op10_license_scan": op10_license_scan, "op3_quality_rules": op3_quality_rules, "op4_toxicity": op4_toxicity, "op6_packing": op6_packing, "op7_mixing": op7_mixing, "op1_url_filters": op1_url_filters, "op2_chat_format": op2_chat_format, "op9_embedding_dedup": op9_embedding_dedup}
 
 #: No SQL stands for these: the hashes and fitted models have no SQL form; tests hold them against brute force.
 ORACLES: dict[str, str] = {}
