@@ -2,9 +2,10 @@
 
 Each round hangs the neighbours of a node on their smallest node (large star,
 then small star), so the number of rounds grows with the logarithm of the
-longest path. Before the rounds every partition replaces its links by stars of
-their local components, which settles small groups at once. Links are grouped
-with mergeable minima, so a node in a third of all links is no single task.
+longest path. Between rounds every task replaces a bounded number of links by
+stars of their local components, which settles small groups at once, and small
+link tables in one task. Links are grouped with mergeable minima, so a node in
+a third of all links is no single task.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 
 from turnloom.llm.workspace import Workspace
 
+#: Links that one task takes in for its local components.
+TASK_LINKS = 250_000
+
 
 def _local_stars(batches):
     parent: dict[int, int] = {}
@@ -50,20 +54,26 @@ def _stars(links: DataFrame, large: bool) -> DataFrame:
 
 
 def components(ws: Workspace, links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) for each node that has a link; links: two columns of long ids.
+    """(node, component) for each node that has a link; links: a written table of two long ids.
 
     component is the smallest node id of the group. Self links are ignored.
     """
     a, b = links.columns
-    links = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()
-    stars = ws.keep(links.mapInArrow(_local_stars, "u long, v long"), "stars")
+    links = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v")
+    parts = -(-links.count() // TASK_LINKS)
+    stars = ws.keep(links.coalesce(max(parts, 1)).mapInArrow(_local_stars, "u long, v long"), "stars")
     for _ in range(rounds):
-        # done when every node hangs on one node which itself hangs on none
-        heads = stars.select(F.col("v").alias("u")).distinct()
-        twice = stars.groupBy("u").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo != hi")
-        if stars.join(heads, "u", "left_semi").isEmpty() and twice.isEmpty():
+        if parts <= 1:
+            break  # one task has seen all links
+        # else done when every node hangs on one node which itself hangs on none
+        seen = stars.select("u", "v", F.lit(False).alias("head")).union(stars.select(F.col("v").alias("u"), F.lit(None).cast("long").alias("v"), F.lit(True).alias("head")))
+        state = seen.groupBy("u").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.max("head").alias("head"))
+        if state.where("lo != hi or (head and lo is not null)").isEmpty():
             break
-        was, stars = stars, ws.keep(_stars(_stars(stars, True), False).mapInArrow(_local_stars, "u long, v long"), "stars")
+        was, stars = stars, ws.keep(_stars(_stars(stars, True), False), "stars")
+        ws.drop(was)
+        parts = -(-stars.count() // TASK_LINKS)
+        was, stars = stars, ws.keep(stars.coalesce(max(parts, 1)).mapInArrow(_local_stars, "u long, v long"), "stars")
         ws.drop(was)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnloom.llm import textops
-from turnloom.llm.columns import text_of, with_fields, without
+from turnloom.llm.columns import boxed, text_of, unboxed, with_fields, without
 from turnloom.llm.components import components
 from turnloom.llm.workspace import Workspace
 
@@ -95,7 +95,7 @@ def _key(members: np.ndarray) -> bytes:
 
 def _sign(text: str, names: list[str]):
     def run(batches):
-        for batch in textops.slices(batches, text, 4 << 20):
+        for batch in textops.slices(batches, text, 1 << 20):
             sets = shingle_sets(batch, text)
             full = [i for i, s in enumerate(sets) if len(s)]
             rows = _signatures([sets[i] for i in full]) if full else None
@@ -159,7 +159,7 @@ def _agree(batches):
 
 def _sets(text: str):
     def run(batches):
-        for batch in textops.slices(batches, text, 4 << 20):
+        for batch in textops.slices(batches, text, 1 << 20):
             sets = shingle_sets(batch, text)
             wanted = batch.column("set_key").to_pylist()
             good = [i for i, s in enumerate(sets) if _key(s) == wanted[i]]
@@ -186,11 +186,14 @@ def _confirm(batches):
 def _short_list(table: pa.Table) -> pa.Table:
     """Of one short list: pairs that agree often enough and lie in different groups."""
     table = table.combine_chunks()
-    node, group = table.column("node").to_numpy(), table.column("group").to_numpy()
+    table = table.sort_by("node")
+    node, group, n = (table.column(c).to_numpy() for c in ("node", "group", "n"))
     signatures = _matrix(table.column("signature"))
     a, b = [], []
     for i in range(len(node) - 1):
-        other = i + 1 + np.flatnonzero((group[i + 1 :] != group[i]) & ((signatures[i + 1 :] == signatures[i]).sum(axis=1) >= MATCHES))
+        good = (signatures[i + 1 :] == signatures[i]).sum(axis=1) >= MATCHES
+        good &= 100 * np.minimum(n[i + 1 :], n[i]) >= PERCENT * np.maximum(n[i + 1 :], n[i])
+        other = i + 1 + np.flatnonzero(good & (group[i + 1 :] != group[i]))
         a += [node[i]] * len(other)
         b += node[other].tolist()
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -239,20 +242,23 @@ def _merge(table: pa.Table) -> pa.Table:
 
 
 def link_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", workspace: Workspace | None = None, with_text: bool = False) -> DataFrame:
-    """The rows of docs with n_shingles, component_id and kept; text only if asked for.
+    """The rows of docs with n_shingles, component_id, kept and chosen; text only if asked for.
 
     component_id is the smallest id reachable by links, kept is whether it is
-    the row's own.
+    the row's own. chosen holds for exactly one row of each group, also where
+    rows repeat an id, and for texts without words.
     """
     text_of(docs, text)
     spark = docs.sparkSession
     ws = workspace or Workspace(spark)
-    rows = without(docs, "n_shingles", "set_key", "signature", "component_id", "kept", "node", "component")
-    carried = T.StructType([f for f in rows.schema.fields if with_text or f.name != text])
-    schema = with_fields(carried, ("n_shingles", T.LongType()), ("set_key", T.BinaryType()), ("signature", T.BinaryType()))
-    signed = ws.keep(rows.mapInArrow(_sign(text, schema.names), schema), "signed", "zstd" if with_text else "snappy")
-    distinct = signed.where("set_key is not null").groupBy("set_key").agg(F.min(doc_id).alias("rep"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n"))
-    nodes = ws.keep(distinct.select(F.monotonically_increasing_id().alias("node"), "set_key", "rep", "signature", "n"), "nodes")
+    rows = without(docs, "n_shingles", "component_id", "kept", "chosen")
+    carried = [c for c in rows.columns if with_text or c != text]
+    boxes = boxed(rows, carried, tl_id=F.col(doc_id), tl_text=F.col(text))
+    schema = T.StructType([f for f in boxes.schema.fields if f.name != "tl_text"])
+    schema = with_fields(schema, ("n_shingles", T.LongType()), ("set_key", T.BinaryType()), ("signature", T.BinaryType()))
+    signed = ws.keep(boxes.mapInArrow(_sign("tl_text", schema.names), schema).withColumn("seq", F.monotonically_increasing_id()), "signed", "zstd" if with_text else "snappy")
+    distinct = signed.where("set_key is not null").groupBy("set_key").agg(F.min(F.struct(F.col("tl_id").isNull(), "tl_id", "seq")).alias("head"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n"))
+    nodes = ws.keep(distinct.select(F.monotonically_increasing_id().alias("node"), "set_key", "head", F.col("head.tl_id").alias("rep"), "signature", "n"), "nodes")
 
     counts = nodes.select("signature").mapInArrow(_tally, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     rank = np.zeros(KEY_BUCKETS, np.int64)
@@ -276,44 +282,46 @@ def link_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
         found = rows.select(F.col(doc_id).alias("rep_id"), text).join(wanted, F.col("rep_id").eqNullSafe(F.col("rep")))
         return ws.keep(found.select("node", "set_key", text).mapInArrow(_sets(text), "node long, members binary").dropDuplicates(["node"]), "sets", "none")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for s in "ab":
             pairs = pairs.join(sets.select(F.col("node").alias(s), F.col("members").alias(f"m_{s}")), s)
-        links = ws.keep(pairs.mapInArrow(_confirm, "a long, b long"), "links")
-        ws.drop(sets)
-        return links
+        return pairs.mapInArrow(_confirm, "a long, b long")
 
+    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node"))
     stars = shared.where("node != center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    links = confirmed(ws.keep(agreeing(stars), "pairs"))
+    pairs = ws.keep(agreeing(stars), "pairs")
+    sets = sets_of(ends(pairs))
+    links = ws.keep(confirmed(pairs, sets), "links")
+    ws.drop(sets)
     groups = components(ws, links)
 
     # lists that more than one group has; their centers have met all members
     table = shared.where("n > 2").join(groups.withColumnsRenamed({"component": "group"}), "node", "left").withColumn("group", F.coalesce("group", "node"))
     apart = table.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo != hi").select("key")
     mixed = ws.keep(table.join(apart, "key", "left_semi"), "mixed")
+    if not mixed.isEmpty():
+        short = mixed.where((F.col("n") <= LONG_LIST) & (F.col("node") != F.col("center"))).drop("n").join(side, "node")
+        pairs = ws.keep(short.groupBy("key").applyInArrow(_short_list, "a long, b long").distinct(), "pairs")
+        # members of long lists overlap in most of their prefix; lists with common members form one family
+        long = ws.keep(mixed.where(F.col("n") > LONG_LIST).select("center", "node", "group").distinct(), "long")
+        family = components(ws, long.select("center", "node"))
+        placed = family.join(long.select("node", "group").distinct(), "node")
+        placed = ws.keep(placed.join(family.groupBy("component").agg(F.count("*").alias("size")), "component"), "families")
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        spread = placed.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        spread = spread.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "group")
+        sets = sets_of(ends(pairs).union(placed.select("node")))
+        merged = spread.join(sets, "node").groupBy("component", "i", "j").applyInArrow(_merge, "a long, b long")
+        more = ws.keep(links.union(confirmed(pairs, sets)).union(merged), "links")
+        ws.drop(sets)
+        groups = components(ws, more)
 
-    short = mixed.where((F.col("n") <= LONG_LIST) & (F.col("node") != F.col("center"))).join(side.select("node", "signature"), "node")
-    met = short.groupBy("key").applyInArrow(_short_list, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = confirmed(ws.keep(agreeing(met), "pairs"))
-
-    # members of long lists overlap in most of their prefix; lists with common members form one family
-    long = mixed.where(F.col("n") > LONG_LIST)
-    family = ws.keep(components(ws, long.select("center", "node")), "families")
-    placed = family.join(long.select("node", "group").distinct(), "node")
-    placed = placed.join(family.groupBy("component").agg(F.count("*").alias("size")), "component")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    spread = placed.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "group")
-    merged = spread.join(sets_of(family.select("node")), "node").groupBy("component", "i", "j").applyInArrow(_merge, "a long, b long")
-    more = ws.keep(more.union(merged), "links")
-    if not more.isEmpty():
-        groups = components(ws, links.union(more))
-
-    least = nodes.join(groups, "node", "left").select("set_key", "rep", F.coalesce("component", "node").alias("component"))
-    heads = least.groupBy("component").agg(F.min("rep").alias("component_id"))
-    answer = least.join(heads, "component").select("set_key", "component_id")
+    least = nodes.join(groups, "node", "left").select("set_key", "head", F.coalesce("component", "node").alias("component"))
+    heads = least.groupBy("component").agg(F.min("head").alias("first"))
+    answer = least.join(heads, "component").select("set_key", F.col("first.tl_id").alias("component_id"), F.col("first.seq").alias("first_seq"))
     out = signed.drop("signature").join(answer, "set_key", "left")
-    component = F.when(F.col("set_key").isNull(), F.col(doc_id)).otherwise(F.col("component_id"))
-    return out.withColumn("component_id", component).withColumn("kept", F.col(doc_id).eqNullSafe(F.col("component_id"))).select(*carried.names, "n_shingles", "set_key", "component_id", "kept")
+    component = F.when(F.col("set_key").isNull(), F.col("tl_id")).otherwise(F.col("component_id"))
+    out = out.withColumn("component_id", component).withColumn("kept", F.col("tl_id").eqNullSafe(F.col("component_id")))
+    chosen = F.col("set_key").isNull() | (F.col("seq") == F.col("first_seq"))
+    return out.select(*unboxed(carried), "n_shingles", "component_id", "kept", chosen.alias("chosen"))
