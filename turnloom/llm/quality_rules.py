@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from turnloom.llm import textops
-from turnloom.llm.columns import text_of, with_fields, without
+from turnloom.llm.columns import boxed, text_of, unboxed, with_fields, without
 from turnloom.llm.workspace import Workspace
 
 MIN_WORDS = 50
@@ -99,7 +99,7 @@ def statistics(batch: pa.RecordBatch, text: str) -> dict[str, np.ndarray]:
 
 def _measure(text: str, names: list[str]):
     def run(batches):
-        for batch in textops.slices(batches, text, 4 << 20):
+        for batch in textops.slices(batches, text, 1 << 20):
             columns = dict(zip(batch.schema.names, batch.columns, strict=True))
             columns |= {k: pa.array(v, pa.int64()) for k, v in statistics(batch, text).items()}
             yield pa.RecordBatch.from_pydict({n: columns[n] for n in names})
@@ -161,13 +161,13 @@ def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     """The rows with the base counts, base_failed, distance and kept."""
     text_of(docs, text)
     ws = workspace or Workspace(docs.sparkSession)
-    rows = without(docs, *COUNTS, *X, "group", "language", "base_failed", "distance", "kept", "means", "whiten", "bin")
+    rows = without(docs, *COUNTS, "base_failed", "distance", "kept")
     named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
-    carried = T.StructType([f for f in rows.schema.fields if with_text or f.name != text])
-    keyed = rows.withColumn("language", named(lang)).withColumn("group", F.concat_ws("\x00", "language", named(source)))
-    schema = T.StructType([*carried.fields, keyed.schema["language"], keyed.schema["group"]])
+    carried = [c for c in rows.columns if with_text or c != text]
+    keyed = boxed(rows, carried, tl_text=F.col(text), language=named(lang), group=F.concat_ws("\x00", named(lang), named(source)))
+    schema = T.StructType([f for f in keyed.schema.fields if f.name != "tl_text"])
     schema = with_fields(schema, *((n, T.LongType()) for n in (*COUNTS, *X)))
-    measured = ws.keep(keyed.mapInArrow(_measure(text, schema.names), schema), "measured", "zstd" if with_text else "snappy")
+    measured = ws.keep(keyed.mapInArrow(_measure("tl_text", schema.names), schema), "measured", "zstd" if with_text else "snappy")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     fit = measured.where(~failed).select("group", "language", *X)
 
@@ -188,4 +188,4 @@ def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
 
     damped = _distance("means", "whiten") * F.col("n_words") / (F.col("n_words") + HALF_WORDS)
     out = measured.join(params, "group", "left").withColumns({"base_failed": failed, "distance": damped})
-    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= LIMIT, F.lit(False))).select(*carried.names, *COUNTS, "base_failed", "distance", "kept")
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= LIMIT, F.lit(False))).select(*unboxed(carried), *COUNTS, "base_failed", "distance", "kept")
