@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from turnloom.llm import textops
-from turnloom.llm.columns import text_of, with_fields, without
+from turnloom.llm.columns import ROW, boxed, text_of, unboxed, with_fields, without
 from turnloom.llm.workspace import Workspace
 
 CAPACITY = 4096
@@ -84,7 +84,7 @@ def encoder(path: str) -> WordEncoder:
 def _pieces(path: str, text: str, capacity: int, names: list[str], with_ids: bool):
     def run(batches):
         task, seen, coder, end = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), encoder(path), np.array([END], "<u4").tobytes()
-        for batch in textops.slices(batches, text, 4 << 20):
+        for batch in textops.slices(batches, text, 1 << 20):
             raw, at = textops.buffers(batch.column(text))
             whole = raw.tobytes()
             row, start, length, crc, total, nth, ids = [], [], [], [], [], [], []
@@ -210,11 +210,12 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, te
     spark = docs.sparkSession
     ws = workspace or Workspace(spark)
     numbers = ("start", "length", "ids_crc32", "doc_tokens")
-    rows = without(docs, *numbers, "sequence_id", "offset", "ids", "task", "nth", "before")
-    carried = T.StructType([f for f in rows.schema.fields if f.name != text])
+    rows = without(docs, *numbers, "sequence_id", "offset", "ids")
+    carried = [c for c in rows.columns if c != text]
+    boxes = boxed(rows, carried, tl_text=F.col(text))
     extra = [("ids", T.ArrayType(T.IntegerType()))] if with_ids else []
-    schema = with_fields(carried, *((n, T.LongType()) for n in numbers), *extra, ("task", T.IntegerType()), ("nth", T.LongType()))
-    pieces = ws.keep(rows.mapInArrow(_pieces(tokenizer, text, capacity, schema.names, with_ids), schema), "pieces")
+    schema = with_fields(T.StructType([boxes.schema[ROW]]), *((n, T.LongType()) for n in numbers), *extra, ("task", T.IntegerType()), ("nth", T.LongType()))
+    pieces = ws.keep(boxes.mapInArrow(_pieces(tokenizer, "tl_text", capacity, schema.names, with_ids), schema), "pieces")
     by_task = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
     order = Window.partitionBy("length").orderBy("task")
     before = ws.keep(by_task.withColumn("before", F.sum("n").over(order) - F.col("n")), "ranks")
@@ -222,5 +223,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, te
     rows_ = place(counts, capacity)
     plan = spark.sparkContext.broadcast(rows_[np.lexsort((rows_[:, 1], rows_[:, 0]))])
     ranked = pieces.join(before.select("task", "length", "before"), ["task", "length"])
-    out = with_fields(carried, *((n, T.LongType()) for n in numbers), *extra, ("sequence_id", T.LongType()), ("offset", T.LongType()))
-    return ranked.mapInArrow(_assign(plan, out.names), out)
+    out = with_fields(T.StructType([boxes.schema[ROW]]), *((n, T.LongType()) for n in numbers), *extra, ("sequence_id", T.LongType()), ("offset", T.LongType()))
+    return ranked.mapInArrow(_assign(plan, out.names), out).select(*unboxed(carried), *out.names[1:])
