@@ -1,4 +1,494 @@
-"""Registered queries over the reference tables, each with its DuckDB counterpart."""
+"""Registered queries over the tables, each with its DuckDB counterpart."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from turnloom.config import DEFAULT_SYSTEM, DEFAULTS
+from turnloom.functions import text as X
+from turnloom.functions import tokens as K
+from turnloom.operators import conversations as C
+from turnloom.operators import labels as L
+from turnloom.operators import requests as R
+from turnloom.operators import streams as S
+from turnloom.operators import template as M
+from turnloom.operators import training as G
+from turnloom.sources.tables import read_table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str):
+    """Registers a query with its counterpart."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def turns_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "conversations")
+
+
+def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.nest(turns_of(spark, sf_dir))
+
+
+def long(column, name: str):
+    return column.cast("long").alias(name)
+
+
+def digest(messages, name: str = "digest"):
+    """Roles and contents as one hash."""
+    return F.md5(F.array_join(F.transform(messages, lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|")).alias(name)
+
+
+# ---------------------------------------------------------------- conversations
+
+
+@query("SELECT count(*) AS n_turns, count(DISTINCT conv_id) AS n_conversations FROM conversations")
+def row_count(spark, sf_dir):
+    return turns_of(spark, sf_dir).agg(long(F.count("*"), "n_turns"), long(F.count_distinct("conv_id"), "n_conversations"))
+
+
+_NEST = "SELECT conv_id, list({'role': role, 'content': text} ORDER BY turn) AS m FROM conversations GROUP BY conv_id"
+_DIGEST = "md5(array_to_string(list_transform({m}, lambda x: concat(x.role, ':', x.content)), '|'))"
+
+
+@query(f"""
+SELECT conv_id, CAST(len(m) AS BIGINT) AS n_messages, CAST(list_sum(list_transform(m, lambda x: length(x.content))) AS BIGINT) AS n_chars,
+  array_to_string(list_transform(m, lambda x: x.role), ',') AS roles, {_DIGEST.format(m='m')} AS digest
+FROM ({_NEST})""")
+def conversations_nested_stats(spark, sf_dir):
+    m = F.col("messages")
+    return nested(spark, sf_dir).select(
+        "conv_id", long(F.size(m), "n_messages"), long(F.aggregate(m, F.lit(0), lambda t, x: t + F.length(x["content"])), "n_chars"), F.array_join(F.transform(m, lambda x: x["role"]), ",").alias("roles"), digest(m)
+    )
+
+
+@query("SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS turn, role, text FROM conversations")
+def flatten_conversations(spark, sf_dir):
+    return C.flatten(nested(spark, sf_dir)).select("conv_id", long(F.col("turn"), "turn"), "role", "text")
+
+
+#: Lines of JSON that show each rule of validation.
+LINES = (
+    (1, '{"messages":[{"role":"user","content":"a"}]}'),
+    (2, '{"messages":[]}'),
+    (3, '{"messages":"x"}'),
+    (4, '{"x":1}'),
+    (5, "not json"),
+    (6, '{"messages":[{"role":"user"}]}'),
+    (7, '{"messages":[{"role":"user","content":null}]}'),
+    (8, '{"messages":[{"role":"user","content":"a"},{"content":"b"}]}'),
+    (9, '{"messages":["a"]}'),
+    (10, '{"messages":[{"role":"odd","content":5,"more":1}]}'),
+)
+
+
+def values(rows) -> str:
+    """Rows as a VALUES list for DuckDB."""
+    quoted = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v).upper() if isinstance(v, bool) else str(v)
+    return ", ".join("(" + ", ".join(map(quoted, row)) + ")" for row in rows)
+
+
+@query(f"""
+WITH l(line_no, line) AS (VALUES {values(LINES)}),
+j AS (SELECT line_no, CASE WHEN json_valid(line) THEN line::JSON END AS j FROM l),
+t AS (SELECT line_no, j, CASE WHEN json_type(j, '$.messages') = 'ARRAY' THEN CAST(json_array_length(j, '$.messages') AS BIGINT) ELSE 0 END AS n FROM j)
+SELECT CAST(line_no AS BIGINT) AS line_no, CASE WHEN j IS NULL THEN 'not json' WHEN n = 0 THEN 'no list of messages'
+  WHEN (SELECT count(*) FROM range(n) r(i) WHERE json_exists(j, '$.messages[' || i || '].role') AND json_exists(j, '$.messages[' || i || '].content')) < n THEN 'message without role or content' END AS problem
+FROM t""")
+def validate_messages(spark, sf_dir):
+    return C.quarantine(spark.createDataFrame(LINES, "line_no long, line string")).select("line_no", "problem")
+
+
+@query("SELECT conv_id, CAST(count(*) AS BIGINT) AS n_messages, bool_and(role IS NOT NULL) AS valid FROM conversations GROUP BY conv_id")
+def validate_conversations(spark, sf_dir):
+    lines = nested(spark, sf_dir).select("conv_id", "messages", F.to_json(F.struct("messages")).alias("line"))
+    return C.quarantine(lines).select("conv_id", long(F.size("messages"), "n_messages"), F.col("problem").isNull().alias("valid"))
+
+
+_SYS = f"{{'role': 'system', 'content': '{DEFAULT_SYSTEM}'}}"
+_ENSURED = f"SELECT conv_id, CASE WHEN len(m) = 0 OR m[1].role <> 'system' THEN list_concat([{_SYS}], m) ELSE m END AS m FROM ({_NEST})"
+
+
+@query(f"SELECT conv_id, CAST(len(m) AS BIGINT) AS n_messages, {_DIGEST.format(m='m')} AS digest FROM ({_ENSURED})")
+def ensure_system(spark, sf_dir):
+    m = C.ensure_system(F.col("messages"), DEFAULT_SYSTEM)
+    return nested(spark, sf_dir).select("conv_id", long(F.size(m), "n_messages"), digest(m))
+
+
+@query(f"""
+SELECT conv_id, CAST(len(w) AS BIGINT) AS n_messages, {_DIGEST.format(m='w')} AS digest
+FROM (SELECT conv_id, CASE WHEN len(m) - 1 > 4 THEN list_concat(m[1:1], m[len(m) - 3:]) ELSE m END AS w FROM ({_ENSURED}))""")
+def history_window(spark, sf_dir):
+    m = C.history_window(F.col("m"), 4)
+    return nested(spark, sf_dir).select("conv_id", C.ensure_system(F.col("messages"), DEFAULT_SYSTEM).alias("m")).select("conv_id", long(F.size(m), "n_messages"), digest(m))
+
+
+@query("SELECT conv_id, count(*) FILTER (WHERE role <> 'system') AS n_history FROM conversations GROUP BY conv_id")
+def history_count(spark, sf_dir):
+    return nested(spark, sf_dir).select("conv_id", long(C.history_count(F.col("messages")), "n_history"))
+
+
+@query(f"""
+SELECT conv_id, {_DIGEST.format(m="list_append(m, {'role': 'user', 'content': 'And then?'})")} AS appended,
+  {_DIGEST.format(m="list_concat([{'role': 'system', 'content': 'Be brief.'}], m[2:])")} AS replaced,
+  {_DIGEST.format(m='m')} AS kept, {_DIGEST.format(m='m[1:1]')} AS cleared
+FROM ({_ENSURED})""")
+def edit_history(spark, sf_dir):
+    ensured = nested(spark, sf_dir).select("conv_id", C.ensure_system(F.col("messages"), DEFAULT_SYSTEM).alias("m"))
+    return ensured.select(
+        "conv_id", digest(C.append_message(F.col("m"), "user", "And then?"), "appended"), digest(C.replace_system(F.col("m"), F.lit(" Be brief.\n")), "replaced"),
+        digest(C.replace_system(F.col("m"), F.lit(" \n")), "kept"), digest(C.clear_history(F.col("m")), "cleared"),
+    )
+
+
+@query("""
+SELECT conv_id, CAST(row_number() OVER w AS BIGINT) AS k, CAST(sum(length(text)) OVER w AS BIGINT) AS n_chars
+FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+def prefix_growth(spark, sf_dir):
+    grown = nested(spark, sf_dir).select("conv_id", F.posexplode(C.prefixes(F.col("messages"))).alias("k", "p"))
+    return grown.select("conv_id", long(F.col("k") + 1, "k"), long(F.aggregate("p", F.lit(0), lambda t, x: t + F.length(x["content"])), "n_chars"))
+
+
+# ---------------------------------------------------------------- template
+
+#: Turns with what the template adds, for plain conversations.
+_FLAT = """
+SELECT *, coalesce(max(CAST(role = 'user' AS INT)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS asked,
+  lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) IS NULL AS is_last FROM conversations"""
+_BLOCK = "'<|im_start|>' || role || chr(10) || {think} || text || '<|im_end|>' || chr(10)"
+_NO_THINK = "'<think>' || chr(10) || chr(10) || '</think>' || chr(10) || chr(10)"
+_FINAL = _BLOCK.format(think=f"CASE WHEN role = 'assistant' AND asked AND is_last THEN {_NO_THINK} ELSE '' END")
+_STEP = _BLOCK.format(think=f"CASE WHEN role = 'assistant' AND asked THEN {_NO_THINK} ELSE '' END")
+
+
+@query(f"""
+SELECT conv_id, CAST(length(p) AS BIGINT) AS n_chars, md5(p) AS rendered, md5(p || '<|im_start|>assistant' || chr(10)) AS prompt,
+  md5(p || '<|im_start|>assistant' || chr(10) || {_NO_THINK}) AS prompt_no_thinking
+FROM (SELECT conv_id, string_agg({_FINAL}, '' ORDER BY turn) AS p FROM ({_FLAT}) GROUP BY conv_id)""")
+def render_chat(spark, sf_dir):
+    m = M.rich(F.col("messages"))
+    p = M.render(m)
+    return nested(spark, sf_dir).select("conv_id", long(F.length(p), "n_chars"), F.md5(p).alias("rendered"), F.md5(M.render(m, generation_prompt=True)).alias("prompt"), F.md5(M.render(m, generation_prompt=True, enable_thinking=False)).alias("prompt_no_thinking"))
+
+
+_CALL = '<tool_call>\n{"name": "f", "arguments": {"x": 1}}\n</tool_call>'
+_CALL2 = '<tool_call>\n{"name": "g", "arguments": {}}\n</tool_call>'
+#: Messages (role, content, reasoning, calls), and their prompt: one case for each branch of the template.
+EDGES = (
+    ("plain", [("system", "S", None, None), ("user", "q", None, None)], "<|im_start|>system\nS<|im_end|>\n<|im_start|>user\nq<|im_end|>\n"),
+    ("late system", [("user", "q", None, None), ("system", "S", None, None)], "<|im_start|>user\nq<|im_end|>\n<|im_start|>system\nS<|im_end|>\n"),
+    ("answer last", [("user", "q", None, None), ("assistant", "a", None, None)], "<|im_start|>user\nq<|im_end|>\n<|im_start|>assistant\n<think>\n\n</think>\n\na<|im_end|>\n"),
+    ("thinking kept", [("user", "q", None, None), ("assistant", "<think>\nt\n</think>\n\na", None, None)], "<|im_start|>user\nq<|im_end|>\n<|im_start|>assistant\n<think>\nt\n</think>\n\na<|im_end|>\n"),
+    ("thinking given", [("user", "q", None, None), ("assistant", "a", "\nt\n", None)], "<|im_start|>user\nq<|im_end|>\n<|im_start|>assistant\n<think>\nt\n</think>\n\na<|im_end|>\n"),
+    ("thinking dropped", [("user", "q", None, None), ("assistant", "<think>\nt\n</think>\n\na", None, None), ("user", "r", None, None)], "<|im_start|>user\nq<|im_end|>\n<|im_start|>assistant\na<|im_end|>\n<|im_start|>user\nr<|im_end|>\n"),
+    ("no question", [("assistant", "a", None, None)], "<|im_start|>assistant\na<|im_end|>\n"),
+    ("unknown role", [("user", "q", None, None), ("critic", "x", None, None)], "<|im_start|>user\nq<|im_end|>\n"),
+    ("null content", [("user", None, None, None)], "<|im_start|>user\n<|im_end|>\n"),
+    ("calls", [("user", "q", None, None), ("assistant", "a", None, [("f", '{"x": 1}'), ("g", "{}")]), ("tool", "1", None, None), ("tool", "2", None, None)],
+     f"<|im_start|>user\nq<|im_end|>\n<|im_start|>assistant\na\n{_CALL}\n{_CALL2}<|im_end|>\n<|im_start|>user\n<tool_response>\n1\n</tool_response>\n<tool_response>\n2\n</tool_response><|im_end|>\n"),
+    ("call alone", [("user", "q", None, None), ("assistant", "", None, [("f", '{"x": 1}')])], f"<|im_start|>user\nq<|im_end|>\n<|im_start|>assistant\n<think>\n\n</think>\n\n{_CALL}<|im_end|>\n"),
+    ("wrapped response", [("user", "q", None, None), ("assistant", "a", "t", None), ("user", "<tool_response>r</tool_response>", None, None)], "<|im_start|>user\nq<|im_end|>\n<|im_start|>assistant\n<think>\nt\n</think>\n\na<|im_end|>\n<|im_start|>user\n<tool_response>r</tool_response><|im_end|>\n"),
+)
+
+
+@query(f"SELECT * FROM (VALUES {values([(n, p) for n, _, p in EDGES])}) v(name, prompt)")
+def render_edge_cases(spark, sf_dir):
+    rows = spark.createDataFrame([(n, m) for n, m, _ in EDGES], f"name string, messages {M.RICH}")
+    return rows.select("name", M.render(F.col("messages")).alias("prompt"))
+
+
+_TOOL = '{"type": "function", "function": {"name": "f"}}'
+_TOOLS_PROMPT = f"<|im_start|>system\nS\n\n{M.TOOLS_HEAD}\n{_TOOL}{M.TOOLS_TAIL}<|im_end|>\n<|im_start|>user\nq<|im_end|>\n"
+
+
+@query(f"SELECT * FROM (VALUES {values([('tools', _TOOLS_PROMPT), ('no tools', EDGES[0][2])])}) v(name, prompt)")
+def render_tools(spark, sf_dir):
+    rows = spark.createDataFrame([("tools", EDGES[0][1], [_TOOL]), ("no tools", EDGES[0][1], [])], f"name string, messages {M.RICH}, tools array<string>")
+    return rows.select("name", M.render(F.col("messages"), F.col("tools")).alias("prompt"))
+
+
+# ---------------------------------------------------------------- tokens and labels
+
+
+@query("""
+SELECT conv_id, turn, CAST(length(text) AS BIGINT) AS n_tokens,
+  CAST(coalesce(list_sum(list_transform(string_split(text, ''), lambda c: unicode(c))), 0) AS BIGINT) AS id_sum FROM conversations""")
+def token_lengths(spark, sf_dir):
+    ids = turns_of(spark, sf_dir).select("conv_id", "turn", K.code_points(F.col("text")).alias("ids"))
+    return ids.select("conv_id", "turn", long(F.size("ids"), "n_tokens"), F.aggregate("ids", F.lit(0).cast("long"), lambda t, i: t + i).alias("id_sum"))
+
+
+@query("SELECT conv_id, turn, md5(text) AS digest FROM conversations")
+def decode_tokens(spark, sf_dir):
+    ids = turns_of(spark, sf_dir).select("conv_id", "turn", F.concat(F.array(F.lit(DEFAULTS.end_id)), K.code_points(F.col("text"))).alias("ids"))
+    return ids.select("conv_id", "turn", F.md5(K.from_code_points(F.col("ids"))).alias("digest"))
+
+
+@query(f"SELECT * FROM (VALUES {values(K.SPECIAL_TOKENS)}) v(token, id, special)")
+def special_tokens(spark, sf_dir):
+    return K.special_tokens(spark)
+
+
+_DELTAS = f"""
+SELECT conv_id, turn, role, CASE WHEN coalesce(lag(role = 'assistant' AND asked) OVER (PARTITION BY conv_id ORDER BY turn), FALSE)
+  THEN substr({_STEP}, 20) ELSE {_STEP} END AS delta FROM ({_FLAT})"""
+_ALIGNED = f"SELECT conv_id, turn, role, {_FINAL} AS delta FROM ({_FLAT})"
+_LABELS = "SELECT conv_id, turn, CAST(length(delta) AS BIGINT) AS n_tokens, role = 'assistant' AS supervised, md5(delta) AS digest FROM ({})"
+
+
+def _delta_rows(spark, sf_dir, mode):
+    return L.flat_deltas(turns_of(spark, sf_dir), mode=mode).select("conv_id", "turn", long(F.length("delta"), "n_tokens"), "supervised", F.md5("delta").alias("digest"))
+
+
+@query(_LABELS.format(_DELTAS))
+def response_labels_reference(spark, sf_dir):
+    return _delta_rows(spark, sf_dir, "reference")
+
+
+@query(_LABELS.format(_ALIGNED))
+def response_labels_aligned(spark, sf_dir):
+    return _delta_rows(spark, sf_dir, "aligned")
+
+
+@query(_LABELS.format(_DELTAS))
+def response_labels_by_prefix(spark, sf_dir):
+    rows = nested(spark, sf_dir).select("conv_id", "messages", F.posexplode(L.nested_deltas(M.rich(F.col("messages")))).alias("turn", "delta"))
+    return rows.select("conv_id", long(F.col("turn"), "turn"), long(F.length("delta"), "n_tokens"), (F.get("messages", F.col("turn"))["role"] == "assistant").alias("supervised"), F.md5("delta").alias("digest"))
+
+
+def _report_sql(most: int, deltas: str = _DELTAS) -> str:
+    return f"""
+WITH s AS (SELECT conv_id, role, length(delta) AS n, sum(length(delta)) OVER (PARTITION BY conv_id ORDER BY turn) AS until FROM ({deltas})),
+k AS (SELECT *, greatest(0, least(n, {most} - until + n)) AS kept FROM s)
+SELECT conv_id, CAST(sum(kept) AS BIGINT) AS n_tokens, CAST(sum(CASE WHEN role = 'assistant' THEN kept ELSE 0 END) AS BIGINT) AS n_supervised,
+  CAST(sum(CASE WHEN role = 'assistant' THEN 0 ELSE kept END) AS BIGINT) AS n_masked, CAST(sum(n) AS BIGINT) AS n_before, sum(n) > {most} AS truncated FROM k GROUP BY conv_id"""
+
+
+@query(_report_sql(DEFAULTS.max_seq_len))
+def response_labels_report(spark, sf_dir):
+    return L.label_report(L.flat_deltas(turns_of(spark, sf_dir)), DEFAULTS.max_seq_len)
+
+
+@query(_report_sql(DEFAULTS.max_seq_len_gpu, _ALIGNED))
+def truncate_report(spark, sf_dir):
+    return L.label_report(L.flat_deltas(turns_of(spark, sf_dir), mode="aligned"), DEFAULTS.max_seq_len_gpu)
+
+
+_FEATURES = f"""
+SELECT conv_id, list_transform(string_split(string_agg(delta, '' ORDER BY turn), ''), lambda c: unicode(c))[1:{DEFAULTS.max_seq_len}] AS ids,
+  flatten(list(CASE WHEN role = 'assistant' THEN list_transform(string_split(delta, ''), lambda c: unicode(c)) ELSE list_transform(string_split(delta, ''), lambda c: -100) END ORDER BY turn))[1:{DEFAULTS.max_seq_len}] AS labels
+FROM ({_DELTAS}) GROUP BY conv_id"""
+
+
+def _features(spark, sf_dir):
+    return L.features(L.flat_deltas(turns_of(spark, sf_dir)), DEFAULTS.max_seq_len)
+
+
+def _total(c):
+    return F.aggregate(c, F.lit(0).cast("long"), lambda t, i: t + i)
+
+
+@query(f"""
+SELECT conv_id, CAST(len(ids) AS BIGINT) AS n_ids, CAST(len(ids) AS BIGINT) AS n_attended, CAST(list_sum(ids) AS BIGINT) AS id_sum, CAST(list_sum(labels) AS BIGINT) AS label_sum,
+  CAST(len(list_filter(labels, lambda x: x <> -100)) AS BIGINT) AS n_labels FROM ({_FEATURES})""")
+def label_features(spark, sf_dir):
+    f = _features(spark, sf_dir)
+    return f.select("conv_id", long(F.size("input_ids"), "n_ids"), _total("attention_mask").alias("n_attended"), _total("input_ids").alias("id_sum"), _total("labels").alias("label_sum"), long(F.size(F.filter("labels", lambda x: x != DEFAULTS.ignore_label)), "n_labels"))
+
+
+@query(f"""
+WITH f AS (SELECT *, CAST(floor((row_number() OVER (ORDER BY conv_id) - 1) / 16) AS BIGINT) AS batch_id FROM ({_FEATURES})),
+p AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch_id) AS n FROM f)
+SELECT batch_id, conv_id, CAST(n AS BIGINT) AS n_ids, CAST(len(ids) AS BIGINT) AS n_attended, CAST(list_sum(ids) + (n - len(ids)) * 151643 AS BIGINT) AS id_sum,
+  CAST(list_sum(labels) - (n - len(ids)) * 100 AS BIGINT) AS label_sum FROM p""")
+def pad_batches(spark, sf_dir):
+    b = L.pad_batches(_features(spark, sf_dir))
+    return b.select("batch_id", "conv_id", long(F.size("input_ids"), "n_ids"), _total("attention_mask").alias("n_attended"), _total("input_ids").alias("id_sum"), _total("labels").alias("label_sum"))
+
+
+# ---------------------------------------------------------------- text
+
+#: Replies and what is left of them: (name, text, cleaned).
+REPLIES = (
+    ("plain", "a", "a"),
+    ("closed", "<think>x</think>a", "a"),
+    ("lines", "<think>\nx\ny\n</think>\n\na\n \n\nb ", "a\nb"),
+    ("twice", "<think>x</think>a<think>y</think>b", "ab"),
+    ("unclosed", "<think>x", "<think>x"),
+    ("nested", "x<think>a<think>b</think>c</think>d", "xc</think>d"),
+    ("wide space", "　a　", "a"),
+    ("empty", "", ""),
+)
+
+
+@query(f"SELECT * FROM (VALUES {values([(n, c) for n, _, c in REPLIES])}) v(name, cleaned)")
+def think_filter(spark, sf_dir):
+    return spark.createDataFrame([r[:2] for r in REPLIES], "name string, reply string").select("name", X.clean_reply(F.col("reply")).alias("cleaned"))
+
+
+@query(r"""
+WITH t AS (SELECT conv_id, turn, text, '<think>' || role || chr(10) || '</think>' || chr(10) || chr(10) || text || ' ' AS x FROM conversations)
+SELECT conv_id, turn, md5(trim(regexp_replace(regexp_replace(x, '<think>(.|\n)*?</think>', '', 'g'), '\n\s*\n', chr(10), 'g'), ' ' || chr(10))) AS cleaned,
+  regexp_extract(x, '<think>((?:.|\n)*?)\n*</think>', 1) AS thinking, md5(text || ' ') AS answer FROM t""")
+def think_split(spark, sf_dir):
+    x = F.concat(F.lit("<think>"), "role", F.lit("\n</think>\n\n"), "text", F.lit(" "))
+    return turns_of(spark, sf_dir).select("conv_id", "turn", F.md5(X.clean_reply(x)).alias("cleaned"), X.reasoning_of(x).alias("thinking"), F.md5(X.answer_of(x)).alias("answer"))
+
+
+_IDS = (("none", [1, 2]), ("once", [1, 151668, 2]), ("twice", [1, 151668, 2, 151668, 3]), ("first", [151668, 4]), ("empty", []))
+
+
+@query("SELECT * FROM (VALUES ('none', '', '1,2', '2'), ('once', '1,151668', '2', '151668,2'), ('twice', '1,151668,2,151668', '3', '151668,2,151668,3'), ('first', '151668', '4', '4'), ('empty', '', '', '')) v(name, thinking, answer, reply)")
+def split_ids(spark, sf_dir):
+    rows = spark.createDataFrame(_IDS, "name string, ids array<int>")
+    thinking, answer = K.split_thinking_ids(F.col("ids"), DEFAULTS.think_end_id)
+    joined = lambda c: F.array_join(F.transform(c, lambda i: i.cast("string")), ",")
+    return rows.select("name", joined(thinking).alias("thinking"), joined(answer).alias("answer"), joined(K.without_prompt(F.col("ids"), F.lit(1))).alias("reply"))
+
+
+@query("SELECT page_id, md5(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS escaped FROM pages")
+def escape_html(spark, sf_dir):
+    return read_table(spark, sf_dir, "pages").select("page_id", F.md5(X.escape_html(F.col("html"))).alias("escaped"))
+
+
+_BLANKS = ((1, ""), (2, " \n\t"), (3, "　"), (4, " a "), (5, None))
+
+
+@query("SELECT * FROM (VALUES (1, TRUE), (2, TRUE), (3, TRUE), (4, FALSE), (5, TRUE)) v(id, blank)")
+def blank_input(spark, sf_dir):
+    return spark.createDataFrame(_BLANKS, "id int, text string").select("id", X.is_blank(F.col("text")).alias("blank"))
+
+
+# ---------------------------------------------------------------- envelopes and streams
+
+
+def _answers(spark, sf_dir):
+    return turns_of(spark, sf_dir).where("role = 'assistant'").select(F.concat_ws("-", "conv_id", "turn").alias("reply_id"), F.col("text").alias("content"))
+
+
+def _events(spark, sf_dir):
+    replies = _answers(spark, sf_dir)
+    return S.encode(replies, S.characters(replies), "reply_id", F.lit("m"), F.lit(1700000000), F.concat(F.lit("chatcmpl-"), "reply_id"))
+
+
+_REPLY = "SELECT concat_ws('-', conv_id, turn) AS reply_id, text FROM conversations WHERE role = 'assistant'"
+
+
+@query(f"SELECT reply_id, CAST(length(text) + 2 AS BIGINT) AS n_events, CAST(length(text) AS BIGINT) AS n_pieces, CAST(1 AS BIGINT) AS n_stops, CAST(1 AS BIGINT) AS n_done FROM ({_REPLY})")
+def sse_encode(spark, sf_dir):
+    finish = F.get_json_object(F.substring("event", 7, 2**31 - 1), "$.choices[0].finish_reason")
+    return _events(spark, sf_dir).groupBy("reply_id").agg(long(F.count("*"), "n_events"), long(F.count_if(F.col("part") == 0), "n_pieces"), long(F.count_if(finish == "stop"), "n_stops"), long(F.count_if(F.col("event") == "data: [DONE]\n\n"), "n_done"))
+
+
+@query(f"SELECT reply_id, md5(text) AS content FROM ({_REPLY})")
+def sse_decode(spark, sf_dir):
+    reads = _events(spark, sf_dir).select("reply_id", (F.col("part") * 1_000_000_000 + F.col("seq")).alias("seq"), F.col("event").alias("data"))
+    return S.decode(reads, "reply_id").select("reply_id", F.md5("content").alias("content"))
+
+
+_CUT = ("lossy", 1, 'data: {"choices":[{"delta":{"content":"a"}}]}\n\ndata: {"choi'), ("lossy", 2, 'ces":[{"delta":{"content":"b"}}]}\n\ndata: {"choices":[{"delta":{}}]}\n\ndata: [DONE]\n\n')
+
+
+@query("SELECT * FROM (VALUES ('lossy', 'a'), ('buffered', 'ab')) v(mode, content)")
+def sse_decode_cut(spark, sf_dir):
+    reads = spark.createDataFrame(_CUT, "mode string, seq int, data string")
+    return S.decode(reads, "mode").unionAll(S.decode(reads.withColumn("mode", F.lit("buffered")), "mode", mode="buffered"))
+
+
+@query(f"SELECT reply_id, 'stop' AS finish, 'chat.completion' AS kind, '0' AS usage, md5(text) AS content FROM ({_REPLY})")
+def completion_envelope(spark, sf_dir):
+    body = S.completion(F.col("content"), F.lit("m"), F.concat(F.lit("chatcmpl-"), "reply_id"), F.lit(1700000000))
+    j = lambda p: F.get_json_object("body", p)
+    return _answers(spark, sf_dir).select("reply_id", body.alias("body")).select("reply_id", j("$.choices[0].finish_reason").alias("finish"), j("$.object").alias("kind"), j("$.usage.total_tokens").alias("usage"), F.md5(S.completion_content(F.col("body"))).alias("content"))
+
+
+@query("SELECT 'list' AS list_object, 'chat-model' AS id, 'model' AS object, CAST(1700000000 AS BIGINT) AS created, 'local' AS owned_by")
+def model_listing(spark, sf_dir):
+    return R.model_listing(spark, 1700000000)
+
+
+@query("SELECT * FROM (VALUES (200, TRUE, 'a'), (500, FALSE, 'HTTP 500'), (404, FALSE, 'HTTP 404')) v(status, stored, content)")
+def error_rows(spark, sf_dir):
+    return R.with_status(spark.createDataFrame([(200, "a"), (500, None), (404, "x")], "status int, content string"), F.col("status")).select("status", "stored", "content")
+
+
+# ---------------------------------------------------------------- parameters
+
+_BODIES = (
+    (1, '{"messages":[]}'),
+    (2, '{"messages":[],"temperature":null,"max_tokens":null}'),
+    (3, '{"messages":[],"temperature":0,"top_p":0,"max_tokens":0}'),
+    (4, '{"messages":[],"temperature":-1,"top_p":0.5,"extra":1}'),
+    (5, '{"messages":[],"temperature":0.3,"max_tokens":7,"stream":true,"model":"m"}'),
+)
+
+
+@query("""SELECT * FROM (VALUES
+  (1, 'chat-model', 0.7::DOUBLE, 0.7::DOUBLE, 4096, FALSE, FALSE), (2, 'chat-model', 0.7, 0.7, 1024, FALSE, FALSE), (3, 'chat-model', 0.7, 0.7, 1024, FALSE, FALSE),
+  (4, 'chat-model', NULL, NULL, 4096, FALSE, TRUE), (5, 'm', 0.3, 0.7, 7, TRUE, FALSE)) v(id, model, temperature, top_p, max_tokens, stream, greedy)""")
+def param_defaults(spark, sf_dir):
+    requests = R.parse_requests(spark.createDataFrame(_BODIES, "id int, body string"), gpu=True)
+    return R.generation_params(requests).select("id", "model", "temperature", "top_p", "max_tokens", "stream", "greedy")
+
+
+_SAVED = ((1, None, None, None, None, None, None, None), (2, "", 0.0, 0.0, False, "0", "x", ""), (3, "u", 0.5, 0.9, True, "12px", " 5", "p"))
+
+
+@query("""SELECT * FROM (VALUES
+  (1, 'http://127.0.0.1:8000/v1', 0.7::DOUBLE, 0.7::DOUBLE, TRUE, 20::BIGINT, 4096::BIGINT, TRUE),
+  (2, 'http://127.0.0.1:8000/v1', 0.0, 0.0, FALSE, 20, 4096, TRUE), (3, 'u', 0.5, 0.9, TRUE, 12, 5, FALSE)) v(id, api_url, temperature, top_p, stream_mode, history_length, max_tokens, default_prompt)""")
+def settings_defaults(spark, sf_dir):
+    saved = spark.createDataFrame(_SAVED, "id int, api_url string, temperature double, top_p double, stream_mode boolean, history_length string, max_tokens string, system_prompt string")
+    return R.load_settings(saved).withColumn("default_prompt", F.col("system_prompt") == DEFAULT_SYSTEM).drop("system_prompt")
+
+
+# ---------------------------------------------------------------- training plans and logs
+
+
+@query("SELECT CAST(n AS BIGINT) AS n_rows, CAST(3 * ceil(n / 16.0) AS BIGINT) AS steps, CAST(ceil(0.03::DOUBLE * CAST(3 * ceil(n / 16.0) AS BIGINT)) AS BIGINT) AS warmup FROM (SELECT count(DISTINCT conv_id) AS n FROM conversations)")
+def train_step_plan(spark, sf_dir):
+    n = turns_of(spark, sf_dir).agg(F.count_distinct("conv_id").alias("n_rows"))
+    steps = G.total_steps(F.col("n_rows"), F.lit(3))
+    return n.select("n_rows", steps.alias("steps"), G.warmup_steps(steps).alias("warmup"))
+
+
+@query("SELECT CAST(s AS BIGINT) AS step, CAST(round(1e12 * CASE WHEN s - 1 < 9 THEN 1e-4 * (s - 1) / 9 ELSE 1e-4 * 0.5 * (1 + cos(pi() * (s - 1 - 9) / (282 - 9))) END) AS BIGINT) AS rate_e12 FROM range(1, 283) r(s)")
+def lr_schedule(spark, sf_dir):
+    return G.learning_rates(spark, 282).select("step", long(F.round(F.col("learning_rate") * 1e12), "rate_e12"))
+
+
+def _log_lines(spark, sf_dir):
+    """A log with a row of each kind per conversation turn."""
+    by_conversation = Window.partitionBy("conv_id").orderBy("turn")
+    line = F.format_string("{'loss': %s, 'grad_norm': 1.5, 'learning_rate': 0.0001, 'entropy': 2.5, 'num_tokens': %s, 'mean_token_accuracy': 0.5, 'epoch': 0.1}", (F.length("text") / 8).cast("string"), F.sum(F.length("text").cast("double")).over(by_conversation).cast("string"))
+    rows = turns_of(spark, sf_dir).select(F.col("conv_id").alias("run"), F.col("turn").alias("pos"), line.alias("value"))
+    noise = rows.select("run", (F.col("pos") * 2 + 1).alias("pos"), F.lit(" 10%|##  | 1/9").alias("value"))
+    return rows.select("run", (F.col("pos") * 2).alias("pos"), "value").unionAll(noise)
+
+
+@query("""
+SELECT conv_id AS run, CAST(10 * row_number() OVER w AS BIGINT) AS step, length(text) / 8.0::DOUBLE AS loss, CAST(sum(length(text)) OVER w AS DOUBLE) AS num_tokens,
+  CAST(length(text) AS DOUBLE) AS new_tokens, CAST(sum(length(text)) OVER w AS DOUBLE) AS total_tokens FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+def cumulative_tokens(spark, sf_dir):
+    log = G.running_tokens(G.token_steps(G.parse_log(_log_lines(spark, sf_dir))))
+    return log.select("run", "step", "loss", "num_tokens", "new_tokens", "total_tokens")
+
+
+_SUMMARY = "{'train_runtime': 2222.5196, 'train_samples_per_second': 2.011, 'train_steps_per_second': 0.127, 'train_loss': 2.5, 'entropy': 2.5, 'num_tokens': 464922.0, 'mean_token_accuracy': 0.5, 'epoch': 3.0}"
+
+
+@query("SELECT 'S' AS run, 2222.5196::DOUBLE AS train_runtime, 2.011::DOUBLE AS train_samples_per_second, 464922.0::DOUBLE AS num_tokens, CAST(2092 AS BIGINT) AS tokens_per_10s, CAST(20 AS BIGINT) AS samples_per_10s")
+def log_summary(spark, sf_dir):
+    lines = spark.createDataFrame([("S", 0, "100%|###| 282/282"), ("S", 1, _SUMMARY)], "run string, pos int, value string")
+    s = G.run_summaries(lines)
+    return s.select("run", "train_runtime", "train_samples_per_second", "num_tokens", long(F.round(F.col("tokens_per_second") * 10), "tokens_per_10s"), long(F.round(F.lit(1490 * 3) / F.col("train_runtime") * 10), "samples_per_10s"))
