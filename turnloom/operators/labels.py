@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from turnloom.config import DEFAULTS
+from turnloom.functions.text import lstrip_newlines
 from turnloom.functions.tokens import code_points
 from turnloom.operators.template import END, NO_THINKING, START, render
 
@@ -31,16 +32,17 @@ def flat_deltas(turns: DataFrame, key: str = "conv_id", order: str = "turn", rol
     asked = F.coalesce(F.max(F.col(role) == "user").over(before), F.lit(False))
     thinks = (F.col(role) == ANSWER) & asked
     shown = F.col(role).isin("user", ANSWER, "system")
-    head = F.concat(F.lit(START), F.col(role), F.lit("\n"))
     content = F.coalesce(text, F.lit(""))
+    around = lambda body: F.concat(F.lit(START), F.col(role), F.lit("\n"), body, F.lit(END))
+    plain = F.when(shown, around(content)).otherwise("")
+    block = F.when(thinks, around(F.concat(F.lit(NO_THINKING), lstrip_newlines(content)))).otherwise(plain)
     if mode == "aligned":
-        last = F.lead(F.lit(1)).over(w).isNull()
-        block = F.concat(head, F.when(thinks & last, NO_THINKING).otherwise(""), content, F.lit(END))
-        delta = F.when(shown, block).otherwise("")
+        delta = F.when(F.lead(F.lit(1)).over(w).isNull(), block).otherwise(plain)
     else:
-        block = F.when(shown, F.concat(head, F.when(thinks, NO_THINKING).otherwise(""), content, F.lit(END))).otherwise("")
-        lost = F.coalesce(F.lag(thinks).over(w), F.lit(False))
-        delta = F.when(lost, F.substring(block, len(NO_THINKING) + 1, 2**31 - 1)).otherwise(block)
+        # an answer before this turn loses its block, and gets back newlines that the block took from its start
+        lost = F.coalesce(F.lag(F.when(thinks, len(NO_THINKING) - F.length(content) + F.length(lstrip_newlines(content)))).over(w), F.lit(0))
+        tail = F.substring(F.lag(plain).over(w), lost, -lost)
+        delta = F.when(lost >= 0, F.substring(block, lost + 1, F.lit(2**31 - 1))).otherwise(F.concat(tail, block))
     return turns.withColumns({"delta": delta, "supervised": F.col(role) == ANSWER})
 
 
