@@ -68,9 +68,17 @@ def label_report(deltas: DataFrame, max_length: int, key: str = "conv_id", order
     )
 
 
-def features(deltas: DataFrame, max_length: int, tokenize=code_points, key: str = "conv_id", order: str = "turn", ignore: int = DEFAULTS.ignore_label) -> DataFrame:
-    """Per conversation the arrays input_ids, attention_mask and labels, cut on the right."""
-    ids = deltas.select(key, order, "supervised", tokenize(F.col("delta")).alias("ids"))
+def features(deltas: DataFrame, max_length: int, tokenize=None, key: str = "conv_id", order: str = "turn", ignore: int = DEFAULTS.ignore_label) -> DataFrame:
+    """Per conversation the arrays input_ids, attention_mask and labels, cut on the right.
+
+    Without a tokenizer the ids are code points, and what is cut is never taken apart.
+    """
+    text = F.col("delta")
+    if tokenize is None:
+        until = F.sum(F.length("delta")).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+        deltas = deltas.withColumn("room", F.greatest(F.lit(0), F.lit(max_length) - until + F.length("delta")).cast("int"))
+        tokenize, text = code_points, F.substring("delta", F.lit(1), F.col("room"))
+    ids = deltas.select(key, order, "supervised", tokenize(text).alias("ids"))
     rows = ids.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "ids", "supervised"))).alias("turns"))
     input_ids = F.flatten(F.transform("turns", lambda t: t["ids"]))
     labels = F.flatten(F.transform("turns", lambda t: F.when(t["supervised"], t["ids"]).otherwise(F.array_repeat(F.lit(ignore), F.size(t["ids"])))))

@@ -16,6 +16,7 @@ from turnloom.operators import streams as S
 from turnloom.operators import template as M
 from turnloom.operators import training as G
 from turnloom.sources.tables import read_table
+from turnloom.streaming import replies as live
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -396,6 +397,15 @@ def sse_decode(spark, sf_dir):
     return S.decode(reads, "reply_id").select("reply_id", F.md5("content").alias("content"))
 
 
+@query(f"SELECT reply_id, TRUE AS done, md5(text) AS content FROM ({_REPLY})")
+def stream_replies(spark, sf_dir):
+    place = live.scratch(spark)
+    lines = _events(spark, sf_dir).select("reply_id", (F.col("part") * 1_000_000_000 + F.col("seq")).alias("seq"), F.rtrim(F.regexp_replace("event", "\n", "")).alias("line"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("at"))
+    lines.write.json(f"{place}/lines")
+    live.run_available(live.read_lines(spark, f"{place}/lines"), f"{place}/replies")
+    return spark.read.parquet(f"{place}/replies").select("reply_id", "done", F.md5("content").alias("content"))
+
+
 _CUT = ("lossy", 1, 'data: {"choices":[{"delta":{"content":"a"}}]}\n\ndata: {"choi'), ("lossy", 2, 'ces":[{"delta":{"content":"b"}}]}\n\ndata: {"choices":[{"delta":{}}]}\n\ndata: [DONE]\n\n')
 
 

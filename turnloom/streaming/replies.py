@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,3 +35,21 @@ def replies(lines: DataFrame, late: str = "10 minutes") -> DataFrame:
 def replies_of_batch(lines: DataFrame) -> DataFrame:
     """The same over a bounded table."""
     return joined(deltas(lines), "reply_id", "seq")
+
+
+def run_available(lines: DataFrame, out: str, late: str = "10 minutes") -> None:
+    """Takes in what has arrived and leaves the replies so far as a table at `out`.
+
+    Progress and state are kept beside it, so a later call goes on from there.
+    """
+
+    def put(batch: DataFrame, _: int) -> None:
+        batch.drop("window").write.mode("overwrite").parquet(out)
+
+    running = replies(lines, late).writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+    running.awaitTermination()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new place in the shared folder, or in a temporary one where none is set."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/turnloom-stream-{uuid.uuid4().hex}"
