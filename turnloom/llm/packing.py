@@ -22,7 +22,10 @@ follows the input partitions.
 
 from __future__ import annotations
 
+import os
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -38,38 +41,122 @@ from turnloom.llm.workspace import Workspace
 
 CAPACITY = 4096
 END = 2
-#: Words whose ids a worker remembers before it forgets all.
-REMEMBERED = 300_000
+#: Parts of words whose ids a worker remembers.
+KNOWN = 1_500_000
+_SEGMENT = 1 << 20
+#: What may stand behind a head; the apostrophe can begin a token with letters.
+_TAIL = np.zeros(256, bool)
+_TAIL[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and b != 0x27]] = True
+#: Bytes of heads: ASCII letters, and those of U+00C0 to U+00FF, of which two are no letters.
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0xC0), 0xC3]] = True
+_NO_LETTER_AFTER_C3 = np.zeros(256, bool)
+_NO_LETTER_AFTER_C3[[0x97, 0xB7]] = True
 
 
 class WordEncoder:
-    """Ids of texts, word by word, with memory of words seen before.
-
-    The tokenizer must never let a token reach over ASCII white space, as those
-    do that drop it; then a text's ids are those of its words in order.
+    """Ids of texts from the ids of parts of words, each of which is encoded once and remembered.
+
+    This holds for tokenizers that lower-case, never let a token reach over
+    ASCII white space, and part letters from the punctuation after them; then a
+    text's ids are those of its words in order, and a word's those of its
+    lower-case head of letters and of its tail of punctuation. Other words are
+    encoded as they are. Parts are told apart by 64-bit hashes, kept in order of
+    these; beyond KNOWN parts the longer unused half is forgotten.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already fill the cores
         from tokenizers import Tokenizer
 
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise RuntimeError("ids are kept as this machine's unsigned ints, which must be little-endian and 32 bits")
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = list(words)
-        for first in range(0, len(new), 10_000):
-            some = new[first : first + 10_000]
-            for word, found in zip(some, self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False), strict=True):
-                self.known[word] = np.array(found.ids, "<u4").tobytes()
-
-    def ids(self, text: bytes) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        words = text.split()
-        self.learn(set(words))
-        return b"".join(map(self.known.__getitem__, words))
+        self.keys, self.begin, self.size, self.used = (np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
+        self.pool, self.turn = np.zeros(0, np.uint32), 0
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of sorted keys, and which are known."""
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == keys[inside]
+        return at, known
+
+    def _forget(self) -> None:
+        keep = self.used > np.median(self.used)
+        size = self.size[keep]
+        until = np.cumsum(size)
+        self.pool = self.pool[np.arange(int(until[-1]) if len(until) else 0) + np.repeat(self.begin[keep] - until + size, size)]
+        self.keys, self.size, self.used, self.begin = self.keys[keep], size, self.used[keep], until - size
+
+    def _learn(self, keys: np.ndarray, parts: list[bytes]) -> None:
+        """Remembers parts that are not known yet; keys: their hashes, in order."""
+        if len(self.keys) + len(keys) > KNOWN and len(self.keys):
+            self._forget()
+        ids, sizes = array("I"), []
+        for first in range(0, len(parts), 10_000):
+            for found in self.tokenizer.encode_batch_fast([w.decode() for w in parts[first : first + 10_000]], add_special_tokens=False):
+                own = found.ids
+                ids.extend(own)
+                sizes.append(len(own))
+        size = np.array(sizes, np.int64)
+        at = np.searchsorted(self.keys, keys)
+        self.begin = np.insert(self.begin, at, np.cumsum(size) - size + len(self.pool))
+        self.size, self.keys, self.used = np.insert(self.size, at, size), np.insert(self.keys, at, keys), np.insert(self.used, at, self.turn)
+        self.pool = np.concatenate((self.pool, np.frombuffer(ids, np.uint32)))
+
+    def _segment(self, raw: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words at raw[s:e], and ids per word."""
+        low, n = textops.LOWER[raw], len(raw)
+        solid = np.maximum.accumulate(np.where(_TAIL[raw], 0, np.arange(1, n + 1)))
+        head = np.maximum(solid[e - 1], s)
+        head[head == s] = e[head == s]
+        odd = ~_LETTER[raw]
+        odd[1:] |= _NO_LETTER_AFTER_C3[raw[1:]] & (raw[:-1] == 0xC3)
+        odds = np.concatenate(([0], np.cumsum(odd)))
+        whole = odds[head] != odds[s]
+        head[whole] = e[whole]
+        hashes = textops.span_hashes(low, np.concatenate((s, head)), np.concatenate((head, e)))
+        if whole.any():
+            hashes[: len(s)][whole] = ~textops.span_hashes(raw, s[whole], e[whole])
+        both = np.stack((hashes[: len(s)], hashes[len(s) :]), axis=1).ravel()
+        there = np.stack((np.ones(len(s), bool), head < e), axis=1).ravel()
+        distinct, which = np.unique(both[there], return_inverse=True)
+        place = np.empty(len(distinct), np.int64)
+        place[which] = np.flatnonzero(there)
+        self.turn += 1
+        _, known = self._find(distinct)
+        if not known.all():
+            part = place[~known]
+            word, tail = part // 2, part % 2 == 1
+            first, last = np.where(tail, head[word], s[word]).tolist(), np.where(tail, e[word], head[word]).tolist()
+            raw_bytes, low_bytes = raw.tobytes(), low.tobytes()
+            self._learn(distinct[~known], [(raw_bytes if w else low_bytes)[a:b] for a, b, w in zip(first, last, whole[word].tolist(), strict=True)])
+        at, known = self._find(distinct)
+        if not known.all():  # forgotten on the way
+            self.used[at[known]] = self.turn
+            return self._segment(raw, s, e)
+        self.used[at] = self.turn
+        size, begin = self.size[at][which], self.begin[at][which]
+        until = np.cumsum(size)
+        ids = self.pool[np.arange(int(until[-1])) + np.repeat(begin - until + size, size)]
+        per = np.zeros(len(both), np.int64)
+        per[there] = size
+        return ids, per.reshape(-1, 2).sum(1)
+
+    def ids(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids one after the other, and ids per text."""
+        _, counts, starts, ends = textops.words(raw, at)
+        ids, per, first = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0
+        while first < len(starts):  # segments of whole words, so that a long text needs no more than others
+            last = max(first + 1, int(np.searchsorted(starts, starts[first] + _SEGMENT)))
+            a, b = int(starts[first]), int(ends[last - 1])
+            found, size = self._segment(raw[a:b], starts[first:last] - a, ends[first:last] - a)
+            ids.append(found)
+            per.append(size)
+            first = last
+        return np.concatenate(ids), textops.per_text(np.concatenate(per), np.concatenate(([0], np.cumsum(counts))))
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -83,17 +170,16 @@ def encoder(path: str) -> WordEncoder:
 
 def _pieces(path: str, text: str, capacity: int, names: list[str], with_ids: bool):
     def run(batches):
-        task, seen, coder, end = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), encoder(path), np.array([END], "<u4").tobytes()
+        task, seen, coder = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), encoder(path)
         for batch in textops.slices(batches, text, 1 << 20):
-            raw, at = textops.buffers(batch.column(text))
-            whole = raw.tobytes()
+            flat, per = coder.ids(*textops.buffers(batch.column(text)))
+            flat = np.insert(flat, np.cumsum(per), END)
+            until = np.cumsum(per + 1)
             row, start, length, crc, total, nth, ids = [], [], [], [], [], [], []
-            for i in range(batch.num_rows):
-                own = coder.ids(whole[at[i] : at[i + 1]]) + end
-                n = len(own) // 4
+            for i, (n, stop) in enumerate(zip((per + 1).tolist(), until.tolist(), strict=True)):
                 for first in range(0, n, capacity):
-                    piece = own[4 * first : 4 * (first + capacity)]
-                    size = len(piece) // 4
+                    size = min(capacity, n - first)
+                    piece = flat[stop - n + first : stop - n + first + size]
                     row.append(i)
                     start.append(first)
                     length.append(size)
@@ -102,7 +188,7 @@ def _pieces(path: str, text: str, capacity: int, names: list[str], with_ids: boo
                     nth.append(int(seen[size]))
                     seen[size] += 1
                     if with_ids:
-                        ids.append(np.frombuffer(piece, "<u4").astype(np.int32))
+                        ids.append(piece.astype(np.int32))
             columns = {c: batch.column(c).take(pa.array(row, pa.int64())) for c in batch.schema.names if c in names}
             columns |= {"start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": pa.array(total, pa.int64()), "task": pa.array([task] * len(row), pa.int32()), "nth": pa.array(nth, pa.int64())}
             if with_ids:

@@ -80,8 +80,8 @@ def slices(batches: Iterator[pa.RecordBatch], name: str, most: int = 8 << 20) ->
             first = last
 
 
-def words(raw: np.ndarray, at: np.ndarray, spans: bool = False, separator: np.ndarray = SEPARATOR):
-    """64-bit hashes of all words in order, words per text and, if asked, byte spans.
+def words(raw: np.ndarray, at: np.ndarray, separator: np.ndarray = SEPARATOR):
+    """64-bit hashes of all words in order, words per text, and the words' byte spans.
 
     The bytes are taken in slices cut at a separator, so that one very long
     text needs a few megabytes beyond its words' hashes.
@@ -107,13 +107,9 @@ def words(raw: np.ndarray, at: np.ndarray, spans: bool = False, separator: np.nd
         inside = ~gap
         s, e = np.flatnonzero(inside & before), np.flatnonzero(inside & after) + 1
         if len(s):
-            sums = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum(_BYTE[part] * powers(_BASE, len(part)), out=sums[1:])
-            h = (sums[e] - sums[s]) * powers(_INVERSE, len(part))[s]
-            found.append(mix(h + (e - s).astype(np.uint64) * _U(0xD6E8FEB86659FD93)))
-            if spans or True:
-                starts.append(s + begin)
-                ends.append(e + begin)
+            found.append(span_hashes(part, s, e))
+            starts.append(s + begin)
+            ends.append(e + begin)
         begin = end
     if not found:
         empty = np.zeros(0, np.int64)
@@ -123,6 +119,14 @@ def words(raw: np.ndarray, at: np.ndarray, spans: bool = False, separator: np.nd
     return np.concatenate(found), counts, s, e
 
 
+def span_hashes(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """64-bit hashes of raw[first:last] for each pair of positions."""
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTE[raw] * powers(_BASE, len(raw)), out=sums[1:])
+    h = (sums[last] - sums[first]) * powers(_INVERSE, len(raw) + 1)[first]
+    return mix(h + (last - first).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+
+
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:
     """Rabin-Karp hash of the k values from each position on; len(hashes)-k+1 of them."""
     n = len(hashes) - k + 1
