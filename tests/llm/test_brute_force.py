@@ -290,9 +290,10 @@ def test_embedding_query(spark):
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in run(spark, "op9_embedding_dedup")} == want
 
 
-@pytest.mark.parametrize("cell", [50, 4096])
-def test_embedding_planted(spark, monkeypatch, cell):
+@pytest.mark.parametrize(("cell", "top"), [(50, 2048), (50, 0), (4096, 2048)])
+def test_embedding_planted(spark, monkeypatch, cell, top):
     monkeypatch.setattr(embedding_dedup, "CELL", cell)
+    monkeypatch.setattr(embedding_dedup, "TOP_NODES", top)
     rng = np.random.default_rng(4)
     rows = []
     for i in range(400):

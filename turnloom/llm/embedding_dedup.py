@@ -10,8 +10,8 @@ vectors.
 
 Scale: equal vectors collapse to one node with a weight before anything else.
 The top has at most TOP_NODES centers for the whole table, which are broadcast;
-labels with fewer than CELL vectors are one cell without centers. Cells above
-CELL rows are dealt out in blocks. A task returns a count per vector and the
+labels without one are a single cell. Cells above CELL rows are dealt out in
+blocks. A task returns a count per vector and the
 links of a spanning forest, never the pairs, so a group of n vectors that are
 all alike returns n rows. In high dimensions without clusters no metric bound
 prunes, and the work grows with the square of a label's size.
@@ -84,7 +84,7 @@ def _assign(centers):
                     x = _units(batch.column("vector").take(pa.array(own)))
                     d = np.sqrt(np.maximum(2 - 2 * (x @ c.T), 0))
                     cells[own], gaps[own] = first + d.argmin(1), d.min(1)
-            yield pa.RecordBatch.from_pydict({"node": batch.column("node"), "space": batch.column("space"), "vector": batch.column("vector"), "weight": batch.column("weight"), "cell": pa.array(cells), "gap": pa.array(gaps)})
+            yield pa.RecordBatch.from_pydict({"node": batch.column("node"), "space": batch.column("space"), "vector": batch.column("vector"), "weight": batch.column("weight"), "n": batch.column("n"), "cell": pa.array(cells), "gap": pa.array(gaps)})
 
     return run
 
@@ -95,10 +95,12 @@ def _spread(partners, blocks):
     def run(batches):
         for batch in batches:
             rows, left, right, side = [], [], [], []
-            for r, (node, cell) in enumerate(zip(batch.column("node").to_pylist(), batch.column("cell").to_pylist(), strict=True)):
-                own = node * 2654435761 % 4294967296 % blocks.value.get(cell, 1)
+            for r, (node, cell, n) in enumerate(zip(batch.column("node").to_pylist(), batch.column("cell").to_pylist(), batch.column("n").to_pylist(), strict=True)):
+                # a label without centers is one cell of n rows
+                count = lambda c: blocks.value[c] if c else -(-n // CELL)  # noqa: B023, E731
+                own = node * 2654435761 % 4294967296 % count(cell)
                 for other in partners.value.get(cell, (cell,)):
-                    for b in range(blocks.value.get(other, 1)):
+                    for b in range(count(other)):
                         me, you = (cell, own), (other, b)
                         rows.append(r)
                         left.append(f"{min(me, you)}")
@@ -185,7 +187,8 @@ def link_embeddings(table: DataFrame, vec_id: str = "vec_id", vector: str = "emb
             tops[name] = (first, x / np.sqrt((x * x).sum(1, keepdims=True)))
             first += len(x)
     send = spark.sparkContext.broadcast
-    placed = nodes.select("node", "space", "vector", "weight").mapInArrow(_assign(send(tops)), "node long, space string, vector binary, weight long, cell long, gap double")
+    sized = nodes.join(sizes, "space").select("node", "space", "vector", "weight", "n")
+    placed = sized.mapInArrow(_assign(send(tops)), "node long, space string, vector binary, weight long, n long, cell long, gap double")
     if tops:
         placed = ws.keep(placed, "placed")
         cells = {r["cell"]: (r["n"], r["r"]) for r in placed.where("cell > 0").groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("r")).collect()}

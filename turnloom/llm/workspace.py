@@ -39,6 +39,20 @@ def shared_root(spark: SparkSession) -> str:
     return _own_root
 
 
+_roots: list[str] = []
+
+
+def _delete(spark: SparkSession, place: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application; results that were not written are lost."""
+    while _roots:
+        _delete(spark, _roots.pop())
+
+
 class Workspace:
     """Tables that cut lineage: each is computed once, written, and read back.
 
@@ -49,6 +63,7 @@ class Workspace:
         self.spark = spark
         ship(spark)
         self.root = f"{shared_root(spark)}/turnloom-{uuid.uuid4().hex}"
+        _roots.append(self.root)
         self._n = 0
 
     def keep(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
@@ -61,7 +76,11 @@ class Workspace:
 
     def drop(self, *tables: DataFrame) -> None:
         """Deletes written tables that no later step reads."""
-        jvm = self.spark._jvm
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table._turnloom_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, table._turnloom_path)
+
+    def close(self) -> None:
+        """Deletes all tables written here."""
+        if self.root in _roots:
+            _roots.remove(self.root)
+            _delete(self.spark, self.root)
