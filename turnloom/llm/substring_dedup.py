@@ -37,7 +37,7 @@ from turnloom.llm.workspace import Workspace
 
 WINDOW = 35
 #: Bytes of text in a chunk, and windows that one range of hashes should hold.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 RANGE_WINDOWS = 1 << 18
 
 
