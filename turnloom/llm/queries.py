@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,78 +17,70 @@ from turnloom.llm.substring_dedup import remove_repeated_windows
 from turnloom.llm.toxicity import fit_toxicity, score_toxicity
 from turnloom.llm.url_filters import filter_urls
 
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    return filter_urls(pages, keep_html=False).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
 
 
-
-
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return remove_repeated_windows(docs, digest=True).select("doc_id", "n_words", "n_removed", "kept_sha256")
-
-
-def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return link_near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
-
-
-def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return scan_licenses(docs, keep_text=False)
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return digests(format_conversations(turns.unionByName(own)))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
     return judge_quality(docs, with_text=False).drop("lang", "source")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out)
+    labels = table(spark, sf_dir, "labels", "doc_id", "toxic").where(~held_out)
     scored = score_toxicity(docs, fit_toxicity(docs, labels), keep_text=False)
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
-def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return link_near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), TOKENIZER)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
     return mix_sources(docs, with_text=False).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return filter_urls(pages, keep_html=False).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
-
-
-def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    said = "\\### Assistant: </turn> ok"
-    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
-    return digests(format_conversations(turns.unionByName(own)))
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return remove_repeated_windows(docs, digest=True).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
     return link_embeddings(vectors, keep_vector=False).select("vec_id", "n_links", "component_id", "kept")
 
 
-QUERIES = {"op8_substring_dedup": op8_substring_dedup, "op5_minhash_dedup": op5_minhash_dedup, "op10_license_scan": op10_license_scan, "op3_quality_rules": op3_quality_rules, "op4_toxicity": op4_toxicity, "op6_packing": op6_packing, "op7_mixing": op7_mixing, "op1_url_filters": op1_url_filters, "op2_chat_format": op2_chat_format, "op9_embedding_dedup": op9_embedding_dedup}
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents", "doc_id", "text"), keep_text=False)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_url_filters, op2_chat_format, op3_quality_rules, op4_toxicity, op5_minhash_dedup, op6_packing, op7_mixing, op8_substring_dedup, op9_embedding_dedup, op10_license_scan)
+}
 
-#: No SQL stands for these: the hashes and fitted models have no SQL form; tests hold them against brute force.
+#: No SQL stands for these: the hashes, fitted models and tokens have no SQL form; tests hold them against brute force.
 ORACLES: dict[str, str] = {}
