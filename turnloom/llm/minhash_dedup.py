@@ -253,12 +253,12 @@ def link_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     ws = workspace or Workspace(spark)
     rows = without(docs, "n_shingles", "component_id", "kept", "chosen")
     carried = [c for c in rows.columns if with_text or c != text]
-    boxes = boxed(rows, carried, tl_id=F.col(doc_id), tl_text=F.col(text))
+    boxes = boxed(rows, carried, tl_id=F.col(doc_id), tl_print=F.xxhash64(text), tl_text=F.col(text))
     schema = T.StructType([f for f in boxes.schema.fields if f.name != "tl_text"])
     schema = with_fields(schema, ("n_shingles", T.LongType()), ("set_key", T.BinaryType()), ("signature", T.BinaryType()))
     signed = ws.keep(boxes.mapInArrow(_sign("tl_text", schema.names), schema).withColumn("seq", F.monotonically_increasing_id()), "signed", "zstd" if with_text else "snappy")
-    distinct = signed.where("set_key is not null").groupBy("set_key").agg(F.min(F.struct(F.col("tl_id").isNull(), "tl_id", "seq")).alias("head"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n"))
-    nodes = ws.keep(distinct.select(F.monotonically_increasing_id().alias("node"), "set_key", "head", F.col("head.tl_id").alias("rep"), "signature", "n"), "nodes")
+    distinct = signed.where("set_key is not null").groupBy("set_key").agg(F.min(F.struct(F.col("tl_id").isNull(), "tl_id", "seq", "tl_print")).alias("head"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n"))
+    nodes = ws.keep(distinct.select(F.monotonically_increasing_id().alias("node"), "set_key", "head", F.col("head.tl_id").alias("rep"), F.col("head.tl_print").alias("print"), "signature", "n"), "nodes")
 
     counts = nodes.select("signature").mapInArrow(_tally, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     rank = np.zeros(KEY_BUCKETS, np.int64)
@@ -278,9 +278,10 @@ def link_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
         return pairs.mapInArrow(_agree, "a long, b long")
 
     def sets_of(ends: DataFrame) -> DataFrame:
-        wanted = ends.distinct().join(nodes.select("node", "set_key", "rep"), "node")
-        found = rows.select(F.col(doc_id).alias("rep_id"), text).join(wanted, F.col("rep_id").eqNullSafe(F.col("rep")))
-        return ws.keep(found.select("node", "set_key", text).mapInArrow(_sets(text), "node long, members binary").dropDuplicates(["node"]), "sets", "none")
+        # by id and a hash of the text, so that rows which share an id do not multiply
+        wanted = ends.distinct().join(nodes.select("node", "set_key", "rep", "print"), "node")
+        found = boxes.select("tl_id", "tl_print", "tl_text").join(wanted, F.col("tl_id").eqNullSafe(F.col("rep")) & (F.col("tl_print") == F.col("print")))
+        return ws.keep(found.select("node", "set_key", "tl_text").mapInArrow(_sets("tl_text"), "node long, members binary").dropDuplicates(["node"]), "sets", "none")
 
     def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for s in "ab":

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnloom.llm import oracles
 from turnloom.llm.chat_format import digests, format_conversations
 from turnloom.llm.embedding_dedup import link_embeddings
 from turnloom.llm.license_scan import scan_licenses
@@ -82,5 +83,5 @@ QUERIES = {
     for f in (op1_url_filters, op2_chat_format, op3_quality_rules, op4_toxicity, op5_minhash_dedup, op6_packing, op7_mixing, op8_substring_dedup, op9_embedding_dedup, op10_license_scan)
 }
 
-#: No SQL stands for these: the hashes, fitted models and tokens have no SQL form; tests hold them against brute force.
-ORACLES: dict[str, str] = {}
+#: The others have no SQL form (fitted models, tokens, hash-drawn mixtures); tests hold all ten against brute force.
+ORACLES = oracles.ORACLES

@@ -14,7 +14,8 @@ the count of labels. Scoring reads every whole text once and shuffles nothing.
 
 Defined cases: null counts as the empty text, which gets the score of its
 features (all 0); null labels and labels without a text teach nothing; labels
-given twice count twice; without any usable label the score is 0.5 where the
+given twice count once, and an id that several rows share is learned from one
+of them; without any usable label the score is 0.5 where the
 seed list has no hit and 1.0 where it has; a null id is not held out.
 """
 
@@ -159,7 +160,7 @@ class ToxicityModel:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """labels: rows to learn from, with `doc_id` and `label`; others must have been left out."""
     Workspace(docs.sparkSession)
-    usable = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("toxic"))
+    usable = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("toxic")).distinct()
     place = F.pmod(F.xxhash64(F.col("id"), F.lit("toxicity")), F.lit(1 << 20))
     total = usable.count()
     share = min(1.0, 0.95 * sample_rows / max(total, 1))
@@ -184,7 +185,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
             yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "toxic": batch.column("toxic"), "part": batch.column("part"), "x": pa.array(list(x), pa.list_(pa.float64()))})
 
     kind = T.StructType([*taught.select("id", "toxic", "part").schema.fields, T.StructField("x", T.ArrayType(T.DoubleType()))])
-    seen = taught.where("part >= 0.5").mapInArrow(measured, kind).orderBy("part", "id", "toxic").toArrow()
+    seen = taught.where("part >= 0.5").mapInArrow(measured, kind).dropDuplicates(["id", "toxic"]).orderBy("part", "id", "toxic").toArrow()
     if not seen.num_rows:
         return ToxicityModel(lexicon)
     x = np.array(seen.column("x").to_pylist())
