@@ -30,11 +30,11 @@ def clean_reply(text: Column) -> Column:
 
 
 def lstrip_newlines(text: Column) -> Column:
-    return F.regexp_replace(text, r"\A\n+", "")
+    return F.ltrim(text, F.lit("\n"))
 
 
 def rstrip_newlines(text: Column) -> Column:
-    return F.regexp_replace(text, r"\n+\z", "")
+    return F.rtrim(text, F.lit("\n"))
 
 
 def reasoning_of(content: Column) -> Column:
