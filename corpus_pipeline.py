@@ -3,6 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a table; run() writes each
 stage's rows to the shared folder and reads them back for the next one. All
 stages but the last return the columns of documents.
+
+As a stage's rows are written before the next stage begins, each stage deletes
+the intermediate tables that the stage before it left in the shared folder.
 """
 
 from __future__ import annotations
@@ -21,6 +24,19 @@ from turnloom.llm.workspace import Workspace
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+_left: dict[str, Workspace] = {}
+
+
+def _workspace(spark: SparkSession, stage: str, after: str | None = None) -> Workspace:
+    """Room for a stage's intermediate tables; what the stage before it left is deleted."""
+    if after in _left:
+        _left.pop(after).close()
+    ws = Workspace(spark)
+    if stage != "packing":  # the last stage's rows may be read at any time
+        _left[stage] = ws
+    return ws
+
+
 def _recounted(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The columns of documents, n_chars as the text now is."""
     if "n_chars" in columns:
@@ -30,27 +46,27 @@ def _recounted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor the outlier test rejects."""
-    return judge_quality(docs).where("kept").select(*docs.columns)
+    return judge_quality(docs, workspace=_workspace(spark, "quality_rules")).where("kept").select(*docs.columns)
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return link_near_duplicates(docs, with_text=True).where("chosen").select(*docs.columns)
+    return link_near_duplicates(docs, with_text=True, workspace=_workspace(spark, "minhash_dedup", "quality_rules")).where("chosen").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without their repeated windows."""
-    return _recounted(remove_repeated_windows(docs), docs.columns)
+    return _recounted(remove_repeated_windows(docs, workspace=_workspace(spark, "substring_dedup", "minhash_dedup")), docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture: documents as often as drawn, the last of a source cut."""
-    return _recounted(mixture(mix_sources(docs)), docs.columns)
+    return _recounted(mixture(mix_sources(docs, workspace=_workspace(spark, "mixing", "substring_dedup"))), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the mixture's documents in sequences of 4096 tokens."""
-    return pack_documents(docs.select("doc_id", "text"), TOKENIZER)
+    return pack_documents(docs.select("doc_id", "text"), TOKENIZER, workspace=_workspace(spark, "packing", "mixing"))
 
 
 STAGES = [("quality_rules", quality_rules), ("minhash_dedup", minhash_dedup), ("substring_dedup", substring_dedup), ("mixing", mix), ("packing", pack)]
