@@ -14,9 +14,10 @@ the count of labels. Scoring reads every whole text once and shuffles nothing.
 
 Defined cases: null counts as the empty text, which gets the score of its
 features (all 0); null labels and labels without a text teach nothing; labels
-given twice count once, and an id that several rows share is learned from one
-of them; without any usable label the score is 0.5 where the
-seed list has no hit and 1.0 where it has; a null id is not held out.
+given twice count once, an id that several rows share is learned from one of
+them, and of equal texts one is learned from; without any usable label the
+score is 0.5 where the seed list has no hit and 1.0 where it has; a null id is
+not held out.
 """
 
 from __future__ import annotations
@@ -159,14 +160,18 @@ class ToxicityModel:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """labels: rows to learn from, with `doc_id` and `label`; others must have been left out."""
-    Workspace(docs.sparkSession)
+    ws = Workspace(docs.sparkSession)
     usable = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("toxic")).distinct()
     place = F.pmod(F.xxhash64(F.col("id"), F.lit("toxicity")), F.lit(1 << 20))
     total = usable.count()
     share = min(1.0, 0.95 * sample_rows / max(total, 1))
     picked = usable.withColumn("place", place / F.lit(float(1 << 20))).where(F.col("place") < share).withColumn("part", F.col("place") / share)
-    sample = F.broadcast(picked.select("id", "toxic", "part"))  # at most about sample_rows rows of 20 bytes
-    taught = docs.select(F.col(doc_id).alias("id"), text).join(sample, "id")
+    def with_texts(rows: DataFrame) -> DataFrame:
+        return docs.select(F.col(doc_id).alias("id"), text).join(F.broadcast(rows), "id")  # at most about sample_rows rows of 20 bytes
+
+    # of equal texts one is taught, else the words of a copied toxic text would all count as toxic
+    one = with_texts(picked.select("id", "toxic", "part")).groupBy(F.xxhash64(text).alias("print")).agg(F.min(F.struct("part", "id", "toxic")).alias("r")).select("r.*")
+    taught = with_texts(ws.keep(one.distinct(), "sample"))
     first = taught.where("part < 0.5")
     sizes = {r["toxic"]: r["n"] for r in first.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
