@@ -172,6 +172,8 @@ def test_stream_round_trip(spark):
     replies = spark.createDataFrame(list(said.items()), "id string, content string")
     events = S.encode(replies, S.characters(replies), "id", F.lit("m"), F.lit(1), F.col("id")).withColumn("seq", F.col("part") * 1000 + F.col("seq"))
     rows = events.orderBy("id", "seq").collect()
+    direct = S.encode_characters(replies, "id", F.lit("m"), F.lit(1), F.col("id")).withColumn("seq", F.col("part") * 1000 + F.col("seq"))
+    assert direct.orderBy("id", "seq").collect() == rows
     assert [r["event"] for r in rows if r["id"] == "b"][1] == "data: [DONE]\n\n"
     stop = json.loads([r["event"] for r in rows if r["id"] == "b"][0][6:])
     assert stop["choices"][0] == {"index": 0, "delta": {}, "finish_reason": "stop"} and stop["object"] == "chat.completion.chunk"

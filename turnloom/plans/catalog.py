@@ -378,8 +378,7 @@ def _answers(spark, sf_dir):
 
 
 def _events(spark, sf_dir):
-    replies = _answers(spark, sf_dir)
-    return S.encode(replies, S.characters(replies), "reply_id", F.lit("m"), F.lit(1700000000), F.concat(F.lit("chatcmpl-"), "reply_id"))
+    return S.encode_characters(_answers(spark, sf_dir), "reply_id", F.lit("m"), F.lit(1700000000), F.concat(F.lit("chatcmpl-"), "reply_id"))
 
 
 _REPLY = "SELECT concat_ws('-', conv_id, turn) AS reply_id, text FROM conversations WHERE role = 'assistant'"
