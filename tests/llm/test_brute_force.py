@@ -248,9 +248,9 @@ def test_packing_is_best_fit_decreasing():
             i = bisect.bisect_left(rooms, n)
             bisect.insort(rooms, (rooms.pop(i) if i < len(rooms) else capacity) - n)
         used = collections.Counter()
-        for length, _, n, first, _ in place(dict(collections.Counter(lengths)), capacity).tolist():
+        for length, _, n, first, _, each in place(dict(collections.Counter(lengths)), capacity).tolist():
             for k in range(n):
-                used[first + k] += length
+                used[first + k] += length * each
         assert sorted(capacity - u for u in used.values()) == rooms
 
 

@@ -11,8 +11,8 @@ the number of pieces.
 
 Scale: texts are tokenized in one pass, without shuffle, and only a few numbers
 per piece are kept. The driver sees one count per length (at most `capacity`);
-the placement it returns has at most a few hundred thousand intervals for any
-corpus. A piece's rank among those of its length comes from counts per task, so
+the placement it broadcasts has a bounded number of rows for any corpus (see
+place()). A piece's rank among those of its length comes from counts per task, so
 no length is gathered or sorted anywhere.
 
 Defined cases: null and empty texts are one piece, the end token; repeated rows
@@ -230,8 +230,14 @@ class RoomTree:
 def place(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
     """Best-fit decreasing on counts per length.
 
-    Rows (length, rank, n, sequence, offset): the n pieces of this length from
-    rank on go to the n sequences from `sequence` on, each at `offset`.
+    Rows (length, rank, n, sequence, offset, each): of the n * each pieces of this
+    length from rank on, the first n go to the n sequences from `sequence` on, at
+    `offset`, the next n to the same at offset + length, and so on.
+
+    At most two runs of sequences are opened for a length and one is split, so
+    there are at most 3 * capacity runs; a sequence holds fewer than
+    sqrt(2 * capacity) different lengths, and a run gets one row for each: for
+    capacity 4096 at most 1.1 million rows, whatever the number of pieces.
     """
     tree, runs, used, rows = RoomTree(capacity), {}, 0, []
 
@@ -241,11 +247,9 @@ def place(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
             tree.set(room, True)
 
     def fill(length: int, rank: int, first: int, n: int, room: int, each: int) -> int:
-        for k in range(each):
-            rows.append((length, rank, n, first, capacity - room + k * length))
-            rank += n
+        rows.append((length, rank, n, first, capacity - room, each))
         put(room - each * length, first, n)
-        return rank
+        return rank + n * each
 
     for length in sorted(counts, reverse=True):
         rank, end = 0, counts[length]
@@ -268,12 +272,12 @@ def place(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
                 rank = fill(length, rank, first, 1, room, left)
                 first, n = first + 1, n - 1
             put(room, first, n)
-    return np.array(rows, np.int64).reshape(-1, 5)
+    return np.array(rows, np.int64).reshape(-1, 6)
 
 
 def _assign(plan, names: list[str]):
     def run(batches):
-        length, rank, _, sequence, offset = plan.value.T
+        length, rank, n, sequence, offset, _ = plan.value.T
         starts = (length << 44) | rank
         for batch in batches:
             if not batch.num_rows:
@@ -281,7 +285,8 @@ def _assign(plan, names: list[str]):
             own, nth = batch.column("length").to_numpy(), batch.column("nth").to_numpy() + batch.column("before").to_numpy()
             at = np.searchsorted(starts, (own << 44) | nth, "right") - 1
             columns = dict(zip(batch.schema.names, batch.columns, strict=True))
-            columns |= {"sequence_id": pa.array(sequence[at] + nth - rank[at], pa.int64()), "offset": pa.array(offset[at], pa.int64())}
+            layer, place_ = np.divmod(nth - rank[at], n[at])
+            columns |= {"sequence_id": pa.array(sequence[at] + place_, pa.int64()), "offset": pa.array(offset[at] + layer * own, pa.int64())}
             yield pa.RecordBatch.from_pydict({n: columns[n] for n in names})
 
     return run
@@ -308,6 +313,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, te
     counts = {r["length"]: r["n"] for r in before.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # one per length
     rows_ = place(counts, capacity)
     plan = spark.sparkContext.broadcast(rows_[np.lexsort((rows_[:, 1], rows_[:, 0]))])
-    ranked = pieces.join(before.select("task", "length", "before"), ["task", "length"])
+    # merged, not broadcast: the ranks grow with the number of tasks
+    ranked = pieces.join(before.select("task", "length", "before").hint("merge"), ["task", "length"])
     out = with_fields(T.StructType([boxes.schema[ROW]]), *((n, T.LongType()) for n in numbers), *extra, ("sequence_id", T.LongType()), ("offset", T.LongType()))
     return ranked.mapInArrow(_assign(plan, out.names), out).select(*unboxed(carried), *out.names[1:])
