@@ -254,7 +254,11 @@ def test_packing_is_best_fit_decreasing():
         assert sorted(capacity - u for u in used.values()) == rooms
 
 
-def test_word_encoder_is_the_tokenizer():
+@pytest.mark.parametrize("known", [60, 10**6])
+def test_word_encoder_is_the_tokenizer(monkeypatch, known):
+    import turnloom.llm.packing as packing
+
+    monkeypatch.setattr(packing, "KNOWN", known)
     from hypothesis import given, settings
     from hypothesis import strategies as st
 
@@ -266,7 +270,9 @@ def test_word_encoder_is_the_tokenizer():
     @settings(max_examples=500, deadline=None)
     @given(st.text(alphabet=letters, max_size=40))
     def same(text):
-        assert np.frombuffer(encoder.ids([text.encode()])[0], "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        raw = text.encode()
+        ids, per = encoder.ids(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids and per.tolist() == [len(ids)]
 
     same()
 
