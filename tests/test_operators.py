@@ -217,10 +217,3 @@ def test_log_reader(spark, tmp_path):
     steps = G.token_steps(G.parse_log(lines)).orderBy("step").collect()
     assert [(r["step"], r["loss"], r["new_tokens"]) for r in steps] == [(10, 2.5, 10.0), (20, 2.0, 15.0)]
     assert G.run_summaries(lines).first()["tokens_per_second"] == 12.5
-
-
-def test_entry(spark):
-    import __spark_entry__
-
-    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
-    assert __spark_entry__.entry(spark).count() == 20
