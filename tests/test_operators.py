@@ -59,18 +59,23 @@ def test_newlines_before_an_answer(spark):
         assert flat == nested_deltas(df)[0]
 
 
-WORDS = st.text(alphabet="ab é😀\n", max_size=8)
-PLAIN = st.lists(st.tuples(st.sampled_from(["system", "user", "assistant"]), WORDS), min_size=1, max_size=6)
+PIECES = st.sampled_from(["a", "b", " ", "é", "😀", "\n", 30 * "\n", "<think>", "</think>", "<tool_response>", "</tool_response>"])
+WORDS = st.one_of(st.none(), st.text(alphabet="ab é😀\n", max_size=8), st.lists(PIECES, max_size=6).map("".join), st.just("<tool_response>r</tool_response>"))
+PLAIN = st.lists(st.tuples(st.sampled_from(["system", "user", "assistant", "assistant", "tool", "critic", None]), WORDS), min_size=1, max_size=7)
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(PLAIN, min_size=1, max_size=5))
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(PLAIN, min_size=40, max_size=60))
 def test_window_form_is_the_prefix_form(spark, conversations):
     df = turns(spark, *conversations)
-    flat = {}
+    flat, final = {}, {}
     for r in L.flat_deltas(df).orderBy("conv_id", "turn").collect():
         flat.setdefault(r["conv_id"], []).append(r["delta"])
     assert flat == nested_deltas(df)
+    for r in L.flat_deltas(df, mode="aligned").orderBy("conv_id", "turn").collect():
+        final[r["conv_id"]] = final.get(r["conv_id"], "") + r["delta"]
+    whole = C.nest(df).select("conv_id", M.render(M.rich(F.col("messages"))).alias("p")).collect()
+    assert final == {r["conv_id"]: r["p"] for r in whole}
 
 
 @settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -102,10 +107,23 @@ def test_aligned_deltas_are_the_final_rendering(spark):
     assert whole == C.nest(df).select(M.render(M.rich(F.col("messages"))).alias("p")).first()["p"]
 
 
-def test_numbered_ranks_everything_once(spark):
-    keys = [5, -3, 9000, 4096, 8192, 1, 100000]
+@pytest.mark.parametrize("ranges", [4096, 3, 1])
+def test_numbered_ranks_everything_once(spark, monkeypatch, ranges):
+    monkeypatch.setattr(L, "RANGES", ranges)
+    monkeypatch.setattr(L, "RANGE_KEYS", 10)
+    keys = [5, -3, 9000, 4096, 8192, 1, 100000, *((i * 0x9E3779B97F4A7C15) % 2**63 for i in range(1, 500))]
     ranked = L.numbered(spark.createDataFrame([(k,) for k in keys], "k long"), "k").orderBy("rank").collect()
     assert [r["k"] for r in ranked] == sorted(keys) and [r["rank"] for r in ranked] == list(range(len(keys)))
+    assert L.numbered(spark.createDataFrame([], "k long"), "k").collect() == []
+
+
+def test_numbered_sorts_no_sparse_keys_in_one_task(spark, monkeypatch):
+    monkeypatch.setattr(L, "RANGE_KEYS", 100)
+    frame = spark.range(20_000).select(F.xxhash64("id").alias("k"))
+    counted = L.numbered(frame, "k")
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SinglePartition") == 1  # the counts of at most RANGES ranges
+    assert counted.agg(F.max("rank"), F.count("*")).first() == (19_999, 20_000)
 
 
 def test_history_edges(spark):
@@ -117,6 +135,50 @@ def test_history_edges(spark):
     assert rows.where("id = 0").select(C.history_window(F.col("m"), 3).alias("w"), C.clear_history(F.col("m")).alias("c"), C.prefixes(F.col("m")).alias("p")).first() == ([], [], [])
 
 
+def test_content_that_is_no_string(spark, tmp_path):
+    calls = [{"type": "function", "function": {"name": "f", "arguments": {"b": [1, 2.5, "x,y:\\\"z"], "a": None}}}, {"name": "g", "arguments": '{"raw":1}'}, {"name": "h", "arguments": 7}]
+    said = [{"role": "user", "content": 5}, {"role": "user", "content": "q"}, {"role": "assistant", "content": {"a": 1}, "reasoning_content": 3, "tool_calls": calls}, {"role": "tool", "content": ["r"]}, {"role": "user", "content": True}]
+    (tmp_path / "in.jsonl").write_text(json.dumps({"messages": said}) + "\n")
+    read = tables.read_conversations(spark, str(tmp_path / "in.jsonl"), calls=True)
+    shown = "".join(f"{chr(10) if i else ''}<tool_call>\n{{\"name\": \"{n}\", \"arguments\": {a}}}\n</tool_call>" for i, (n, a) in enumerate([("f", json.dumps(calls[0]["function"]["arguments"])), ("g", '{"raw":1}'), ("h", "7")]))
+    want = block("user", "") + block("user", "q") + block("assistant", shown) + "<|im_start|>user\n<tool_response>\n\n</tool_response><|im_end|>\n" + block("user", "")
+    assert read.select(M.render(F.col("messages")).alias("p")).first()["p"] == want
+    plain = tables.read_conversations(spark, str(tmp_path / "in.jsonl")).first()["messages"]
+    assert [tuple(m) for m in plain] == [("user", None), ("user", "q"), ("assistant", None), ("tool", None), ("user", None)]
+
+
+def test_token_features_of_a_vocabulary(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    df = turns(spark, [("user", "What's <|endoftext|> up?"), ("assistant", "Not much 😀"), ("user", "")], [("user", "x" * 500)])
+    encoder, _ = K.tokenizer_file(public_tokenizers.path("byte_bpe_50k.json"))
+    deltas = {}
+    for r in L.flat_deltas(df).orderBy("conv_id", "turn").collect():
+        deltas.setdefault(r["conv_id"], []).append((tokenizer.encode(r["delta"], add_special_tokens=False).ids, r["supervised"]))
+    for r in L.features(L.flat_deltas(df), 60, K.plug_in_tokenizer(encoder)).collect():
+        assert r["input_ids"] == [i for ids, _ in deltas[r["conv_id"]] for i in ids][:60]
+        assert r["labels"] == [i if mine else -100 for ids, mine in deltas[r["conv_id"]] for i in ids][:60]
+
+
+def test_no_machine_local_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from turnloom.sources import shared
+
+    def session(master, folder=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *_: folder), sparkContext=SimpleNamespace(master=master))
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared.shared_root(session("spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared.shared_root(session("local-cluster[2,1,1024]"))
+    assert shared.shared_root(session("spark://host:7077", "hdfs://x/")) == "hdfs://x"
+    assert shared.shared_root(session("local[4]"))
+
+
 def test_strict_reader_fails_and_reads(spark, tmp_path):
     good, bad = tmp_path / "good.jsonl", tmp_path / "bad.jsonl"
     rows = [{"messages": [{"role": "user", "content": "你好"}, {"role": "assistant", "content": "a\nb"}]}, {"messages": [{"role": "user", "content": None}]}]
@@ -173,7 +235,8 @@ def test_stream_round_trip(spark):
     events = S.encode(replies, S.characters(replies), "id", F.lit("m"), F.lit(1), F.col("id")).withColumn("seq", F.col("part") * 1000 + F.col("seq"))
     rows = events.orderBy("id", "seq").collect()
     direct = S.encode_characters(replies, "id", F.lit("m"), F.lit(1), F.col("id")).withColumn("seq", F.col("part") * 1000 + F.col("seq"))
-    assert direct.orderBy("id", "seq").collect() == rows
+    assert direct.drop("position").orderBy("id", "seq").collect() == rows
+    assert [r["position"] for r in direct.orderBy("id", "seq").collect()] == [*range(len(said["a"]) + 2), 0, 1]
     assert [r["event"] for r in rows if r["id"] == "b"][1] == "data: [DONE]\n\n"
     stop = json.loads([r["event"] for r in rows if r["id"] == "b"][0][6:])
     assert stop["choices"][0] == {"index": 0, "delta": {}, "finish_reason": "stop"} and stop["object"] == "chat.completion.chunk"
@@ -187,18 +250,47 @@ def test_stream_round_trip(spark):
     assert whole["choices"][0]["message"] == {"role": "assistant", "content": said["a"]} and whole["usage"]["total_tokens"] == 0
 
 
-def test_live_replies_from_files(spark, tmp_path):
-    source, lines = tmp_path / "in", ['data: {"choices":[{"delta":{"content":"a"}}]}', "", "data: broken", 'data: {"choices":[{"delta":{"content":"b"}}]}', "data: [DONE]"]
-    source.mkdir()
-    for part in range(2):
-        rows = [{"reply_id": "r", "seq": i, "line": line, "at": "2024-01-01T00:00:00Z"} for i, line in enumerate(lines) if i % 2 == part]
-        (source / f"{part}.json").write_text("\n".join(map(json.dumps, rows)))
-    stream = live.replies(live.read_lines(spark, str(source), 1))
-    running = stream.writeStream.outputMode("complete").format("memory").queryName("replies").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    running.awaitTermination(120)
-    assert [(r["content"], r["done"]) for r in spark.table("replies").collect()] == [("ab", True)]
+def arrive(folder, name, *rows):
+    folder.mkdir(exist_ok=True)
+    (folder / f"{name}.json").write_text("\n".join(json.dumps({"reply_id": r, "seq": i, "line": line, "at": at}) for r, i, line, at in rows))
+
+
+def piece(text):
+    return f'data: {{"choices":[{{"delta":{{"content":"{text}"}}}}]}}'
+
+
+def taken_in(spark, source, out):
+    live.run_available(live.read_lines(spark, str(source), 1), str(out))
+    return sorted((r["reply_id"], r["content"], r["done"]) for r in spark.read.schema(live.REPLIES).parquet(str(out)).collect())
+
+
+def test_live_replies_come_once(spark, tmp_path):
+    """Across the hour, over several batches and calls, in any order, and dropped from state when over."""
+    source, out = tmp_path / "in", tmp_path / "out"
+    arrive(source, "1", ("r", 1, "", "2024-01-01T00:59:58Z"), ("r", 0, piece("a"), "2024-01-01T00:59:59Z"), ("open", 0, piece("x"), "2024-01-01T00:59:59Z"))
+    assert taken_in(spark, source, out) == []
+    arrive(source, "2", ("r", 3, "data: [DONE]", "2024-01-01T01:00:02Z"), ("r", 2, piece("b"), "2024-01-01T01:00:01Z"))
+    assert taken_in(spark, source, out) == [("r", "ab", True)]
+    # `open` never ends: it is given out once event time has passed it by more than the allowance, also by quiet batches
+    arrive(source, "3", ("s", 0, piece("c"), "2024-01-01T01:05:00Z"), ("s", 1, "data: broken", "2024-01-01T01:05:00Z"), ("s", 2, "data: [DONE]", "2024-01-01T01:05:00Z"))
+    assert taken_in(spark, source, out) == [("r", "ab", True), ("s", "c", True)]
+    arrive(source, "4", ("t", 0, piece("d"), "2024-01-01T03:00:00Z"))
+    assert taken_in(spark, source, out) == [("open", "x", False), ("r", "ab", True), ("s", "c", True)]
+    # too late for the stream, and nothing is written twice
+    arrive(source, "5", ("open", 1, piece("y"), "2024-01-01T01:00:00Z"))
+    assert taken_in(spark, source, out) == [("open", "x", False), ("r", "ab", True), ("s", "c", True)]
     bounded = spark.read.schema(live.LINES).json(str(source))
-    assert live.replies_of_batch(bounded).collect() == [("r", "ab")]
+    assert {r["reply_id"]: r["content"] for r in live.replies_of_batch(bounded).collect()} == {"r": "ab", "open": "xy", "s": "c", "t": "d"}
+
+
+def test_live_state_is_dropped(spark, tmp_path):
+    source = tmp_path / "in"
+    for i in range(3):
+        arrive(source, str(i), *((f"r{i}", k, piece("a") if k < 2 else "data: [DONE]", f"2024-01-01T00:0{i}:00Z") for k in range(3)))
+    running = live.replies(live.read_lines(spark, str(source), 1)).writeStream.outputMode("append").format("memory").queryName("over").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    running.awaitTermination(120)
+    assert running.lastProgress["stateOperators"][0]["numRowsTotal"] == 0
+    assert spark.table("over").count() == 3
 
 
 def test_plans_and_rates(spark):

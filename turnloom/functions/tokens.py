@@ -85,3 +85,46 @@ def plug_in_tokenizer(load: Callable[[], Callable[[list[str]], list[list[int]]]]
 
     encode.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(encode, T.ArrayType(T.IntegerType()))
+
+
+def plug_in_decoder(load: Callable[[], Callable[[list[list[int]]], list[str]]]):
+    """A column function from ids to text, from a loader of a decoder; null gives null."""
+
+    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        decoder = load()
+        for ids in batches:
+            missing = ids.isna()
+            texts = decoder([[] if gone else list(map(int, x)) for x, gone in zip(ids, missing, strict=True)])
+            yield pd.Series([None if gone else t for t, gone in zip(texts, missing, strict=True)])
+
+    decode.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(decode, T.StringType())
+
+
+def tokenizer_file(path: str):
+    """Loaders of an encoder and a decoder for a tokenizer file; strings of special tokens in a text are ordinary text."""
+
+    def load():
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already fill the cores
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        return tokenizer
+
+    def encoder():
+        tokenizer = load()
+        return lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def decoder():
+        tokenizer = load()
+        return lambda ids: tokenizer.decode_batch(ids, skip_special_tokens=False)
+
+    return encoder, decoder
+
+
+def pad_token(pad: Column, end: Column) -> Column:
+    """The id to pad with: the end token where a vocabulary has none of its own."""
+    return F.coalesce(pad, end)

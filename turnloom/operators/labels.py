@@ -6,44 +6,75 @@ block is rendered only while the answer is last, a turn after an answer loses
 as many leading tokens as that block had. `reference` keeps this; `aligned`
 takes each turn's place in the one final rendering.
 
-Flat functions work on turns with window functions, one shuffle by
-conversation; they hold for plain text: roles system, user and assistant, no
-reasoning tags, no wrapped tool responses. Nested ones take any messages.
+Flat functions work on turns with window functions, one shuffle and one sort by
+conversation for texts of any kind: reasoning tags, tool responses, unknown
+roles. Nested ones render each prefix; they also take given reasoning and tool
+calls, which turns of plain text do not have.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from turnloom.config import DEFAULTS
-from turnloom.functions.text import lstrip_newlines
+from turnloom.functions.text import answer_of, lstrip_newlines, reasoning_of, rstrip_newlines
 from turnloom.functions.tokens import code_points
-from turnloom.operators.template import END, NO_THINKING, START, render
+from turnloom.operators.template import END, START, THINK_CLOSE, THINK_OPEN, render
 
 ANSWER = "assistant"
 
 
 def flat_deltas(turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text", mode: str = "reference") -> DataFrame:
-    """The turns with `delta` (text) and `supervised`."""
+    """The turns with `delta` (text) and `supervised`.
+
+    What a turn changes before itself follows from sums over the turns: the turn
+    before loses its place as the last one (an answer without reasoning its
+    empty block, a tool response the end mark if another follows), and a
+    question takes the reasoning from all answers since the question before.
+    """
     w = Window.partitionBy(key).orderBy(order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    asked = F.coalesce(F.max(F.col(role) == "user").over(before), F.lit(False))
-    thinks = (F.col(role) == ANSWER) & asked
-    shown = F.col(role).isin("user", ANSWER, "system")
+    before, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
+    has = lambda *names: F.coalesce(F.col(role).isin(*names), F.lit(False))
     content = F.coalesce(text, F.lit(""))
+    wrapped = F.startswith(content, F.lit("<tool_response>")) & F.endswith(content, F.lit("</tool_response>"))
+    question = has("user") & F.col(text).isNotNull() & ~wrapped
+    answer, tool = has(ANSWER), has("tool")
+    reasoning = F.when(answer, reasoning_of(content)).otherwise("")
+    said = F.when(answer, answer_of(content)).otherwise(content)
+    asked = F.max(question).over(upto)
+    after_tool = F.coalesce(F.lag(tool).over(w), F.lit(False))
+    facts = turns.withColumns({"tl_question": question, "tl_tool": tool, "tl_thinks": answer & asked, "tl_reasoning": reasoning, "tl_said": said, "tl_follows": after_tool})
+    if mode == "aligned":
+        later = w.rowsBetween(1, Window.unboundedFollowing)
+        facts = facts.withColumns({"tl_asked_later": F.coalesce(F.max(question).over(later), F.lit(False)), "tl_last": F.lead(F.lit(1)).over(w).isNull(), "tl_tool_next": F.coalesce(F.lead(tool).over(w), F.lit(False))})
     around = lambda body: F.concat(F.lit(START), F.col(role), F.lit("\n"), body, F.lit(END))
-    plain = F.when(shown, around(content)).otherwise("")
-    block = F.when(thinks, around(F.concat(F.lit(NO_THINKING), lstrip_newlines(content)))).otherwise(plain)
+    response = F.concat(F.when(F.col("tl_follows"), "").otherwise(f"{START}user"), F.lit("\n<tool_response>\n"), F.col("tl_said"), F.lit("\n</tool_response>"))
+    plain = F.when(has("user", ANSWER, "system"), around(F.col("tl_said"))).when(F.col("tl_tool"), F.concat(response, F.lit(END))).otherwise("")
+    thinking = around(F.concat(F.lit(THINK_OPEN), lstrip_newlines(rstrip_newlines(F.col("tl_reasoning"))), F.lit(THINK_CLOSE), lstrip_newlines(F.col("tl_said"))))
     if mode == "aligned":
-        delta = F.when(F.lead(F.lit(1)).over(w).isNull(), block).otherwise(plain)
-    else:
-        # an answer before this turn loses its block, and gets back newlines that the block took from its start
-        lost = F.coalesce(F.lag(F.when(thinks, len(NO_THINKING) - F.length(content) + F.length(lstrip_newlines(content)))).over(w), F.lit(0))
-        tail = F.substring(F.lag(plain).over(w), lost, -lost)
-        delta = F.when(lost >= 0, F.substring(block, lost + 1, F.lit(2**31 - 1))).otherwise(F.concat(tail, block))
-    return turns.withColumns({"delta": delta, "supervised": F.col(role) == ANSWER})
+        thinks = F.col("tl_thinks") & ~F.col("tl_asked_later") & (F.col("tl_last") | (F.col("tl_reasoning") != ""))
+        delta = F.when(thinks, thinking).when(F.col("tl_tool") & F.col("tl_tool_next"), response).otherwise(plain)
+        return facts.withColumns({"delta": delta, "supervised": has(ANSWER)}).drop(*_FACTS)
+    shown = facts.withColumns({"tl_plain": plain, "tl_block": F.when(F.col("tl_thinks"), thinking).otherwise(plain)})
+    gained = F.length("tl_block") - F.length("tl_plain")
+    keeps = F.col("tl_reasoning") != ""
+    kept = F.sum(F.when(keeps, gained).otherwise(0)).over(upto)
+    shown = shown.withColumns({"tl_empty": F.when(keeps, 0).otherwise(gained), "tl_kept": kept})
+    taken = F.coalesce(F.lag("tl_kept").over(w), F.lit(0)) - F.coalesce(F.last(F.when(F.col("tl_question"), F.col("tl_kept")), ignorenulls=True).over(before), F.lit(0))
+    lost = F.coalesce(F.lag("tl_empty").over(w), F.lit(0)) + F.when(F.col("tl_tool") & F.col("tl_follows"), len(END)).otherwise(0) + F.when(F.col("tl_question"), taken).otherwise(0)
+    # an answer that begins with many newlines gains by losing its empty block: its end is told again
+    again = F.lag(F.when(F.col("tl_empty") < 0, F.col("tl_plain"))).over(w)
+    shown = shown.withColumns({"tl_lost": lost, "tl_again": again})
+    rest = F.substring("tl_block", F.col("tl_lost") + 1, F.lit(2**31 - 1))
+    delta = F.when(F.col("tl_lost") >= 0, rest).otherwise(F.concat(F.substring("tl_again", F.col("tl_lost"), -F.col("tl_lost")), "tl_block"))
+    return shown.withColumns({"delta": delta, "supervised": has(ANSWER)}).drop(*_FACTS)
+
+
+_FACTS = tuple(f"tl_{n}" for n in ("question", "tool", "thinks", "reasoning", "said", "follows", "asked_later", "last", "tool_next", "plain", "block", "empty", "kept", "lost", "again"))
 
 
 def nested_deltas(messages: Column) -> Column:
@@ -86,17 +117,37 @@ def features(deltas: DataFrame, max_length: int, tokenize=None, key: str = "conv
     return cut.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
 
 
-def numbered(df: DataFrame, key: str, width: int = 4096) -> DataFrame:
+#: Ranges that numbered() cuts keys into at most, and keys that one range should hold at least.
+RANGES, RANGE_KEYS = 4096, 4096
+
+
+def numbered(df: DataFrame, key: str) -> DataFrame:
     """Adds `rank` from 0 in order of a whole-number key that is unique.
 
-    Keys are counted in ranges of `width`; ranks inside a range are local, so no
-    task sorts more than `width` rows and one row per range is ordered globally.
+    Keys are cut into ranges of about equal counts at approximate percentiles,
+    whatever their distance. Ranks inside a range are local, so a task sorts a
+    range, and only the counts of at most RANGES ranges are ordered globally.
+    One aggregation over the keys runs when this is called.
     """
-    of_range = F.floor(F.col(key) / width)
-    counts = df.groupBy(of_range.alias("range")).agg(F.count("*").alias("n"))
-    starts = counts.withColumn("first", F.sum("n").over(Window.orderBy("range")) - F.col("n")).select("range", "first")
-    ranged = df.withColumn("range", of_range).join(starts, "range")
-    return ranged.withColumn("rank", F.col("first") + F.row_number().over(Window.partitionBy("range").orderBy(key)) - 1).drop("range", "first")
+    total = df.agg(F.count(key).alias("n")).first()["n"]
+    parts = max(1, min(RANGES, -(-total // RANGE_KEYS)))
+    # bounds in blocks, so that a key is compared with the blocks' firsts and then inside one block
+    width, bounds = math.isqrt(parts) + 1, []
+    if parts > 1:
+        shares = F.array(*(F.lit(i / parts) for i in range(1, parts)))
+        bounds = sorted(set(df.agg(F.percentile_approx(key, shares, 10 * parts).alias("b")).first()["b"]))
+    blocks = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+    whole = lambda values: F.array(*(F.lit(v).cast("long") for v in values))
+    of_range = F.lit(0)
+    if blocks:
+        at = F.size(F.filter(whole([b[0] for b in blocks]), lambda b: b <= F.col(key)))
+        inside = F.size(F.filter(F.get(F.array(*map(whole, blocks)), at - 1), lambda b: b <= F.col(key)))
+        of_range = F.when(at == 0, 0).otherwise((at - 1) * width + inside)
+    ranged = df.withColumn("tl_range", of_range)
+    counts = ranged.groupBy("tl_range").agg(F.count("*").alias("tl_n"))
+    starts = counts.select("tl_range", (F.sum("tl_n").over(Window.orderBy("tl_range")) - F.col("tl_n")).alias("tl_first"))
+    placed = ranged.join(F.broadcast(starts), "tl_range")  # at most RANGES rows
+    return placed.withColumn("rank", F.col("tl_first") + F.row_number().over(Window.partitionBy("tl_range").orderBy(key)) - 1).drop("tl_range", "tl_first")
 
 
 def pad_batches(rows: DataFrame, key: str = "conv_id", batch_size: int = DEFAULTS.batch_size, pad_id: int = DEFAULTS.pad_id, ignore: int = DEFAULTS.ignore_label) -> DataFrame:

@@ -52,7 +52,7 @@ def encode(replies: DataFrame, pieces: DataFrame, key: str, model: Column, creat
 
 
 def encode_characters(replies: DataFrame, key: str, model: Column, created: Column, reply_id: Column, content: str = "content") -> DataFrame:
-    """encode() of a reply's characters, in one pass.
+    """encode() of a reply's characters, in one pass, and each event's position in its reply.
 
     Replies are dealt out by key while they are short; their events, each a
     hundred times a character, then need no shuffle to be put together by key.
@@ -63,7 +63,7 @@ def encode_characters(replies: DataFrame, key: str, model: Column, created: Colu
     rows = dealt.withColumn("n", F.coalesce(F.length(content), F.lit(0))).select("*", F.posexplode(F.concat(pieces, ends)).alias("pos", "piece"))
     said, stop = F.col("pos") < F.col("n"), F.col("pos") == F.col("n")
     event = F.when(said | stop, chunk(F.col("piece"), model, reply_id, created, F.when(stop, "stop"))).otherwise(f"{DATA}{DONE}\n\n")
-    return rows.select(key, F.when(said, 0).when(stop, 1).otherwise(2).alias("part"), F.when(said, F.col("pos")).otherwise(0).cast("long").alias("seq"), event.alias("event"))
+    return rows.select(key, F.when(said, 0).when(stop, 1).otherwise(2).alias("part"), F.when(said, F.col("pos")).otherwise(0).cast("long").alias("seq"), F.col("pos").cast("long").alias("position"), event.alias("event"))
 
 
 def data_of(line: Column) -> Column:

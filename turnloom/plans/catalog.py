@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -15,41 +14,11 @@ from turnloom.operators import requests as R
 from turnloom.operators import streams as S
 from turnloom.operators import template as M
 from turnloom.operators import training as G
+from turnloom.plans.registry import DIGEST, NEST, ORACLES, QUERIES, digest, long, nested, query, turns_of, values
+from turnloom.sources.shared import scratch
 from turnloom.sources.tables import read_table
 from turnloom.streaming import replies as live
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str):
-    """Registers a query with its counterpart."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def turns_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "conversations")
-
-
-def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.nest(turns_of(spark, sf_dir))
-
-
-def long(column, name: str):
-    return column.cast("long").alias(name)
-
-
-def digest(messages, name: str = "digest"):
-    """Roles and contents as one hash."""
-    return F.md5(F.array_join(F.transform(messages, lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|")).alias(name)
-
-
 # ---------------------------------------------------------------- conversations
 
 
@@ -58,14 +27,10 @@ def row_count(spark, sf_dir):
     return turns_of(spark, sf_dir).agg(long(F.count("*"), "n_turns"), long(F.count_distinct("conv_id"), "n_conversations"))
 
 
-_NEST = "SELECT conv_id, list({'role': role, 'content': text} ORDER BY turn) AS m FROM conversations GROUP BY conv_id"
-_DIGEST = "md5(array_to_string(list_transform({m}, lambda x: concat(x.role, ':', x.content)), '|'))"
-
-
 @query(f"""
 SELECT conv_id, CAST(len(m) AS BIGINT) AS n_messages, CAST(list_sum(list_transform(m, lambda x: length(x.content))) AS BIGINT) AS n_chars,
-  array_to_string(list_transform(m, lambda x: x.role), ',') AS roles, {_DIGEST.format(m='m')} AS digest
-FROM ({_NEST})""")
+  array_to_string(list_transform(m, lambda x: x.role), ',') AS roles, {DIGEST.format(m='m')} AS digest
+FROM ({NEST})""")
 def conversations_nested_stats(spark, sf_dir):
     m = F.col("messages")
     return nested(spark, sf_dir).select(
@@ -93,12 +58,6 @@ LINES = (
 )
 
 
-def values(rows) -> str:
-    """Rows as a VALUES list for DuckDB."""
-    quoted = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v).upper() if isinstance(v, bool) else str(v)
-    return ", ".join("(" + ", ".join(map(quoted, row)) + ")" for row in rows)
-
-
 @query(f"""
 WITH l(line_no, line) AS (VALUES {values(LINES)}),
 j AS (SELECT line_no, CASE WHEN json_valid(line) THEN line::JSON END AS j FROM l),
@@ -117,17 +76,17 @@ def validate_conversations(spark, sf_dir):
 
 
 _SYS = f"{{'role': 'system', 'content': '{DEFAULT_SYSTEM}'}}"
-_ENSURED = f"SELECT conv_id, CASE WHEN len(m) = 0 OR m[1].role <> 'system' THEN list_concat([{_SYS}], m) ELSE m END AS m FROM ({_NEST})"
+_ENSURED = f"SELECT conv_id, CASE WHEN len(m) = 0 OR m[1].role <> 'system' THEN list_concat([{_SYS}], m) ELSE m END AS m FROM ({NEST})"
 
 
-@query(f"SELECT conv_id, CAST(len(m) AS BIGINT) AS n_messages, {_DIGEST.format(m='m')} AS digest FROM ({_ENSURED})")
+@query(f"SELECT conv_id, CAST(len(m) AS BIGINT) AS n_messages, {DIGEST.format(m='m')} AS digest FROM ({_ENSURED})")
 def ensure_system(spark, sf_dir):
     m = C.ensure_system(F.col("messages"), DEFAULT_SYSTEM)
     return nested(spark, sf_dir).select("conv_id", long(F.size(m), "n_messages"), digest(m))
 
 
 @query(f"""
-SELECT conv_id, CAST(len(w) AS BIGINT) AS n_messages, {_DIGEST.format(m='w')} AS digest
+SELECT conv_id, CAST(len(w) AS BIGINT) AS n_messages, {DIGEST.format(m='w')} AS digest
 FROM (SELECT conv_id, CASE WHEN len(m) - 1 > 4 THEN list_concat(m[1:1], m[len(m) - 3:]) ELSE m END AS w FROM ({_ENSURED}))""")
 def history_window(spark, sf_dir):
     m = C.history_window(F.col("m"), 4)
@@ -140,9 +99,9 @@ def history_count(spark, sf_dir):
 
 
 @query(f"""
-SELECT conv_id, {_DIGEST.format(m="list_append(m, {'role': 'user', 'content': 'And then?'})")} AS appended,
-  {_DIGEST.format(m="list_concat([{'role': 'system', 'content': 'Be brief.'}], m[2:])")} AS replaced,
-  {_DIGEST.format(m='m')} AS kept, {_DIGEST.format(m='m[1:1]')} AS cleared
+SELECT conv_id, {DIGEST.format(m="list_append(m, {'role': 'user', 'content': 'And then?'})")} AS appended,
+  {DIGEST.format(m="list_concat([{'role': 'system', 'content': 'Be brief.'}], m[2:])")} AS replaced,
+  {DIGEST.format(m='m')} AS kept, {DIGEST.format(m='m[1:1]')} AS cleared
 FROM ({_ENSURED})""")
 def edit_history(spark, sf_dir):
     ensured = nested(spark, sf_dir).select("conv_id", C.ensure_system(F.col("messages"), DEFAULT_SYSTEM).alias("m"))
@@ -209,7 +168,26 @@ def render_edge_cases(spark, sf_dir):
 
 
 _TOOL = '{"type": "function", "function": {"name": "f"}}'
-_TOOLS_PROMPT = f"<|im_start|>system\nS\n\n{M.TOOLS_HEAD}\n{_TOOL}{M.TOOLS_TAIL}<|im_end|>\n<|im_start|>user\nq<|im_end|>\n"
+#: Written apart from the template's own strings.
+_TOOLS_PROMPT = """<|im_start|>system
+S
+
+# Tools
+
+You may call one or more functions to assist with the user query.
+
+You are provided with function signatures within <tools></tools> XML tags:
+<tools>
+{"type": "function", "function": {"name": "f"}}
+</tools>
+
+For each function call, return a json object with function name and arguments within <tool_call></tool_call> XML tags:
+<tool_call>
+{"name": <function-name>, "arguments": <args-json-object>}
+</tool_call><|im_end|>
+<|im_start|>user
+q<|im_end|>
+"""
 
 
 @query(f"SELECT * FROM (VALUES {values([('tools', _TOOLS_PROMPT), ('no tools', EDGES[0][2])])}) v(name, prompt)")
@@ -235,7 +213,11 @@ def decode_tokens(spark, sf_dir):
     return ids.select("conv_id", "turn", F.md5(K.from_code_points(F.col("ids"))).alias("digest"))
 
 
-@query(f"SELECT * FROM (VALUES {values(K.SPECIAL_TOKENS)}) v(token, id, special)")
+#: Written apart from the list under test: names in order of ids, and which of them are left out on decoding.
+_ADDED = "<|endoftext|> <|im_start|> <|im_end|> <|object_ref_start|> <|object_ref_end|> <|box_start|> <|box_end|> <|quad_start|> <|quad_end|> <|vision_start|> <|vision_end|> <|vision_pad|> <|image_pad|> <|video_pad|> <tool_call> </tool_call> <|fim_prefix|> <|fim_middle|> <|fim_suffix|> <|fim_pad|> <|repo_name|> <|file_sep|> <tool_response> </tool_response> <think> </think>"
+
+
+@query(f"SELECT token, CAST(151642 + place AS INT) AS id, place <= 14 AS special FROM (SELECT unnest(string_split('{_ADDED}', ' ')) AS token, generate_subscripts(string_split('{_ADDED}', ' '), 1) AS place)")
 def special_tokens(spark, sf_dir):
     return K.special_tokens(spark)
 
@@ -362,12 +344,14 @@ def escape_html(spark, sf_dir):
     return read_table(spark, sf_dir, "pages").select("page_id", F.md5(X.escape_html(F.col("html"))).alias("escaped"))
 
 
-_BLANKS = ((1, ""), (2, " \n\t"), (3, "　"), (4, " a "), (5, None))
+#: Texts by the rest of a turn's number.
+_BLANKS = ("", " \n\t", "　", " a ", None)
 
 
-@query("SELECT * FROM (VALUES (1, TRUE), (2, TRUE), (3, TRUE), (4, FALSE), (5, TRUE)) v(id, blank)")
+@query("SELECT conv_id, turn, turn % 5 <> 3 AS blank FROM conversations")
 def blank_input(spark, sf_dir):
-    return spark.createDataFrame(_BLANKS, "id int, text string").select("id", X.is_blank(F.col("text")).alias("blank"))
+    text = F.get(F.array(*map(F.lit, _BLANKS)), (F.col("turn") % 5).cast("int"))
+    return turns_of(spark, sf_dir).select("conv_id", "turn", X.is_blank(text).alias("blank"))
 
 
 # ---------------------------------------------------------------- envelopes and streams
@@ -398,11 +382,13 @@ def sse_decode(spark, sf_dir):
 
 @query(f"SELECT reply_id, TRUE AS done, md5(text) AS content FROM ({_REPLY})")
 def stream_replies(spark, sf_dir):
-    place = live.scratch(spark)
-    lines = _events(spark, sf_dir).select("reply_id", (F.col("part") * 1_000_000_000 + F.col("seq")).alias("seq"), F.rtrim(F.regexp_replace("event", "\n", "")).alias("line"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("at"))
+    place = scratch(spark, "stream")
+    # lines of a reply lie on both sides of an hour, and so in two windows of any clock
+    at = F.when(F.col("position") % 2 == 0, "2024-01-01 00:59:59").otherwise("2024-01-01 01:00:01").cast("timestamp")
+    lines = _events(spark, sf_dir).select("reply_id", F.col("position").alias("seq"), F.rtrim(F.regexp_replace("event", "\n", "")).alias("line"), at.alias("at"))
     lines.write.json(f"{place}/lines")
     live.run_available(live.read_lines(spark, f"{place}/lines"), f"{place}/replies")
-    return spark.read.parquet(f"{place}/replies").select("reply_id", "done", F.md5("content").alias("content"))
+    return spark.read.schema(live.REPLIES).parquet(f"{place}/replies").select("reply_id", "done", F.md5("content").alias("content"))
 
 
 _CUT = ("lossy", 1, 'data: {"choices":[{"delta":{"content":"a"}}]}\n\ndata: {"choi'), ("lossy", 2, 'ces":[{"delta":{"content":"b"}}]}\n\ndata: {"choices":[{"delta":{}}]}\n\ndata: [DONE]\n\n')
@@ -426,28 +412,32 @@ def model_listing(spark, sf_dir):
     return R.model_listing(spark, 1700000000)
 
 
-@query("SELECT * FROM (VALUES (200, TRUE, 'a'), (500, FALSE, 'HTTP 500'), (404, FALSE, 'HTTP 404')) v(status, stored, content)")
+@query("""
+SELECT conv_id, turn, CAST(198 + 51 * (turn % 3) + conv_id % 4 AS INT) AS status, 198 + 51 * (turn % 3) + conv_id % 4 BETWEEN 200 AND 299 AS stored,
+  md5(CASE WHEN 198 + 51 * (turn % 3) + conv_id % 4 BETWEEN 200 AND 299 THEN text ELSE 'HTTP ' || (198 + 51 * (turn % 3) + conv_id % 4) END) AS content FROM conversations""")
 def error_rows(spark, sf_dir):
-    return R.with_status(spark.createDataFrame([(200, "a"), (500, None), (404, "x")], "status int, content string"), F.col("status")).select("status", "stored", "content")
+    answered = turns_of(spark, sf_dir).select("conv_id", "turn", (198 + 51 * (F.col("turn") % 3) + F.col("conv_id") % 4).cast("int").alias("status"), F.col("text").alias("content"))
+    return R.with_status(answered, F.col("status")).select("conv_id", "turn", "status", "stored", F.md5("content").alias("content"))
 
 
 # ---------------------------------------------------------------- parameters
 
+#: Request bodies by the rest of a conversation's id.
 _BODIES = (
-    (1, '{"messages":[]}'),
-    (2, '{"messages":[],"temperature":null,"max_tokens":null}'),
-    (3, '{"messages":[],"temperature":0,"top_p":0,"max_tokens":0}'),
-    (4, '{"messages":[],"temperature":-1,"top_p":0.5,"extra":1}'),
-    (5, '{"messages":[],"temperature":0.3,"max_tokens":7,"stream":true,"model":"m"}'),
+    '{"messages":[]}',
+    '{"messages":[],"temperature":null,"max_tokens":null}',
+    '{"messages":[],"temperature":0,"top_p":0,"max_tokens":0}',
+    '{"messages":[],"temperature":-1,"top_p":0.5,"extra":1}',
+    '{"messages":[],"temperature":0.3,"max_tokens":7,"stream":true,"model":"m"}',
 )
 
 
-@query("""SELECT * FROM (VALUES
-  (1, 'chat-model', 0.7::DOUBLE, 0.7::DOUBLE, 4096, FALSE, FALSE), (2, 'chat-model', 0.7, 0.7, 1024, FALSE, FALSE), (3, 'chat-model', 0.7, 0.7, 1024, FALSE, FALSE),
-  (4, 'chat-model', NULL, NULL, 4096, FALSE, TRUE), (5, 'm', 0.3, 0.7, 7, TRUE, FALSE)) v(id, model, temperature, top_p, max_tokens, stream, greedy)""")
+@query("""SELECT conv_id, model, temperature, top_p, max_tokens, stream, greedy FROM (SELECT DISTINCT conv_id FROM conversations) JOIN (VALUES
+  (0, 'chat-model', 0.7::DOUBLE, 0.7::DOUBLE, 4096, FALSE, FALSE), (1, 'chat-model', 0.7, 0.7, 1024, FALSE, FALSE), (2, 'chat-model', 0.7, 0.7, 1024, FALSE, FALSE),
+  (3, 'chat-model', NULL, NULL, 4096, FALSE, TRUE), (4, 'm', 0.3, 0.7, 7, TRUE, FALSE)) v(id, model, temperature, top_p, max_tokens, stream, greedy) ON id = conv_id % 5""")
 def param_defaults(spark, sf_dir):
-    requests = R.parse_requests(spark.createDataFrame(_BODIES, "id int, body string"), gpu=True)
-    return R.generation_params(requests).select("id", "model", "temperature", "top_p", "max_tokens", "stream", "greedy")
+    bodies = turns_of(spark, sf_dir).select("conv_id").distinct().withColumn("body", F.get(F.array(*map(F.lit, _BODIES)), (F.col("conv_id") % 5).cast("int")))
+    return R.generation_params(R.parse_requests(bodies, gpu=True)).select("conv_id", "model", "temperature", "top_p", "max_tokens", "stream", "greedy")
 
 
 _SAVED = ((1, None, None, None, None, None, None, None), (2, "", 0.0, 0.0, False, "0", "x", ""), (3, "u", 0.5, 0.9, True, "12px", " 5", "p"))
@@ -501,3 +491,6 @@ def log_summary(spark, sf_dir):
     lines = spark.createDataFrame([("S", 0, "100%|###| 282/282"), ("S", 1, _SUMMARY)], "run string, pos int, value string")
     s = G.run_summaries(lines)
     return s.select("run", "train_runtime", "train_samples_per_second", "num_tokens", long(F.round(F.col("tokens_per_second") * 10), "tokens_per_10s"), long(F.round(F.lit(1490 * 3) / F.col("train_runtime") * 10), "samples_per_10s"))
+
+
+import turnloom.plans.files  # noqa: E402, F401  registers the queries over generated files

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.operators.conversations import MESSAGES, require_valid
+from turnloom.operators.conversations import require_valid
+from turnloom.sources.shared import delete
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,12 +18,61 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).withColumnRenamed("value", "line").where(F.trim("line") != "")
 
 
-def read_conversations(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """Conversations from JSON lines with a list `messages`; strict: the job fails at an invalid line."""
+def _message_type(value: str) -> str:
+    call = f"name:string,arguments:{value}"
+    return f"struct<messages:array<struct<role:string,content:{value},reasoning_content:{value},tool_calls:array<struct<{call},function:struct<{call}>>>>>>"
+
+
+#: A JSON text up to its next comma or colon outside of strings.
+_SEPARATED = r'((?:[^",:]|"[^"\\]*+(?:\\.[^"\\]*+)*+")*+)([,:])'
+
+
+def spaced(json: Column) -> Column:
+    """Compact JSON with a space after each comma and colon, as prompts show it."""
+    return F.regexp_replace(json, _SEPARATED, "$1$2 ")
+
+
+def messages_of(line: Column) -> Column:
+    """Messages of a JSON line, in the type that the template takes.
+
+    Content and reasoning count only where they are strings; others become
+    null, which renders as the empty text. A tool call may be wrapped in
+    `function`; arguments that are no string are kept as JSON text.
+    """
+    texts, typed = (F.from_json(line, _message_type(t))["messages"] for t in ("string", "variant"))
+    is_text = lambda v: F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False))
+
+    def call(t: Column, v: Column) -> Column:
+        wrapped = t["function"]["name"].isNotNull()
+        name = F.when(wrapped, t["function"]["name"]).otherwise(t["name"])
+        given = F.when(wrapped, t["function"]["arguments"]).otherwise(t["arguments"])
+        plain = F.when(wrapped, is_text(v["function"]["arguments"])).otherwise(is_text(v["arguments"]))
+        return F.struct(name.alias("name"), F.coalesce(F.when(plain, given).otherwise(spaced(given)), F.lit("null")).alias("arguments"))
+
+    def message(t: Column, v: Column) -> Column:
+        return F.struct(
+            t["role"].alias("role"),
+            F.when(is_text(v["content"]), t["content"]).alias("content"),
+            F.when(is_text(v["reasoning_content"]), t["reasoning_content"]).alias("reasoning_content"),
+            F.zip_with(t["tool_calls"], v["tool_calls"], call).alias("tool_calls"),
+        )
+
+    return F.zip_with(texts, typed, message)
+
+
+def read_conversations(spark: SparkSession, path: str, strict: bool = True, calls: bool = False) -> DataFrame:
+    """Conversations from JSON lines with a list `messages`.
+
+    strict: the job fails at an invalid line. calls: messages keep reasoning
+    and tool calls (the type template.RICH), else role and content only.
+    """
     lines = read_lines(spark, path)
     if strict:
         lines = require_valid(lines)
-    return lines.select(F.from_json("line", f"struct<messages:{MESSAGES}>")["messages"].alias("messages"))
+    messages = messages_of(F.col("line"))
+    if not calls:
+        messages = F.transform(messages, lambda m: F.struct(m["role"], m["content"]))
+    return lines.select(messages.alias("messages"))
 
 
 def write_conversations(conversations: DataFrame, path: str) -> None:
@@ -52,5 +102,4 @@ class SettingsStore:
         settings.write.mode("overwrite").parquet(self.path)
 
     def remove(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, self.path)

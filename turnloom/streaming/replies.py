@@ -1,16 +1,26 @@
-"""Replies put together from a stream of event lines."""
+"""Replies put together from a stream of event lines.
+
+Every reply is one group with one state: its pieces so far and which lines have
+come. It is given out once, and its state dropped, when its end line and all
+lines before it have come, or when event time has passed its last line by
+`late`; so state holds open replies only, and the table of replies is only
+ever appended to.
+"""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from turnloom.operators.streams import data_of, delta_of, joined
 
 LINES = "reply_id string, seq long, line string, at timestamp"
+REPLIES = "reply_id string, content string, done boolean"
+_STATE = "seqs array<bigint>, pieces array<string>, ends bigint, latest bigint"
 
 
 def read_lines(spark: SparkSession, path: str, per_trigger: int = 100) -> DataFrame:
@@ -22,34 +32,52 @@ def deltas(lines: DataFrame) -> DataFrame:
     return lines.select("reply_id", "seq", "at", delta_of(data_of(F.col("line"))).alias("delta"), (F.col("line") == "data: [DONE]").alias("done"))
 
 
-def replies(lines: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Content so far per reply; state is dropped once a reply is older than `late`.
+def _whole(seqs: list[int], ends: int | None) -> bool:
+    """Whether the end line, at place `ends`, and all lines from 0 up to it are there."""
+    return ends is not None and len({s for s in seqs if 0 <= s <= ends}) == ends + 1
+
+
+def _gather(late_ms: int):
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seqs, pieces, ends, latest = (list(state.get[0]), list(state.get[1]), *state.get[2:]) if state.exists else ([], [], None, None)
+        for batch in () if state.hasTimedOut else batches:
+            seqs += batch["seq"].tolist()
+            pieces += ["" if pd.isna(d) else d for d in batch["delta"]]
+            last = batch.loc[batch["done"].fillna(False).astype(bool), "seq"]
+            if len(last):
+                ends = int(last.min()) if ends is None else min(ends, int(last.min()))
+            latest = max(int(batch["ms"].max()), latest if latest is not None else 0)
+        if state.hasTimedOut or _whole(seqs, ends):
+            state.remove()
+            content = "".join(p for _, p in sorted(zip(seqs, pieces, strict=True)))
+            yield pd.DataFrame({"reply_id": [key[0]], "content": [content], "done": [ends is not None]})
+        else:
+            state.update((seqs, pieces, ends, latest))
+            state.setTimeoutTimestamp(max(latest + late_ms, state.getCurrentWatermarkMs() + 1))
+
+    return run
+
 
-    Event lines may come in any order inside that time, as pieces are sorted by seq.
+def replies(lines: DataFrame, late_seconds: int = 600) -> DataFrame:
+    """Each reply once, with its content and whether its end line came.
+
+    Lines of a reply are numbered from 0 by seq and may come in any order. Lines
+    that are more than `late_seconds` behind the newest line of the stream are
+    left out; a reply that pauses for longer is given out as it is.
     """
-    marked = deltas(lines).withWatermark("at", late)
-    pieces = F.array_sort(F.collect_list(F.when(F.col("delta").isNotNull(), F.struct("seq", "delta"))))
-    return marked.groupBy("reply_id", F.window("at", "1 hour")).agg(F.array_join(F.transform(pieces, lambda p: p["delta"]), "").alias("content"), F.max("done").alias("done"))
+    marked = deltas(lines).withColumn("ms", F.unix_millis("at")).withWatermark("at", f"{late_seconds} seconds")
+    return marked.groupBy("reply_id").applyInPandasWithState(_gather(1000 * late_seconds), REPLIES, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def replies_of_batch(lines: DataFrame) -> DataFrame:
-    """The same over a bounded table."""
+    """The contents over a bounded table."""
     return joined(deltas(lines), "reply_id", "seq")
 
 
-def run_available(lines: DataFrame, out: str, late: str = "10 minutes") -> None:
-    """Takes in what has arrived and leaves the replies so far as a table at `out`.
+def run_available(lines: DataFrame, out: str, late_seconds: int = 600) -> None:
+    """Takes in what has arrived and appends the replies that are over to the table at `out`.
 
     Progress and state are kept beside it, so a later call goes on from there.
     """
-
-    def put(batch: DataFrame, _: int) -> None:
-        batch.drop("window").write.mode("overwrite").parquet(out)
-
-    running = replies(lines, late).writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+    running = replies(lines, late_seconds).writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
     running.awaitTermination()
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new place in the shared folder, or in a temporary one where none is set."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/turnloom-stream-{uuid.uuid4().hex}"
