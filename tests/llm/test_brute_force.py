@@ -384,27 +384,72 @@ def test_url_query(spark):
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, rule, verdict)
 
 
-def test_trust_spreads_along_links(spark):
+def spread(edges, good, bad, damping=0.85):
+    """Trust and distrust as the solutions of their linear equations; edges: {(from, to): n} of numbered hosts."""
+    n = len(good)
+    w = np.zeros((n, n))
+    for (a, b), count in edges.items():
+        if a != b:
+            w[a, b] += count
+    along, against = w / np.maximum(w.sum(1, keepdims=True), 1), w / np.maximum(w.sum(0, keepdims=True), 1)
+    return np.linalg.solve(np.eye(n) - damping * along.T, good), np.linalg.solve(np.eye(n) - damping * against, bad)
+
+
+@pytest.mark.parametrize(("case", "tolerance"), [("random", 1e-4), ("pair", 1e-6), ("chain", 1e-4)])
+def test_trust_solves_its_equations(spark, case, tolerance):
     from turnloom.llm.url_filters import spread_trust
     from turnloom.llm.workspace import Workspace
 
     rng = np.random.default_rng(6)
-    edges = {(int(a), int(b)): int(n) for a, b, n in zip(rng.integers(0, 12, 40), rng.integers(0, 12, 40), rng.integers(1, 5, 40))}
+    edges = {
+        "random": {(int(a), int(b)): int(n) for a, b, n in zip(rng.integers(0, 12, 40), rng.integers(0, 12, 40), rng.integers(1, 5, 40))},
+        "pair": {(0, 3): 1, (3, 0): 2},
+        "chain": {(i, i + 1): 1 for i in range(11)},
+    }[case]
     good, bad = np.zeros(12), np.zeros(12)
     good[0], bad[3] = 1, 0.5
-    w = np.zeros((12, 12))
-    for (a, b), n in edges.items():
-        if a != b:
-            w[a, b] = n
-    along, against = w / np.maximum(w.sum(1, keepdims=True), 1), w / np.maximum(w.sum(0, keepdims=True), 1)
-    trust, distrust = good.copy(), bad.copy()
-    for _ in range(30):
-        trust, distrust = good + 0.85 * along.T @ trust, bad + 0.85 * against @ distrust
+    trust, distrust = spread(edges, good, bad)
     frame = spark.createDataFrame([(f"h{a}", f"h{b}", n) for (a, b), n in edges.items()], "src string, dst string, n long")
     seeds = spark.createDataFrame([("h0", 1.0, 0.0), ("h3", 0.0, 0.5)], "host string, good double, bad double")
-    for r in spread_trust(Workspace(spark), frame, seeds).collect():
-        i = int(r["host"][1:])
-        assert r["trust"] == pytest.approx(trust[i], abs=1e-5) and r["distrust"] == pytest.approx(distrust[i], abs=1e-5)
+    got = {r["host"]: (r["trust"], r["distrust"]) for r in spread_trust(Workspace(spark), frame, seeds, tolerance=tolerance).collect()}
+    for i in range(12):
+        assert got.get(f"h{i}", (0, 0)) == pytest.approx((trust[i], distrust[i]), abs=tolerance)
+
+
+def test_linked_pages(spark):
+    """End to end on pages that link to each other, most of which no rule fits."""
+    from turnloom.llm.url_filters import THRESHOLD, filter_urls
+
+    rng = random.Random(12)
+    hosts = ["example.com", "bad.com", "example.net", "worse.net", *(f"h{i}.io" for i in range(16))]
+    paths = {"example.com": "/en/7", "bad.com": "/en/1", "example.net": "/de/8", "worse.net": "/de/1"}
+    rows, edges, pages = [], collections.Counter(), collections.defaultdict(list)
+    for i in range(160):
+        a = rng.randrange(len(hosts))
+        host, path = hosts[a], paths.get(hosts[a], "/x") if rng.random() < 0.8 else "/other"
+        links = [rng.randrange(len(hosts)) for _ in range(rng.randrange(3))] if a % 5 else []
+        # hosts 4 and 5 link to blocked hosts only
+        links = [rng.choice((1, 3)) for _ in range(3)] if a in (4, 5) else links
+        edges.update((a, b) for b in links)
+        html = "<p>" + "".join(f'<A HREF="https://{hosts[b].upper()}/p?{i}">x</a> <a href=\'/local\'>y</a>' for b in links)
+        rows.append((i, f"http://{host}{path}", html))
+        pages[a].append(path)
+    fixed = {"example.com": ("/en/7", "allow"), "bad.com": ("/en/", "block"), "example.net": ("/de/8", "allow"), "worse.net": ("/de/", "block")}
+    ruled = lambda a, path: fixed[hosts[a]][1] if hosts[a] in fixed and path.startswith(fixed[hosts[a]][0]) else None
+    share = lambda a, verdict: sum(ruled(a, p) == verdict for p in pages[a]) / max(len(pages[a]), 1)
+    trust, distrust = spread(edges, *(np.array([share(a, v) for a in range(len(hosts))]) for v in ("allow", "block")))
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r for r in filter_urls(frame).collect()}
+    unruled = collections.Counter()
+    for i, url, _ in rows:
+        host, path = url[7:].split("/", 1)
+        a = hosts.index(host)
+        want = ruled(a, f"/{path}") or ("block" if distrust[a] - trust[a] >= THRESHOLD else "allow")
+        assert (got[i]["host"], got[i]["verdict"]) == (host, want)
+        assert (got[i]["trust"], got[i]["distrust"]) == pytest.approx((trust[a], distrust[a]), abs=1e-4)
+        if got[i]["rule"] is None:
+            unruled[want] += 1
+    assert min(unruled["allow"], unruled["block"]) >= 10 and len(edges) > 40
 
 
 def test_toxicity_held_out(spark):

@@ -17,6 +17,7 @@ from turnloom.llm.quality_rules import judge_quality
 from turnloom.llm.substring_dedup import remove_repeated_windows
 from turnloom.llm.toxicity import fit_toxicity, score_toxicity
 from turnloom.llm.url_filters import filter_urls
+from turnloom.llm.workspace import Workspace, settled
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -27,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
-    return filter_urls(pages, keep_html=False).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+    return settled(spark, lambda ws: filter_urls(pages, keep_html=False, workspace=ws).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust"))
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,39 +40,43 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
-    return judge_quality(docs, with_text=False).drop("lang", "source")
+    return settled(spark, lambda ws: judge_quality(docs, with_text=False, workspace=ws).drop("lang", "source"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic").where(~held_out)
-    scored = score_toxicity(docs, fit_toxicity(docs, labels), keep_text=False)
+    work = Workspace(spark)
+    model = fit_toxicity(docs, labels, workspace=work)
+    work.close()
+    scored = score_toxicity(docs, model, keep_text=False)
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    return link_near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
+    return settled(spark, lambda ws: link_near_duplicates(docs, workspace=ws).select("doc_id", "n_shingles", "component_id", "kept"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), TOKENIZER)
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return settled(spark, lambda ws: pack_documents(docs, TOKENIZER, workspace=ws))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
-    return mix_sources(docs, with_text=False).select("doc_id", "size", "source_size", "target", "taken")
+    return settled(spark, lambda ws: mix_sources(docs, with_text=False, workspace=ws).select("doc_id", "size", "source_size", "target", "taken"))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    return remove_repeated_windows(docs, digest=True).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return settled(spark, lambda ws: remove_repeated_windows(docs, digest=True, workspace=ws).select("doc_id", "n_words", "n_removed", "kept_sha256"))
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
-    return link_embeddings(vectors, keep_vector=False).select("vec_id", "n_links", "component_id", "kept")
+    return settled(spark, lambda ws: link_embeddings(vectors, keep_vector=False, workspace=ws).select("vec_id", "n_links", "component_id", "kept"))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,9 +158,9 @@ class ToxicityModel:
         return boosting.calibrated(self.trees.raw(x), self.knots)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = SAMPLE_ROWS, workspace: Workspace | None = None) -> ToxicityModel:
     """labels: rows to learn from, with `doc_id` and `label`; others must have been left out."""
-    ws = Workspace(docs.sparkSession)
+    ws = workspace or Workspace(docs.sparkSession)
     usable = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("toxic")).distinct()
     place = F.pmod(F.xxhash64(F.col("id"), F.lit("toxicity")), F.lit(1 << 20))
     total = usable.count()

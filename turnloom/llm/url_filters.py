@@ -7,20 +7,30 @@ page is answerable for what it links to). Seeds are the shares of a host's
 pages that rules allow or block. A host is blocked where distrust exceeds trust
 by THRESHOLD of a full seed.
 
+Scores are worked out to TOLERANCE: what is sent in a round is at most DAMPING
+times what was sent in the round before, so the sum of what is still missing is
+known, and so is the number of rounds that suffices. Trust that reaches a host
+without links to others ends there; giving it back to the seeds, as is usual,
+would only multiply all trust by one number. The same holds for distrust at
+hosts that nobody links to.
+
 Scale: links are cut to (from, to, count) per task before the shuffle; each
-iteration is one join of edges with scores and one sum per host, written to
-the shared folder; nothing is collected but one number per iteration. Joins by
-host can be split where a host has a third of the pages or links, sums are
-partial first.
+round sends only the last round's changes, in one join with the links and one
+sum per host, and is written to the shared folder; nothing is collected but two
+numbers per round. Joins by host can be split where a host has a third of the
+pages or links, sums are partial first.
 
 Defined cases: null URLs and URLs without `://` have empty host and path, which
 no rule fits; null html has no links; links of a host to itself and links
 without a host say nothing; repeated pages count as often as they occur; with
-no links only a host's own pages speak for it.
+no links only a host's own pages speak for it; very long pages are searched for
+links from end to end.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +38,7 @@ from turnloom.llm.columns import ROW, boxed, unboxed, without
 from turnloom.llm.workspace import Workspace
 
 DAMPING = 0.85
-ROUNDS = 30
-TOLERANCE = 1e-6
+TOLERANCE = 1e-4
 THRESHOLD = 0.5
 #: (verdict, host and path), fixed values.
 RULES = (
@@ -65,38 +74,43 @@ def host_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     return fits.groupBy("host").agg(ordered.alias("rules"))
 
 
-def spread_trust(ws: Workspace, edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """(host, trust, distrust) for every host of seeds or edges.
+def spread_trust(ws: Workspace, edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, trust, distrust) for every host of seeds, and every other that some reaches.
 
-    edges: src, dst, n; seeds: host, good, bad. trust follows
-    (1 - damping) * good + damping * (what comes along links), distrust the
-    same with bad and reversed links; both divided by 1 - damping, so a host
-    without links keeps its seeds.
+    edges: src, dst, n; seeds: host, good, bad. trust solves
+    trust = good + damping * (what comes along links), distrust the same with
+    bad and reversed links; a host without links keeps its seeds. All errors of
+    trust add up to `tolerance` at most, and so do those of distrust.
     """
+    seeds = seeds.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
     edges = ws.keep(edges.where("src != dst"), "edges")
     if edges.isEmpty():
-        return seeds.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
+        return seeds
     out, into = edges.groupBy("src").agg(F.sum("n").alias("out")), edges.groupBy("dst").agg(F.sum("n").alias("into"))
-    edges = ws.keep(edges.join(out, "src").join(into, "dst").select("src", "dst", (F.col("n") / F.col("out")).alias("along"), (F.col("n") / F.col("into")).alias("against")), "weights")
-    hosts = seeds.unionByName(edges.select(F.explode(F.array("src", "dst")).alias("host"), F.lit(0.0).alias("good"), F.lit(0.0).alias("bad")))
-    hosts = ws.keep(hosts.groupBy("host").agg(F.max("good").alias("good"), F.max("bad").alias("bad")), "hosts")
-    scores = ws.keep(hosts.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust")), "scores")
+    shares = edges.join(out, "src").join(into, "dst").select("src", "dst", (F.col("n") / F.col("out")).alias("along"), (F.col("n") / F.col("into")).alias("against"))
+    # one row for each way that something is sent: trust from src to dst, distrust from dst to src
+    ways = F.array(F.struct(F.col("src").alias("sender"), F.col("dst").alias("host"), F.col("along").alias("t"), F.lit(0.0).alias("d")), F.struct(F.col("dst").alias("sender"), F.col("src").alias("host"), F.lit(0.0).alias("t"), F.col("against").alias("d")))
+    was, ways = edges, ws.keep(shares.select(F.inline(ways)), "ways")
+    ws.drop(was)
+    scores = ws.keep(seeds.select("*", F.col("trust").alias("new_trust"), F.col("distrust").alias("new_distrust")), "scores")
+    sums = [F.sum(c).alias(c) for c in scores.columns[1:]]
+    sent = lambda: max(scores.agg(F.sum("new_trust").alias("t"), F.sum("new_distrust").alias("d")).first(), key=lambda x: x or 0.0) or 0.0
+    mass = sent()
+    # after k rounds at most mass * damping**(k+1) / (1 - damping) is missing; one round more for rounding
+    rounds = max(0, math.ceil(math.log(tolerance * (1 - damping) / (mass * damping)) / math.log(damping))) + 1 if mass else 0
     for _ in range(rounds):
-        sent = edges.join(scores.where("trust > 0").select(F.col("host").alias("src"), "trust"), "src").select(F.col("dst").alias("host"), (F.col("along") * F.col("trust")).alias("t"), F.lit(0.0).alias("d"))
-        blamed = edges.join(scores.where("distrust > 0").select(F.col("host").alias("dst"), "distrust"), "dst").select(F.col("src").alias("host"), F.lit(0.0).alias("t"), (F.col("against") * F.col("distrust")).alias("d"))
-        heard = sent.union(blamed).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
-        new = hosts.join(heard, "host", "left").join(scores.withColumnsRenamed({"trust": "t0", "distrust": "d0"}), "host").select(
-            "host", (F.col("good") + damping * F.coalesce("t", F.lit(0.0))).alias("trust"), (F.col("bad") + damping * F.coalesce("d", F.lit(0.0))).alias("distrust"), "t0", "d0"
-        )
-        was, scores = scores, ws.keep(new, "scores")
-        change = scores.agg(F.max(F.greatest(F.abs(F.col("trust") - F.col("t0")), F.abs(F.col("distrust") - F.col("d0"))))).first()[0]
-        scores_path = scores._turnloom_path
-        scores = scores.drop("t0", "d0")
-        scores._turnloom_path = scores_path
-        ws.drop(was)
-        if change < tolerance:
+        if mass * damping / (1 - damping) <= tolerance:
             break
-    return scores
+        active = scores.where("new_trust > 0 or new_distrust > 0").select(F.col("host").alias("sender"), "new_trust", "new_distrust")
+        heard = ways.join(active, "sender").select("host", (damping * F.col("t") * F.col("new_trust")).alias("trust"), (damping * F.col("d") * F.col("new_distrust")).alias("distrust"))
+        known = scores.select("host", "trust", "distrust", F.lit(0.0).alias("new_trust"), F.lit(0.0).alias("new_distrust"))
+        new = known.unionByName(heard.select("*", F.col("trust").alias("new_trust"), F.col("distrust").alias("new_distrust")))
+        was, scores = scores, ws.keep(new.groupBy("host").agg(*sums), "scores")
+        ws.drop(was)
+        mass = sent()
+    if mass * damping / (1 - damping) > tolerance:
+        raise RuntimeError(f"trust is not settled after {rounds} rounds: up to {mass * damping / (1 - damping):g} is missing")
+    return scores.select("host", "trust", "distrust")
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame | None = None, url: str = "url", html: str = "html", keep_html: bool = True, workspace: Workspace | None = None) -> DataFrame:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
-_own_root: str | None = None
+from turnloom.sources.shared import delete, shared_root
+
 _shipped: str | None = None
 
 
@@ -28,29 +32,23 @@ def ship(spark: SparkSession) -> None:
     _shipped = context.applicationId
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder only where it is unset (local runs)."""
-    global _own_root
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if _own_root is None:
-        _own_root = tempfile.mkdtemp(prefix="turnloom-")
-    return _own_root
-
-
-_roots: list[str] = []
+#: Folders that are still there, with the session that wrote them.
+_roots: dict[str, SparkSession] = {}
 
 
-def _delete(spark: SparkSession, place: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(place)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def cleanup() -> None:
+    """Deletes all tables of this application that are left; results that were not written elsewhere are lost."""
+    while _roots:
+        root, spark = _roots.popitem()
+        delete(spark, root)
 
 
-def cleanup(spark: SparkSession) -> None:
-    """Deletes all intermediate tables of this application; results that were not written are lost."""
-    while _roots:
-        _delete(spark, _roots.pop())
+@atexit.register
+def _at_exit() -> None:
+    try:
+        cleanup()
+    except (Py4JError, OSError):  # the JVM is gone: what is left lies in the folder for temporary tables
+        _roots.clear()
 
 
 class Workspace:
@@ -63,7 +61,7 @@ class Workspace:
         self.spark = spark
         ship(spark)
         self.root = f"{shared_root(spark)}/turnloom-{uuid.uuid4().hex}"
-        _roots.append(self.root)
+        _roots[self.root] = spark
         self._n = 0
 
     def keep(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
@@ -77,10 +75,21 @@ class Workspace:
     def drop(self, *tables: DataFrame) -> None:
         """Deletes written tables that no later step reads."""
         for table in tables:
-            _delete(self.spark, table._turnloom_path)
+            delete(self.spark, table._turnloom_path)
 
     def close(self) -> None:
         """Deletes all tables written here."""
-        if self.root in _roots:
-            _roots.remove(self.root)
-            _delete(self.spark, self.root)
+        if _roots.pop(self.root, None) is not None:
+            delete(self.spark, self.root)
+
+
+def settled(spark: SparkSession, build: Callable[[Workspace], DataFrame], codec: str = "zstd") -> DataFrame:
+    """The result of build(workspace), written to a table of its own; all other tables that it wrote are deleted.
+
+    The result's table is left until the application ends.
+    """
+    work, out = Workspace(spark), Workspace(spark)
+    try:
+        return out.keep(build(work), "result", codec)
+    finally:
+        work.close()
