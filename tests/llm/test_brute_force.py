@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -18,6 +19,7 @@ from tests.llm import helpers
 from turnloom.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
+ROOT = Path(__file__).resolve().parents[2]
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -322,19 +324,119 @@ def test_license_query(spark):
         assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
 
 
+def truth(expression, permitted):
+    """A licence expression by recursive descent: (families, permitted), or None if malformed."""
+    tokens = re.findall(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:-]*", expression)
+    at = 0
+
+    def peek():
+        return tokens[at].lower() if at < len(tokens) else None
+
+    def atom():
+        nonlocal at
+        if peek() == "(":
+            at += 1
+            inside = either()
+            if inside is None or peek() != ")":
+                return None
+            at += 1
+            return inside
+        if peek() in (None, ")", "or", "and", "with"):
+            return None
+        name = tokens[at].lower()
+        at += 1
+        return {name}, name in permitted
+
+    def chain(word, part, join):
+        nonlocal at
+        left = part()
+        while left is not None and peek() == word:
+            at += 1
+            right = part()
+            left = None if right is None else join(left, right)
+        return left
+
+    def exempt():
+        return chain("with", atom, lambda x, y: x)
+
+    def both():
+        return chain("and", exempt, lambda x, y: (x[0] | y[0], x[1] and y[1]))
+
+    def either():
+        return chain("or", both, lambda x, y: (x[0] | y[0], x[1] or y[1]))
+
+    found = either()
+    return found if at == len(tokens) else None
+
+
 def test_license_expressions():
-    from turnloom.llm.license_scan import automaton, evaluate, postfix, scan
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    from turnloom.llm.license_scan import automaton, evaluate, parse, scan
 
-    assert postfix("MIT OR Apache-2.0 AND GPL-2.0") == ["MIT", "Apache-2.0", "GPL-2.0", "and", "or"]
+    assert parse("MIT OR Apache-2.0 AND GPL-2.0")[0] == ["MIT", "Apache-2.0", "GPL-2.0", "and", "or"]
     assert evaluate("GPL-3.0-or-later OR MIT") == (["gpl", "mit"], True)
     assert evaluate("GPL-3.0-or-later AND MIT") == (["gpl", "mit"], False)
     assert evaluate("Apache-2.0 WITH LLVM-exception") == (["apache"], True)
     assert evaluate("(LGPL-2.1+ or (BSD-3-Clause and MIT))")[1]
-    for bad in ("", "(MIT", "MIT)", "OR MIT", "MIT AND"):
-        assert postfix(bad) is None and not evaluate(bad)[1]
+    assert evaluate("MIT see the file") == (["mit"], True)
+    for bad, names in (("", []), ("(MIT OR GPL-2.0", ["gpl", "mit"]), ("MIT)", ["mit"]), ("OR MIT", ["mit"]), ("MIT AND", ["mit"]), ("MIT OR AND Apache-2.0 or ISC", ["apache", "isc", "mit"]), ("(MIT see", ["mit"])):
+        assert parse(bad)[0] is None and evaluate(bad) == (names, False)
     found = scan(b"// SPDX-License-Identifier: MIT OR GPL-2.0-only\ncode under the MIT License", automaton())
     assert found["labels"] == "gpl,mit" and found["base_labels"] == "mit" and found["permitted"] and found["expressions"] == ["MIT OR GPL-2.0-only"]
 
+    part = st.recursive(st.sampled_from(["mit", "gpl", "isc"]), lambda x: st.one_of(st.tuples(x, st.sampled_from(["or", "and", "with"]), x).map(" ".join), x.map(lambda e: f"({e})")), max_leaves=8)
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.one_of(part, st.lists(st.sampled_from(["mit", "gpl", "or", "and", "with", "(", ")"]), max_size=7).map(" ".join)))
+    def same(expression):
+        want = truth(expression, {"mit", "isc"})
+        if want is not None:
+            assert evaluate(expression) == (sorted(want[0]), want[1])
+        elif not re.search(r"[a-z)] \(|(mit|gpl|\)) (mit|gpl)", expression):  # what prose follows is cut off
+            assert parse(expression)[0] is None
+
+    same()
+
+
+def test_license_labels_and_scores():
+    """Against a plain search of every phrase at every word."""
+    from turnloom.llm.license_scan import BASE, BASE_WEIGHT, NOTICES, TAG_WEIGHT, automaton, evaluate, scan
+
+    rng, machine = random.Random(15), automaton()
+    pool = [*BASE, *NOTICES, "license", "the", "cc", "by", "mit", "public", "gnu", "é", "spdx license identifier none"]
+    for _ in range(300):
+        words, tags = [], [rng.choice(["MIT", "GPL-2.0 AND ISC", "(bsd-3-clause", "Zlib OR"]) for _ in range(rng.randrange(3))]
+        for _ in range(rng.randrange(12)):
+            words += rng.choice(pool).split()
+        text = rng.choice([" ", "-", "\n"]).join(words) + "".join(f"\nSPDX-License-Identifier: {t}\n" for t in tags)
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+        at = lambda phrase: [i for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]  # noqa: B023, E731
+        base, labels, unsure = [i for p in BASE for i in at(p)], {BASE[p] for p in BASE if at(p)}, 1.0
+        for phrase, (label, weight) in NOTICES.items():
+            labels |= {label} if at(phrase) else set()
+            unsure *= (1 - weight) ** len(at(phrase))
+        judged = [evaluate(t) for t in tags]
+        labels |= {name for names, _ in judged for name in names}
+        unsure *= (1 - BASE_WEIGHT) ** min(len(base), 16) * (1 - TAG_WEIGHT) ** len(tags)
+        got = scan(text.encode(), machine)
+        assert (got["n_words"], got["n_base"], got["first_word"], got["last_word"]) == (len(w), len(base), min(base, default=None), max(base, default=None))
+        assert got["labels"] == ",".join(sorted(labels)) and got["score"] == pytest.approx(1 - unsure)
+        assert got["permitted"] == (all(good for _, good in judged) if judged else None)
+
+
+def test_license_scan_is_linear():
+    import time
+
+    from turnloom.llm.license_scan import automaton, scan
+
+    machine, text = automaton(), b"mit license " * 1_000_000
+    began = time.process_time()
+    found = scan(text, machine)
+    assert (found["n_words"], found["n_base"], found["last_word"]) == (2_000_000, 1_000_000, 1_999_998)
+    assert time.process_time() - began < 20
+
 
 def test_chat_query(spark):
     turns = collections.defaultdict(list)
@@ -521,3 +623,52 @@ def test_pipeline_stages(spark):
     assert abs(sum(drawn.values()) - sum(sizes.values())) <= len(sizes)
     packed = stages["packing"](spark, mixed, SF).collect()
     assert sum(r["start"] == 0 for r in packed) == mixed.count()
+
+
+def test_long_conversations_take_a_few_times_their_size():
+    """Pieces of any size give the same bytes; 40 MB of text need a small multiple of it."""
+    import subprocess
+    import sys
+
+    code = """
+import resource
+import numpy as np, pyarrow as pa
+from turnloom.llm import chat_format
+texts = ["a#b<é\\\\\\\\" * 1_000_000] * 5
+batch = pa.RecordBatch.from_pydict({"conv": pa.array([1] * 5, pa.int64()), "role": ["assistant"] * 5, "text": texts})
+size = sum(len(t.encode()) for t in texts)
+del texts
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+rows = list(chat_format._conversations(iter([batch])))
+peak = (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) * 1024
+assert len(rows) == 1 and rows[0].num_rows == 1
+print(size, peak, len(rows[0].column("formatted")[0].as_buffer()))
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=ROOT)
+    assert done.returncode == 0, done.stderr
+    size, peak, formatted = map(int, done.stdout.split())
+    assert formatted > 1.3 * size and peak < 7 * size
+
+
+def test_slices_do_not_change_the_format(monkeypatch):
+    import pyarrow as pa
+
+    import turnloom.llm.chat_format as chat_format
+
+    rng = random.Random(16)
+    rows = [(i // 3, rng.choice(["user", "assistant", "a:#"]), "".join(rng.choice("a#é<\\😀\n") for _ in range(rng.randrange(40)))) for i in range(200)]
+    batch = pa.RecordBatch.from_pydict({"conv": pa.array([r[0] for r in rows], pa.int64()), "role": [r[1] for r in rows], "text": [r[2] for r in rows]})
+
+    def formatted(parts):
+        return [r for b in chat_format._conversations(iter(parts)) for r in b.to_pylist()]
+
+    whole = formatted([batch])
+    monkeypatch.setattr(chat_format, "SLICE", 7)
+    assert formatted([batch.slice(i, 5) for i in range(0, 200, 5)]) == whole
+    for row in whole:
+        own = [(r, t) for c, r, t in rows if c == row["conv"]]
+        assert chat_format.parse(row["formatted"]) == own
+        assert chat_format.masked(row["formatted"], row["loss_spans"]) == "".join(t for r, t in own if r == "assistant")
+    monkeypatch.setattr(chat_format, "MOST", 10)
+    with pytest.raises(ValueError, match="more than 10 bytes"):
+        formatted([batch])

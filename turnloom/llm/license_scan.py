@@ -7,11 +7,14 @@ occurs, the expression after it in the raw text is brought into postfix order
 by a shunting-yard parser and evaluated: `or` holds if one side is permitted,
 `and` if both are, `with` keeps the licence and drops the exception.
 
-Scale: one pass over the texts, no shuffle, memory of a few megabytes a task.
+Scale: one pass over the texts, no shuffle; time is linear in a text's length,
+memory a small multiple of it.
 
 Defined cases: null counts as the empty text: no words, no places, empty label
 strings, score 0. Malformed expressions (unbalanced, missing operands) are
-listed as found and give labels, but are never permitted. Ties do not occur, as
+listed as found and give all their identifiers as labels, but are never
+permitted; what follows an operand without an operator is prose and ends the
+expression. Very long texts are scanned from end to end. Ties do not occur, as
 rows are judged one by one; repeated rows give repeated results.
 """
 
@@ -81,46 +84,43 @@ def family(identifier: str) -> str:
         name = short
 
 
-def postfix(expression: str) -> list[str] | None:
-    """The expression's identifiers and operators in postfix order; None if malformed."""
-    out, pending, operand = [], [], False
+def parse(expression: str) -> tuple[list[str] | None, list[str]]:
+    """The expression in postfix order, None if it is malformed; and all its identifiers."""
+    out, pending, operand, sound, identifiers = [], [], False, True, []
     for token in _TOKEN.findall(expression):
         word = token.lower()
         if word in _RANK:
-            if not operand:
-                return None
+            sound &= operand
             while pending and pending[-1] != "(" and _RANK[pending[-1]] >= _RANK[word]:
                 out.append(pending.pop())
             pending.append(word)
             operand = False
         elif token == "(":
             if operand:
-                return None
+                break
             pending.append(token)
         elif token == ")":
-            if not operand:
-                return None
+            sound &= operand
             while pending and pending[-1] != "(":
                 out.append(pending.pop())
-            if not pending:
-                return None
-            pending.pop()
+            if pending:
+                pending.pop()
+            else:
+                sound = False
+        elif operand:
+            break
         else:
-            if operand:
-                break  # prose after the expression
             out.append(token)
+            identifiers.append(token)
             operand = True
-    if not operand or "(" in pending:
-        return None
-    return out + pending[::-1]
+    return (out + pending[::-1] if sound and operand and "(" not in pending else None), identifiers
 
 
 def evaluate(expression: str, permitted: frozenset[str] = PERMITTED) -> tuple[list[str], bool]:
     """Families that the expression names, and whether it can be met by permitted ones."""
-    order = postfix(expression)
+    order, identifiers = parse(expression)
     if order is None:
-        ids = [t for t in _TOKEN.findall(expression) if t.lower() not in _RANK and t not in "()"][:1]
-        return sorted({family(t) for t in ids}), False
+        return sorted({family(t) for t in identifiers}), False
     stack: list[tuple[frozenset[str], bool]] = []
     for token in order:
         if token not in _RANK:
@@ -138,7 +138,7 @@ def evaluate(expression: str, permitted: frozenset[str] = PERMITTED) -> tuple[li
 def automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for phrase in {*BASE, *NOTICES, *TAGS}:
-        found.add_word(f" {phrase} ", (phrase, len(phrase) + 2))
+        found.add_word(f" {phrase} ", (phrase, len(phrase.split())))
     found.make_automaton()
     return found
 
@@ -147,10 +147,12 @@ def scan(raw: bytes, machine: ahocorasick.Automaton) -> dict:
     """What one text shows; see scan_licenses for the fields."""
     parts = raw.translate(_WORDS).split()
     line = f" {b' '.join(parts).decode('latin-1')} "
-    places, labels, sure, tagged = [], set(), 1.0, False
+    places, labels, sure, tagged, words, seen = [], set(), 1.0, False, 0, 0
     for end, (phrase, width) in machine.iter(line):
         if phrase in BASE:
-            places.append((line.count(" ", 0, end - width + 1), BASE[phrase]))
+            # spaces before a match's end are words begun; counted on from the match before
+            words, seen = words + line.count(" ", seen, end), end
+            places.append((words - width, BASE[phrase]))
         elif phrase in NOTICES:
             label, weight = NOTICES[phrase]
             labels.add(label)
