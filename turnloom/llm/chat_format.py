@@ -10,8 +10,11 @@ final size, and constants, roles and texts are scattered there by index arrays.
 The buffer becomes the Arrow column without another copy.
 
 Scale: turns are shuffled by conversation and sorted inside partitions; a task
-streams over them and holds one batch, or the longest conversation if that is
-larger, as a conversation is one value of the result.
+streams over them and formats whole conversations of about SLICE bytes at a
+time. Index arrays cover SLICE bytes at most, also inside one long text, so a
+conversation that is longer than a slice costs a few times its size, as it is
+one value of the result. Spark's limit for a value is 2 GiB; a conversation
+beyond it raises an error.
 
 Defined cases: null text and null role are empty; turns with equal numbers are
 ordered by role, then text, nulls first; a null turn number comes first; rows
@@ -35,30 +38,41 @@ from turnloom.llm import textops
 from turnloom.llm.workspace import ship
 
 LOSS_ROLE = b"assistant"
+#: Bytes that are formatted, or have index arrays, at a time.
+SLICE = 1 << 20
+#: Bytes that one value of Spark can hold.
+MOST = 2**31 - 16
 _OPEN, _MIDDLE, _CLOSE = (np.frombuffer(x, np.uint8) for x in (b"### ", b":\n", b"</turn>\n"))
 _IN_TEXT = np.zeros(256, bool)
 _IN_TEXT[list(b"\\#<")] = True
 _IN_ROLE = _IN_TEXT.copy()
 _IN_ROLE[list(b":\n")] = True
 _TURN = re.compile(r"### ([^\\:]*(?:\\.[^\\:]*)*):\n([^\\<]*(?:\\.[^\\<]*)*)</turn>\n", re.DOTALL)
+_FIRST_BYTE = (np.arange(256) & 0xC0) != 0x80
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 
 
 def escape(raw: np.ndarray, at: np.ndarray, special: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The values with a backslash before each special byte, and their new offsets."""
-    hit = special[raw]
-    extra = np.concatenate(([0], np.cumsum(hit)))
-    out = np.empty(len(raw) + int(extra[-1]), np.uint8)
-    place = np.arange(len(raw)) + extra[1:]
-    out[place] = raw
-    out[place[hit] - 1] = 0x5C
-    return out, at + extra[at]
+    extra = textops.counts_before(raw, special, np.append(at, len(raw)))
+    out, begin = np.empty(len(raw) + int(extra[-1]), np.uint8), 0
+    for a in range(0, len(raw), SLICE):
+        part = raw[a : a + SLICE]
+        hit = special[part]
+        place = np.arange(begin, begin + len(part)) + np.cumsum(hit)
+        begin = int(place[-1]) + 1
+        out[place] = part
+        out[place[hit] - 1] = 0x5C
+    return out, at + extra[:-1]
 
 
 def _scatter(out: np.ndarray, raw: np.ndarray, at: np.ndarray, to: np.ndarray) -> None:
-    """Copies value i of raw to out from to[i] on."""
-    sizes = np.diff(at)
-    out[np.arange(len(raw)) + np.repeat(to - at[:-1], sizes)] = raw
+    """Copies value i of raw to out from to[i] on, with indices for SLICE bytes at a time."""
+    for a in range(0, len(raw), SLICE):
+        b = min(a + SLICE, len(raw))
+        first, last = int(np.searchsorted(at, a, "right")) - 1, int(np.searchsorted(at, b, "left"))
+        sizes = np.diff(np.clip(at[first : last + 1], a, b))
+        out[np.arange(a, b) + np.repeat(to[first:last] - at[first:last], sizes)] = raw[a:b]
 
 
 def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -91,17 +105,21 @@ def _format(table: pa.Table) -> pa.RecordBatch:
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     turns = np.diff(first, append=n)
     offsets = np.append(at[first], at[-1])
-    points = np.concatenate(([0], np.cumsum((out & 0xC0) != 0x80)))
     role_raw, role_at = textops.buffers(table.column("role"))
     whole = role_raw.tobytes()
     loss = np.array([whole[a:b] == LOSS_ROLE for a, b in zip(role_at[:-1].tolist(), role_at[1:].tolist(), strict=True)])
     chosen = np.flatnonzero(loss)
-    base = np.repeat(points[at[first]], turns)
+    starts, ends, base = begin[chosen], end[chosen], np.repeat(at[first], turns)[chosen]
+    places = np.unique(np.concatenate((starts, ends, base)))
+    points = textops.counts_before(out, _FIRST_BYTE, places)
+    points_at = lambda x: points[np.searchsorted(places, x)]
     per = np.concatenate(([0], np.cumsum(np.bincount(np.repeat(np.arange(len(first)), turns)[chosen], minlength=len(first)))))
     spans = pa.StructArray.from_arrays([
-        pa.array(points[begin[chosen]] - base[chosen], pa.int64()),
-        pa.array(points[end[chosen]] - points[begin[chosen]], pa.int64()),
+        pa.array(points_at(starts) - points_at(base), pa.int64()),
+        pa.array(points_at(ends) - points_at(starts), pa.int64()),
     ], names=["start", "length"])
+    if int(np.diff(offsets).max(initial=0)) > MOST:
+        raise ValueError(f"a conversation has more than {MOST} bytes, which is the most that a value can hold")
     formatted = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out)).cast(pa.string())
     return pa.RecordBatch.from_pydict({
         "conv": ids.take(pa.array(first, pa.int64())),
@@ -112,26 +130,22 @@ def _format(table: pa.Table) -> pa.RecordBatch:
 
 
 def _conversations(batches):
-    """Formats what is complete and carries the last conversation over to the next batch."""
+    """Formats whole conversations, as many as make up about SLICE bytes."""
     waiting: list[pa.RecordBatch] = []
+    size, last = 0, None
     for batch in batches:
         if not batch.num_rows:
             continue
-        ids = batch.column("conv")
-        last = ids[-1]
-        start = batch.num_rows
-        while start and ids[start - 1] == last or start and not last.is_valid and not ids[start - 1].is_valid:
-            start -= 1
-        same = waiting and (waiting[-1].column("conv")[-1] == last or (not last.is_valid and not waiting[-1].column("conv")[-1].is_valid))
-        if start:
-            yield _format(pa.Table.from_batches([*waiting, batch.slice(0, start)]))
-            waiting = [batch.slice(start)]
-        elif same:
-            waiting.append(batch)
-        else:
-            if waiting:
-                yield _format(pa.Table.from_batches(waiting))
-            waiting = [batch]
+        ids = batch.column("conv").cast(pa.string()).fill_null("\x00").to_numpy(zero_copy_only=False)
+        until = sum(textops.buffers(batch.column(c))[1] for c in ("role", "text"))
+        first = np.flatnonzero(np.concatenate(([ids[0] != last], ids[1:] != ids[:-1])))
+        begin = 0
+        for a in first.tolist():  # a conversation begins at row a
+            if (waiting or a > begin) and size + until[a] - until[begin] >= SLICE:
+                yield _format(pa.Table.from_batches([*waiting, batch.slice(begin, a - begin)]))
+                waiting, size, begin = [], 0, a
+        waiting.append(batch.slice(begin))
+        size, last = size + int(until[-1] - until[begin]), ids[-1]
     if waiting:
         yield _format(pa.Table.from_batches(waiting))
 
@@ -170,16 +184,26 @@ def masked(formatted: str, spans: list[dict]) -> str:
 def _read_back(batches):
     for batch in batches:
         columns = {k: [] for k in ("n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")}
-        for formatted, spans in zip(batch.column("formatted").to_pylist(), batch.column("loss_spans").to_pylist(), strict=True):
-            turns, loss = parse(formatted), masked(formatted, spans)
+        for value, spans in zip(batch.column("formatted"), batch.column("loss_spans"), strict=True):  # one text at a time
+            formatted = value.as_py()
+            turns = parse(formatted)
             columns["n_turns"].append(len(turns))
-            columns["turns_sha256"].append(hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest())
+            columns["turns_sha256"].append(_sha256(x for r, t in turns for x in (r, "\n", t, "\n")))
+            del turns
+            loss = masked(formatted, spans.as_py())
             columns["loss_chars"].append(len(loss))
-            columns["loss_sha256"].append(hashlib.sha256(loss.encode()).hexdigest())
+            columns["loss_sha256"].append(_sha256([loss]))
             columns["formatted_chars"].append(len(formatted))
         yield pa.RecordBatch.from_pydict({"conv": batch.column("conv")} | {k: pa.array(v, pa.string() if k.endswith("sha256") else pa.int64()) for k, v in columns.items()})
 
 
+def _sha256(parts) -> str:
+    found = hashlib.sha256()
+    for part in parts:
+        found.update(part.encode())
+    return found.hexdigest()
+
+
 def digests(formatted: DataFrame, conv_id: str = "conv_id") -> DataFrame:
     """Read back from the output: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
     rows = formatted.select(F.col(conv_id).alias("conv"), "formatted", "loss_spans")

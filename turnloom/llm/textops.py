@@ -165,3 +165,18 @@ def per_text(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(values) + 1, np.int64)
     np.cumsum(values, out=sums[1:])
     return sums[at[1:]] - sums[at[:-1]]
+
+
+def counts_before(raw: np.ndarray, counted: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """For sorted places in raw, how many bytes before each are counted, in memory of one slice."""
+    found, before = np.empty(len(places), np.int64), 0
+    at = 0
+    for begin in range(0, max(len(raw), 1), _SLICE):
+        part = counted[raw[begin : begin + _SLICE]]
+        until = len(places) if begin + _SLICE >= len(raw) else int(np.searchsorted(places, begin + _SLICE))
+        if until > at:
+            sums = np.concatenate(([0], np.cumsum(part)))
+            found[at:until] = before + sums[places[at:until] - begin]
+            at = until
+        before += int(np.count_nonzero(part))
+    return found
