@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import turnloom.llm.embedding_dedup as embedding_dedup
@@ -193,23 +194,79 @@ def test_mixing_query(spark):
     assert sorted(map(repr, got)) == sorted(map(repr, run(spark, "op7_mixing")))
 
 
-def test_mixing_tree_deals_out_all_draws(spark):
+def dealt(spark, quotas, levels, seed, group=1024):
     from turnloom.llm.mixing import shard_quotas
 
-    quotas = {1: 100, 2: 7, 3: 0, 4: 64}
-    rows = shard_quotas(spark.createDataFrame(list(quotas.items()), "rank int, quota long")).collect()
-    by_source, by_shard = collections.Counter(), collections.Counter()
-    for r in rows:
-        by_source[r["rank"]] += r["quota"]
-        by_shard[r["shard"]] += r["quota"]
-        assert r["quota"] >= 0
-    assert {k: by_source[k] for k in quotas} == quotas
-    assert len(by_shard) == 8 and max(by_shard.values()) - min(by_shard.values()) <= 1
-    from turnloom.llm.mixing import mix_sources
+    table_ = np.zeros((len(quotas), 1 << levels), int)
+    for r in shard_quotas(spark.createDataFrame(list(enumerate(quotas)), "rank long, quota long"), levels, seed, group).collect():
+        table_[r["rank"], r["shard"]] += r["quota"]
+    return table_
+
+
+@pytest.mark.parametrize("group", [1, 2, 1024])
+def test_mixing_tree_deals_out_all_draws(spark, group):
+    quotas = [100, 7, 0, 64, 1, 30]
+    found = dealt(spark, quotas, 3, 7, group)
+    assert (found >= 0).all() and found.sum(1).tolist() == quotas
+    assert found.sum(0).max() - found.sum(0).min() <= 1
+
+
+@pytest.mark.parametrize("group", [1, 1024])
+def test_mixing_tree_follows_the_hypergeometric_distribution(spark, group):
+    """Variances of each source's counts over the shards of a deep tree."""
+    quotas, levels = [2560, 768, 256], 8
+    found = dealt(spark, quotas, levels, 7, group)
+    total, n = sum(quotas), sum(quotas) >> levels
+    assert (found.sum(0) == n).all()
+    for k, q in enumerate(quotas):
+        var = n * q / total * (1 - q / total) * (total - n) / (total - 1)
+        assert 0.7 * var < found[k].var() < 1.4 * var
+        assert abs(np.corrcoef(found[k, 1:], found[k, :-1])[0, 1]) < 0.25
+
+
+def shards_of(rows):
+    return {(r["doc_id"], d["epoch"]): d["shard"] for r in rows for d in r["draws"]}
+
+
+def test_mixing_tree_reaches_the_mixture(spark, monkeypatch):
+    """Every draw lies in its shard, shards come shuffled, and another tree deals otherwise while totals stay."""
+    import turnloom.llm.mixing as mixing
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    shards = collections.Counter(d["shard"] for r in mix_sources(docs, with_text=False).collect() for d in r["draws"])
-    assert len(shards) == 8
+    two, three = mixing.mix_sources(docs, levels=2).collect(), mixing.mix_sources(docs, levels=3)
+    found, rows = shards_of(three.collect()), mixing.mixture(three).collect()
+    assert len(set(found.values())) == 8 and len(set(shards_of(two).values())) == 4
+    assert found != shards_of(mixing.mix_sources(docs, levels=3, seed=8).collect())
+    taken = lambda rs, key: collections.Counter({k: sum(r["taken"] for r in rs if r["source"] == k) for k in {r["source"] for r in rs}})
+    assert taken(two, "source") == taken(three.collect(), "source")
+    assert sorted((r["doc_id"], r["draw"]["epoch"], r["draw"]["shard"]) for r in rows) == sorted((d, e, s) for (d, e), s in found.items())
+    in_shard, place = collections.defaultdict(list), [r["draw"]["shard"] for r in rows]
+    for r in rows:
+        in_shard[r["draw"]["shard"]].append(r)
+    assert sum(a != b for a, b in zip(place, place[1:])) == len(in_shard) - 1  # a shard's rows stand together
+    for own in in_shard.values():
+        assert [r["draw"]["at"] for r in own] == sorted(r["draw"]["at"] for r in own)
+    words = [sum(r["draw"]["words"] for r in own) for own in in_shard.values()]
+    assert min(words) > 0
+    # more shards for a larger corpus
+    monkeypatch.setattr(mixing, "SHARD_WORDS", sum(r["size"] for r in two) // 30)
+    assert {d["shard"] for r in mixing.mix_sources(docs, with_text=False).collect() for d in r["draws"]} == set(range(32))
+
+
+def test_mixing_many_sources_and_equal_rows(spark, monkeypatch):
+    import turnloom.llm.mixing as mixing
+
+    monkeypatch.setattr(mixing, "GROUP", 4)
+    rows = [(i, f"w{i} " * (1 + i % 7), "en", f"s{i % 40:02}", 1) for i in range(400)] + [(1000, "same words here", "en", "s01", 1)] * 300
+    got = mixing.mix_sources(helpers.frame(spark, rows).repartition(5)).collect()
+    sizes, taken, target = collections.Counter(), collections.Counter(), {}
+    for r in got:
+        sizes[r["source"]] += r["size"]
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        assert r["taken"] <= 3 * r["size"] and r["taken"] == sum(d["words"] for d in r["draws"])
+    assert len(got) == 700 and sum(target.values()) == pytest.approx(sum(sizes.values()))
+    assert all(abs(taken[s] - target[s]) <= 0.5 for s in sizes)
 
 
 def test_packing_query(spark):

@@ -66,7 +66,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
-    return settled(spark, lambda ws: mix_sources(docs, with_text=False, workspace=ws).select("doc_id", "size", "source_size", "target", "taken"))
+    return settled(spark, lambda ws: mix_sources(docs, with_text=False, workspace=ws).select("doc_id", "size", "source_size", "target", "taken", "draws"))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
