@@ -154,15 +154,116 @@ def test_quality_base_counts(spark):
         assert not (r["base_failed"] and r["kept"])
 
 
+def vector(text):
+    """The statistics of a text, by plain Python, in whole numbers of 1/4096."""
+    words = SPACE.findall(text)
+    chars = sum(map(len, words))
+    lines = [x for x in text.split("\n") if SPACE.search(x)]
+    count = lambda pattern: len(re.findall(pattern, text))
+    n, c = max(len(words), 1), max(chars, 1)
+    x = (np.log(c / n), (count(r"[#*$%&|<>]") / n) ** 0.5, (count("[A-Z]") / c) ** 0.5, (count("[0-9]") / c) ** 0.5, (count(r"""[!"'()+,\-./:;=?@\[\\\]^_`{}~]""") / n) ** 0.5, (len(lines) - len(set(lines))) / max(len(lines), 1))
+    return np.rint(np.array(x) * 4096)
+
+
+def robust_distances(groups):
+    """groups: {(language, source): matrix of statistics}. Squared distances from the estimate of least determinant, in numpy."""
+    from turnloom.llm.quality_rules import BIN, CONSISTENCY, GAIN, HIGH, LOW, NOISE, PRIOR, SUPPORT
+
+    noise, groups = np.array(NOISE), {g: x / 4096 for g, x in groups.items()}
+
+    def distances(x, mean, spread):
+        return np.einsum("ij,ij->i", x - mean, np.linalg.solve(spread, (x - mean).T).T)
+
+    def inner(x, mean, spread):
+        bins = np.floor(np.clip(np.log(distances(x, mean, spread) + 1e-9), LOW, HIGH) * BIN)
+        return x[bins <= np.sort(bins)[int(np.ceil(SUPPORT * len(x))) - 1]]
+
+    def lean(n, mean, spread, other):
+        own = n / (n + PRIOR)
+        return own * mean + (1 - own) * other[0], own * spread + (1 - own) * other[1]
+
+    moments = lambda x: (x.mean(0), np.cov(x.T, bias=True))
+    q = {g: np.percentile(x, [25, 50, 75], axis=0) for g, x in groups.items()}
+    scale = {g: np.sqrt(((v[2] - v[0]) / 1.349) ** 2 + noise**2) for g, v in q.items()}
+    first = {g: inner(x, q[g][1], np.diag(scale[g] ** 2)) for g, x in groups.items()}
+    corpus, out = moments(np.concatenate(list(first.values()))), {}
+    for g, x in groups.items():
+        own = np.concatenate([v for k, v in first.items() if k[0] == g[0]])
+        mean, spread = lean(len(own), *moments(own), corpus)
+        target, z = (mean, CONSISTENCY * spread), (x - q[g][1]) / scale[g]
+        matrices = [np.diag(scale[g] ** 2)]
+        for v in (np.tanh(z), z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)):
+            m = v.T @ v / len(x)
+            d = np.sqrt(np.maximum(np.diag(m), 1e-4))
+            matrices.append((0.99 * m / np.outer(d, d) + 0.01 * np.eye(6)) * np.outer(scale[g], scale[g]))
+        starts = [(q[g][1], m) for m in matrices] + [(x.mean(0), np.cov(x.T, bias=True) + np.diag(noise**2))]
+        found = []
+        for start in starts:
+            best, log_det = start, np.inf
+            while True:
+                half = inner(x, *best)
+                mean, spread = lean(len(half), half.mean(0), np.cov(half.T, bias=True) * CONSISTENCY, target)
+                spread = spread + np.diag(noise**2)
+                if not np.linalg.slogdet(spread)[1] < log_det - GAIN:
+                    break
+                best, log_det = (mean, spread), np.linalg.slogdet(spread)[1]
+            found.append((log_det, best))
+        out[g] = distances(x, *min(found, key=lambda f: f[0])[1])
+    return out
+
+
+def expected_quality(rows):
+    """{id: (base passed, squared distance)} for rows of (id, text, language, source)."""
+    groups, failed = collections.defaultdict(list), set()
+    for d, text, lang, source in rows:
+        w = SPACE.findall(text)
+        seen = collections.Counter(zip(w, w[1:], w[2:]))
+        again = [False] * len(w)
+        for i in range(len(w) - 2):
+            if seen[tuple(w[i : i + 3])] > 1:
+                again[i : i + 3] = [True] * 3
+        if len(w) < 50 or 100 * sum(again) > 50 * len(w):
+            failed.add(d)
+        else:
+            groups[lang, source].append((d, vector(text), len(w)))
+    found = robust_distances({g: np.array([x for _, x, _ in m]) for g, m in groups.items()})
+    out = {d: (False, None) for d in failed}
+    for g, members in groups.items():
+        out |= {d: (True, r / (1 + 50 / n)) for (d, _, n), r in zip(members, found[g])}
+    return out
+
+
+def test_quality_verdicts(spark):
+    """Every verdict of the registered query against the estimate in numpy."""
+    from turnloom.llm.quality_rules import LIMIT
+
+    want = expected_quality([(r["doc_id"], r["text"] or "", r["lang"], r["source"]) for r in table("documents")])
+    for r in run(spark, "op3_quality_rules"):
+        passed, distance = want[r["doc_id"]]
+        if passed:
+            assert r["distance"] == pytest.approx(distance, rel=1e-6, abs=1e-9)
+        assert r["kept"] == (passed and distance <= LIMIT)
+
+
 def test_quality_outliers(spark):
-    from turnloom.llm.quality_rules import judge_quality
+    """Groups with a fifth of outliers, of which the classical estimate would be drawn away."""
+    from turnloom.llm.quality_rules import LIMIT, judge_quality
 
     rng = random.Random(2)
     rows = [(i, helpers.prose(rng, rng.randrange(60, 400)), "en", f"s{i % 3}", 1) for i in range(300)]
-    rows += [(1000 + i, " ".join(w + "%%%" for w in helpers.prose(rng, 100).split()), "en", f"s{i % 3}", 1) for i in range(30)]
-    rows += [(2000 + i, helpers.prose(rng, 100).upper().replace(" ", " | "), "en", "s0", 1) for i in range(20)]
-    kept = {r["doc_id"]: r["kept"] for r in judge_quality(helpers.frame(spark, rows)).collect()}
-    assert all(kept[i] for i in range(300)) and not any(v for k, v in kept.items() if k >= 1000)
+    rows += [(1000 + i, " ".join(w + "%%%" for w in helpers.prose(rng, 100).split()), "en", f"s{i % 3}", 1) for i in range(60)]
+    rows += [(2000 + i, helpers.prose(rng, 100).upper().replace(" ", " | "), "en", "s0", 1) for i in range(8)]
+    got = {r["doc_id"]: r for r in judge_quality(helpers.frame(spark, rows)).collect()}
+    for d, (passed, distance) in expected_quality([r[:4] for r in rows]).items():
+        assert passed and got[d]["distance"] == pytest.approx(distance, rel=1e-6)
+        assert got[d]["kept"] == (distance <= LIMIT) == (d < 1000)
+
+
+def test_chi_square():
+    from turnloom.llm.quality_rules import CONSISTENCY, chi_square_beyond, chi_square_limit
+
+    assert chi_square_limit(0.001, 6) == pytest.approx(22.4577, abs=1e-3) and chi_square_limit(0.05, 8) == pytest.approx(15.5073, abs=1e-3)
+    assert chi_square_beyond(0, 6) == 1 and CONSISTENCY == pytest.approx(1.3616, abs=1e-3)
 
 
 def test_mixing_query(spark):
