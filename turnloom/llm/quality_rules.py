@@ -57,7 +57,7 @@ SUPPORT = 0.75
 #: Steps after which an estimate that still improves is an error; a handful is usual.
 MOST_STEPS = 100
 #: By how much the logarithm of a determinant must fall for another step.
-GAIN = 1e-6
+GAIN = 1e-3
 SCALE = 4096
 #: Products of tangents and directions are rounded to 1/FINE.
 FINE = 1 << 24
@@ -339,6 +339,6 @@ def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     measured = ws.keep(keyed.mapInArrow(_measure("tl_text", schema.names), schema), "measured", "zstd" if with_text else "snappy")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     params = estimates(ws, measured.where(~failed).select("group", "language", *X))
-    distance = _distance("means", "whiten") / (1 + MIN_WORDS / F.col("n_words"))
+    distance = _distance("means", "whiten") * F.col("n_words") / (F.col("n_words") + MIN_WORDS)
     out = measured.join(params, "group", "left").withColumns({"base_failed": failed, "distance": distance})
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= LIMIT, F.lit(False))).select(*unboxed(carried), *COUNTS, "base_failed", "distance", "kept")
