@@ -109,9 +109,10 @@ def test_minhash_query(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("long_list", [2, 16])
-def test_minhash_planted(spark, monkeypatch, long_list):
-    monkeypatch.setattr(minhash_dedup, "LONG_LIST", long_list)
+@pytest.mark.parametrize("list_size", [1, 2, 32, 1000])
+def test_minhash_planted(spark, monkeypatch, list_size):
+    """The same groups whether lists count as short or long."""
+    monkeypatch.setattr(minhash_dedup, "LIST", list_size)
     monkeypatch.setattr(minhash_dedup, "BLOCK", 16)
     texts = planted()
     docs = helpers.frame(spark, [(d, t, "en", "a", 1) for d, t in texts.items()])
@@ -119,6 +120,23 @@ def test_minhash_planted(spark, monkeypatch, long_list):
     assert got == near_groups(texts)
 
 
+@pytest.mark.parametrize("list_size", [1, 32])
+def test_minhash_families_of_shared_passages(spark, monkeypatch, list_size):
+    """Texts that share most of their words without being linked, of several sizes, and links among them."""
+    monkeypatch.setattr(minhash_dedup, "LIST", list_size)
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 8)
+    rng, texts = random.Random(21), {}
+    common = helpers.prose(rng, 200)
+    for i in range(120):
+        kept = " ".join(common.split()[: rng.choice((120, 150, 200))])
+        texts[i] = f"{kept} {helpers.prose(rng, rng.choice((20, 30, 45, 60, 90)))}"
+    for i in range(120, 150):
+        texts[i] = mutated(rng, texts[rng.randrange(120)], 0.01)
+    docs = helpers.frame(spark, [(d, t, "en", "a", 1) for d, t in texts.items()])
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash_dedup.link_near_duplicates(docs).collect()}
+    assert got == near_groups(texts)
+
+
 def test_substring_query(spark):
     want = removed({r["doc_id"]: r["text"] for r in table("documents")})
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in run(spark, "op8_substring_dedup")} == want

@@ -1,41 +1,52 @@
 """Near-duplicate texts by a join of MinHash signature coordinates.
 
-Method: a text's set of word shingles gets a signature of `COORDINATES` minima.
-Every coordinate with its value is a posting key. A pair whose signatures agree
-in at least `MATCHES` coordinates shares a key among the first
-COORDINATES - MATCHES + 1 of each side in any fixed order, so only this prefix
-is posted, rarest keys first: what many texts share (a common line, a licence)
-falls out of the prefixes, and lists stay short. Collisions are counted on the
-signatures, pairs above the match threshold are confirmed on the full sets.
+Method: a text's set of word shingles gets a signature of COORDINATES minima.
+Every coordinate with its value is a posting key. A pair is a candidate where
+its signatures agree in at least MATCHES coordinates, and is linked where its
+full sets confirm it; this rule holds for every pair, however many texts share
+its keys. Keys that one text alone has cannot collide; among the others, in
+order of their exact counts, a text posts all but its last MATCHES - 1. Two
+texts that agree in MATCHES keys share one of these (prefix merging), and what
+many texts share (a common line, a licence) falls out of the prefixes.
+
 Pairs already in one group are skipped: lists are first merged as stars around
 one member, and only lists that several groups have are looked at again. In
-short ones pairs are counted on the signatures. The members of long ones form
-families, whose full sets are merged block by block: inverted lists give exact
-intersections without writing out pairs, and only links that join groups leave
-a block.
+those of at most LIST members all pairs are counted on the signatures. Members
+of longer ones are joined once more, by the rarest shingles of their full sets:
+a text with n shingles posts all but the last ceil(0.75 n) - 1 of those that it
+shares, by exact counts. Where even these lists are longer than LIST, their
+members are compared in blocks of one size class with the same and the next
+class; inverted lists of a block give exact intersections without writing out
+pairs, and only links that join groups leave a block.
 
 A pair of similarity 0.75 fails to agree in 12 of 32 coordinates with
-probability 1.5e-6; any higher similarity less often. Nothing is capped.
+probability 1.5e-6; any higher similarity less often. Nothing is capped, and
+LIST, BLOCK and the order of work do not change the result.
 
 Scale: equal sets collapse to one node before anything is posted (a mergeable
-minimum, so thousands of copies cost one row per task). The order of keys uses
-a table of KEY_BUCKETS approximate counts, of fixed size at any corpus size.
-Texts are read twice; only texts in candidate pairs are shuffled.
+minimum, so thousands of copies cost one row per task). Everything is joined by
+key; nothing is broadcast or collected that grows with the corpus. Texts are
+read twice; only texts in candidate pairs are shuffled. Blocks remain quadratic
+for texts that share three quarters of their shingles with very many others
+without being linked to them.
 
 Defined cases: null and wordless texts have n_shingles 0 and link with nothing;
-repeated rows link with each other; a null id counts as larger than all others,
-so a group's component_id is null only if all its ids are.
+repeated rows link with each other; very long texts are hashed in slices; a null
+id counts as larger than all others, so a group's component_id is null only if
+all its ids are.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from turnloom.llm import textops
 from turnloom.llm.columns import boxed, text_of, unboxed, with_fields, without
@@ -46,10 +57,9 @@ SHINGLE = 5
 PERCENT = 75
 COORDINATES = 32
 MATCHES = 12
-KEY_BUCKETS = 1 << 18
-#: Texts of a family in one block, and members up to which a list is short.
+#: Members up to which a list is compared by itself, and texts in one block.
+LIST = 32
 BLOCK = 1024
-LONG_LIST = 16
 
 _draw = np.random.default_rng(5)
 _FACTORS = _draw.integers(1, 2**63, COORDINATES, dtype=np.uint64) | np.uint64(1)
@@ -117,34 +127,22 @@ def _keys(signatures: np.ndarray) -> np.ndarray:
     return textops.mix(signatures.astype(np.uint64) | (np.arange(COORDINATES, dtype=np.uint64) << np.uint64(32)))
 
 
-def _bucket(keys: np.ndarray) -> np.ndarray:
-    return (keys & np.uint64(KEY_BUCKETS - 1)).astype(np.int64)
-
-
-def _tally(batches):
-    counts = np.zeros(KEY_BUCKETS, np.int64)
+def _post(batches):
+    """All keys of each node."""
     for batch in batches:
-        counts += np.bincount(_bucket(_keys(_matrix(batch.column("signature")))).ravel(), minlength=KEY_BUCKETS)
-    some = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_pydict({"bucket": pa.array(some, pa.int64()), "n": pa.array(counts[some], pa.int64())})
-
-
-def _post(ranks):
-    def run(batches):
-        rank, prefix = ranks.value, COORDINATES - MATCHES + 1
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        if batch.num_rows:
             keys = _keys(_matrix(batch.column("signature")))
-            # by approximate count, then by key: the same order for every text
-            order = np.lexsort((keys, rank[_bucket(keys)]), axis=1)[:, :prefix]
-            first = np.take_along_axis(keys, order, axis=1)
-            yield pa.RecordBatch.from_pydict({
-                "key": pa.array(first.ravel().view(np.int64), pa.int64()),
-                "node": pa.array(np.repeat(batch.column("node").to_numpy(), prefix), pa.int64()),
-            })
+            yield pa.RecordBatch.from_pydict({"key": pa.array(keys.ravel().view(np.int64), pa.int64()), "node": pa.array(np.repeat(batch.column("node").to_numpy(), COORDINATES), pa.int64())})
 
-    return run
+
+def _post_members(batches):
+    """All shingles of each node, in slices."""
+    for batch in batches:
+        for node, value in zip(batch.column("node").to_pylist(), batch.column("members"), strict=True):
+            members = np.frombuffer(value.as_buffer(), np.int64)
+            for a in range(0, len(members), 100_000):
+                part = members[a : a + 100_000]
+                yield pa.RecordBatch.from_pydict({"key": pa.array(part, pa.int64()), "node": pa.array(np.full(len(part), node), pa.int64())})
 
 
 def _agree(batches):
@@ -183,10 +181,9 @@ def _confirm(batches):
         yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def _short_list(table: pa.Table) -> pa.Table:
-    """Of one short list: pairs that agree often enough and lie in different groups."""
-    table = table.combine_chunks()
-    table = table.sort_by("node")
+def _list_pairs(table: pa.Table) -> pa.Table:
+    """Of one list: pairs that agree often enough and lie in different groups."""
+    table = table.combine_chunks().sort_by("node")
     node, group, n = (table.column(c).to_numpy() for c in ("node", "group", "n"))
     signatures = _matrix(table.column("signature"))
     a, b = [], []
@@ -200,7 +197,7 @@ def _short_list(table: pa.Table) -> pa.Table:
 
 
 def _merge(table: pa.Table) -> pa.Table:
-    """Of two blocks of a family: links that join groups, from merged lists of the full sets.
+    """Of two blocks: links that join groups, from merged lists of the full sets.
 
     Every member's shingles are looked up in the other block's inverted lists;
     the counts are exact intersections with all texts there at once. Only
@@ -208,7 +205,7 @@ def _merge(table: pa.Table) -> pa.Table:
     """
     table = table.combine_chunks()
     node, group, side = (table.column(c).to_numpy() for c in ("node", "group", "side"))
-    sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in table.column("members")]
+    sets, signatures = [np.frombuffer(v.as_buffer(), np.uint64) for v in table.column("members")], _matrix(table.column("signature"))
     one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     if not len(two):
         two = one
@@ -234,7 +231,7 @@ def _merge(table: pa.Table) -> pa.Table:
         shared = np.bincount(owner[at], minlength=len(two))
         for j in np.flatnonzero(100 * shared >= PERCENT * (len(sets[i]) + sizes - shared)):
             x, y = root(group[i]), root(group[two[j]])
-            if x != y:
+            if x != y and (signatures[i] == signatures[two[j]]).sum() >= MATCHES:
                 parent[max(x, y)] = min(x, y)
                 a.append(node[i])
                 b.append(node[two[j]])
@@ -260,16 +257,32 @@ def link_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     distinct = signed.where("set_key is not null").groupBy("set_key").agg(F.min(F.struct(F.col("tl_id").isNull(), "tl_id", "seq", "tl_print")).alias("head"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n"))
     nodes = ws.keep(distinct.select(F.monotonically_increasing_id().alias("node"), "set_key", "head", F.col("head.tl_id").alias("rep"), F.col("head.tl_print").alias("print"), "signature", "n"), "nodes")
 
-    counts = nodes.select("signature").mapInArrow(_tally, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    rank = np.zeros(KEY_BUCKETS, np.int64)
-    heard = counts.toArrow()
-    rank[heard.column("bucket").to_numpy()] = heard.column("n").to_numpy()
-    ranks = spark.sparkContext.broadcast(rank)  # KEY_BUCKETS numbers, whatever the corpus
-
-    posts = ws.keep(nodes.select("node", "signature").mapInArrow(_post(ranks), "key long, node long"), "posts")
-    lists = posts.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("n")).where("n > 1")
-    shared = ws.keep(posts.join(lists, "key"), "lists")
-    ws.drop(posts)
+    def prefixes(keyed: DataFrame, least: Column, name: str) -> DataFrame:
+        """Of (key, node, ...): what each node posts, all but its last least - 1 shared keys by count.
+
+        Keys that one node alone has are dropped; nodes that share fewer than `least` post nothing.
+        """
+        counts = ws.keep(keyed.groupBy("key").agg(F.count("*").alias("times")).where("times > 1"), "counts")
+        ordered = Window.partitionBy("node").orderBy("times", "key")
+        held = keyed.join(counts, "key").withColumns({"nth": F.row_number().over(ordered), "held": F.count("*").over(Window.partitionBy("node"))})
+        posts = ws.keep(held.where(F.col("nth") <= F.col("held") - least + 1).select("key", "node"), name)
+        ws.drop(counts)
+        lists = posts.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("times")).where("times > 1")
+        shared = ws.keep(posts.join(lists, "key"), "lists")
+        ws.drop(posts)
+        return shared
+
+    def several_groups(shared: DataFrame, groups: DataFrame) -> DataFrame:
+        """The lists whose members lie in more than one group, with `group`."""
+        table = shared.join(groups.withColumnsRenamed({"component": "group"}), "node", "left").withColumn("group", F.coalesce("group", "node"))
+        apart = table.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo != hi").select("key")
+        return ws.keep(table.join(apart, "key", "left_semi"), "mixed")
+
+    def pairs_of(mixed: DataFrame) -> DataFrame:
+        short = mixed.where(F.col("times") <= LIST).select("key", "node", "group").join(side, "node")
+        return ws.keep(short.groupBy("key").applyInArrow(_list_pairs, "a long, b long").distinct(), "pairs")
+
+    shared = prefixes(nodes.select("node", "signature").mapInArrow(_post, "key long, node long"), F.lit(MATCHES), "posts")
     side = nodes.select("node", "signature", "n")
 
     def agreeing(pairs: DataFrame) -> DataFrame:
@@ -288,6 +301,33 @@ def link_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
             pairs = pairs.join(sets.select(F.col("node").alias(s), F.col("members").alias(f"m_{s}")), s)
         return pairs.mapInArrow(_confirm, "a long, b long")
 
+    def in_blocks(mixed: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links among the members of long lists, in blocks of texts that are alike in size and share lists."""
+        long = ws.keep(mixed.select("center", "node", "group").distinct(), "long")
+        family = components(ws, long.select("center", "node"))
+        size = F.floor(F.log(F.col("n")) / (1.0001 * math.log(100 / PERCENT))).cast("int")  # links lie in one class or two adjacent ones
+        placed = family.join(long.select("node", "group").distinct(), "node").join(side, "node").select("component", size.alias("size"), "node", "group", "signature")
+        placed = ws.keep(placed, "families")
+        blocks = ws.keep(placed.groupBy("component", "size").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
+        for name, shift in (("here", 0), ("above", 1), ("below", -1)):
+            placed = placed.join(blocks.select("component", (F.col("size") - shift).alias("size"), F.col("blocks").alias(name)), ["component", "size"], "left")
+        own = F.pmod(F.xxhash64("node"), F.col("here")).cast("int")
+
+        def meet(count: str, low: Column, i, high: Column, j, side_: Column) -> Column:
+            """One struct for each block of that class."""
+            each = F.filter(F.sequence(F.lit(0), F.coalesce(count, F.lit(0))), lambda k: k < F.coalesce(count, F.lit(0)))
+            return F.transform(each, lambda k: F.struct(low.alias("low"), i(k).alias("i"), high.alias("high"), j(k).alias("j"), side_(k).alias("side")))
+
+        c, me, it = F.col("size"), (lambda k: F.col("own")), (lambda k: k)
+        turn = lambda v: lambda k: F.lit(v)
+        met = F.concat(
+            meet("here", c, lambda k: F.least("own", k), c, lambda k: F.greatest("own", k), lambda k: F.when(F.col("own") <= k, 0).otherwise(1)),
+            meet("above", c, me, c + 1, it, turn(0)),
+            meet("below", c - 1, it, c, me, turn(1)),
+        )
+        spread = placed.withColumn("own", own).withColumn("met", F.explode(met)).select("component", "met.*", "node", "group", "signature")
+        return spread.join(sets, "node").groupBy("component", "low", "i", "high", "j").applyInArrow(_merge, "a long, b long")
+
     ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node"))
     stars = shared.where("node != center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
     pairs = ws.keep(agreeing(stars), "pairs")
@@ -297,26 +337,24 @@ def link_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     groups = components(ws, links)
 
     # lists that more than one group has; their centers have met all members
-    table = shared.where("n > 2").join(groups.withColumnsRenamed({"component": "group"}), "node", "left").withColumn("group", F.coalesce("group", "node"))
-    apart = table.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo != hi").select("key")
-    mixed = ws.keep(table.join(apart, "key", "left_semi"), "mixed")
+    mixed = several_groups(shared.where("times > 2"), groups)
+    ws.drop(shared, pairs)
     if not mixed.isEmpty():
-        short = mixed.where((F.col("n") <= LONG_LIST) & (F.col("node") != F.col("center"))).drop("n").join(side, "node")
-        pairs = ws.keep(short.groupBy("key").applyInArrow(_short_list, "a long, b long").distinct(), "pairs")
-        # members of long lists overlap in most of their prefix; lists with common members form one family
-        long = ws.keep(mixed.where(F.col("n") > LONG_LIST).select("center", "node", "group").distinct(), "long")
-        family = components(ws, long.select("center", "node"))
-        placed = family.join(long.select("node", "group").distinct(), "node")
-        placed = ws.keep(placed.join(family.groupBy("component").agg(F.count("*").alias("size")), "component"), "families")
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        spread = placed.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        spread = spread.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "group")
-        sets = sets_of(ends(pairs).union(placed.select("node")))
-        merged = spread.join(sets, "node").groupBy("component", "i", "j").applyInArrow(_merge, "a long, b long")
-        more = ws.keep(links.union(confirmed(pairs, sets)).union(merged), "links")
+        pairs = pairs_of(mixed)
+        crowd = ws.keep(mixed.where(F.col("times") > LIST).select("node").distinct(), "crowd")
+        sets = sets_of(ends(pairs).union(crowd))
+        found = confirmed(pairs, sets)
+        if not crowd.isEmpty():
+            own = crowd.join(sets.select("node", "members"), "node")
+            sizes = side.select("node", "n")
+            keyed = own.mapInArrow(_post_members, "key long, node long").join(sizes, "node")
+            shared = prefixes(keyed, F.ceil(F.col("n") * PERCENT / 100), "rare")
+            mixed = several_groups(shared, groups)
+            rare = pairs_of(mixed)
+            found = found.union(confirmed(rare, sets)).union(in_blocks(mixed.where(F.col("times") > LIST), sets))
+        links = ws.keep(links.union(found), "links")
         ws.drop(sets)
-        groups = components(ws, more)
+        groups = components(ws, links)
 
     least = nodes.join(groups, "node", "left").select("set_key", "head", F.coalesce("component", "node").alias("component"))
     heads = least.groupBy("component").agg(F.min("head").alias("first"))
