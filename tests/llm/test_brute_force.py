@@ -142,17 +142,54 @@ def test_substring_query(spark):
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in run(spark, "op8_substring_dedup")} == want
 
 
-def test_substring_planted(spark):
-    from turnloom.llm.substring_dedup import decode, encode, remove_repeated_windows
-
+@pytest.mark.parametrize(("fan", "windows", "false_pairs"), [(10, 1 << 20, 1e-3), (2, 64, 1e-3), (3, 200, 1e-25), (10, 1 << 20, 1e-40)])
+def test_substring_planted(spark, monkeypatch, fan, windows, false_pairs):
+    """With one exchange and with several, with hashes of 8 to 16 bytes."""
+    import turnloom.llm.substring_dedup as substring_dedup
+
+    monkeypatch.setattr(substring_dedup, "FAN_BITS", fan)
+    monkeypatch.setattr(substring_dedup, "RANGE_WINDOWS", windows)
+    monkeypatch.setattr(substring_dedup, "GATHER_WINDOWS", 8 * windows)
+    monkeypatch.setattr(substring_dedup, "FALSE_PAIRS", false_pairs)
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", 1 << 13)
     texts = planted(5)
     docs = helpers.frame(spark, [(d, t, "en", "a", 1) for d, t in texts.items()])
-    out = remove_repeated_windows(docs.repartition(5), digest=True).collect()
+    out = substring_dedup.remove_repeated_windows(docs.repartition(5), digest=True).collect()
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in out} == removed(texts)
     for r in out:  # the text that is left has the kept words
         assert hashlib.sha256(" ".join(r["text"].split()).encode()).hexdigest() == r["kept_sha256"]
-    for values in ([], [0], [5, 2**64 - 1], [1, 2, 3]):
-        assert decode(encode(np.array(values, np.uint64))).tolist() == values
+
+
+def test_substring_hash_blocks():
+    from turnloom.llm.substring_dedup import _among, decode, encode, hash_bytes
+
+    assert [hash_bytes(n) for n in (0, 10**8, 10**10, 10**13, 10**30)] == [8, 8, 10, 12, 16]
+    rng = np.random.default_rng(3)
+    for n, extra in ((0, 0), (1, 0), (3, 5), (15, 8), (16, 0), (1000, 1), (1000, 8)):
+        values, more = np.sort(rng.integers(0, 2**63, n, dtype=np.uint64)), rng.integers(0, 2**63, n, dtype=np.uint64) & np.uint64(2 ** (8 * extra) - 1)
+        got = decode(encode(values, more, extra), extra)
+        assert got[0].tolist() == values.tolist() and got[1].tolist() == more.tolist()
+    import pyarrow as pa
+
+    # hashes that agree in 64 bits are told apart by the others
+    one = lambda *pairs: tuple(np.array(x, np.uint64) for x in zip(*sorted(pairs)))
+    blobs = pa.array([encode(*one((5, 1), (5, 3), (9, 0)), 1), encode(*one((5, 2)), 1)], pa.binary())
+    assert _among(*one((5, 0), (5, 1), (5, 2), (5, 3), (5, 4), (9, 0), (9, 1), (10, 0)), blobs, 1).tolist() == [False, True, True, True, False, True, False, False]
+
+
+def test_substring_block_cost_does_not_grow():
+    """Time and bytes for each window of a chunk with as many ranges as an exchange ever has, against a few."""
+    import time
+
+    from turnloom.llm.substring_dedup import FAN_BITS, _blocks
+
+    values = np.sort(np.random.default_rng(1).integers(0, 2**63, 600_000, dtype=np.uint64) * np.uint64(2))
+    none, cost = np.zeros(len(values), np.uint64), {}
+    for bits in (6, FAN_BITS):
+        began = time.process_time()
+        out = _blocks(values, none, none.astype(bool), none, np.zeros(1, np.int64), bits, 0)
+        cost[bits] = ((time.process_time() - began) / len(values), sum(map(len, out.column("hashes").to_pylist())) / len(values))
+    assert cost[FAN_BITS][0] < 2e-6 and cost[FAN_BITS][1] < 6.5 and cost[FAN_BITS][1] < 1.1 * cost[6][1]
 
 
 def test_quality_base_counts(spark):

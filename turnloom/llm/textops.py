@@ -18,6 +18,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: A pseudo-random 64-bit value for each byte.
 _BYTE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) | _U(1)
+#: Another one, for hashes that are independent of the first.
+_BYTE_2 = np.random.default_rng(20240608).integers(1, 2**63, 256, dtype=np.uint64) | _U(1)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 _SLICE = 1 << 19
@@ -119,10 +121,10 @@ def words(raw: np.ndarray, at: np.ndarray, separator: np.ndarray = SEPARATOR):
     return np.concatenate(found), counts, s, e
 
 
-def span_hashes(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """64-bit hashes of raw[first:last] for each pair of positions."""
+def span_hashes(raw: np.ndarray, first: np.ndarray, last: np.ndarray, second: bool = False) -> np.ndarray:
+    """64-bit hashes of raw[first:last] for each pair of positions; `second` gives other ones."""
     sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * powers(_BASE, len(raw)), out=sums[1:])
+    np.cumsum((_BYTE_2 if second else _BYTE)[raw] * powers(_BASE, len(raw)), out=sums[1:])
     h = (sums[last] - sums[first]) * powers(_INVERSE, len(raw) + 1)[first]
     return mix(h + (last - first).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
 
