@@ -511,15 +511,21 @@ def test_embedding_query(spark):
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in run(spark, "op9_embedding_dedup")} == want
 
 
-@pytest.mark.parametrize(("cell", "top"), [(50, 2048), (50, 0), (4096, 2048)])
-def test_embedding_planted(spark, monkeypatch, cell, top):
+@pytest.mark.parametrize(("cell", "fan", "levels"), [(20, 4, 30), (50, 12, 30), (50, 4, 0), (50, 4, 1), (4096, 64, 30)])
+def test_embedding_planted(spark, monkeypatch, cell, fan, levels):
+    """Deep trees, shallow ones and none; loose groups, and one in which all are links of all."""
     monkeypatch.setattr(embedding_dedup, "CELL", cell)
-    monkeypatch.setattr(embedding_dedup, "TOP_NODES", top)
+    monkeypatch.setattr(embedding_dedup, "FAN", fan)
+    monkeypatch.setattr(embedding_dedup, "LEVELS", levels)
     rng = np.random.default_rng(4)
-    rows = []
-    for i in range(400):
-        base = rng.normal(size=8) if i % 4 == 0 else rows[i - i % 4]["embedding"]
-        rows.append({"vec_id": i, "embedding": (np.array(base) + rng.normal(size=8) * rng.choice([0, 0.05, 0.2])).tolist(), "label": int(i % 400 < 300)})
+    rows, tight = [], rng.normal(size=8)
+    for i in range(500):
+        if i >= 400:
+            vector = (tight + rng.normal(size=8) * 0.01) * rng.choice([0.5, 1, 7])
+        else:
+            base = rng.normal(size=8) if i % 4 == 0 else rows[i - i % 4]["embedding"]
+            vector = np.array(base) + rng.normal(size=8) * rng.choice([0, 0.05, 0.2])
+        rows.append({"vec_id": i, "embedding": vector.tolist(), "label": int(i < 300 or i >= 400)})
     table_ = spark.createDataFrame([(r["vec_id"], r["embedding"], r["label"]) for r in rows], "vec_id long, embedding array<double>, label int")
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.link_embeddings(table_).collect()}
     assert got == links_of(rows)

@@ -1,25 +1,29 @@
 """Near-duplicate vectors: exact threshold pairs by dual traversal of cover trees.
 
-Method: vectors of one label are split among the nodes of a cover tree's top,
-each vector to its nearest center, with the largest distance as the node's
-covering radius. Node pairs farther apart than their radii and the threshold
-allow are pruned. For every pair that is left, blocks of both nodes meet in one
-task, which builds the lower levels (nested nets of halving radii) and walks
-both trees at once, pruning pairs of balls by the same bound down to pairs of
-vectors.
+Method: the vectors of a label are the root of a tree. A node with more than
+CELL vectors is split among about FAN of them as centers, each vector to its
+nearest, with the largest distance as the child's covering radius; children are
+split on, level by level, in Spark. Pairs of nodes that may hold links are
+carried down the levels: of a pair's children only those remain that are not
+farther apart than their radii and the threshold allow. Where radii and distance
+are so small that all pairs of two leaves are links, they are counted by the
+leaves' weights. Every other pair of leaves meets in one task, which builds the
+lower levels (nested nets of halving radii) and walks both trees at once,
+pruning pairs of balls by the same bound down to pairs of vectors.
 
 Scale: equal vectors collapse to one node with a weight before anything else.
-The top has at most TOP_NODES centers for the whole table, which are broadcast;
-labels without one are a single cell. Cells above CELL rows are dealt out in
-blocks. A task returns a count per vector and the
-links of a spanning forest, never the pairs, so a group of n vectors that are
-all alike returns n rows. In high dimensions without clusters no metric bound
-prunes, and the work grows with the square of a label's size.
+Nothing is collected or broadcast; vectors are joined with the centers of their
+own cell only. Leaves that cannot be made small are dealt out in blocks of CELL.
+A task returns a count per vector and the links of a spanning forest, never the
+pairs, so a group of n vectors that are all alike returns n rows. In high
+dimensions without clusters no metric bound prunes, and the work grows with the
+square of a label's size.
 
 Defined cases: vectors that are null, of length zero or hold null or non-finite
 values, and rows without a label, link with nothing: n_links 0, component_id is
 their own id, kept true. Vectors of different lengths never link. Repeated rows
-link with each other. A null id counts as larger than all others.
+link with each other. A null id counts as larger than all others. Very long
+vectors are like others; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,8 +42,10 @@ from turnloom.llm.components import components
 from turnloom.llm.workspace import Workspace
 
 THRESHOLD = 0.98
-TOP_NODES = 2048
+#: Vectors that a leaf should hold at most, centers that a larger node is split among, and levels at most.
 CELL = 4096
+FAN = 64
+LEVELS = 30
 #: Around the threshold within which a cosine is worked out again from the vectors as given.
 DOUBT = 1e-9
 
@@ -70,44 +76,52 @@ def _units(column) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _assign(centers):
-    """Nearest center of the same label and width; cell 0 where there is none."""
+def _gaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(2 - 2 * (x @ y.T), 0))
 
-    def run(batches):
-        for batch in batches:
-            cells, gaps = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            labels = np.array(batch.column("space").to_pylist(), object)
-            for label in set(labels.tolist()):
-                own = np.flatnonzero(labels == label)
-                if label in centers.value:
-                    first, c = centers.value[label]
-                    x = _units(batch.column("vector").take(pa.array(own)))
-                    d = np.sqrt(np.maximum(2 - 2 * (x @ c.T), 0))
-                    cells[own], gaps[own] = first + d.argmin(1), d.min(1)
-            yield pa.RecordBatch.from_pydict({"node": batch.column("node"), "space": batch.column("space"), "vector": batch.column("vector"), "weight": batch.column("weight"), "n": batch.column("n"), "cell": pa.array(cells), "gap": pa.array(gaps)})
 
-    return run
+def _split(members: pa.Table, centers: pa.Table) -> pa.Table:
+    """Members of a cell to its nearest center; a center to itself."""
+    members, centers = members.combine_chunks(), centers.combine_chunks()
+    names = centers.column("node").to_numpy()
+    gaps = _gaps(_units(members.column("vector")), _units(centers.column("vector")))
+    own, gap = gaps.argmin(1), gaps.min(1)
+    node = members.column("node").to_numpy()
+    order = np.argsort(names)
+    at = np.minimum(np.searchsorted(names[order], node), len(names) - 1)
+    is_center = names[order][at] == node
+    own[is_center], gap[is_center] = order[at[is_center]], 0.0
+    return pa.table({"node": members.column("node"), "vector": members.column("vector"), "weight": members.column("weight"), "parent": members.column("cell"), "cell": pa.array(names[own]), "gap": pa.array(gap)})
 
 
-def _spread(partners, blocks):
-    """Each row to every pair of blocks that its block is part of."""
+def _balls(family) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Cells, radii and centers of the children of a node; a root has no center."""
+    cells, radii = (np.array([b[c].as_py() for b in family]) for c in ("cell", "radius"))
+    centers = [b["center"] for b in family]
+    return cells, radii, _units(centers) if all(c.is_valid for c in centers) else None
+
+
+def _near(threshold: float):
+    """Pairs of children that may hold links, and whether all their pairs are links."""
+    reach = float(np.sqrt(2 - 2 * threshold))
 
     def run(batches):
         for batch in batches:
-            rows, left, right, side = [], [], [], []
-            for r, (node, cell, n) in enumerate(zip(batch.column("node").to_pylist(), batch.column("cell").to_pylist(), batch.column("n").to_pylist(), strict=True)):
-                # a label without centers is one cell of n rows
-                count = lambda c: blocks.value[c] if c else -(-n // CELL)  # noqa: B023, E731
-                own = node * 2654435761 % 4294967296 % count(cell)
-                for other in partners.value.get(cell, (cell,)):
-                    for b in range(count(other)):
-                        me, you = (cell, own), (other, b)
-                        rows.append(r)
-                        left.append(f"{min(me, you)}")
-                        right.append(f"{max(me, you)}")
-                        side.append(0 if me <= you else 1)
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_pydict({"space": batch.column("space").take(at), "one": pa.array(left), "two": pa.array(right), "side": pa.array(side, pa.int32()), "node": batch.column("node").take(at), "vector": batch.column("vector").take(at), "weight": batch.column("weight").take(at)})
+            left, right, full = [], [], []
+            for a, b, one, two in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("one"), batch.column("two"), strict=True):
+                (ca, ra, xa), (cb, rb, xb) = _balls(one), _balls(two)
+                gaps = _gaps(xa, xb) if xa is not None and xb is not None else np.zeros((len(ca), len(cb)))
+                if a == b:
+                    np.fill_diagonal(gaps, 0.0)  # a ball's distance to itself, without rounding
+                spread = ra[:, None] + rb[None, :]
+                near = gaps <= spread + reach + 1e-6
+                if a == b:
+                    near &= np.arange(len(ca))[:, None] <= np.arange(len(cb))
+                i, j = np.nonzero(near)
+                left += np.minimum(ca[i], cb[j]).tolist()
+                right += np.maximum(ca[i], cb[j]).tolist()
+                full += (gaps[i, j] + spread[i, j] <= reach - 1e-6).tolist()
+            yield pa.RecordBatch.from_pydict({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64()), "full": pa.array(full, pa.bool_())})
 
     return run
 
@@ -119,7 +133,7 @@ def _meet(threshold: float):
         units, given = _units(table.column("vector")), table.column("vector")
         one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         # a block with itself has one side only; two blocks of which one is empty do not meet
-        alone = table.column("one")[0].as_py() == table.column("two")[0].as_py()
+        alone = table.column("a")[0] == table.column("b")[0] and table.column("i")[0] == table.column("j")[0]
         links, parent, a, b = np.zeros(len(node), np.int64), list(range(len(node))), [], []
 
         def root(i):
@@ -158,6 +172,50 @@ def _meet(threshold: float):
     return run
 
 
+def grow(ws: Workspace, nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The upper levels: members (node, vector, weight, cell), leaves (cell, n, w, radius, center), pairs (a, b, full).
+
+    A cell is named by the node that is its center, a root by its smallest node.
+    """
+    reach = float(np.sqrt(2 - 2 * threshold))
+    ball = "cell long, n long, w long, radius double, center binary"
+    roots = ws.keep(nodes.groupBy("space").agg(F.min("node").alias("cell"), F.count("*").alias("n"), F.sum("weight").alias("w")), "roots")
+    members = ws.keep(nodes.join(roots.select("space", "cell"), "space").select("node", "vector", "weight", "cell"), "members")
+    cells = ws.keep(roots.select("cell", "n", "w", F.lit(4.0).alias("radius"), F.lit(None).cast("binary").alias("center")), "cells")
+    pairs = roots.select(F.col("cell").alias("a"), F.col("cell").alias("b"))
+    kids_of = lambda rows, key: rows.groupBy(F.col(key).alias("key")).agg(F.collect_list(F.struct("cell", "radius", "center")).alias("family"))
+
+    def carried_down(pairs: DataFrame, families: DataFrame) -> DataFrame:
+        families = ws.keep(families, "families")
+        for end, name in (("a", "one"), ("b", "two")):
+            pairs = pairs.join(families.select(F.col("key").alias(end), F.col("family").alias(name)), end)
+        return ws.keep(pairs.select("a", "b", "one", "two").mapInArrow(_near(threshold), "a long, b long, full boolean"), "pairs")
+
+    for level in range(LEVELS):
+        big = cells.where((F.col("n") > CELL) & (2 * F.col("radius") > reach - 1e-6)).select("cell", "n")
+        if big.isEmpty():
+            break
+        share = F.lit(float(FAN << 30)) / F.col("n")
+        centers = members.join(big, "cell").where(F.pmod(F.xxhash64("vector", F.lit(level)), F.lit(1 << 30)) < share).select("cell", "node", "vector")
+        centers = ws.keep(centers, "centers")
+        able = ws.keep(centers.groupBy("cell").agg(F.count("*").alias("k")).where("k > 1").join(big, "cell").select("cell", F.ceil(F.col("n") / (4 * CELL)).cast("int").alias("salts")), "able")
+        if able.isEmpty():
+            break
+        salted = members.join(able, "cell").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).drop("salts")
+        spread = centers.join(able, "cell").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+        moved = salted.groupBy("cell", "salt").cogroup(spread.groupBy("cell", "salt")).applyInArrow(_split, "node long, vector binary, weight long, parent long, cell long, gap double")
+        moved = ws.keep(moved, "moved")
+        kids = moved.groupBy("parent", "cell").agg(F.count("*").alias("n"), F.sum("weight").alias("w"), F.max("gap").alias("radius"), F.max(F.when(F.col("node") == F.col("cell"), F.col("vector"))).alias("center"))
+        kids = ws.keep(kids, "kids")
+        rest = cells.join(able, "cell", "left_anti")
+        pairs = carried_down(pairs.select("a", "b"), kids_of(kids, "parent").unionByName(kids_of(rest.withColumn("key", F.col("cell")), "key")))
+        members = ws.keep(members.join(able, "cell", "left_anti").select("node", "vector", "weight", "cell").unionByName(moved.select("node", "vector", "weight", "cell")), "members")
+        cells = ws.keep(rest.select(*[c.split()[0] for c in ball.split(", ")]).unionByName(kids.drop("parent")), "cells")
+    if "full" not in pairs.columns:
+        pairs = pairs.withColumn("full", F.lit(False))
+    return members, cells, pairs
+
+
 def link_embeddings(table: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, keep_vector: bool = True, workspace: Workspace | None = None) -> DataFrame:
     """The rows with n_links, component_id and kept."""
     spark = table.sparkSession
@@ -170,43 +228,33 @@ def link_embeddings(table: DataFrame, vec_id: str = "vec_id", vector: str = "emb
     least = signed.where("vec_key is not null").groupBy("space", "vec_key").agg(F.min("tl_id").alias("rep"), F.count("*").alias("weight"), F.first("vector").alias("vector"))
     nodes = ws.keep(least.select(F.monotonically_increasing_id().alias("node"), "*"), "nodes")
 
-    sizes = nodes.groupBy("space").agg(F.count("*").alias("n"))
-    large = sizes.where(F.col("n") > CELL)
-    total = large.agg(F.sum("n")).first()[0] or 0
-    tops, blocks, partners = {}, {}, {}
-    share = min(1.0 / CELL, TOP_NODES / (2.0 * max(total, 1)))
-    if total:  # centers of large labels: a sample by hash, about `share` of their vectors and TOP_NODES at most
-        picked = nodes.join(large, "space").where(F.pmod(F.xxhash64("vec_key"), F.lit(1 << 30)) < F.lit(share * (1 << 30)))
-        found: dict[str, list] = {}
-        for r in picked.orderBy(F.xxhash64("vec_key"), "space").limit(TOP_NODES).select("space", "vector").collect():
-            found.setdefault(r["space"], []).append(np.frombuffer(r["vector"], np.float64))
-        first = 1
-        for name in sorted(found):
-            x = np.stack(found[name])
-            x = x / np.abs(x).max(1, keepdims=True)
-            tops[name] = (first, x / np.sqrt((x * x).sum(1, keepdims=True)))
-            first += len(x)
-    send = spark.sparkContext.broadcast
-    sized = nodes.join(sizes, "space").select("node", "space", "vector", "weight", "n")
-    placed = sized.mapInArrow(_assign(send(tops)), "node long, space string, vector binary, weight long, n long, cell long, gap double")
-    if tops:
-        placed = ws.keep(placed, "placed")
-        cells = {r["cell"]: (r["n"], r["r"]) for r in placed.where("cell > 0").groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("r")).collect()}
-        reach = float(np.sqrt(2 - 2 * threshold)) + 1e-6
-        for first, c in tops.values():
-            gaps = np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0))
-            radius = np.array([cells.get(first + k, (0, -9.0))[1] for k in range(len(c))])
-            near = gaps <= radius[:, None] + radius[None, :] + reach
-            for k in range(len(c)):
-                partners[first + k] = tuple((first + np.flatnonzero(near[k])).tolist())
-                blocks[first + k] = max(1, -(-cells.get(first + k, (0, 0))[0] // CELL))
-    spread = placed.mapInArrow(_spread(send(partners), send(blocks)), "space string, one string, two string, side int, node long, vector binary, weight long")
-    met = ws.keep(spread.groupBy("space", "one", "two").applyInArrow(_meet(threshold), "a long, b long, is_link boolean"), "met")
-    counts = met.where("not is_link").groupBy("a").agg(F.sum("b").alias("others"))
-    links = ws.keep(met.where("is_link").select("a", "b"), "links")
+    members, cells, pairs = grow(ws, nodes, threshold)
+    full, open_ = ws.keep(pairs.where("full"), "full"), pairs.where("not full")
+
+    # leaves of which all pairs are links: weights are counted, and all are linked with one center
+    sides = full.select(F.explode(F.array(F.struct(F.col("a").alias("cell"), F.col("b").alias("other")), F.struct(F.col("b").alias("cell"), F.col("a").alias("other")))).alias("x")).select("x.*").distinct()
+    whole = sides.join(cells.select(F.col("cell").alias("other"), F.col("w")), "other").groupBy("cell").agg(F.sum("w").alias("near"), F.min("other").alias("hub"), F.max(F.col("other") == F.col("cell")).alias("itself"))
+    counted = members.join(whole, "cell").select("node", "hub", (F.col("near") - F.when(F.col("itself"), F.col("weight")).otherwise(0)).alias("others"))
+    counted = ws.keep(counted, "counted")
+
+    # other pairs of leaves: every block of one with every block of the other
+    blocks = cells.select("cell", F.ceil(F.col("n") / CELL).cast("int").alias("blocks"))
+    one = open_.join(blocks.select(F.col("cell").alias("b"), "blocks"), "b").select(F.col("a").alias("cell"), "a", "b", "blocks", F.lit(0).alias("side"))
+    two = open_.where("a != b").join(blocks.select(F.col("cell").alias("a"), "blocks"), "a").select(F.col("b").alias("cell"), "a", "b", "blocks", F.lit(1).alias("side"))
+    dealt = members.join(blocks.withColumnRenamed("blocks", "mine"), "cell").withColumn("own", F.pmod(F.xxhash64("node"), F.col("mine")).cast("int"))
+    met = dealt.join(one.unionByName(two), "cell").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    same, first = F.col("a") == F.col("b"), F.col("side") == 0
+    met = met.select(
+        "a", "b", F.when(same, F.least("own", "k")).when(first, F.col("own")).otherwise(F.col("k")).alias("i"), F.when(same, F.greatest("own", "k")).when(first, F.col("k")).otherwise(F.col("own")).alias("j"),
+        F.when(same, F.when(F.col("own") <= F.col("k"), 0).otherwise(1)).otherwise(F.col("side")).alias("side"), "node", "vector", "weight",
+    )
+    met = ws.keep(met.groupBy("a", "b", "i", "j").applyInArrow(_meet(threshold), "a long, b long, is_link boolean"), "met")
+    counts = met.where("not is_link").select(F.col("a").alias("end"), F.col("b").alias("others")).unionByName(counted.select(F.col("node").alias("end"), "others")).groupBy("end").agg(F.sum("others").alias("others"))
+    links = met.where("is_link").select("a", "b").union(counted.select("node", "hub")).union(full.select("a", "b"))
+    links = ws.keep(links.where("a != b"), "links")
     groups = components(ws, links)
 
-    parts = nodes.join(groups, "node", "left").join(counts, F.col("node") == F.col("a"), "left").select("space", "vec_key", "rep", F.coalesce("component", "node").alias("component"), (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    parts = nodes.join(groups, "node", "left").join(counts, F.col("node") == F.col("end"), "left").select("space", "vec_key", "rep", F.coalesce("component", "node").alias("component"), (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     heads = parts.groupBy("component").agg(F.min("rep").alias("component_id"))
     answer = parts.join(heads, "component").select(F.col("space").alias("s"), F.col("vec_key").alias("k"), "n_links", "component_id")
     out = signed.drop("vector").join(answer, (F.col("space") == F.col("s")) & (F.col("vec_key") == F.col("k")), "left")
