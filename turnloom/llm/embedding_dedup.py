@@ -1,8 +1,8 @@
 """Near-duplicate vectors: exact threshold pairs by dual traversal of cover trees.
 
 Method: the vectors of a label are the root of a tree. A node with more than
-CELL vectors is split among about FAN of them as centers, each vector to its
-nearest, with the largest distance as the child's covering radius; children are
+CELL vectors is split among some of them (FAN at most, about) as centers, each
+vector to its nearest, with the largest distance as the child's covering radius; children are
 split on, level by level, in Spark. Pairs of nodes that may hold links are
 carried down the levels: of a pair's children only those remain that are not
 farther apart than their radii and the threshold allow. Where radii and distance
@@ -195,12 +195,14 @@ def grow(ws: Workspace, nodes: DataFrame, threshold: float) -> tuple[DataFrame,
         big = cells.where((F.col("n") > CELL) & (2 * F.col("radius") > reach - 1e-6)).select("cell", "n")
         if big.isEmpty():
             break
-        share = F.lit(float(FAN << 30)) / F.col("n")
+        # as many centers as make children of half a leaf, so that unclustered vectors are not scattered over tiny leaves
+        wanted = F.greatest(F.lit(3.0), F.least(F.lit(float(FAN)), 2.0 * F.col("n") / CELL))
+        share = wanted * float(1 << 30) / F.col("n")
         centers = members.join(big, "cell").where(F.pmod(F.xxhash64("vector", F.lit(level)), F.lit(1 << 30)) < share).select("cell", "node", "vector")
         centers = ws.keep(centers, "centers")
         able = ws.keep(centers.groupBy("cell").agg(F.count("*").alias("k")).where("k > 1").join(big, "cell").select("cell", F.ceil(F.col("n") / (4 * CELL)).cast("int").alias("salts")), "able")
         if able.isEmpty():
-            break
+            continue  # too few centers by chance: others are drawn on the next level
         salted = members.join(able, "cell").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).drop("salts")
         spread = centers.join(able, "cell").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
         moved = salted.groupBy("cell", "salt").cogroup(spread.groupBy("cell", "salt")).applyInArrow(_split, "node long, vector binary, weight long, parent long, cell long, gap double")
