@@ -811,38 +811,6 @@ def test_components(spark, monkeypatch):
     assert got == {x: groups.root(x) for pair in links for x in pair if pair[0] != pair[1]}
 
 
-def test_pipeline_stages(spark):
-    import corpus_pipeline as pipeline
-    from turnloom.llm.workspace import Workspace
-
-    ws, docs = Workspace(spark), spark.read.parquet(f"{SF}/documents.parquet")
-    columns = docs.columns
-    before = {r["doc_id"]: r["text"] for r in docs.collect()}
-    stages = dict(pipeline.STAGES)
-    assert list(stages) == ["quality_rules", "minhash_dedup", "substring_dedup", "mixing", "packing"]
-    judged = {r["doc_id"]: r["kept"] for r in run(spark, "op3_quality_rules")}
-    good = ws.keep(stages["quality_rules"](spark, docs, SF), "good")
-    assert good.columns == columns
-    texts = {r["doc_id"]: r["text"] for r in good.collect()}
-    assert texts == {d: t for d, t in before.items() if judged[d]}
-    unique = ws.keep(stages["minhash_dedup"](spark, good, SF), "unique")
-    groups = near_groups(texts)
-    left = {r["doc_id"]: r["text"] for r in unique.collect()}
-    assert unique.columns == columns and left == {d: t for d, t in texts.items() if groups[d][1] == d}
-    cut = ws.keep(stages["substring_dedup"](spark, unique, SF), "cut")
-    want = removed(left)
-    after = {r["doc_id"]: r for r in cut.collect()}
-    assert cut.columns == columns and set(after) == set(left)
-    for d, r in after.items():
-        assert hashlib.sha256(" ".join(SPACE.findall(r["text"])).encode()).hexdigest() == want[d][2] and r["n_chars"] == len(r["text"])
-    mixed = ws.keep(stages["mixing"](spark, cut, SF), "mixed")
-    assert mixed.columns == columns
-    drawn = collections.Counter(r["source"] for r in mixed.collect() for _ in SPACE.findall(r["text"]))
-    sizes = collections.Counter(r["source"] for r in after.values() for _ in SPACE.findall(r["text"]))
-    assert abs(sum(drawn.values()) - sum(sizes.values())) <= len(sizes)
-    packed = stages["packing"](spark, mixed, SF).collect()
-    assert sum(r["start"] == 0 for r in packed) == mixed.count()
-
 
 def test_long_conversations_take_a_few_times_their_size():
     """Pieces of any size give the same bytes; 40 MB of text need a small multiple of it."""

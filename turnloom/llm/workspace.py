@@ -86,10 +86,19 @@ class Workspace:
 def settled(spark: SparkSession, build: Callable[[Workspace], DataFrame], codec: str = "zstd") -> DataFrame:
     """The result of build(workspace), written to a table of its own; all other tables that it wrote are deleted.
 
-    The result's table is left until the application ends.
+    The result's table is left until it is released or the application ends.
     """
     work, out = Workspace(spark), Workspace(spark)
     try:
-        return out.keep(build(work), "result", codec)
+        result = out.keep(build(work), "result", codec)
+        result._turnloom_result = out
+        return result
     finally:
         work.close()
+
+
+def release(result: DataFrame) -> None:
+    """Deletes the table of a settled result that nothing reads any more; other tables are left alone."""
+    out = getattr(result, "_turnloom_result", None)
+    if out is not None:
+        out.close()
