@@ -207,19 +207,19 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     names = {"sub": "edge_sub", "h": "edge_h", "task": "edge_task", "need": "edge_need"}
     edges = coarse.drop("need").join(fine, "rank").withColumnsRenamed(names)
 
-    facts = blocks.join(plan, ["rank", "block"], "left").join(edges, "rank", "left").drop("words")
+    facts = ws.keep(blocks.join(plan, ["rank", "block"], "left").join(edges, "rank", "left").drop("words"), "facts")
     joined = placed.join(facts, ["rank", "block"], "left")
-    at_edge = F.coalesce(F.col("part") & (F.col("sub") == F.col("edge_sub")) & (F.col("h") == F.col("edge_h")) & (F.col("task") == F.col("edge_task")), F.lit(False))
     here, there = F.struct("sub", "h", "task"), F.struct("edge_sub", "edge_h", "edge_task")
-    last = F.when(F.col("part"), F.when(here < there, F.col("size")).otherwise(0)).when(F.col("need") > 0, F.col("size")).otherwise(0)
-    even = joined.where(~at_edge).withColumn("last", F.coalesce(last, F.lit(0)).cast("long"))
-    rough = joined.where(at_edge).withColumn("until", F.sum("size").over(by_source.orderBy("line")))
-    rough = rough.withColumn("last", F.greatest(F.lit(0), F.least("size", F.col("edge_need") - F.col("until") + F.col("size"))).cast("long")).drop("until")
+    # rows at the edge, apart from their texts: words that the last one of them gives
+    rough = joined.where(F.col("part") & (here == there)).select("rank", "line", "size", "edge_need").withColumn("until", F.sum("size").over(by_source.orderBy("line")))
+    rough = rough.select("line", F.greatest(F.lit(0), F.least("size", F.col("edge_need") - F.col("until") + F.col("size"))).alias("given"))
+    last = F.when(F.col("part"), F.when(here < there, F.col("size")).otherwise(F.coalesce("given", F.lit(0)))).when(F.col("need") > 0, F.col("size")).otherwise(0)
+    merged = joined.join(ws.keep(rough, "rough"), "line", "left").withColumn("last", F.coalesce(last, F.lit(0)).cast("long"))
     draws = F.expr(f"""
       filter(transform(coalesce(plan, cast(array() as array<struct<epoch:int,shard:int>>)),
         p -> named_struct('epoch', p.epoch, 'shard', p.shard, 'at', xxhash64({seed}L, h, p.epoch), 'words', if(p.epoch < passes, size, last))),
         d -> d.words > 0)""")
-    out = even.unionByName(rough).withColumn("draws", draws).withColumn("taken", F.expr("aggregate(draws, 0L, (t, d) -> t + d.words)"))
+    out = merged.withColumn("draws", draws).withColumn("taken", F.expr("aggregate(draws, 0L, (t, d) -> t + d.words)"))
     return out.select(*unboxed(carried), "size", "source_size", "target", "taken", "draws")
 
 

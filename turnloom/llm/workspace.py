@@ -95,6 +95,7 @@ def settled(spark: SparkSession, build: Callable[[Workspace], DataFrame], codec:
         return result
     finally:
         work.close()
+        spark._jvm.System.gc()  # Spark deletes the shuffle files of finished steps once their plans are collected
 
 
 def release(result: DataFrame) -> None:
