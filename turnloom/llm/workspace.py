@@ -77,6 +77,10 @@ class Workspace:
         for table in tables:
             delete(self.spark, table._turnloom_path)
 
+    def release_shuffles(self) -> None:
+        """Spark deletes the shuffle files of finished steps once their plans are collected; done here, not at some later time."""
+        self.spark._jvm.System.gc()
+
     def close(self) -> None:
         """Deletes all tables written here."""
         if _roots.pop(self.root, None) is not None:
@@ -95,7 +99,7 @@ def settled(spark: SparkSession, build: Callable[[Workspace], DataFrame], codec:
         return result
     finally:
         work.close()
-        spark._jvm.System.gc()  # Spark deletes the shuffle files of finished steps once their plans are collected
+        work.release_shuffles()
 
 
 def release(result: DataFrame) -> None:
