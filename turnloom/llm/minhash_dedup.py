@@ -334,7 +334,6 @@ def link_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     sets = sets_of(ends(pairs))
     links = ws.keep(confirmed(pairs, sets), "links")
     ws.drop(sets)
-    ws.release_shuffles()
     groups = components(ws, links)
 
     # lists that more than one group has; their centers have met all members

@@ -307,7 +307,6 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, text: str = "
         posts = posts.repartition("part", share).sortWithinPartitions("part").mapInArrow(_gather(fine, extra), _BLOCK)
     # written, so that the shuffle of all hashes need not stay while texts are cut
     repeated = ws.keep(posts.groupBy("part").applyInArrow(_count(extra), "chunk long, hashes binary"), "repeated", "none")
-    ws.release_shuffles()
     kinds = {"n_words": T.LongType(), "n_removed": T.LongType(), "kept_sha256": T.StringType()}
     schema = with_fields(docs.schema, *((n, kinds[n]) for n in added))
     return packed.select("chunk", "payload").groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(_remove(window, text, digest, schema.names, extra), schema)

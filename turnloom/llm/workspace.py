@@ -51,10 +51,15 @@ def _at_exit() -> None:
         _roots.clear()
 
 
+#: Whether Spark deletes the shuffle files of an execution when it ends; else they stay until the driver collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Workspace:
     """Tables that cut lineage: each is computed once, written, and read back.
 
-    A written table survives the loss of executors, unlike cached blocks.
+    A written table survives the loss of executors, unlike cached blocks. With
+    the table there, the shuffle files that led to it are deleted.
     """
 
     def __init__(self, spark: SparkSession):
@@ -67,7 +72,15 @@ class Workspace:
     def keep(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
-        df.write.option("compression", codec).parquet(path)
+        before = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.option("compression", codec).parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(_CLEANUP)
+            else:
+                self.spark.conf.set(_CLEANUP, before)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._turnloom_path = path
         return kept
@@ -77,10 +90,6 @@ class Workspace:
         for table in tables:
             delete(self.spark, table._turnloom_path)
 
-    def release_shuffles(self) -> None:
-        """Spark deletes the shuffle files of finished steps once their plans are collected; done here, not at some later time."""
-        self.spark._jvm.System.gc()
-
     def close(self) -> None:
         """Deletes all tables written here."""
         if _roots.pop(self.root, None) is not None:
@@ -99,7 +108,6 @@ def settled(spark: SparkSession, build: Callable[[Workspace], DataFrame], codec:
         return result
     finally:
         work.close()
-        work.release_shuffles()
 
 
 def release(result: DataFrame) -> None:
