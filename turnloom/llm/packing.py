@@ -22,6 +22,7 @@ follows the input partitions.
 
 from __future__ import annotations
 
+import json
 import os
 import sys
 import zlib
@@ -159,12 +160,46 @@ class WordEncoder:
         return np.concatenate(ids), textops.per_text(np.concatenate(per), np.concatenate(([0], np.cumsum(counts))))
 
 
-_encoders: dict[str, WordEncoder] = {}
+class TextEncoder:
+    """Ids of whole texts, for any tokenizer file."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def ids(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        whole = raw.tobytes()
+        texts = [whole[a:b].decode() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(f) for f in found], np.int64)
+
+
+#: The rules of a tokenizer file for which WordEncoder holds (fixed values).
+_BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+}
+
+
+def by_word(path: str) -> bool:
+    """Whether a tokenizer file has these rules, and no added token that could reach over white space."""
+    with open(path, encoding="utf-8") as file:
+        rules = json.load(file)
+    added = [t["content"] for t in rules["added_tokens"]]
+    return all(rules[k] == v for k, v in _BY_WORD.items()) and not any(c.isspace() for t in added for c in t)
+
+
+_encoders: dict[str, WordEncoder | TextEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str) -> WordEncoder | TextEncoder:
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        _encoders[path] = (WordEncoder if by_word(path) else TextEncoder)(path)
     return _encoders[path]
 
 
