@@ -492,6 +492,21 @@ def test_word_encoder_is_the_tokenizer(monkeypatch, known):
     same()
 
 
+def test_packing_with_another_tokenizer(spark):
+    """A byte-level vocabulary keeps case and white space, so texts are encoded whole."""
+    from turnloom.llm.packing import by_word, pack_documents
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert by_word(TOKENIZER) and not by_word(path)
+    tokenizer, texts = Tokenizer.from_file(path), {1: "Hello  World\n\n it's <|endoftext|> x", 2: "", 3: None, 4: "é中😀 " * 50}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = collections.defaultdict(list)
+    for r in pack_documents(docs, path, capacity=64, with_ids=True).collect():
+        got[r["doc_id"]] += [(r["start"], r["ids"])]
+    for d, text in texts.items():
+        assert [i for _, ids in sorted(got[d]) for i in ids] == [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+
+
 def links_of(rows, threshold=0.98):
     spaces, groups, n = collections.defaultdict(list), Groups([r["vec_id"] for r in rows]), collections.Counter()
     for r in rows:
@@ -795,6 +810,127 @@ def test_toxicity_held_out(spark):
     assert sum(p == y for (_, p), y in held) / len(held) > 0.97
 
 
+def plain_features(text, known):
+    """The features of a text by plain Python; known: {word: weight} of the lexicon."""
+    from turnloom.llm import toxicity as X
+
+    lower = re.sub("[A-Z]", lambda m: m[0].lower(), text)
+    words = re.findall(r"[a-z0-9\x80-\U0010FFFF]+", lower)
+    hit = [w in known for w in words]
+    you = [i for i, w in enumerate(words) if w in X.SECOND_PERSON]
+    near = lambda i: any(abs(i - j) <= X.NEAR for j in you)
+    # look-alikes as letters; other punctuation inside words dropped
+    leet = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"}
+    plain = "".join(leet.get(c, c) if c in leet or not (0x21 <= ord(c) < 0x7F and not c.isalnum()) else "" for c in lower)
+    spelled = [w for w in re.split(r"[\x20\x09-\x0D]+", plain) if w]
+    hits, hidden = sum(hit), max(sum(w in known for w in spelled) - sum(hit), 0)
+    n, size = max(len(words), 1), max(len(text.encode()), 1)
+    count = lambda p: len(re.findall(p, text))
+    loose = sum(0x21 <= ord(c) < 0x7F and not c.isalnum() for c in text)
+    return [
+        min(hits, 50), hits / n, max((sum(hit[i : i + 50]) for i in range(len(words)) if hit[i]), default=0), sum(w in X.SEEDS for w in words) / n, sum(known.get(w, 0) for w in words) / n,
+        sum(h and near(i) for i, h in enumerate(hit)) / n, len(you) / n, min(hidden, 50), hidden / n, count("[A-Z]") / size, count("!") / n, loose / n, count("[0-9]") / size,
+        max(len(words) - len(spelled), 0) / n, np.log1p(len(words)),
+    ]
+
+
+def test_toxicity_features():
+    import pyarrow as pa
+
+    from turnloom.llm import toxicity as X
+
+    rng, known = random.Random(31), {"grob": 1.5, "idiot": 2.0, "zlat": 0.7}
+    pool = [*known, "Idiot!", "1d10t", "gr0b", "g.rob", "z|at", "you", "your", "tu", "plain", "É", "中😀", "42", "A-B", "moron", "\n", "--", "$"]
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.randrange(200))) for _ in range(150)] + ["", " "]
+    hashes = {int(X.hashes_of([w])[0]): v for w, v in known.items()}
+    lexicon = (np.array(sorted(hashes), np.uint64), np.array([hashes[k] for k in sorted(hashes)]))
+    got = X.features(pa.RecordBatch.from_pydict({"text": texts}), "text", lexicon)
+    for name, column, want in zip(X.FEATURES, got.T, np.array([plain_features(t, known) for t in texts]).T, strict=True):
+        assert column == pytest.approx(want), name
+
+
+def test_boosted_trees():
+    """Every cut has the largest gain of all cuts, and every leaf the step that belongs to its rows."""
+    from turnloom.llm.boosting import fit_trees
+
+    rng, depth, rate, smooth, least = np.random.default_rng(32), 2, 0.3, 5.0, 5
+    for _ in range(4):
+        x = np.round(rng.normal(size=(80, 3)), 1)
+        y = (x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(size=80) * 0.3 > 0).astype(float)
+        trees = fit_trees(x, y, rounds=6, depth=depth, rate=rate, bins=10**6, smooth=smooth, least=least)
+        score = np.full(len(y), np.log((y.sum() + 0.5) / (len(y) + 0.5 - y.sum())))
+        for feature, cut, leaf in zip(trees.feature, trees.cut, trees.leaf):
+            p = 1 / (1 + np.exp(-score))
+            g, h = p - y, p * (1 - p)
+            worth = lambda *parts: sum(g[s].sum() ** 2 / (h[s].sum() + smooth) for s in parts)  # noqa: B023, E731
+            rows = {0: np.arange(len(y))}
+            for node in range(2**depth - 1):
+                own = rows[node]
+                best = worth(own)
+                for j in range(x.shape[1]):
+                    for c in np.unique(x[:, j]):
+                        left, right = own[x[own, j] <= c], own[x[own, j] > c]
+                        if min(len(left), len(right)) >= least:
+                            best = max(best, worth(left, right))
+                right = x[own, feature[node]] > cut[node]
+                rows[2 * node + 1], rows[2 * node + 2] = own[~right], own[right]
+                assert worth(own[~right], own[right]) == pytest.approx(best)
+                assert not right.any() or min(right.sum(), (~right).sum()) >= least
+            for k, value in enumerate(leaf):
+                own = rows[2**depth - 1 + k]
+                assert value == pytest.approx(-rate * g[own].sum() / (h[own].sum() + smooth))
+                score[own] += value
+        assert trees.raw(x) == pytest.approx(score)
+
+
+def test_isotonic_calibration():
+    from turnloom.llm.boosting import calibrated, isotonic
+
+    rng = np.random.default_rng(33)
+    for _ in range(30):
+        raw = np.round(rng.normal(size=40), 1)
+        y = (rng.random(40) < 1 / (1 + np.exp(-2 * raw))).astype(int)
+        at, level = isotonic(raw, y)
+        # the least-squares non-decreasing fit at v: the largest over starts of the smallest mean over ends
+        values = np.unique(raw)
+        mean = lambda a, b: y[(raw >= a) & (raw <= b)].mean()  # noqa: B023, E731
+        fit = np.array([max(min(mean(a, b) for b in values if b >= v) for a in values if a <= v) for v in values])
+        assert sorted(set(np.round(level, 9))) == sorted(set(np.round(fit, 9)))
+        for m, f in zip(at, level):
+            assert m == pytest.approx(np.repeat(values, [sum(raw == v) for v in values])[np.repeat(np.isclose(fit, f), [sum(raw == v) for v in values])].mean())
+        scores = calibrated(np.sort(rng.normal(size=50)), (at, level))
+        assert (np.diff(scores) > 0).all() and scores.min() >= 0 and scores.max() <= 1
+
+
+def test_toxicity_scores_are_features_trees_and_calibration(spark):
+    """A fitted model's scores from plain features; the lexicon from plain counts; odd rows do not reach what they should not."""
+    from turnloom.llm import boosting
+    from turnloom.llm import toxicity as X
+
+    rng, rows, labels = random.Random(34), [], []
+    for i in range(1200):
+        words = helpers.prose(rng, rng.randrange(5, 60)).split(" ")
+        toxic = int(i % 4 == 0)
+        if toxic:
+            for _ in range(rng.randrange(1, 4)):
+                words.insert(rng.randrange(len(words)), rng.choice(["grobnik", "zlatso", "vermox"]))
+        rows.append((i, " ".join(words), "en", "a", 1))
+        labels.append((i, toxic))
+    docs = helpers.frame(spark, rows + [(5000, None, "en", "a", 1), (5001, "", None, None, None)])
+    model = X.fit_toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    learned = {w: model.lexicon[1][list(model.lexicon[0]).index(X.hashes_of([w])[0])] for w in (*X.SEEDS, "grobnik", "zlatso", "vermox")}
+    assert len(model.lexicon[0]) < len(learned) + 40 and model.trees is not None
+    known = {int(k): v for k, v in zip(*model.lexicon)}
+    words = {w for r in rows for w in re.findall(r"[a-z0-9]+", r[1].lower())} | set(learned)
+    lexicon = {w: known[h] for w in words if (h := int(X.hashes_of([w])[0])) in known}
+    got = {r["doc_id"]: r for r in X.score_toxicity(docs, model).collect()}
+    x = np.array([plain_features(r[1] or "", lexicon) for r in rows] + [plain_features("", lexicon)])
+    want = boosting.calibrated(model.trees.raw(x), model.knots)
+    for r, score in zip(rows, want):
+        assert got[r[0]]["score"] == pytest.approx(score) and got[r[0]]["predicted"] == int(score >= 0.7)
+    assert got[5000]["score"] == got[5001]["score"] == pytest.approx(want[-1])
+
+
 def test_components(spark, monkeypatch):
     import turnloom.llm.components as components
     from turnloom.llm.workspace import Workspace

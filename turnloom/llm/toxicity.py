@@ -91,12 +91,12 @@ def features(batch: pa.RecordBatch, text: str, lexicon: tuple[np.ndarray, np.nda
     hits = count(hit)
     weight = np.concatenate(([0.0], np.cumsum(np.where(hit, weights[which], 0.0) if len(known) else np.zeros(len(h)))))[edge]
     you = _member(h, hashes_of(SECOND_PERSON))[0]
-    near_you = np.zeros(len(h), bool)
-    for at_you in (np.flatnonzero(you),):
-        for shift in range(-NEAR, NEAR + 1):
-            other = at_you + shift
-            other = other[(other >= 0) & (other < len(h))]
-            near_you[other] = True
+    # words at most NEAR places from a second-person word of the same text
+    near_you, at_you = np.zeros(len(h), bool), np.flatnonzero(you)
+    text_of_you = np.searchsorted(edge, at_you, "right") - 1
+    for shift in range(-NEAR, NEAR + 1):
+        other = at_you + shift
+        near_you[other[(other >= edge[text_of_you]) & (other < edge[text_of_you + 1])]] = True
     running = np.concatenate(([0], np.cumsum(hit)))
     peak = np.zeros(batch.num_rows)
     places = np.flatnonzero(hit)
