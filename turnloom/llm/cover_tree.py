@@ -76,6 +76,18 @@ def build(x: np.ndarray, members: np.ndarray | None = None, leaf: int = 24, smal
     return root
 
 
+def leaves(root: Node) -> list[Node]:
+    """The balls that no level splits on; each member is in one of them."""
+    found, waiting = [], [root]
+    while waiting:
+        node = waiting.pop()
+        if node.children is None:
+            found.append(node)
+        else:
+            waiting += node.children
+    return found
+
+
 def _singletons(node: Node) -> list[Node]:
     return node.children if node.children is not None else [Node(int(m), 0.0, np.array([m])) for m in node.members]
 

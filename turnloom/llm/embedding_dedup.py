@@ -7,13 +7,17 @@ split on, level by level, in Spark. Pairs of nodes that may hold links are
 carried down the levels: of a pair's children only those remain that are not
 farther apart than their radii and the threshold allow. Where radii and distance
 are so small that all pairs of two leaves are links, they are counted by the
-leaves' weights. Every other pair of leaves meets in one task, which builds the
-lower levels (nested nets of halving radii) and walks both trees at once,
-pruning pairs of balls by the same bound down to pairs of vectors.
+leaves' weights. The lower levels (nested nets of halving radii) are built in
+tasks. Every other pair of leaves first meets with its balls no wider than the
+threshold alone; only the members of balls that the same bound leaves near
+another meet in one task, which walks both trees at once, pruning pairs of balls
+down to pairs of vectors.
 
 Scale: equal vectors collapse to one node with a weight before anything else.
 Nothing is collected or broadcast; vectors are joined with the centers of their
 own cell only. Leaves that cannot be made small are dealt out in blocks of CELL.
+Between leaves a cluster narrower than the threshold travels as its few balls,
+and a vector only where one of those is near.
 A task returns a count per vector and the links of a spanning forest, never the
 pairs, so a group of n vectors that are all alike returns n rows. In high
 dimensions without clusters no metric bound prunes, and the work grows with the
@@ -126,6 +130,41 @@ def _near(threshold: float):
     return run
 
 
+def _cover(threshold: float):
+    """The balls of one block: each member with its ball, which bears its center's name, and the ball's radius."""
+    reach = float(np.sqrt(2 - 2 * threshold))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        node = table.column("node").to_numpy()
+        ball, radius = np.empty(len(node), np.int64), np.empty(len(node))
+        for b in cover_tree.leaves(cover_tree.build(_units(table.column("vector")), leaf=1, smallest=reach)):
+            ball[b.members], radius[b.members] = node[b.center], b.radius
+        return table.append_column("ball", pa.array(ball)).append_column("radius", pa.array(radius))
+
+    return run
+
+
+def _touch(threshold: float):
+    """Of two blocks' balls, those that may hold an end of a link between the two."""
+    reach = float(np.sqrt(2 - 2 * threshold))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        side, radius, units = table.column("side").to_numpy(), table.column("radius").to_numpy(), _units(table.column("vector"))
+        near = np.zeros(len(side), bool)
+        one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        for s in range(0, len(one), cover_tree.TILE):
+            for t in range(0, len(two), cover_tree.TILE):
+                p, q = one[s : s + cover_tree.TILE], two[t : t + cover_tree.TILE]
+                close = _gaps(units[p], units[q]) <= radius[p][:, None] + radius[q] + reach + 1e-6
+                near[p] |= close.any(1)
+                near[q] |= close.any(0)
+        return table.select(["a", "b", "i", "j", "side", "ball"]).filter(pa.array(near))
+
+    return run
+
+
 def _meet(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -243,13 +282,19 @@ def link_embeddings(table: DataFrame, vec_id: str = "vec_id", vector: str = "emb
     blocks = cells.select("cell", F.ceil(F.col("n") / CELL).cast("int").alias("blocks"))
     one = open_.join(blocks.select(F.col("cell").alias("b"), "blocks"), "b").select(F.col("a").alias("cell"), "a", "b", "blocks", F.lit(0).alias("side"))
     two = open_.where("a != b").join(blocks.select(F.col("cell").alias("a"), "blocks"), "a").select(F.col("b").alias("cell"), "a", "b", "blocks", F.lit(1).alias("side"))
-    dealt = members.join(blocks.withColumnRenamed("blocks", "mine"), "cell").withColumn("own", F.pmod(F.xxhash64("node"), F.col("mine")).cast("int"))
-    met = dealt.join(one.unionByName(two), "cell").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = members.join(blocks.withColumnRenamed("blocks", "mine"), "cell").withColumn("own", F.pmod(F.xxhash64("node"), F.col("mine")).cast("int")).drop("mine")
+    covered = dealt.join(open_.select(F.explode(F.array("a", "b")).alias("cell")).distinct(), "cell").groupBy("cell", "own")
+    covered = ws.keep(covered.applyInArrow(_cover(threshold), "cell long, node long, vector binary, weight long, own int, ball long, radius double"), "covered")
+    meeting = covered.where("node = ball").select("cell", "own", "ball", "vector", "radius").join(one.unionByName(two), "cell").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     same, first = F.col("a") == F.col("b"), F.col("side") == 0
-    met = met.select(
+    meeting = meeting.where(~(same & (F.col("own") == F.col("k")))).select(
         "a", "b", F.when(same, F.least("own", "k")).when(first, F.col("own")).otherwise(F.col("k")).alias("i"), F.when(same, F.greatest("own", "k")).when(first, F.col("k")).otherwise(F.col("own")).alias("j"),
-        F.when(same, F.when(F.col("own") <= F.col("k"), 0).otherwise(1)).otherwise(F.col("side")).alias("side"), "node", "vector", "weight",
+        F.when(same, F.when(F.col("own") < F.col("k"), 0).otherwise(1)).otherwise(F.col("side")).alias("side"), "ball", "vector", "radius",
     )
+    near = ws.keep(meeting.groupBy("a", "b", "i", "j").applyInArrow(_touch(threshold), "a long, b long, i int, j int, side int, ball long"), "near")
+    facing = ["a", "b", "i", "j", "side", "node", "vector", "weight"]
+    inside = covered.join(open_.where("a = b").select("a"), F.col("cell") == F.col("a")).select("a", F.col("a").alias("b"), F.col("own").alias("i"), F.col("own").alias("j"), F.lit(0).alias("side"), "node", "vector", "weight")
+    met = covered.join(near, "ball").select(*facing).unionByName(inside)
     met = ws.keep(met.groupBy("a", "b", "i", "j").applyInArrow(_meet(threshold), "a long, b long, is_link boolean"), "met")
     counts = met.where("not is_link").select(F.col("a").alias("end"), F.col("b").alias("others")).unionByName(counted.select(F.col("node").alias("end"), "others")).groupBy("end").agg(F.sum("others").alias("others"))
     links = met.where("is_link").select("a", "b").union(counted.select("node", "hub")).union(full.select("a", "b"))
