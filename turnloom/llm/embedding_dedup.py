@@ -8,15 +8,15 @@ carried down the levels: of a pair's children only those remain that are not
 farther apart than their radii and the threshold allow. Where radii and distance
 are so small that all pairs of two leaves are links, they are counted by the
 leaves' weights. The lower levels (nested nets of halving radii) are built in
-tasks. Every other pair of leaves first meets with its balls no wider than the
-threshold alone; only the members of balls that the same bound leaves near
+tasks. Every other pair of leaves first meets with its balls of about
+the threshold's width alone; only the members of balls that the same bound leaves near
 another meet in one task, which walks both trees at once, pruning pairs of balls
 down to pairs of vectors.
 
 Scale: equal vectors collapse to one node with a weight before anything else.
 Nothing is collected or broadcast; vectors are joined with the centers of their
 own cell only. Leaves that cannot be made small are dealt out in blocks of CELL.
-Between leaves a cluster narrower than the threshold travels as its few balls,
+Between leaves a cluster of about the threshold's width travels as its few balls,
 and a vector only where one of those is near.
 A task returns a count per vector and the links of a spanning forest, never the
 pairs, so a group of n vectors that are all alike returns n rows. In high
@@ -50,6 +50,9 @@ THRESHOLD = 0.98
 CELL = 4096
 FAN = 64
 LEVELS = 30
+#: How wide, in distances at the threshold, a ball may be that stands for its members before leaves
+#: meet. Members that all link with each other lie little more than one from any of them.
+WIDTH = 1.5
 #: Around the threshold within which a cosine is worked out again from the vectors as given.
 DOUBT = 1e-9
 
@@ -138,7 +141,7 @@ def _cover(threshold: float):
         table = table.combine_chunks()
         node = table.column("node").to_numpy()
         ball, radius = np.empty(len(node), np.int64), np.empty(len(node))
-        for b in cover_tree.leaves(cover_tree.build(_units(table.column("vector")), leaf=1, smallest=reach)):
+        for b in cover_tree.leaves(cover_tree.build(_units(table.column("vector")), leaf=1, smallest=WIDTH * reach)):
             ball[b.members], radius[b.members] = node[b.center], b.radius
         return table.append_column("ball", pa.array(ball)).append_column("radius", pa.array(radius))
 
