@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from tests.llm import helpers
 from turnloom.llm.chat_format import digests, format_conversations
 from turnloom.llm.embedding_dedup import link_embeddings
+from turnloom.llm.importance import resample
 from turnloom.llm.license_scan import scan_licenses
 from turnloom.llm.minhash_dedup import link_near_duplicates
 from turnloom.llm.mixing import mix_sources, mixture
 from turnloom.llm.packing import pack_documents
+from turnloom.llm.periodic_runs import find_runs
 from turnloom.llm.quality_rules import judge_quality
 from turnloom.llm.substring_dedup import remove_repeated_windows
 from turnloom.llm.toxicity import fit_toxicity, score_toxicity
@@ -33,6 +35,8 @@ OPERATORS = {
     "mixing": mix_sources,
     "substring": lambda d: remove_repeated_windows(d, digest=True),
     "license": scan_licenses,
+    "runs": find_runs,
+    "importance": lambda d: resample(d, d.select("text")),
 }
 
 

@@ -18,7 +18,7 @@ def rows(table):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, name):
     duck = duckdb.connect()
-    for table in ("documents", "conversations", "embeddings"):
+    for table in ("documents", "conversations", "embeddings", "pages", "benchmark"):
         duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     ours, theirs = QUERIES[name](spark, DATA), duck.execute(ORACLES[name]).to_arrow_table()
     assert sorted(ours.columns) == sorted(theirs.column_names)

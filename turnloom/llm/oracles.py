@@ -42,4 +42,30 @@ r AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, l.y FROM r JOIN l
 m AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
 SELECT vec_id, (SELECT count(*) FROM l WHERE l.x = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN m ON m.x = vec_id"""
 
-ORACLES = {"op2_chat_format": CHAT_FORMAT, "op5_minhash_dedup": MINHASH_DEDUP, "op8_substring_dedup": SUBSTRING_DEDUP, "op9_embedding_dedup": EMBEDDING_DEDUP}
+#: crc32 of a word is worked out from the bits of the polynomial, for each different word once.
+IMPORTANCE = r"""
+WITH RECURSIVE bits AS (SELECT i, i AS c, 0 AS k FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS x FROM benchmark),
+w AS (SELECT r, unnest(w) AS x FROM d),
+v AS (SELECT x, hex(encode(x)) AS h FROM (SELECT x FROM w UNION SELECT x FROM b)),
+k AS (SELECT x, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(h), 2), lambda i: CAST(16 * (strpos('0123456789ABCDEF', substr(h, i, 1)) - 1) + strpos('0123456789ABCDEF', substr(h, i + 1, 1)) - 1 AS BIGINT))),
+  lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) % 10000 AS bucket FROM v, crc),
+s AS (SELECT bucket, count(*) AS n FROM w JOIN k USING (x) GROUP BY bucket), t AS (SELECT bucket, count(*) AS n FROM b JOIN k USING (x) GROUP BY bucket),
+g AS (SELECT s.bucket, CAST(floor(1000 * ln(((coalesce(t.n, 0) + 1) * ((SELECT sum(n) FROM s) + 10000))::DOUBLE / ((s.n + 1) * (coalesce((SELECT sum(n) FROM t), 0) + 10000))::DOUBLE)) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket)),
+f AS (SELECT r, sum(gain) AS weight FROM w JOIN k USING (x) JOIN g USING (bucket) GROUP BY r),
+e AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+  CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM d LEFT JOIN f USING (r)),
+o AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST) END AS place, count(*) FILTER (WHERE n_features >= 20) OVER () AS n FROM e)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM o"""
+
+#: On the given pages the text is what stands in the article; blocks end at tags that are not inline.
+HTML_EXTRACTION = r"""
+WITH a AS (SELECT row_number() OVER () AS r, page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS x FROM pages),
+b AS (SELECT r, unnest(regexp_split_to_array(regexp_replace(x, '</?(b|i|a|em|strong|span)( [^>]*)?>', '', 'g'), '<[^>]*>')) AS t, unnest(range(len(regexp_split_to_array(regexp_replace(x, '</?(b|i|a|em|strong|span)( [^>]*)?>', '', 'g'), '<[^>]*>')))) AS i FROM a),
+c AS (SELECT r, i, trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(t, '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;', '&'), '[\x09-\x0D ]+', ' ', 'g')) AS t FROM b),
+j AS (SELECT r, string_agg(regexp_replace(t, '&amp$', '&'), chr(10) ORDER BY i) AS text FROM c WHERE t <> '' GROUP BY r)
+SELECT page_id, url, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars FROM a LEFT JOIN j USING (r)"""
+
+ORACLES = {"op2_chat_format": CHAT_FORMAT, "op5_minhash_dedup": MINHASH_DEDUP, "op8_substring_dedup": SUBSTRING_DEDUP, "op9_embedding_dedup": EMBEDDING_DEDUP, "op12_importance_resampling": IMPORTANCE, "op13_html_extraction": HTML_EXTRACTION}

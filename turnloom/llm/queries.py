@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 from turnloom.llm import oracles
 from turnloom.llm.chat_format import digests, format_conversations
 from turnloom.llm.embedding_dedup import link_embeddings
+from turnloom.llm.html_text import extract_text
+from turnloom.llm.importance import resample
 from turnloom.llm.license_scan import scan_licenses
 from turnloom.llm.minhash_dedup import link_near_duplicates
 from turnloom.llm.mixing import mix_sources
 from turnloom.llm.packing import pack_documents
+from turnloom.llm.periodic_runs import find_runs, repeat_tails, run_digests
 from turnloom.llm.quality_rules import judge_quality
 from turnloom.llm.substring_dedup import remove_repeated_windows
 from turnloom.llm.toxicity import fit_toxicity, score_toxicity
@@ -83,10 +86,28 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents", "doc_id", "text"), keep_text=False)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return run_digests(find_runs(repeat_tails(docs), keep_text=False))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "text")
+    return settled(spark, lambda ws: resample(docs, target, keep_text=False, workspace=ws))
+
+
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    return settled(spark, lambda ws: extract_text(pages, keep_html=False, workspace=ws))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_filters, op2_chat_format, op3_quality_rules, op4_toxicity, op5_minhash_dedup, op6_packing, op7_mixing, op8_substring_dedup, op9_embedding_dedup, op10_license_scan)
-}
+    for f in (
+        op1_url_filters, op2_chat_format, op3_quality_rules, op4_toxicity, op5_minhash_dedup, op6_packing, op7_mixing, op8_substring_dedup, op9_embedding_dedup, op10_license_scan,
+        op11_periodic_runs, op12_importance_resampling, op13_html_extraction,
+    )
+}
 
-#: The others have no SQL form (fitted models, tokens, hash-drawn mixtures); tests hold all ten against brute force.
+#: The others have no SQL form (fitted models, tokens, hash-drawn mixtures); tests hold all of them against brute force.
 ORACLES = oracles.ORACLES
