@@ -284,13 +284,37 @@ def test_live_replies_come_once(spark, tmp_path):
 
 
 def test_live_state_is_dropped(spark, tmp_path):
-    source = tmp_path / "in"
+    """Marks of replies that are over go once event time has passed them twice by the allowance."""
+    source, out = tmp_path / "in", tmp_path / "out"
     for i in range(3):
         arrive(source, str(i), *((f"r{i}", k, piece("a") if k < 2 else "data: [DONE]", f"2024-01-01T00:0{i}:00Z") for k in range(3)))
-    running = live.replies(live.read_lines(spark, str(source), 1)).writeStream.outputMode("append").format("memory").queryName("over").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    running.awaitTermination(120)
-    assert running.lastProgress["stateOperators"][0]["numRowsTotal"] == 0
-    assert spark.table("over").count() == 3
+    assert len(taken_in(spark, source, out)) == 3
+
+    def held():
+        state = spark.read.format("statestore").option("stateVarName", "facts").load(f"{out}-state")
+        return sorted(r["key"][0] for r in state.select("key").collect())
+
+    assert held() == ["r0", "r1", "r2"]
+    for i, at in enumerate(("01:00:00", "02:00:00", "03:00:00")):
+        arrive(source, f"later{i}", (f"t{i}", 0, piece("d"), f"2024-01-01T{at}Z"))
+        taken_in(spark, source, out)
+    assert not {"r0", "r1", "r2"} & set(held())
+
+
+def test_live_lines_that_come_again(spark, tmp_path):
+    """A line that comes twice counts once, and none opens a reply again that has been given out."""
+    source, out = tmp_path / "in", tmp_path / "out"
+    line = lambda seq, text, at="2024-01-01T00:00:00Z": ("r", seq, text, at)
+    arrive(source, "1", line(0, piece("a")), line(1, piece("b")))
+    taken_in(spark, source, out)
+    arrive(source, "2", line(1, piece("b")), line(2, "data: [DONE]"))
+    assert taken_in(spark, source, out) == [("r", "ab", True)]
+    arrive(source, "3", line(0, piece("a")), line(2, "data: [DONE]"))
+    assert taken_in(spark, source, out) == [("r", "ab", True)]
+    # long after: still not given out a second time
+    arrive(source, "4", ("x", 0, piece("c"), "2024-01-01T05:00:00Z"), ("x", 1, "data: [DONE]", "2024-01-01T05:00:00Z"))
+    arrive(source, "5", line(0, piece("a")), line(1, piece("b")))
+    assert taken_in(spark, source, out) == [("r", "ab", True), ("x", "c", True)]
 
 
 def test_plans_and_rates(spark):

@@ -23,21 +23,19 @@ from pyspark.sql.window import Window
 from turnloom.config import DEFAULTS
 from turnloom.functions.text import answer_of, lstrip_newlines, reasoning_of, rstrip_newlines
 from turnloom.functions.tokens import code_points
+from turnloom.functions.vocabulary import Vocabulary, guarded
 from turnloom.operators.template import END, START, THINK_CLOSE, THINK_OPEN, render
 
 ANSWER = "assistant"
 
 
-def flat_deltas(turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text", mode: str = "reference") -> DataFrame:
-    """The turns with `delta` (text) and `supervised`.
+def _blocks(turns: DataFrame, key: str, order: str, role: str, text: str, aligned: bool, guard=lambda c: c) -> DataFrame:
+    """The turns with what they are, and their blocks: as the last turn, and as an earlier one.
 
-    What a turn changes before itself follows from sums over the turns: the turn
-    before loses its place as the last one (an answer without reasoning its
-    empty block, a tool response the end mark if another follows), and a
-    question takes the reasoning from all answers since the question before.
+    guard is applied to what was said and thought, not to what the template adds.
     """
     w = Window.partitionBy(key).orderBy(order)
-    before, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
     has = lambda *names: F.coalesce(F.col(role).isin(*names), F.lit(False))
     content = F.coalesce(text, F.lit(""))
     wrapped = F.startswith(content, F.lit("<tool_response>")) & F.endswith(content, F.lit("</tool_response>"))
@@ -47,34 +45,81 @@ def flat_deltas(turns: DataFrame, key: str = "conv_id", order: str = "turn", rol
     said = F.when(answer, answer_of(content)).otherwise(content)
     asked = F.max(question).over(upto)
     after_tool = F.coalesce(F.lag(tool).over(w), F.lit(False))
-    facts = turns.withColumns({"tl_question": question, "tl_tool": tool, "tl_thinks": answer & asked, "tl_reasoning": reasoning, "tl_said": said, "tl_follows": after_tool})
-    if mode == "aligned":
+    facts = turns.withColumns({"tl_question": question, "tl_tool": tool, "tl_thinks": answer & asked, "tl_reasoning": guard(reasoning), "tl_said": guard(said), "tl_follows": after_tool})
+    if aligned:
         later = w.rowsBetween(1, Window.unboundedFollowing)
         facts = facts.withColumns({"tl_asked_later": F.coalesce(F.max(question).over(later), F.lit(False)), "tl_last": F.lead(F.lit(1)).over(w).isNull(), "tl_tool_next": F.coalesce(F.lead(tool).over(w), F.lit(False))})
     around = lambda body: F.concat(F.lit(START), F.col(role), F.lit("\n"), body, F.lit(END))
     response = F.concat(F.when(F.col("tl_follows"), "").otherwise(f"{START}user"), F.lit("\n<tool_response>\n"), F.col("tl_said"), F.lit("\n</tool_response>"))
     plain = F.when(has("user", ANSWER, "system"), around(F.col("tl_said"))).when(F.col("tl_tool"), F.concat(response, F.lit(END))).otherwise("")
     thinking = around(F.concat(F.lit(THINK_OPEN), lstrip_newlines(rstrip_newlines(F.col("tl_reasoning"))), F.lit(THINK_CLOSE), lstrip_newlines(F.col("tl_said"))))
-    if mode == "aligned":
+    if aligned:
         thinks = F.col("tl_thinks") & ~F.col("tl_asked_later") & (F.col("tl_last") | (F.col("tl_reasoning") != ""))
-        delta = F.when(thinks, thinking).when(F.col("tl_tool") & F.col("tl_tool_next"), response).otherwise(plain)
-        return facts.withColumns({"delta": delta, "supervised": has(ANSWER)}).drop(*_FACTS)
-    shown = facts.withColumns({"tl_plain": plain, "tl_block": F.when(F.col("tl_thinks"), thinking).otherwise(plain)})
-    gained = F.length("tl_block") - F.length("tl_plain")
+        return facts.withColumn("delta", F.when(thinks, thinking).when(F.col("tl_tool") & F.col("tl_tool_next"), response).otherwise(plain))
+    return facts.withColumns({"tl_plain": plain, "tl_block": F.when(F.col("tl_thinks"), thinking).otherwise(plain)})
+
+
+def _cut_blocks(shown: DataFrame, key: str, order: str, size, drop, end, end_size: int) -> Column:
+    """Each turn's delta from its blocks; size, drop (the first n) and end (the last n) work on texts or on ids.
+
+    What a turn changes before itself follows from sums over the turns: the turn
+    before loses its place as the last one (an answer without reasoning its
+    empty block, a tool response the end mark if another follows), and a
+    question takes the reasoning from all answers since the question before.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    before, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
+    gained = size("tl_block") - size("tl_plain")
     keeps = F.col("tl_reasoning") != ""
-    kept = F.sum(F.when(keeps, gained).otherwise(0)).over(upto)
-    shown = shown.withColumns({"tl_empty": F.when(keeps, 0).otherwise(gained), "tl_kept": kept})
+    shown = shown.withColumns({"tl_empty": F.when(keeps, 0).otherwise(gained), "tl_kept": F.sum(F.when(keeps, gained).otherwise(0)).over(upto)})
     taken = F.coalesce(F.lag("tl_kept").over(w), F.lit(0)) - F.coalesce(F.last(F.when(F.col("tl_question"), F.col("tl_kept")), ignorenulls=True).over(before), F.lit(0))
-    lost = F.coalesce(F.lag("tl_empty").over(w), F.lit(0)) + F.when(F.col("tl_tool") & F.col("tl_follows"), len(END)).otherwise(0) + F.when(F.col("tl_question"), taken).otherwise(0)
+    lost = F.coalesce(F.lag("tl_empty").over(w), F.lit(0)) + F.when(F.col("tl_tool") & F.col("tl_follows"), end_size).otherwise(0) + F.when(F.col("tl_question"), taken).otherwise(0)
     # an answer that begins with many newlines gains by losing its empty block: its end is told again
     again = F.lag(F.when(F.col("tl_empty") < 0, F.col("tl_plain"))).over(w)
-    shown = shown.withColumns({"tl_lost": lost, "tl_again": again})
-    rest = F.substring("tl_block", F.col("tl_lost") + 1, F.lit(2**31 - 1))
-    delta = F.when(F.col("tl_lost") >= 0, rest).otherwise(F.concat(F.substring("tl_again", F.col("tl_lost"), -F.col("tl_lost")), "tl_block"))
-    return shown.withColumns({"delta": delta, "supervised": has(ANSWER)}).drop(*_FACTS)
+    shown = shown.withColumns({"tl_lost": lost.cast("int"), "tl_again": again})
+    told = F.concat(end("tl_again", -F.col("tl_lost")), F.col("tl_block"))
+    return shown.withColumn("delta", F.when(F.col("tl_lost") >= 0, drop("tl_block", F.col("tl_lost"))).otherwise(told))
+
+
+def flat_deltas(turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text", mode: str = "reference") -> DataFrame:
+    """The turns with `delta` (text) and `supervised`."""
+    shown = _blocks(turns, key, order, role, text, mode == "aligned")
+    if mode != "aligned":
+        last = F.lit(2**31 - 1)
+        shown = _cut_blocks(shown, key, order, F.length, lambda c, n: F.substring(c, n + 1, last), lambda c, n: F.substring(c, -n, n), len(END))
+    return shown.withColumn("supervised", F.coalesce(F.col(role) == ANSWER, F.lit(False))).drop(*_FACTS)
+
 
+def token_deltas(turns: DataFrame, vocabulary: Vocabulary, key: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text", mode: str = "reference", guard: bool = True) -> DataFrame:
+    """The turns with `ids`, what each adds to the ids of the conversation, and `supervised`.
 
-_FACTS = tuple(f"tl_{n}" for n in ("question", "tool", "thinks", "reasoning", "said", "follows", "asked_later", "last", "tool_next", "plain", "block", "empty", "kept", "lost", "again"))
+    `reference`: the ids of the rendering up to the turn without as many as the
+    rendering before it has; counted in ids, from the sums that flat_deltas takes
+    in characters. `aligned`: the turn's own ids in the final rendering. guard:
+    control strings inside texts are ordinary text; else they count as control
+    tokens, as a tokenizer that is given the whole prompt takes them.
+
+    Blocks meet at control tokens, so their ids are those of the whole prompt;
+    the vocabulary must have the template's control strings among its controls.
+    """
+    missing = {START, END.rstrip("\n"), "<tool_response>", "</tool_response>"} - {c for c, _ in vocabulary.controls}
+    if missing:
+        raise ValueError(f"the vocabulary has no control tokens {sorted(missing)}")
+    shown = _blocks(turns, key, order, role, text, mode == "aligned", guarded if guard else lambda c: c)
+    encode = vocabulary.ids()
+    if mode == "aligned":
+        shown = shown.withColumn("ids", encode("delta")).drop("delta")
+    else:
+        none = F.array().cast("array<int>")
+        shown = shown.withColumns({"tl_plain": encode("tl_plain"), "tl_other": encode(F.when(F.col("tl_thinks"), F.col("tl_block")))})
+        shown = shown.withColumn("tl_block", F.coalesce("tl_other", "tl_plain"))
+        rest = lambda c, n: F.when(n < F.size(c), F.slice(c, n + 1, F.size(c))).otherwise(none)
+        shown = _cut_blocks(shown, key, order, F.size, rest, lambda c, n: F.slice(c, -n, n), len(vocabulary.encode([END])[0]))
+        shown = shown.withColumnRenamed("delta", "ids")
+    return shown.withColumn("supervised", F.coalesce(F.col(role) == ANSWER, F.lit(False))).drop(*_FACTS)
+
+
+_FACTS = tuple(f"tl_{n}" for n in ("question", "tool", "thinks", "reasoning", "said", "follows", "asked_later", "last", "tool_next", "plain", "block", "empty", "kept", "lost", "again", "other"))
 
 
 def nested_deltas(messages: Column) -> Column:
@@ -109,7 +154,11 @@ def features(deltas: DataFrame, max_length: int, tokenize=None, key: str = "conv
         until = F.sum(F.length("delta")).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
         deltas = deltas.withColumn("room", F.greatest(F.lit(0), F.lit(max_length) - until + F.length("delta")).cast("int"))
         tokenize, text = code_points, F.substring("delta", F.lit(1), F.col("room"))
-    ids = deltas.select(key, order, "supervised", tokenize(text).alias("ids"))
+    return token_features(deltas.select(key, order, "supervised", tokenize(text).alias("ids")), max_length, key, order, ignore)
+
+
+def token_features(ids: DataFrame, max_length: int, key: str = "conv_id", order: str = "turn", ignore: int = DEFAULTS.ignore_label) -> DataFrame:
+    """features() of turns that have their ids already (token_deltas)."""
     rows = ids.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "ids", "supervised"))).alias("turns"))
     input_ids = F.flatten(F.transform("turns", lambda t: t["ids"]))
     labels = F.flatten(F.transform("turns", lambda t: F.when(t["supervised"], t["ids"]).otherwise(F.array_repeat(F.lit(ignore), F.size(t["ids"])))))
@@ -129,13 +178,13 @@ def numbered(df: DataFrame, key: str) -> DataFrame:
     range, and only the counts of at most RANGES ranges are ordered globally.
     One aggregation over the keys runs when this is called.
     """
-    total = df.agg(F.count(key).alias("n")).first()["n"]
-    parts = max(1, min(RANGES, -(-total // RANGE_KEYS)))
+    # count and percentiles of one pass; of many percentiles only as many are used as the count asks for
+    shares = F.expr(f"transform(sequence(1, {RANGES - 1}), i -> i / {RANGES}D)")
+    found = df.agg(F.count(key).alias("n"), F.percentile_approx(key, shares, 10 * RANGES).alias("b")).first()
+    parts = max(1, min(RANGES, -(-found["n"] // RANGE_KEYS)))
+    bounds = sorted({found["b"][i * RANGES // parts - 1] for i in range(1, parts)}) if parts > 1 else []
+    width = math.isqrt(parts) + 1
     # bounds in blocks, so that a key is compared with the blocks' firsts and then inside one block
-    width, bounds = math.isqrt(parts) + 1, []
-    if parts > 1:
-        shares = F.array(*(F.lit(i / parts) for i in range(1, parts)))
-        bounds = sorted(set(df.agg(F.percentile_approx(key, shares, 10 * parts).alias("b")).first()["b"]))
     blocks = [bounds[i : i + width] for i in range(0, len(bounds), width)]
     whole = lambda values: F.array(*(F.lit(v).cast("long") for v in values))
     of_range = F.lit(0)

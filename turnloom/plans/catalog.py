@@ -494,3 +494,5 @@ def log_summary(spark, sf_dir):
 
 
 import turnloom.plans.files  # noqa: E402, F401  registers the queries over generated files
+import turnloom.plans.live  # noqa: E402, F401  those over streams
+import turnloom.plans.vocab  # noqa: E402, F401  those over ids of a vocabulary

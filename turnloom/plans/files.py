@@ -106,7 +106,7 @@ SELECT conv_id, turn, CAST(length(block) AS BIGINT) AS n_tokens, role = 'assista
 FROM x WHERE k = (SELECT max(turn) FROM t WHERE t.conv_id = x.conv_id)"""
 
 
-def _thoughtful(spark, sf_dir):
+def thoughtful(spark, sf_dir):
     c, t, role, text = (F.col(n) for n in ("conv_id", "turn", "role", "text"))
     new_role = F.when((c % 5 == 3) & (t % 3 != 0), "tool").when((c % 5 == 4) & (t % 4 == 3), "critic").otherwise(role)
     thought = F.concat(F.lit("<think>\nI see "), t.cast("string"), F.lit("\n</think>\n\n"), text)
@@ -125,17 +125,17 @@ def _delta_rows(rows):
 
 @query(_BY_PREFIX)
 def thinking_labels_reference(spark, sf_dir):
-    return _delta_rows(L.flat_deltas(_thoughtful(spark, sf_dir)))
+    return _delta_rows(L.flat_deltas(thoughtful(spark, sf_dir)))
 
 
 @query(_IN_FINAL)
 def thinking_labels_aligned(spark, sf_dir):
-    return _delta_rows(L.flat_deltas(_thoughtful(spark, sf_dir), mode="aligned"))
+    return _delta_rows(L.flat_deltas(thoughtful(spark, sf_dir), mode="aligned"))
 
 
 @query(_BY_PREFIX)
 def thinking_labels_by_prefix(spark, sf_dir):
-    rows = C.nest(_thoughtful(spark, sf_dir)).select("conv_id", "messages", F.posexplode(L.nested_deltas(M.rich(F.col("messages")))).alias("turn", "delta"))
+    rows = C.nest(thoughtful(spark, sf_dir)).select("conv_id", "messages", F.posexplode(L.nested_deltas(M.rich(F.col("messages")))).alias("turn", "delta"))
     return _delta_rows(rows.withColumn("supervised", F.get("messages", F.col("turn"))["role"] == "assistant"))
 
 
@@ -156,16 +156,6 @@ def token_round_trip(spark, sf_dir):
     return ids.select("conv_id", "turn", F.md5(K.plug_in_decoder(decoder)("ids")).alias("digest"), (F.size("ids") <= F.octet_length("text")).alias("shorter"))
 
 
-def token_features(spark, sf_dir):
-    """Features with the ids of a byte-level vocabulary; tests hold them against the tokenizer, as SQL has none."""
-    encoder, _ = _byte_pairs()
-    f = L.features(L.flat_deltas(turns_of(spark, sf_dir)), DEFAULTS.max_seq_len, K.plug_in_tokenizer(encoder))
-    return f.select("conv_id", long(F.size("input_ids"), "n_ids"), F.md5(F.array_join(F.col("input_ids").cast("array<string>"), ",")).alias("ids"), F.md5(F.array_join(F.col("labels").cast("array<string>"), ",")).alias("labels"))
-
-
-QUERIES["token_features"] = token_features
-
-
 @query("SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN 151645 ELSE CAST(conv_id AS INT) END AS pad FROM (SELECT DISTINCT conv_id FROM conversations)")
 def pad_fallback(spark, sf_dir):
     own = F.when(F.col("conv_id") % 3 != 0, F.col("conv_id").cast("int"))

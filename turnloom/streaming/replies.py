@@ -1,10 +1,13 @@
 """Replies put together from a stream of event lines.
 
-Every reply is one group with one state: its pieces so far and which lines have
-come. It is given out once, and its state dropped, when its end line and all
-lines before it have come, or when event time has passed its last line by
-`late`; so state holds open replies only, and the table of replies is only
-ever appended to.
+Every reply is one group. Each batch adds one entry with its lines to the reply's
+state, and the entries are only read when the reply may be over, so the work
+grows with the lines, in however many batches they come. Of lines with the same number the
+first counts. A reply is given out once: when its end line and all lines before it have come, or when
+event time has passed its last line by `late`. Then its lines are dropped and
+a mark stays until event time has passed once more by `late`; later lines of it
+are behind the watermark, so they cannot open it again. State holds open replies, and
+marks of those that ended lately.
 """
 
 from __future__ import annotations
@@ -14,13 +17,16 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from turnloom.operators.streams import data_of, delta_of, joined
+from turnloom.streaming.states import append_available
 
 LINES = "reply_id string, seq long, line string, at timestamp"
 REPLIES = "reply_id string, content string, done boolean"
-_STATE = "seqs array<bigint>, pieces array<string>, ends bigint, latest bigint"
+_FACTS = T.StructType([T.StructField("ends", T.LongType()), T.StructField("lines", T.LongType()), T.StructField("latest", T.LongType()), T.StructField("due", T.LongType()), T.StructField("given", T.BooleanType())])
+_CHUNK = T.StructType([T.StructField("seqs", T.ArrayType(T.LongType())), T.StructField("pieces", T.ArrayType(T.StringType()))])
 
 
 def read_lines(spark: SparkSession, path: str, per_trigger: int = 100) -> DataFrame:
@@ -32,41 +38,77 @@ def deltas(lines: DataFrame) -> DataFrame:
     return lines.select("reply_id", "seq", "at", delta_of(data_of(F.col("line"))).alias("delta"), (F.col("line") == "data: [DONE]").alias("done"))
 
 
-def _whole(seqs: list[int], ends: int | None) -> bool:
-    """Whether the end line, at place `ends`, and all lines from 0 up to it are there."""
-    return ends is not None and len({s for s in seqs if 0 <= s <= ends}) == ends + 1
-
-
-def _gather(late_ms: int):
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seqs, pieces, ends, latest = (list(state.get[0]), list(state.get[1]), *state.get[2:]) if state.exists else ([], [], None, None)
-        for batch in () if state.hasTimedOut else batches:
-            seqs += batch["seq"].tolist()
-            pieces += ["" if pd.isna(d) else d for d in batch["delta"]]
+class Replies(StatefulProcessor):
+    def __init__(self, late_ms: int):
+        self.late_ms = late_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.facts = handle.getValueState("facts", _FACTS)
+        self.chunks = handle.getListState("chunks", _CHUNK)
+
+    def _wait(self, ends: int, lines: int, latest: int, due: int, given: bool, watermark: int) -> None:
+        """A reply waits once for its lines, and once more as a mark of having been given out."""
+        if due:
+            self.handle.deleteTimer(due)
+        due = max(watermark + 1, latest + (2 if given else 1) * self.late_ms)
+        self.handle.registerTimer(due)
+        self.facts.update((ends, lines, latest, due, given))
+
+    def _pieces(self) -> dict[int, str]:
+        found: dict[int, str] = {}
+        for seqs, pieces in self.chunks.get():
+            for seq, piece in zip(seqs, pieces, strict=True):
+                found.setdefault(seq, piece)
+        return found
+
+    def _over(self, key, pieces: dict[int, str], done: bool) -> pd.DataFrame:
+        self.chunks.clear()
+        return pd.DataFrame({"reply_id": [key[0]], "content": ["".join(p for _, p in sorted(pieces.items()))], "done": [done]})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        # ends: place of the end line, -1 while unknown; lines: how many have come, repeated ones included
+        ends, lines, latest, due, given = self.facts.get() if self.facts.exists() else (-1, 0, 0, 0, False)
+        for batch in rows:
+            latest = max(latest, int(batch["ms"].max()))
+            batch = batch[batch["seq"] >= 0]
+            if given or not len(batch):
+                continue
+            self.chunks.appendValue((batch["seq"].tolist(), ["" if pd.isna(d) else d for d in batch["delta"]]))
+            lines += len(batch)
             last = batch.loc[batch["done"].fillna(False).astype(bool), "seq"]
             if len(last):
-                ends = int(last.min()) if ends is None else min(ends, int(last.min()))
-            latest = max(int(batch["ms"].max()), latest if latest is not None else 0)
-        if state.hasTimedOut or _whole(seqs, ends):
-            state.remove()
-            content = "".join(p for _, p in sorted(zip(seqs, pieces, strict=True)))
-            yield pd.DataFrame({"reply_id": [key[0]], "content": [content], "done": [ends is not None]})
-        else:
-            state.update((seqs, pieces, ends, latest))
-            state.setTimeoutTimestamp(max(latest + late_ms, state.getCurrentWatermarkMs() + 1))
-
-    return run
+                ends = int(last.min()) if ends < 0 else min(ends, int(last.min()))
+        if not given and 0 <= ends < lines:
+            pieces = self._pieces()
+            if sum(seq <= ends for seq in pieces) == ends + 1:
+                given = True
+                yield self._over(key, pieces, True)
+        self._wait(ends, lines, latest, due, given, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        ends, lines, latest, _, given = self.facts.get()
+        if given:
+            self.facts.clear()
+            return
+        yield self._over(key, self._pieces(), ends >= 0)
+        self._wait(ends, lines, latest, 0, True, timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
 
 
 def replies(lines: DataFrame, late_seconds: int = 600) -> DataFrame:
     """Each reply once, with its content and whether its end line came.
 
-    Lines of a reply are numbered from 0 by seq and may come in any order. Lines
+    Lines of a reply are numbered from 0 by seq and may come in any order and
+    more than once, also after the reply was given out. Lines
     that are more than `late_seconds` behind the newest line of the stream are
     left out; a reply that pauses for longer is given out as it is.
     """
-    marked = deltas(lines).withColumn("ms", F.unix_millis("at")).withWatermark("at", f"{late_seconds} seconds")
-    return marked.groupBy("reply_id").applyInPandasWithState(_gather(1000 * late_seconds), REPLIES, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    # lines behind the watermark must not reach a reply whose mark is gone: the watermark cuts them off here
+    marked = deltas(lines.where("reply_id IS NOT NULL AND seq IS NOT NULL")).withColumn("ms", F.unix_millis("at")).withWatermark("at", f"{late_seconds} seconds")
+    return marked.groupBy("reply_id").transformWithStateInPandas(Replies(1000 * late_seconds), REPLIES, "append", "eventTime")
 
 
 def replies_of_batch(lines: DataFrame) -> DataFrame:
@@ -75,9 +117,5 @@ def replies_of_batch(lines: DataFrame) -> DataFrame:
 
 
 def run_available(lines: DataFrame, out: str, late_seconds: int = 600) -> None:
-    """Takes in what has arrived and appends the replies that are over to the table at `out`.
-
-    Progress and state are kept beside it, so a later call goes on from there.
-    """
-    running = replies(lines, late_seconds).writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
-    running.awaitTermination()
+    """Takes in what has arrived and appends the replies that are over to the table at `out`, see states.append_available."""
+    append_available(replies(lines, late_seconds), out)
