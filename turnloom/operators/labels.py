@@ -167,7 +167,7 @@ def token_features(ids: DataFrame, max_length: int, key: str = "conv_id", order:
 
 
 #: Ranges that numbered() cuts keys into at most, and keys that one range should hold at least.
-RANGES, RANGE_KEYS = 4096, 4096
+RANGES, RANGE_KEYS = 1024, 4096
 
 
 def numbered(df: DataFrame, key: str) -> DataFrame:
@@ -179,7 +179,7 @@ def numbered(df: DataFrame, key: str) -> DataFrame:
     One aggregation over the keys runs when this is called.
     """
     # count and percentiles of one pass; of many percentiles only as many are used as the count asks for
-    shares = F.expr(f"transform(sequence(1, {RANGES - 1}), i -> i / {RANGES}D)")
+    shares = F.expr(f"array({', '.join(f'{i / RANGES!r}D' for i in range(1, RANGES))})")
     found = df.agg(F.count(key).alias("n"), F.percentile_approx(key, shares, 10 * RANGES).alias("b")).first()
     parts = max(1, min(RANGES, -(-found["n"] // RANGE_KEYS)))
     bounds = sorted({found["b"][i * RANGES // parts - 1] for i in range(1, parts)}) if parts > 1 else []
