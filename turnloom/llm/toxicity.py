@@ -1,23 +1,34 @@
 """Toxicity scores: boosted trees over dense text features, calibrated.
 
-Method: features are densities of a lexicon (a given seed list, and words that
-labelled texts show to go with toxicity), closeness of lexicon words to
+Method: features are densities of a lexicon (a given seed list, and words and
+word beginnings that labelled texts show to go with toxicity), closeness of lexicon words to
 second-person words, rates of capitals, punctuation and obfuscated spellings.
-Gradient-boosted trees give a raw score, isotonic regression on rows that the
-trees have not seen turns it into a probability.
-
-Fitting uses a bounded sample of the labelled rows, at most SAMPLE_ROWS, chosen
-by a hash of the id; three disjoint parts of it serve the lexicon, the trees and
-the calibration. The lexicon holds at most LEXICON_WORDS hashes. Everything
-that is broadcast or sent to the driver is bounded by these two numbers, except
-the count of labels. Scoring reads every whole text once and shuffles nothing.
+Gradient-boosted trees give a raw score, isotonic regression turns it into a
+probability.
+
+All labelled rows serve every part by cross-fitting: rows are dealt into FOLDS
+parts by a hash of the id; the features of a row come from the lexicon that the
+other parts teach, and it is calibrated on the raw score of trees that the
+other parts grew. The lexicon, trees and calibration that score texts are those
+of all rows.
+
+A lexicon entry's weight is the logarithm of how much likelier a toxic text has
+it, from counts that begin with PRIOR texts at the rate of all; seeds begin with
+SEED_TEXTS toxic texts more. So an entry seen once or twice weighs little, in
+tables of any size. Entries count whose log ratio is at least SURE of its
+standard errors; no number of entries is set.
+
+Fitting uses a bounded sample of the labelled rows, at most about SAMPLE_ROWS, chosen
+by a hash of the id. What is broadcast or sent to the driver are ids, features
+and lexicon entries of these rows' texts, and the count of labels. Scoring
+reads every whole text once and shuffles nothing.
 
 Defined cases: null counts as the empty text, which gets the score of its
 features (all 0); null labels and labels without a text teach nothing; labels
 given twice count once, an id that several rows share is learned from one of
-them, and of equal texts one is learned from; without any usable label the
-score is 0.5 where the seed list has no hit and 1.0 where it has; a null id is
-not held out.
+them, and of equal texts one is learned from; where the labels are all of one
+class or there are none, nothing can be learned: the score is then 0.5 where the seed list
+has no hit and 1.0 where it has; a null id is not held out.
 """
 
 from __future__ import annotations
@@ -33,8 +44,14 @@ from turnloom.llm.columns import text_of, with_fields, without
 from turnloom.llm.workspace import Workspace
 
 SAMPLE_ROWS = 60_000
-LEXICON_WORDS = 4096
+FOLDS = 5
 THRESHOLD = 0.7
+#: Texts at the common rate that every entry's counts begin with, and toxic texts that a seed's begin with besides.
+PRIOR, SEED_TEXTS = 3.0, 6.0
+#: Standard errors that an entry's log ratio must reach.
+SURE = 2.0
+#: Bytes of word beginnings that are entries like words.
+STEMS = (5, 6, 7, 8)
 #: General insults that count before any label is seen; the rest of the lexicon is learned.
 SEEDS = (
     "idiot", "moron", "stupid", "dumb", "loser", "scum", "trash", "garbage", "worthless", "pathetic", "disgusting", "filth",
@@ -42,9 +59,8 @@ SEEDS = (
 )
 SECOND_PERSON = ("you", "your", "yours", "yourself", "u", "ur", "youre", "tu", "toi", "vous", "votre", "du", "dich", "dein", "ihr", "euch", "usted", "ti", "ustedes")
 NEAR = 5
-#: A word is learned when at least so many toxic texts have it, so many times as often as others.
-MIN_TOXIC, MIN_RATIO = 4, 8.0
-FEATURES = ("hits", "density", "peak", "seed_hits", "weight", "near_you", "you_rate", "hidden", "hidden_rate", "capitals", "exclaim", "punctuation", "digits", "odd_words", "log_words")
+FEATURES = ("first", "second", "third", "seed_hits", "hits", "density", "peak", "weight", "near_you", "you_rate", "hidden", "hidden_weight", "capitals", "exclaim", "punctuation", "digits", "odd_words", "log_words")
+Lexicon = tuple[np.ndarray, np.ndarray]
 
 _NOT_WORD = np.zeros(256, bool)
 _NOT_WORD[[b for b in range(128) if not chr(b).isalnum()]] = True
@@ -67,10 +83,16 @@ def hashes_of(vocabulary) -> np.ndarray:
     return np.unique(textops.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0])
 
 
+def _entries(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, whole: np.ndarray) -> list[np.ndarray]:
+    """Hashes of each word and of its beginnings; a beginning that is all of the word is the word's own hash."""
+    return [whole, *(textops.span_hashes(raw, starts, np.minimum(starts + k, ends)) for k in STEMS)]
+
+
 def plain_words(batch: pa.RecordBatch, text: str):
     raw, at = textops.buffers(batch.column(text))
-    h, counts, starts, ends = textops.words(textops.LOWER[raw], at, separator=_NOT_WORD)
-    return raw, at, h, counts, starts, ends
+    lower = textops.LOWER[raw]
+    h, counts, starts, ends = textops.words(lower, at, separator=_NOT_WORD)
+    return raw, at, h, counts, _entries(lower, starts, ends, h)
 
 
 def _member(values: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,15 +103,47 @@ def _member(values: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return known[near] == values, near
 
 
-def features(batch: pa.RecordBatch, text: str, lexicon: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """One row of FEATURES per text."""
+def _weights(entries: list[np.ndarray], lexicon: Lexicon) -> np.ndarray:
+    """The greatest weight of each word's entries, 0 where the lexicon has none."""
     known, weights = lexicon
-    raw, at, h, counts, _, _ = plain_words(batch, text)
+    out = np.zeros(len(entries[0]))
+    for values in entries if len(known) else ():
+        found, where = _member(values, known)
+        np.maximum(out, np.where(found, weights[where], 0.0), out=out)
+    return out
+
+
+def _different(owner: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """One place of each different pair, in order of pairs."""
+    order = np.lexsort((values, owner))
+    a, b = owner[order], values[order]
+    return order[np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))] if len(order) else order
+
+
+def _greatest(weight: np.ndarray, words: np.ndarray, edge: np.ndarray, n: int, most: int = 3) -> np.ndarray:
+    """The `most` greatest weights of different words of each text."""
+    out = np.zeros((n, most))
+    hit = np.flatnonzero(weight > 0)
+    owner = np.searchsorted(edge, hit, "right") - 1
+    first = _different(owner, words[hit])
+    hit, owner = hit[first], owner[first]
+    order = np.lexsort((-weight[hit], owner))
+    hit, owner = hit[order], owner[order]
+    place = np.arange(len(hit)) - np.searchsorted(owner, owner)
+    top = place < most
+    out[owner[top], place[top]] = weight[hit[top]]
+    return out
+
+
+def features(batch: pa.RecordBatch, text: str, lexicon: Lexicon) -> np.ndarray:
+    """One row of FEATURES per text."""
+    raw, at, h, counts, entries = plain_words(batch, text)
     edge = np.concatenate(([0], np.cumsum(counts)))
     count = lambda mask: textops.per_text(mask, edge)
-    hit, which = _member(h, known)
+    weight = _weights(entries, lexicon)
+    hit = weight > 0
     hits = count(hit)
-    weight = np.concatenate(([0.0], np.cumsum(np.where(hit, weights[which], 0.0) if len(known) else np.zeros(len(h)))))[edge]
+    total = np.concatenate(([0.0], np.cumsum(weight)))[edge]
     you = _member(h, hashes_of(SECOND_PERSON))[0]
     # words at most NEAR places from a second-person word of the same text
     near_you, at_you = np.zeros(len(h), bool), np.flatnonzero(you)
@@ -107,48 +161,78 @@ def features(batch: pa.RecordBatch, text: str, lexicon: tuple[np.ndarray, np.nda
     # the same words with look-alike characters replaced and punctuation inside them dropped
     solid = ~_LOOSE[raw] | (_LEET[raw] != textops.LOWER[raw])
     kept_at = np.concatenate(([0], np.cumsum(solid)))[at]
-    h2, counts2, _, _ = textops.words(_LEET[raw[solid]], kept_at)
+    shown = _LEET[raw[solid]]
+    h2, counts2, starts2, ends2 = textops.words(shown, kept_at)
     edge2 = np.concatenate(([0], np.cumsum(counts2)))
-    hidden = np.maximum(textops.per_text(_member(h2, known)[0], edge2) - hits, 0)
+    weight2 = _weights(_entries(shown, starts2, ends2, h2), lexicon)
+    hidden = np.maximum(textops.per_text(weight2 > 0, edge2) - hits, 0)
     byte = lambda mask: textops.per_text(mask[raw], at)
     size = np.maximum(np.diff(at), 1)
     n = np.maximum(counts, 1)
     odd = np.maximum(counts - counts2, 0)
+    top = _greatest(weight, h, edge, batch.num_rows)
+    hidden_weight = np.maximum(_greatest(weight2, h2, edge2, batch.num_rows, 1)[:, 0] - top[:, 0], 0)
     return np.stack([
-        np.minimum(hits, 50), hits / n, peak, count(_member(h, hashes_of(SEEDS))[0]) / n, np.diff(weight) / n, count(hit & near_you) / n, count(you) / n,
-        np.minimum(hidden, 50), hidden / n, byte(_UPPER) / size, byte(_EXCLAIM) / n, byte(_LOOSE) / n, byte(_DIGIT) / size, odd / n, np.log1p(counts),
+        top[:, 0], top[:, 1], top[:, 2], count(_member(h, hashes_of(SEEDS))[0]) / n, np.minimum(hits, 50), hits / n, peak, np.diff(total) / n, count(hit & near_you) / n, count(you) / n,
+        np.minimum(hidden, 50), hidden_weight, byte(_UPPER) / size, byte(_EXCLAIM) / n, byte(_LOOSE) / n, byte(_DIGIT) / size, odd / n, np.log1p(counts),
     ], axis=1)
 
 
-def _document_words(text: str):
-    """For each partition and word: how many toxic and other texts have it."""
+def count_entries(batch: pa.RecordBatch, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(row, entry) of all different entries of each text."""
+    _, _, _, counts, entries = plain_words(batch, text)
+    owner, values = np.tile(np.repeat(np.arange(batch.num_rows), counts), len(entries)), np.concatenate(entries)
+    first = _different(owner, values)
+    return owner[first], values[first]
+
+
+def _document_entries(text: str):
+    """For each partition, entry and part: how many toxic and other texts have it."""
 
     def run(batches):
-        keys, toxic = [], []
+        keys, kinds = [], []
         for batch in textops.slices(batches, text, 1 << 20):
-            _, _, h, counts, _, _ = plain_words(batch, text)
-            owner = np.repeat(np.arange(batch.num_rows, dtype=np.uint64), counts)
-            order = np.lexsort((h, owner))
-            h, owner = h[order], owner[order]
-            first = np.concatenate(([True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))) if len(h) else np.zeros(0, bool)
-            label = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
-            keys.append(h[first])
-            toxic.append(label[owner[first].astype(np.int64)])
+            owner, entry = count_entries(batch, text)
+            kind = 2 * batch.column("fold").to_numpy(zero_copy_only=False).astype(np.int64) + batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
+            keys.append(entry)
+            kinds.append(kind[owner])
         if keys:
             values, where = np.unique(np.concatenate(keys), return_inverse=True)
-            bad = np.bincount(where, np.concatenate(toxic), len(values)).astype(np.int64)
-            n = np.bincount(where, minlength=len(values))
+            table = np.bincount(where * 2 * FOLDS + np.concatenate(kinds), minlength=2 * FOLDS * len(values)).reshape(len(values), 2 * FOLDS)
             for a in range(0, len(values), 100_000):
-                s = slice(a, a + 100_000)
-                yield pa.RecordBatch.from_pydict({"word": pa.array(values[s].view(np.int64), pa.int64()), "bad": pa.array(bad[s], pa.int64()), "good": pa.array((n - bad)[s], pa.int64())})
+                part = slice(a, a + 100_000)
+                columns = {"entry": pa.array(values[part].view(np.int64), pa.int64())}
+                yield pa.RecordBatch.from_pydict(columns | {f"k{k}": pa.array(table[part, k], pa.int64()) for k in range(2 * FOLDS)})
 
     return run
 
 
+def log_ratio(bad, good, all_bad: float, all_good: float):
+    """How much likelier toxic texts have an entry, and the standard error; counts begin with a half."""
+    ratio = np.log((bad + 0.5) / (all_bad + 1.0)) - np.log((good + 0.5) / (all_good + 1.0))
+    return ratio, np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5))
+
+
+def lexicon_of(entries: np.ndarray, bad: np.ndarray, good: np.ndarray, all_bad: int, all_good: int) -> Lexicon:
+    """Entries that go with toxic texts, sorted by hash, with their weights; and all seeds."""
+    seeds = hashes_of(SEEDS)
+    missing = np.setdiff1d(seeds, entries)
+    entries = np.concatenate((entries, missing))
+    bad, good = (np.concatenate((c, np.zeros(len(missing)))).astype(float) for c in (bad, good))
+    seed = np.isin(entries, seeds)
+    bad = bad + SEED_TEXTS * seed
+    ratio, error = log_ratio(bad, good, all_bad, all_good)
+    rate = (all_bad + 0.5) / (all_bad + all_good + 1.0)
+    weight = np.log((bad + PRIOR * rate) / (good + PRIOR * (1 - rate))) - np.log(rate / (1 - rate))
+    chosen = (seed | (ratio >= SURE * error)) & (weight > 0)
+    order = np.argsort(entries[chosen])
+    return entries[chosen][order], weight[chosen][order]
+
+
 class ToxicityModel:
     """A fitted lexicon, trees and calibration; small enough to travel with tasks."""
 
-    def __init__(self, lexicon, trees=None, knots=None):
+    def __init__(self, lexicon: Lexicon, trees=None, knots=None):
         self.lexicon, self.trees, self.knots = lexicon, trees, knots
 
     def scores(self, batch: pa.RecordBatch, text: str) -> np.ndarray:
@@ -158,6 +242,18 @@ class ToxicityModel:
         return boosting.calibrated(self.trees.raw(x), self.knots)
 
 
+def fit_rows(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> tuple[boosting.Trees, tuple[np.ndarray, np.ndarray]]:
+    """Trees of all rows, and the calibration from raw scores by trees of the other parts."""
+    least = max(2, min(10, int(y.sum()) // 4))
+    grow = lambda rows: boosting.fit_trees(x[rows], y[rows], least=least)
+    trees, raw, known = grow(np.ones(len(y), bool)), np.zeros(len(y)), np.zeros(len(y), bool)
+    for k in range(FOLDS):
+        own, others = fold == k, fold != k
+        if own.any() and len({*y[others].tolist()}) == 2:
+            raw[own], known[own] = grow(others).raw(x[own]), True
+    return trees, boosting.isotonic(raw[known], y[known]) if known.any() else boosting.isotonic(trees.raw(x), y)
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = SAMPLE_ROWS, workspace: Workspace | None = None) -> ToxicityModel:
     """labels: rows to learn from, with `doc_id` and `label`; others must have been left out."""
     ws = workspace or Workspace(docs.sparkSession)
@@ -165,41 +261,49 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
     place = F.pmod(F.xxhash64(F.col("id"), F.lit("toxicity")), F.lit(1 << 20))
     total = usable.count()
     share = min(1.0, 0.95 * sample_rows / max(total, 1))
-    picked = usable.withColumn("place", place / F.lit(float(1 << 20))).where(F.col("place") < share).withColumn("part", F.col("place") / share)
+    picked = usable.where(place < share * (1 << 20)).withColumn("fold", F.pmod(F.xxhash64(F.col("id"), F.lit("fold")), F.lit(FOLDS)).cast("int"))
+
     def with_texts(rows: DataFrame) -> DataFrame:
         return docs.select(F.col(doc_id).alias("id"), text).join(F.broadcast(rows), "id")  # at most about sample_rows rows of 20 bytes
 
     # of equal texts one is taught, else the words of a copied toxic text would all count as toxic
-    one = with_texts(picked.select("id", "toxic", "part")).groupBy(F.xxhash64(text).alias("print")).agg(F.min(F.struct("part", "id", "toxic")).alias("r")).select("r.*")
+    one = with_texts(picked).groupBy(F.xxhash64(text).alias("print")).agg(F.min(F.struct("id", "toxic", "fold")).alias("r")).select("r.*")
     taught = with_texts(ws.keep(one.distinct(), "sample"))
-    first = taught.where("part < 0.5")
-    sizes = {r["toxic"]: r["n"] for r in first.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    bad, good = sizes.get(1, 0), sizes.get(0, 0)
-    ratio = (F.col("bad") + 0.5) / (bad + 1.0) / ((F.col("good") + 0.5) / (good + 1.0))
-    found = first.select(text, "toxic").mapInArrow(_document_words(text), "word long, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    best = found.where((F.col("bad") >= MIN_TOXIC) & (ratio >= MIN_RATIO)).select("word", F.log(ratio).alias("w"), "bad").orderBy(F.desc(F.col("w") * F.sqrt("bad")), "word").limit(LEXICON_WORDS)
-    rows = {np.uint64(r["word"] % 2**64): r["w"] for r in best.collect()}
-    for seed in hashes_of(SEEDS):
-        rows.setdefault(seed, float(np.log(MIN_RATIO)))
-    known = np.array(sorted(rows), np.uint64)
-    lexicon = (known, np.array([rows[k] for k in known]))
+    sizes = np.zeros((FOLDS, 2))
+    for r in taught.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect():
+        sizes[r["fold"], r["toxic"]] = r["n"]
+    names = [f"k{k}" for k in range(2 * FOLDS)]
+    sums = taught.select(text, "toxic", "fold").mapInArrow(_document_entries(text), "entry long, " + ", ".join(f"{n} long" for n in names)).groupBy("entry").agg(*(F.sum(n).alias(n) for n in names))
+    # what no part's lexicon can hold stays behind: the best that a part may show is all toxic texts and none of its own others
+    bad, good = sum(F.col(n) for n in names[1::2]), sum(F.col(n) for n in names[::2])
+    fewest = good - F.greatest(*names[::2])
+    ratio = F.log((bad + 0.5) / F.lit(sizes[:, 1].sum() - sizes[:, 1].max() + 1.0)) - F.log((fewest + 0.5) / F.lit(sizes[:, 0].sum() + 1.0))
+    seeds = F.col("entry").isin(hashes_of(SEEDS).view(np.int64).tolist())
+    table = sums.where(seeds | ((bad > 0) & (ratio >= SURE * F.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5))))).toArrow()
+    entries = table.column("entry").to_numpy().view(np.uint64)
+    counts = np.stack([table.column(n).to_numpy() for n in names], axis=1).reshape(-1, FOLDS, 2) if table.num_rows else np.zeros((0, FOLDS, 2))
+
+    def taught_by(parts: np.ndarray) -> Lexicon:
+        own, whole = counts[:, parts].sum(axis=1), sizes[parts].sum(axis=0)
+        return lexicon_of(entries, own[:, 1], own[:, 0], int(whole[1]), int(whole[0]))
+
+    everything = taught_by(np.ones(FOLDS, bool))
+    if not sizes.sum(axis=0).all():
+        return ToxicityModel(lexicon_of(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), 0, 0))
+    sent = docs.sparkSession.sparkContext.broadcast([taught_by(np.arange(FOLDS) != k) for k in range(FOLDS)])
 
     def measured(batches):
         for batch in textops.slices(batches, text, 1 << 20):
-            x = features(batch, text, lexicon)
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "toxic": batch.column("toxic"), "part": batch.column("part"), "x": pa.array(list(x), pa.list_(pa.float64()))})
-
-    kind = T.StructType([*taught.select("id", "toxic", "part").schema.fields, T.StructField("x", T.ArrayType(T.DoubleType()))])
-    seen = taught.where("part >= 0.5").mapInArrow(measured, kind).dropDuplicates(["id", "toxic"]).orderBy("part", "id", "toxic").toArrow()
-    if not seen.num_rows:
-        return ToxicityModel(lexicon)
-    x = np.array(seen.column("x").to_pylist())
-    y, part = seen.column("toxic").to_numpy(), seen.column("part").to_numpy()
-    grow, hold = part < 0.8, part >= 0.8
-    if len({*y[grow].tolist()}) < 2 or len({*y[hold].tolist()}) < 2:
-        return ToxicityModel(lexicon)
-    trees = boosting.fit_trees(x[grow], y[grow])
-    return ToxicityModel(lexicon, trees, boosting.isotonic(trees.raw(x[hold]), y[hold]))
+            fold, x = batch.column("fold").to_numpy(), np.zeros((batch.num_rows, len(FEATURES)))
+            for k in np.unique(fold).tolist():
+                own = np.flatnonzero(fold == k)
+                x[own] = features(batch.take(pa.array(own)), text, sent.value[k])
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "toxic": batch.column("toxic"), "fold": batch.column("fold"), "x": pa.array(list(x), pa.list_(pa.float64()))})
+
+    kind = T.StructType([*taught.select("id", "toxic", "fold").schema.fields, T.StructField("x", T.ArrayType(T.DoubleType()))])
+    seen = taught.mapInArrow(measured, kind).dropDuplicates(["id", "toxic"]).orderBy("id", "toxic").toArrow()
+    x, y = np.array(seen.column("x").to_pylist()), seen.column("toxic").to_numpy()
+    return ToxicityModel(everything, *fit_rows(x, y, seen.column("fold").to_numpy()))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", keep_text: bool = True) -> DataFrame:
