@@ -67,8 +67,12 @@ def host_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     rules: rule (host, then path from its first slash on) and verdict.
     """
     parts = rules.select("rule", "verdict", F.regexp_extract("rule", r"^([^/]*)", 1).alias("suffix"), F.regexp_extract("rule", r"^[^/]*(.*)$", 1).alias("path"))
+    # a rule's host has no more labels than the longest one, so longer ends of a host fit none
+    most = rules.agg(F.max(F.size(F.split(F.regexp_extract("rule", r"^([^/]*)", 1), r"\.")))).first()[0] or 0
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(most))), lambda i: F.array_join(F.slice(labels, -i, i), "."))
+    if not most:
+        suffixes = F.array().cast("array<string>")
     fits = hosts.select("host", F.explode(suffixes).alias("suffix")).join(parts, "suffix")
     ordered = F.array_sort(F.collect_list(F.struct((-F.length("rule")).alias("order"), "rule", "path", "verdict")))
     return fits.groupBy("host").agg(ordered.alias("rules"))
