@@ -221,8 +221,8 @@ def vector(text):
     return np.rint(np.array(x) * 4096)
 
 
-def robust_distances(groups):
-    """groups: {(language, source): matrix of statistics}. Squared distances from the estimate of least determinant, in numpy."""
+def robust_distances(groups, sizes):
+    """groups: {(language, source): matrix of statistics}, sizes: their texts' words. Squared distances from the estimate of least determinant, in numpy."""
     from turnloom.llm.quality_rules import BIN, CONSISTENCY, GAIN, HIGH, LOW, NOISE, PRIOR, SUPPORT
 
     noise, groups = np.array(NOISE), {g: x / 4096 for g, x in groups.items()}
@@ -264,7 +264,9 @@ def robust_distances(groups):
                     break
                 best, log_det = (mean, spread), np.linalg.slogdet(spread)[1]
             found.append((log_det, best))
-        out[g] = distances(x, *min(found, key=lambda f: f[0])[1])
+        mean, spread = min(found, key=lambda f: f[0])[1]
+        # each text by the group's covariance and the noise of as many words as it has
+        out[g] = [(v - mean) @ np.linalg.solve(spread + np.diag(noise**2) * 50 / n, v - mean) for v, n in zip(x, sizes[g], strict=True)]
     return out
 
 
@@ -282,37 +284,60 @@ def expected_quality(rows):
             failed.add(d)
         else:
             groups[lang, source].append((d, vector(text), len(w)))
-    found = robust_distances({g: np.array([x for _, x, _ in m]) for g, m in groups.items()})
+    found = robust_distances({g: np.array([x for _, x, _ in m]) for g, m in groups.items()}, {g: [n for _, _, n in m] for g, m in groups.items()})
     out = {d: (False, None) for d in failed}
     for g, members in groups.items():
-        out |= {d: (True, r / (1 + 50 / n)) for (d, _, n), r in zip(members, found[g])}
+        out |= {d: (True, r) for (d, _, _), r in zip(members, found[g])}
     return out
 
 
+def expected_limit(want):
+    """Log-distances taken as normal from their median and upper quartile, at one text in a thousand; chi-square at least."""
+    logs = np.sort(np.floor(np.log(np.array([r for passed, r in want.values() if passed]) + 1e-9) * 256)) / 256 + 1 / 512
+    middle, upper = (logs[int(np.ceil(share * len(logs))) - 1] for share in (0.5, 0.75))
+    return max(22.4577, float(np.exp(middle + (upper - middle) * 3.0902323 / 0.6744898)))
+
+
 def test_quality_verdicts(spark):
     """Every verdict of the registered query against the estimate in numpy."""
-    from turnloom.llm.quality_rules import LIMIT
-
     want = expected_quality([(r["doc_id"], r["text"] or "", r["lang"], r["source"]) for r in table("documents")])
+    limit = expected_limit(want)
+    assert 22 < limit < 200
     for r in run(spark, "op3_quality_rules"):
         passed, distance = want[r["doc_id"]]
         if passed:
             assert r["distance"] == pytest.approx(distance, rel=1e-6, abs=1e-9)
-        assert r["kept"] == (passed and distance <= LIMIT)
+        assert r["kept"] == (passed and distance <= limit)
 
 
 def test_quality_outliers(spark):
     """Groups with a fifth of outliers, of which the classical estimate would be drawn away."""
-    from turnloom.llm.quality_rules import LIMIT, judge_quality
+    from turnloom.llm.quality_rules import judge_quality
 
     rng = random.Random(2)
     rows = [(i, helpers.prose(rng, rng.randrange(60, 400)), "en", f"s{i % 3}", 1) for i in range(300)]
     rows += [(1000 + i, " ".join(w + "%%%" for w in helpers.prose(rng, 100).split()), "en", f"s{i % 3}", 1) for i in range(60)]
     rows += [(2000 + i, helpers.prose(rng, 100).upper().replace(" ", " | "), "en", "s0", 1) for i in range(8)]
     got = {r["doc_id"]: r for r in judge_quality(helpers.frame(spark, rows)).collect()}
-    for d, (passed, distance) in expected_quality([r[:4] for r in rows]).items():
+    want = expected_quality([r[:4] for r in rows])
+    limit = expected_limit(want)
+    for d, (passed, distance) in want.items():
         assert passed and got[d]["distance"] == pytest.approx(distance, rel=1e-6)
-        assert got[d]["kept"] == (distance <= LIMIT) == (d < 1000)
+        assert got[d]["kept"] == (distance <= limit) == (d < 1000)
+
+
+def test_limit_follows_the_tail(spark):
+    from turnloom.llm.quality_rules import LEAST_LIMIT, limit_of
+
+    frame = lambda values: spark.createDataFrame([(float(v),) for v in values], "distance double")
+    rng = np.random.default_rng(3)
+    assert limit_of(frame(rng.chisquare(6, 4000))) < 40  # normal data
+    heavy = np.exp(rng.normal(0, 1.5, 4000))
+    assert limit_of(frame(heavy)) == pytest.approx(np.exp(1.5 * 3.0902), rel=0.2)
+    # of outliers only the number counts, and it is never below the chi-square quantile
+    near, far = (limit_of(frame(np.concatenate((heavy, np.full(200, x))))) for x in (300.0, 1e6))
+    assert near == far < 2 * limit_of(frame(heavy))
+    assert limit_of(frame([0.1] * 50)) == LEAST_LIMIT == limit_of(frame([]))
 
 
 def test_chi_square():

@@ -9,12 +9,20 @@ classical estimate. From each, concentration steps go on for as long as the
 determinant falls: keep the SUPPORT part of the texts with the smallest
 Mahalanobis distances, take mean and covariance of these. The start that ends
 with the lowest determinant gives the estimate, made consistent for normal
-data. A text is rejected where its distance is beyond the chi-square quantile
-of LEVEL.
-
-Two things stand in for noise. A rate over n words is known to about 1/n, so a
-text of n words is taken to have (1 + MIN_WORDS / n) times its group's
-covariance. And the covariance of a group is regularised: small groups lean on
+data.
+
+A text is rejected where its distance is beyond what one text in 1 / LEVEL would reach. Rates
+have heavier tails than normal data, so this reach is taken from the distances
+themselves: their logarithms are taken as normal above the median, with the
+spread that the median and the upper quartile of all texts show; outliers count
+for these only by their number, not by their distance. It is never less than the
+chi-square quantile.
+
+Two things stand in for noise. What n words show of a statistic varies around the text's own by
+MIN_WORDS / n times the variance that MIN_WORDS words have (NOISE), so a distance
+is taken with the group's covariance plus that of n words: in the axes in which both
+are diagonal, each square is divided by 1 + MIN_WORDS / n times the noise's share
+of the axis. And the covariance of a group is regularised: small groups lean on
 their language, and languages on the corpus, by PRIOR texts; to it is added
 the noise that each statistic has in a text of MIN_WORDS words (NOISE), without
 which statistics that are nearly always 0 would have no spread at all.
@@ -39,6 +47,7 @@ passes the base rules nothing is kept.
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -61,8 +70,10 @@ GAIN = 1e-3
 SCALE = 4096
 #: Products of tangents and directions are rounded to 1/FINE.
 FINE = 1 << 24
-#: Share of normal texts beyond the limit. Corpora have far more than a million texts, and rates have heavier tails.
-LEVEL = 5e-8
+#: Share of texts of the fitted distribution beyond the limit.
+LEVEL = 1e-3
+#: Bins of distances for their quartiles: so many for each factor of e, between these logarithms.
+FINE_BIN, FINE_LOW, FINE_HIGH = 256, -12, 15
 #: Characters of a word, and the deviation of their number over its mean, in most languages.
 WORD_CHARS, WORD_SPREAD = 5.0, 0.5
 
@@ -103,8 +114,8 @@ def chi_square_limit(level: float, k: int) -> float:
     return high
 
 
-#: Squared distance beyond which a text is rejected.
-LIMIT = chi_square_limit(LEVEL, P)
+#: The least squared distance at which a text is rejected.
+LEAST_LIMIT = chi_square_limit(LEVEL, P)
 #: By how much the covariance of the inner SUPPORT part of normal data is too small.
 CONSISTENCY = SUPPORT / (1 - chi_square_beyond(chi_square_limit(1 - SUPPORT, P), P + 2))
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -172,6 +183,46 @@ def _distance(means: str, whiten: str) -> Column:
     return total
 
 
+def _noisy_distance() -> Column:
+    """Squared distance with the noise of the text's own number of words, in the axes that _axes gives."""
+    share, total = F.lit(float(MIN_WORDS)) / F.col("n_words"), F.lit(0.0)
+    for k in range(P):
+        z = F.lit(0.0)
+        for j in range(P):
+            z = z + F.col("axes")[k * P + j] * (F.col(X[j]) / SCALE - F.col("means")[j])
+        total = total + z * z / (1 + share * F.col("noise")[k])
+    return total
+
+
+def _axes(batches):
+    """Axes in which a group's covariance is one and the noise of MIN_WORDS words is diagonal, with its shares."""
+    for batch in batches:
+        rows = []
+        for row in batch.to_pylist():
+            low = np.zeros((P, P))
+            for v, (i, j) in zip(row["whiten"], PAIRS, strict=True):
+                low[i, j] = v
+            noise = low @ np.diag(np.square(NOISE)) @ low.T
+            shares, turn = np.linalg.eigh((noise + noise.T) / 2)
+            rows.append((row["group"], row["means"], (turn.T @ low).ravel().tolist(), np.maximum(shares, 0).tolist()))
+        names, doubles = ("group", "means", "axes", "noise"), pa.list_(pa.float64())
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_pydict({n: pa.array(c, pa.string() if n == "group" else doubles) for n, c in zip(names, columns, strict=True)})
+
+
+def limit_of(distances: DataFrame) -> float:
+    """The distance beyond which a text is rejected, from a column `distance` of all texts that are judged."""
+    logarithm = F.greatest(F.lit(FINE_LOW), F.least(F.lit(FINE_HIGH), F.log(F.col("distance") + 1e-9)))
+    counts = distances.groupBy(F.floor(logarithm * FINE_BIN).alias("bin")).agg(F.count("*").alias("n"))
+    found = sorted((r["bin"], r["n"]) for r in counts.collect())  # one row per bin
+    bins, upto = np.array([b for b, _ in found]), np.cumsum([n for _, n in found])
+    if not len(bins):
+        return LEAST_LIMIT
+    middle, upper = ((bins[np.searchsorted(upto, share * upto[-1])] + 0.5) / FINE_BIN for share in (0.5, 0.75))
+    normal = NormalDist()
+    return max(LEAST_LIMIT, math.exp(middle + (upper - middle) * normal.inv_cdf(1 - LEVEL) / normal.inv_cdf(0.75)))
+
+
 def _whitened(covariance: np.ndarray) -> tuple[list[float], float]:
     """The lower inverse Cholesky factor, and the logarithm of the determinant."""
     low = np.linalg.cholesky(covariance)
@@ -327,7 +378,7 @@ def estimates(ws: Workspace, fit: DataFrame) -> DataFrame:
 
 
 def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", workspace: Workspace | None = None, with_text: bool = True) -> DataFrame:
-    """The rows with the base counts, base_failed, distance (in normal texts' chi-square values) and kept."""
+    """The rows with the base counts, base_failed, distance (squared, with the noise of a text's length) and kept."""
     text_of(docs, text)
     ws = workspace or Workspace(docs.sparkSession)
     rows = without(docs, *COUNTS, "base_failed", "distance", "kept")
@@ -338,7 +389,7 @@ def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     schema = with_fields(schema, *((n, T.LongType()) for n in (*COUNTS, *X)))
     measured = ws.keep(keyed.mapInArrow(_measure("tl_text", schema.names), schema), "measured", "zstd" if with_text else "snappy")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    params = estimates(ws, measured.where(~failed).select("group", "language", *X))
-    distance = _distance("means", "whiten") * F.col("n_words") / (F.col("n_words") + MIN_WORDS)
-    out = measured.join(params, "group", "left").withColumns({"base_failed": failed, "distance": distance})
-    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= LIMIT, F.lit(False))).select(*unboxed(carried), *COUNTS, "base_failed", "distance", "kept")
+    params = estimates(ws, measured.where(~failed).select("group", "language", *X)).mapInArrow(_axes, "group string, means array<double>, axes array<double>, noise array<double>")
+    out = measured.join(params, "group", "left").withColumns({"base_failed": failed, "distance": _noisy_distance()})
+    limit = limit_of(out.where("NOT base_failed"))
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= limit, F.lit(False))).select(*unboxed(carried), *COUNTS, "base_failed", "distance", "kept")
