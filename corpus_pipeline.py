@@ -72,8 +72,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the mixture's documents in sequences of 4096 tokens."""
-    return settled(spark, lambda ws: pack_documents(docs.select("doc_id", "text"), TOKENIZER, workspace=ws))
+    """Pieces of the mixture's documents in sequences of 4096 tokens.
+
+    Packing sorts by length, so it is the numbers of the sequences that are mixed: pieces of all lengths lie evenly over them.
+    """
+    return settled(spark, lambda ws: pack_documents(docs.select("doc_id", "text"), TOKENIZER, spread=True, workspace=ws))
 
 
 STAGES = [("quality_rules", quality_rules), ("minhash_dedup", minhash_dedup), ("substring_dedup", substring_dedup), ("mixing", mix), ("packing", pack)]

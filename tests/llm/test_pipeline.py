@@ -4,17 +4,16 @@ import collections
 import hashlib
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from tests.llm import helpers
-from tests.llm.test_brute_force import SF, SPACE, expected_quality, near_groups, removed
+from tests.llm.test_brute_force import SF, SPACE, expected_limit, expected_quality, near_groups, removed
 
 
 def test_stages(spark):
-    from turnloom.llm.quality_rules import LIMIT
-
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
     rows = docs.collect()
@@ -24,7 +23,7 @@ def test_stages(spark):
     good = stages["quality_rules"](spark, docs, SF)
     assert good.columns == columns
     texts = {r["doc_id"]: r["text"] for r in good.collect()}
-    assert texts == {r["doc_id"]: r["text"] for r in rows if judged[r["doc_id"]][0] and judged[r["doc_id"]][1] <= LIMIT}
+    assert texts == {r["doc_id"]: r["text"] for r in rows if judged[r["doc_id"]][0] and judged[r["doc_id"]][1] <= expected_limit(judged)}
     unique = stages["minhash_dedup"](spark, good, SF)
     groups = near_groups(texts)
     left = {r["doc_id"]: r["text"] for r in unique.collect()}
@@ -49,6 +48,11 @@ def test_stages(spark):
     assert max(times.values()) <= 3
     packed = stages["packing"](spark, mixed, SF).collect()
     assert sum(r["start"] == 0 for r in packed) == mixed.count()
+    # sequences are numbered without gaps, and short pieces do not wait for the end
+    last = max(r["sequence_id"] for r in packed)
+    assert {r["sequence_id"] for r in packed} == set(range(last + 1))
+    halves = [[r["length"] for r in packed if (r["sequence_id"] > last / 2) == late] for late in (False, True)]
+    assert last < 8 or 0.5 < np.mean(halves[0]) / np.mean(halves[1]) < 2
 
 
 CLASHES = ("kept", "draws", "size", "sequence_id", "chosen", "n_words", "component_id", "tl_row", "n removed", "dot.ted", "group", "rank")

@@ -23,6 +23,7 @@ follows the input partitions.
 from __future__ import annotations
 
 import json
+import math
 import os
 import sys
 import zlib
@@ -310,7 +311,15 @@ def place(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
     return np.array(rows, np.int64).reshape(-1, 6)
 
 
-def _assign(plan, names: list[str]):
+def spread_order(n: int) -> tuple[int, int]:
+    """(factor, n) of a renumbering i * factor % n of n sequences that leaves no stretch of neighbours together."""
+    factor = max(1, min(int(n * 0.6180339887), (1 << 28) - 1))
+    while math.gcd(factor, max(n, 1)) != 1:
+        factor += 1
+    return factor, max(n, 1)
+
+
+def _assign(plan, names: list[str], order: tuple[int, int] | None = None):
     def run(batches):
         length, rank, n, sequence, offset, _ = plan.value.T
         starts = (length << 44) | rank
@@ -321,16 +330,20 @@ def _assign(plan, names: list[str]):
             at = np.searchsorted(starts, (own << 44) | nth, "right") - 1
             columns = dict(zip(batch.schema.names, batch.columns, strict=True))
             layer, place_ = np.divmod(nth - rank[at], n[at])
-            columns |= {"sequence_id": pa.array(sequence[at] + place_, pa.int64()), "offset": pa.array(offset[at] + layer * own, pa.int64())}
+            number = sequence[at] + place_
+            if order:
+                number = number * order[0] % order[1]
+            columns |= {"sequence_id": pa.array(number, pa.int64()), "offset": pa.array(offset[at] + layer * own, pa.int64())}
             yield pa.RecordBatch.from_pydict({n: columns[n] for n in names})
 
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, text: str = "text", with_ids: bool = False, workspace: Workspace | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, text: str = "text", with_ids: bool = False, spread: bool = False, workspace: Workspace | None = None) -> DataFrame:
     """One row per piece: the row's other columns, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    With `with_ids`, also the piece's ids. tokenizer: path of a tokenizer file.
+    Sequences are numbered as they are opened, long pieces first; with `spread`, pieces of
+    all lengths lie evenly over the numbers. With `with_ids`, also the piece's ids. tokenizer: path of a tokenizer file.
     """
     text_of(docs, text)
     spark = docs.sparkSession
@@ -351,4 +364,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, te
     # merged, not broadcast: the ranks grow with the number of tasks
     ranked = pieces.join(before.select("task", "length", "before").hint("merge"), ["task", "length"])
     out = with_fields(T.StructType([boxes.schema[ROW]]), *((n, T.LongType()) for n in numbers), *extra, ("sequence_id", T.LongType()), ("offset", T.LongType()))
-    return ranked.mapInArrow(_assign(plan, out.names), out).select(*unboxed(carried), *out.names[1:])
+    used = int((rows_[:, 3] + rows_[:, 2]).max()) if len(rows_) else 0
+    return ranked.mapInArrow(_assign(plan, out.names, spread_order(used) if spread else None), out).select(*unboxed(carried), *out.names[1:])
