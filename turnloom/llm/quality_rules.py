@@ -51,7 +51,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -185,7 +185,7 @@ def _distance(means: str, whiten: str) -> Column:
 
 def _noisy_distance() -> Column:
     """Squared distance with the noise of the text's own number of words, in the axes that _axes gives."""
-    share, total = F.lit(float(MIN_WORDS)) / F.col("n_words"), F.lit(0.0)
+    share, total = F.lit(float(MIN_WORDS)) / F.greatest(F.col("n_words"), F.lit(1)), F.lit(0.0)
     for k in range(P):
         z = F.lit(0.0)
         for j in range(P):
@@ -362,15 +362,16 @@ def estimates(ws: Workspace, fit: DataFrame) -> DataFrame:
     found = scaled.groupBy("group").agg(*(v.cast("double").alias(k) for k, v in sums.items())).join(quartiles, "group")
     best = ws.keep(found.mapInArrow(_starts, _PARAMS).withColumn("active", F.lit(True)), "starts")
     for _ in range(MOST_STEPS):
-        if best.where("active").isEmpty():
-            break
         moments = _inner(fit, best.where("active").drop("log_det", "active")).join(target, "group")
         new = moments.mapInArrow(_concentrate, _PARAMS).withColumnsRenamed({"means": "m", "whiten": "w", "log_det": "d"})
         better = F.coalesce(F.col("d") < F.col("log_det") - GAIN, F.lit(False))
         choice = lambda n, o: F.when(better, F.col(n)).otherwise(F.col(o)).alias(o)
         stepped = best.join(new, ["group", "start"], "left").select("group", "start", choice("m", "means"), choice("w", "whiten"), choice("d", "log_det"), better.alias("active"))
-        was, best = best, ws.keep(stepped, "best")
+        seen = Observation()
+        was, best = best, ws.keep(stepped.observe(seen, F.count_if("active").alias("active")), "best")
         ws.drop(was)
+        if not seen.get["active"]:
+            break
     else:
         raise RuntimeError(f"estimates still improve after {MOST_STEPS} steps")
     least = best.groupBy("group").agg(F.min(F.struct("log_det", "start", "means", "whiten")).alias("best"))
