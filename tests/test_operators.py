@@ -17,6 +17,7 @@ from turnloom.operators import streams as S
 from turnloom.operators import template as M
 from turnloom.operators import training as G
 from turnloom.sources import tables
+from turnloom.sources.logs import read_log
 from turnloom.streaming import replies as live
 
 TURNS = "conv_id long, turn long, role string, text string"
@@ -193,14 +194,6 @@ def test_strict_reader_fails_and_reads(spark, tmp_path):
     assert tables.read_conversations(spark, str(tmp_path / "out")).count() == 2
 
 
-def test_settings_store(spark, tmp_path):
-    store = tables.SettingsStore(spark, str(tmp_path / "settings"))
-    store.set(spark.createDataFrame([("u", 1)], "api_url string, n int"))
-    assert store.get().collect() == [("u", 1)]
-    store.remove()
-    assert not (tmp_path / "settings").exists()
-
-
 def test_settings_from_environment():
     found = Settings.from_env({"MAX_SEQ_LEN": "7", "STREAM": "TRUE", "PEAK_RATE": "0.5", "OTHER": "x"})
     assert (found.max_seq_len, found.stream, found.peak_rate, found.epochs) == (7, True, 0.5, 2)
@@ -329,7 +322,7 @@ def test_plans_and_rates(spark):
 def test_log_reader(spark, tmp_path):
     log = tmp_path / "log"
     log.write_text("Map: 100%|##| 9/9\n{'loss': 2.5, 'num_tokens': 10.0}\r 4%|#| 1/9\n{'loss': 2.0, 'num_tokens': 25.0}\n{'train_runtime': 2.0, 'num_tokens': 25.0}\n")
-    lines = tables.read_log(spark, str(log), "r")
+    lines = read_log(spark, str(log), "r")
     steps = G.token_steps(G.parse_log(lines)).orderBy("step").collect()
     assert [(r["step"], r["loss"], r["new_tokens"]) for r in steps] == [(10, 2.5, 10.0), (20, 2.0, 15.0)]
     assert G.run_summaries(lines).first()["tokens_per_second"] == 12.5

@@ -74,7 +74,11 @@ def problem_of(line: Column) -> Column:
     that all have the keys `role` and `content`, whatever their values.
     """
     parsed = F.try_parse_json(line)
-    listed = F.try_variant_get(parsed, "$.messages", "array<variant>")
+    return problem_of_variant(parsed, F.try_variant_get(parsed, "$.messages", "array<variant>"))
+
+
+def problem_of_variant(parsed: Column, listed: Column) -> Column:
+    """problem_of() of a line that has been parsed, and of its list of messages."""
     keys = lambda v: F.try_variant_get(v, "$", "map<string,variant>")
     has = lambda v: F.coalesce(F.map_contains_key(keys(v), "role") & F.map_contains_key(keys(v), "content"), F.lit(False))
     return (

@@ -55,6 +55,12 @@ def model_listing(spark: SparkSession, created: int, settings: Settings = DEFAUL
     return spark.createDataFrame([("list", settings.model_name, "model", created, owner)], "list_object string, id string, object string, created long, owned_by string")
 
 
+def models_of(requests: DataFrame, model: str = "model", created: str = "created", owner: str = "local") -> DataFrame:
+    """One row for each model that requests name, since the first of these."""
+    rows = requests.groupBy(F.col(model).alias("id")).agg(F.min(created).cast("long").alias("created"))
+    return rows.select(F.lit("list").alias("list_object"), "id", F.lit("model").alias("object"), "created", F.lit(owner).alias("owned_by"))
+
+
 def with_status(replies: DataFrame, status: Column, content: str = "content") -> DataFrame:
     """Failed requests show their error as content and are not stored."""
     failed = (status < 200) | (status > 299)

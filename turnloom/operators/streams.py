@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import codecs
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,6 +89,36 @@ def joined(deltas: DataFrame, key: str, *order: str) -> DataFrame:
     return deltas.groupBy(key).agg(F.array_join(F.transform(pieces, lambda p: p["delta"]), "").alias("content"))
 
 
+def texts_of_reads(reads: DataFrame, key: str, order: str = "seq", data: str = "data") -> DataFrame:
+    """Reads of bytes as reads of text: (key, order, data).
+
+    A read gives the characters that end in it; bytes of one that is not over wait
+    for the next read of the same reply. Bytes that are no UTF-8 become replacement
+    characters, a byte order mark at the start is left out, and bytes that still
+    wait after the last read are dropped, as a decoder that is never told of the end drops them. One
+    shuffle and sort by reply; a task holds a decoder, not a reply.
+    """
+    schema = T.StructType([T.StructField("k", reads.schema[key].dataType), T.StructField("o", reads.schema[order].dataType), T.StructField("d", T.StringType())])
+    rows = reads.select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(data).alias("d")).repartition("k").sortWithinPartitions("k", "o")
+
+    def run(batches):
+        decoder, last = None, object()
+        for batch in batches:
+            texts = []
+            for k, d in zip(batch.column("k").to_pylist(), batch.column("d").to_pylist(), strict=True):
+                if k != last or decoder is None:
+                    decoder, last = codecs.getincrementaldecoder("utf-8-sig")("replace"), k
+                texts.append(decoder.decode(d or b""))
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("o"), pa.array(texts, pa.string())], ["k", "o", "d"])
+
+    return rows.mapInArrow(run, schema).select(F.col("k").alias(key), F.col("o").alias(order), F.col("d").alias(data))
+
+
+def decode_bytes(reads: DataFrame, key: str, order: str = "seq", data: str = "data", mode: str = "lossy") -> DataFrame:
+    """decode() of reads of bytes, wherever they cut characters and events."""
+    return decode(texts_of_reads(reads, key, order, data), key, order, data, mode)
+
+
 def decode(reads: DataFrame, key: str, order: str = "seq", data: str = "data", mode: str = "lossy") -> DataFrame:
     """Content per key from the texts of network reads.
 

@@ -14,7 +14,7 @@ from turnloom.operators import requests as R
 from turnloom.operators import streams as S
 from turnloom.operators import template as M
 from turnloom.operators import training as G
-from turnloom.plans.registry import DIGEST, NEST, ORACLES, QUERIES, digest, long, nested, query, turns_of, values
+from turnloom.plans.registry import DIGEST, NEST, ORACLES, QUERIES, digest, long, nested, query, turns_of
 from turnloom.sources.shared import scratch
 from turnloom.sources.tables import read_table
 from turnloom.streaming import replies as live
@@ -43,32 +43,6 @@ def flatten_conversations(spark, sf_dir):
     return C.flatten(nested(spark, sf_dir)).select("conv_id", long(F.col("turn"), "turn"), "role", "text")
 
 
-#: Lines of JSON that show each rule of validation.
-LINES = (
-    (1, '{"messages":[{"role":"user","content":"a"}]}'),
-    (2, '{"messages":[]}'),
-    (3, '{"messages":"x"}'),
-    (4, '{"x":1}'),
-    (5, "not json"),
-    (6, '{"messages":[{"role":"user"}]}'),
-    (7, '{"messages":[{"role":"user","content":null}]}'),
-    (8, '{"messages":[{"role":"user","content":"a"},{"content":"b"}]}'),
-    (9, '{"messages":["a"]}'),
-    (10, '{"messages":[{"role":"odd","content":5,"more":1}]}'),
-)
-
-
-@query(f"""
-WITH l(line_no, line) AS (VALUES {values(LINES)}),
-j AS (SELECT line_no, CASE WHEN json_valid(line) THEN line::JSON END AS j FROM l),
-t AS (SELECT line_no, j, CASE WHEN json_type(j, '$.messages') = 'ARRAY' THEN CAST(json_array_length(j, '$.messages') AS BIGINT) ELSE 0 END AS n FROM j)
-SELECT CAST(line_no AS BIGINT) AS line_no, CASE WHEN j IS NULL THEN 'not json' WHEN n = 0 THEN 'no list of messages'
-  WHEN (SELECT count(*) FROM range(n) r(i) WHERE json_exists(j, '$.messages[' || i || '].role') AND json_exists(j, '$.messages[' || i || '].content')) < n THEN 'message without role or content' END AS problem
-FROM t""")
-def validate_messages(spark, sf_dir):
-    return C.quarantine(spark.createDataFrame(LINES, "line_no long, line string")).select("line_no", "problem")
-
-
 @query("SELECT conv_id, CAST(count(*) AS BIGINT) AS n_messages, bool_and(role IS NOT NULL) AS valid FROM conversations GROUP BY conv_id")
 def validate_conversations(spark, sf_dir):
     lines = nested(spark, sf_dir).select("conv_id", "messages", F.to_json(F.struct("messages")).alias("line"))
@@ -141,61 +115,6 @@ def render_chat(spark, sf_dir):
     return nested(spark, sf_dir).select("conv_id", long(F.length(p), "n_chars"), F.md5(p).alias("rendered"), F.md5(M.render(m, generation_prompt=True)).alias("prompt"), F.md5(M.render(m, generation_prompt=True, enable_thinking=False)).alias("prompt_no_thinking"))
 
 
-_CALL = '<tool_call>\n{"name": "f", "arguments": {"x": 1}}\n</tool_call>'
-_CALL2 = '<tool_call>\n{"name": "g", "arguments": {}}\n</tool_call>'
-#: Messages (role, content, reasoning, calls), and their prompt: one case for each branch of the template.
-EDGES = (
-    ("plain", [("system", "S", None, None), ("user", "q", None, None)], "<|im_start|>system\nS<|im_end|>\n<|im_start|>user\nq<|im_end|>\n"),
-    ("late system", [("user", "q", None, None), ("system", "S", None, None)], "<|im_start|>user\nq<|im_end|>\n<|im_start|>system\nS<|im_end|>\n"),
-    ("answer last", [("user", "q", None, None), ("assistant", "a", None, None)], "<|im_start|>user\nq<|im_end|>\n<|im_start|>assistant\n<think>\n\n</think>\n\na<|im_end|>\n"),
-    ("thinking kept", [("user", "q", None, None), ("assistant", "<think>\nt\n</think>\n\na", None, None)], "<|im_start|>user\nq<|im_end|>\n<|im_start|>assistant\n<think>\nt\n</think>\n\na<|im_end|>\n"),
-    ("thinking given", [("user", "q", None, None), ("assistant", "a", "\nt\n", None)], "<|im_start|>user\nq<|im_end|>\n<|im_start|>assistant\n<think>\nt\n</think>\n\na<|im_end|>\n"),
-    ("thinking dropped", [("user", "q", None, None), ("assistant", "<think>\nt\n</think>\n\na", None, None), ("user", "r", None, None)], "<|im_start|>user\nq<|im_end|>\n<|im_start|>assistant\na<|im_end|>\n<|im_start|>user\nr<|im_end|>\n"),
-    ("no question", [("assistant", "a", None, None)], "<|im_start|>assistant\na<|im_end|>\n"),
-    ("unknown role", [("user", "q", None, None), ("critic", "x", None, None)], "<|im_start|>user\nq<|im_end|>\n"),
-    ("null content", [("user", None, None, None)], "<|im_start|>user\n<|im_end|>\n"),
-    ("calls", [("user", "q", None, None), ("assistant", "a", None, [("f", '{"x": 1}'), ("g", "{}")]), ("tool", "1", None, None), ("tool", "2", None, None)],
-     f"<|im_start|>user\nq<|im_end|>\n<|im_start|>assistant\na\n{_CALL}\n{_CALL2}<|im_end|>\n<|im_start|>user\n<tool_response>\n1\n</tool_response>\n<tool_response>\n2\n</tool_response><|im_end|>\n"),
-    ("call alone", [("user", "q", None, None), ("assistant", "", None, [("f", '{"x": 1}')])], f"<|im_start|>user\nq<|im_end|>\n<|im_start|>assistant\n<think>\n\n</think>\n\n{_CALL}<|im_end|>\n"),
-    ("wrapped response", [("user", "q", None, None), ("assistant", "a", "t", None), ("user", "<tool_response>r</tool_response>", None, None)], "<|im_start|>user\nq<|im_end|>\n<|im_start|>assistant\n<think>\nt\n</think>\n\na<|im_end|>\n<|im_start|>user\n<tool_response>r</tool_response><|im_end|>\n"),
-)
-
-
-@query(f"SELECT * FROM (VALUES {values([(n, p) for n, _, p in EDGES])}) v(name, prompt)")
-def render_edge_cases(spark, sf_dir):
-    rows = spark.createDataFrame([(n, m) for n, m, _ in EDGES], f"name string, messages {M.RICH}")
-    return rows.select("name", M.render(F.col("messages")).alias("prompt"))
-
-
-_TOOL = '{"type": "function", "function": {"name": "f"}}'
-#: Written apart from the template's own strings.
-_TOOLS_PROMPT = """<|im_start|>system
-S
-
-# Tools
-
-You may call one or more functions to assist with the user query.
-
-You are provided with function signatures within <tools></tools> XML tags:
-<tools>
-{"type": "function", "function": {"name": "f"}}
-</tools>
-
-For each function call, return a json object with function name and arguments within <tool_call></tool_call> XML tags:
-<tool_call>
-{"name": <function-name>, "arguments": <args-json-object>}
-</tool_call><|im_end|>
-<|im_start|>user
-q<|im_end|>
-"""
-
-
-@query(f"SELECT * FROM (VALUES {values([('tools', _TOOLS_PROMPT), ('no tools', EDGES[0][2])])}) v(name, prompt)")
-def render_tools(spark, sf_dir):
-    rows = spark.createDataFrame([("tools", EDGES[0][1], [_TOOL]), ("no tools", EDGES[0][1], [])], f"name string, messages {M.RICH}, tools array<string>")
-    return rows.select("name", M.render(F.col("messages"), F.col("tools")).alias("prompt"))
-
-
 # ---------------------------------------------------------------- tokens and labels
 
 
@@ -213,15 +132,6 @@ def decode_tokens(spark, sf_dir):
     return ids.select("conv_id", "turn", F.md5(K.from_code_points(F.col("ids"))).alias("digest"))
 
 
-#: Written apart from the list under test: names in order of ids, and which of them are left out on decoding.
-_ADDED = "<|endoftext|> <|im_start|> <|im_end|> <|object_ref_start|> <|object_ref_end|> <|box_start|> <|box_end|> <|quad_start|> <|quad_end|> <|vision_start|> <|vision_end|> <|vision_pad|> <|image_pad|> <|video_pad|> <tool_call> </tool_call> <|fim_prefix|> <|fim_middle|> <|fim_suffix|> <|fim_pad|> <|repo_name|> <|file_sep|> <tool_response> </tool_response> <think> </think>"
-
-
-@query(f"SELECT token, CAST(151642 + place AS INT) AS id, place <= 14 AS special FROM (SELECT unnest(string_split('{_ADDED}', ' ')) AS token, generate_subscripts(string_split('{_ADDED}', ' '), 1) AS place)")
-def special_tokens(spark, sf_dir):
-    return K.special_tokens(spark)
-
-
 _DELTAS = f"""
 SELECT conv_id, turn, role, CASE WHEN coalesce(lag(role = 'assistant' AND asked) OVER (PARTITION BY conv_id ORDER BY turn), FALSE)
   THEN substr({_STEP}, 20) ELSE {_STEP} END AS delta FROM ({_FLAT})"""
@@ -301,24 +211,6 @@ def pad_batches(spark, sf_dir):
 
 # ---------------------------------------------------------------- text
 
-#: Replies and what is left of them: (name, text, cleaned).
-REPLIES = (
-    ("plain", "a", "a"),
-    ("closed", "<think>x</think>a", "a"),
-    ("lines", "<think>\nx\ny\n</think>\n\na\n \n\nb ", "a\nb"),
-    ("twice", "<think>x</think>a<think>y</think>b", "ab"),
-    ("unclosed", "<think>x", "<think>x"),
-    ("nested", "x<think>a<think>b</think>c</think>d", "xc</think>d"),
-    ("wide space", "　a　", "a"),
-    ("empty", "", ""),
-)
-
-
-@query(f"SELECT * FROM (VALUES {values([(n, c) for n, _, c in REPLIES])}) v(name, cleaned)")
-def think_filter(spark, sf_dir):
-    return spark.createDataFrame([r[:2] for r in REPLIES], "name string, reply string").select("name", X.clean_reply(F.col("reply")).alias("cleaned"))
-
-
 @query(r"""
 WITH t AS (SELECT conv_id, turn, text, '<think>' || role || chr(10) || '</think>' || chr(10) || chr(10) || text || ' ' AS x FROM conversations)
 SELECT conv_id, turn, md5(trim(regexp_replace(regexp_replace(x, '<think>(.|\n)*?</think>', '', 'g'), '\n\s*\n', chr(10), 'g'), ' ' || chr(10))) AS cleaned,
@@ -328,17 +220,6 @@ def think_split(spark, sf_dir):
     return turns_of(spark, sf_dir).select("conv_id", "turn", F.md5(X.clean_reply(x)).alias("cleaned"), X.reasoning_of(x).alias("thinking"), F.md5(X.answer_of(x)).alias("answer"))
 
 
-_IDS = (("none", [1, 2]), ("once", [1, 151668, 2]), ("twice", [1, 151668, 2, 151668, 3]), ("first", [151668, 4]), ("empty", []))
-
-
-@query("SELECT * FROM (VALUES ('none', '', '1,2', '2'), ('once', '1,151668', '2', '151668,2'), ('twice', '1,151668,2,151668', '3', '151668,2,151668,3'), ('first', '151668', '4', '4'), ('empty', '', '', '')) v(name, thinking, answer, reply)")
-def split_ids(spark, sf_dir):
-    rows = spark.createDataFrame(_IDS, "name string, ids array<int>")
-    thinking, answer = K.split_thinking_ids(F.col("ids"), DEFAULTS.think_end_id)
-    joined = lambda c: F.array_join(F.transform(c, lambda i: i.cast("string")), ",")
-    return rows.select("name", joined(thinking).alias("thinking"), joined(answer).alias("answer"), joined(K.without_prompt(F.col("ids"), F.lit(1))).alias("reply"))
-
-
 @query("SELECT page_id, md5(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS escaped FROM pages")
 def escape_html(spark, sf_dir):
     return read_table(spark, sf_dir, "pages").select("page_id", F.md5(X.escape_html(F.col("html"))).alias("escaped"))
@@ -391,15 +272,6 @@ def stream_replies(spark, sf_dir):
     return spark.read.schema(live.REPLIES).parquet(f"{place}/replies").select("reply_id", "done", F.md5("content").alias("content"))
 
 
-_CUT = ("lossy", 1, 'data: {"choices":[{"delta":{"content":"a"}}]}\n\ndata: {"choi'), ("lossy", 2, 'ces":[{"delta":{"content":"b"}}]}\n\ndata: {"choices":[{"delta":{}}]}\n\ndata: [DONE]\n\n')
-
-
-@query("SELECT * FROM (VALUES ('lossy', 'a'), ('buffered', 'ab')) v(mode, content)")
-def sse_decode_cut(spark, sf_dir):
-    reads = spark.createDataFrame(_CUT, "mode string, seq int, data string")
-    return S.decode(reads, "mode").unionAll(S.decode(reads.withColumn("mode", F.lit("buffered")), "mode", mode="buffered"))
-
-
 @query(f"SELECT reply_id, 'stop' AS finish, 'chat.completion' AS kind, '0' AS usage, md5(text) AS content FROM ({_REPLY})")
 def completion_envelope(spark, sf_dir):
     body = S.completion(F.col("content"), F.lit("m"), F.concat(F.lit("chatcmpl-"), "reply_id"), F.lit(1700000000))
@@ -407,11 +279,6 @@ def completion_envelope(spark, sf_dir):
     return _answers(spark, sf_dir).select("reply_id", body.alias("body")).select("reply_id", j("$.choices[0].finish_reason").alias("finish"), j("$.object").alias("kind"), j("$.usage.total_tokens").alias("usage"), F.md5(S.completion_content(F.col("body"))).alias("content"))
 
 
-@query("SELECT 'list' AS list_object, 'chat-model' AS id, 'model' AS object, CAST(1700000000 AS BIGINT) AS created, 'local' AS owned_by")
-def model_listing(spark, sf_dir):
-    return R.model_listing(spark, 1700000000)
-
-
 @query("""
 SELECT conv_id, turn, CAST(198 + 51 * (turn % 3) + conv_id % 4 AS INT) AS status, 198 + 51 * (turn % 3) + conv_id % 4 BETWEEN 200 AND 299 AS stored,
   md5(CASE WHEN 198 + 51 * (turn % 3) + conv_id % 4 BETWEEN 200 AND 299 THEN text ELSE 'HTTP ' || (198 + 51 * (turn % 3) + conv_id % 4) END) AS content FROM conversations""")
@@ -440,17 +307,6 @@ def param_defaults(spark, sf_dir):
     return R.generation_params(R.parse_requests(bodies, gpu=True)).select("conv_id", "model", "temperature", "top_p", "max_tokens", "stream", "greedy")
 
 
-_SAVED = ((1, None, None, None, None, None, None, None), (2, "", 0.0, 0.0, False, "0", "x", ""), (3, "u", 0.5, 0.9, True, "12px", " 5", "p"))
-
-
-@query("""SELECT * FROM (VALUES
-  (1, 'http://127.0.0.1:8000/v1', 0.7::DOUBLE, 0.7::DOUBLE, TRUE, 20::BIGINT, 4096::BIGINT, TRUE),
-  (2, 'http://127.0.0.1:8000/v1', 0.0, 0.0, FALSE, 20, 4096, TRUE), (3, 'u', 0.5, 0.9, TRUE, 12, 5, FALSE)) v(id, api_url, temperature, top_p, stream_mode, history_length, max_tokens, default_prompt)""")
-def settings_defaults(spark, sf_dir):
-    saved = spark.createDataFrame(_SAVED, "id int, api_url string, temperature double, top_p double, stream_mode boolean, history_length string, max_tokens string, system_prompt string")
-    return R.load_settings(saved).withColumn("default_prompt", F.col("system_prompt") == DEFAULT_SYSTEM).drop("system_prompt")
-
-
 # ---------------------------------------------------------------- training plans and logs
 
 
@@ -461,11 +317,6 @@ def train_step_plan(spark, sf_dir):
     return n.select("n_rows", steps.alias("steps"), G.warmup_steps(steps).alias("warmup"))
 
 
-@query("SELECT CAST(s AS BIGINT) AS step, CAST(round(1e12 * CASE WHEN s - 1 < 9 THEN 1e-4 * (s - 1) / 9 ELSE 1e-4 * 0.5 * (1 + cos(pi() * (s - 1 - 9) / (282 - 9))) END) AS BIGINT) AS rate_e12 FROM range(1, 283) r(s)")
-def lr_schedule(spark, sf_dir):
-    return G.learning_rates(spark, 282).select("step", long(F.round(F.col("learning_rate") * 1e12), "rate_e12"))
-
-
 def _log_lines(spark, sf_dir):
     """A log with a row of each kind per conversation turn."""
     by_conversation = Window.partitionBy("conv_id").orderBy("turn")
@@ -483,16 +334,7 @@ def cumulative_tokens(spark, sf_dir):
     return log.select("run", "step", "loss", "num_tokens", "new_tokens", "total_tokens")
 
 
-_SUMMARY = "{'train_runtime': 2222.5196, 'train_samples_per_second': 2.011, 'train_steps_per_second': 0.127, 'train_loss': 2.5, 'entropy': 2.5, 'num_tokens': 464922.0, 'mean_token_accuracy': 0.5, 'epoch': 3.0}"
-
-
-@query("SELECT 'S' AS run, 2222.5196::DOUBLE AS train_runtime, 2.011::DOUBLE AS train_samples_per_second, 464922.0::DOUBLE AS num_tokens, CAST(2092 AS BIGINT) AS tokens_per_10s, CAST(20 AS BIGINT) AS samples_per_10s")
-def log_summary(spark, sf_dir):
-    lines = spark.createDataFrame([("S", 0, "100%|###| 282/282"), ("S", 1, _SUMMARY)], "run string, pos int, value string")
-    s = G.run_summaries(lines)
-    return s.select("run", "train_runtime", "train_samples_per_second", "num_tokens", long(F.round(F.col("tokens_per_second") * 10), "tokens_per_10s"), long(F.round(F.lit(1490 * 3) / F.col("train_runtime") * 10), "samples_per_10s"))
-
-
+import turnloom.plans.cases  # noqa: E402, F401  registers those over every branch of the rules
 import turnloom.plans.files  # noqa: E402, F401  registers the queries over generated files
 import turnloom.plans.live  # noqa: E402, F401  those over streams
 import turnloom.plans.vocab  # noqa: E402, F401  those over ids of a vocabulary

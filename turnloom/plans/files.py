@@ -15,7 +15,11 @@ from turnloom.operators import template as M
 from turnloom.operators import training as G
 from turnloom.plans.registry import QUERIES, digest, long, query, turns_of
 from turnloom.sources import tables
+from turnloom.sources.logs import read_log
+from turnloom.sources.schema import read_json_lines
+from turnloom.sources.settings import SettingsStore
 from turnloom.sources.shared import scratch
+from turnloom.sources.sink import FeatureSink
 
 # ---------------------------------------------------------------- JSON lines
 
@@ -185,35 +189,83 @@ SELECT conv_id, CASE WHEN conv_id % 3 = 2 THEN 'u' || conv_id ELSE 'http://127.0
   CASE WHEN conv_id % 3 = 2 THEN 'p' ELSE '{DEFAULT_SYSTEM}' END AS system_prompt
 FROM (SELECT DISTINCT conv_id FROM conversations)""")
 def settings_store(spark, sf_dir):
-    """Settings that lack fields, hold empty ones or are whole, kept in a store and read with their defaults."""
+    """Settings that lack fields, hold empty ones or are whole: set key by key, removed, set again, compacted, and read with their defaults."""
     by = lambda empty, own: F.when(F.col("conv_id") % 3 == 1, empty).when(F.col("conv_id") % 3 == 2, own)
     number = F.col("conv_id").cast("string")
     saved = turns_of(spark, sf_dir).select("conv_id").distinct().select(
         "conv_id", by("", F.concat(F.lit("u"), number)).alias("api_url"), by(0.0, 0.5).alias("temperature"), by(0.0, 0.9).alias("top_p"), by(False, True).alias("stream_mode"),
         by("0", F.concat((F.col("conv_id") % 7).cast("string"), F.lit("px"))).alias("history_length"), by("x", " 5").alias("max_tokens"), by("", "p").alias("system_prompt"),
     )
-    store = tables.SettingsStore(spark, scratch(spark, "settings"))
-    store.set(saved.limit(0))
-    store.set(saved)  # a store is overwritten as a whole
+    store = SettingsStore(spark, scratch(spark, "settings"), "conv_id")
+    store.set(saved.withColumn("api_url", F.lit("older")))
+    store.remove(saved.where("conv_id % 2 = 0"))
+    store.set(saved.where("conv_id % 4 <> 1"))
+    store.compact()
+    store.set(saved.where("conv_id % 4 = 1"))
     return R.load_settings(store.get())
 
 
-_LOG_TOTALS = "SELECT 'r' AS run, row_number() OVER w AS nth, length(text) AS n, sum(length(text)) OVER w AS total FROM conversations WINDOW w AS (ORDER BY conv_id, turn)"
+_LOG_TOTALS = "SELECT CAST(conv_id % 16 AS VARCHAR) AS run, row_number() OVER w AS nth, length(text) AS n, sum(length(text)) OVER w AS total FROM conversations WINDOW w AS (PARTITION BY conv_id % 16 ORDER BY conv_id, turn)"
 
 
 @query(f"SELECT run, CAST(10 * nth AS BIGINT) AS step, n / 8.0::DOUBLE AS loss, CAST(n AS DOUBLE) AS new_tokens, CAST(total AS DOUBLE) AS total_tokens FROM ({_LOG_TOTALS})")
 def log_file(spark, sf_dir):
-    """One log file with a row per turn between progress bars, read and summed up."""
-    totals = tables.read_table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").cast("double").alias("n"))
-    totals = totals.withColumn("total", F.sum("n").over(Window.orderBy("conv_id", "turn")))
+    """A log file of each of 16 runs, with a row per turn between progress bars, read by byte ranges and summed up."""
+    run = (F.col("conv_id") % 16).alias("run")
+    totals = tables.read_table(spark, sf_dir, "conversations").select(run, "conv_id", "turn", F.length("text").cast("double").alias("n"))
+    totals = totals.withColumn("total", F.sum("n").over(Window.partitionBy("run").orderBy("conv_id", "turn")))
     place = scratch(spark, "log")
-    rows = totals.orderBy("conv_id", "turn").coalesce(1)
     row = F.concat(F.lit("\r 10%|##  | 1/9\n{'loss': "), (F.col("n") / 8).cast("string"), F.lit(", 'num_tokens': "), F.col("total").cast("string"), F.lit("}"))
-    rows.select(row.alias("value")).write.text(place)
-    log = G.running_tokens(G.token_steps(G.parse_log(tables.read_log(spark, place, "r"))))
+    totals.repartition("run").sortWithinPartitions("run", "conv_id", "turn").select("run", row.alias("value")).write.partitionBy("run").text(place)
+    lines = read_log(spark, place).withColumn("run", F.col("run").cast("string"))
+    log = G.running_tokens(G.token_steps(G.parse_log(lines)))
     return log.select("run", "step", "loss", "new_tokens", "total_tokens")
 
 
+@query("""
+SELECT conv_id, CAST(turn AS BIGINT) AS turn, CASE conv_id % 3 WHEN 0 THEN CAST(turn AS VARCHAR) WHEN 1 THEN 't' || turn END AS mixed,
+  CASE WHEN turn % 2 = 0 THEN CAST(turn AS DOUBLE) ELSE turn + 0.5 END::DOUBLE AS score, CASE WHEN conv_id > 50 THEN 'tag' || conv_id END AS late, CASE WHEN conv_id > 50 THEN CAST(turn AS BIGINT) END AS late_n
+FROM conversations""")
+def inferred_schema(spark, sf_dir):
+    """Lines of JSON whose keys come late and whose types differ from line to line, read by the schema of all lines."""
+    turn = F.col("turn").cast("string")
+    mixed = F.when(F.col("conv_id") % 3 == 0, turn).when(F.col("conv_id") % 3 == 1, F.concat(F.lit('"t'), turn, F.lit('"'))).otherwise("null")
+    score = F.when(F.col("turn") % 2 == 0, turn).otherwise(F.concat(turn, F.lit(".5")))
+    late = F.when(F.col("conv_id") > 50, F.concat(F.lit(', "late": {"tag": "tag'), F.col("conv_id").cast("string"), F.lit('", "n": '), turn, F.lit("}"))).otherwise("")
+    line = F.concat(F.lit('{"turn": '), turn, F.lit(', "id": '), F.col("conv_id").cast("string"), F.lit(', "mixed": '), mixed, F.lit(', "score": '), score, late, F.lit("}"))
+    place = scratch(spark, "json")
+    turns_of(spark, sf_dir).select(line.alias("value")).write.text(place)
+    rows = read_json_lines(spark, place)
+    return rows.select(F.col("id").alias("conv_id"), "turn", "mixed", "score", F.col("late.tag").alias("late"), F.col("late.n").alias("late_n"))
+
+
+@query("""
+SELECT conv_id, CAST(sum(length(text)) AS BIGINT) AS n_chars, CAST(count(*) AS BIGINT) AS n_turns FROM conversations GROUP BY conv_id""")
+def feature_sink(spark, sf_dir):
+    """Features of many files, of a run that was stopped and gone on with."""
+    place = scratch(spark, "inputs")
+    turns_of(spark, sf_dir).repartition(8, "conv_id").write.option("maxRecordsPerFile", 500).parquet(place)
+    inputs = [r["f"] for r in spark.read.parquet(place).select(F.input_file_name().alias("f")).distinct().collect()]
+    build = lambda some: spark.read.parquet(*some).groupBy("conv_id").agg(F.sum(F.length("text")).alias("c"), F.count("*").alias("t"))
+    sink = FeatureSink(spark, scratch(spark, "sink"))
+    sink.run(inputs[: len(inputs) // 2], build, group=2)
+    sink.run(inputs, build, group=3)
+    return sink.features().groupBy("conv_id").agg(long(F.sum("c"), "n_chars"), long(F.sum("t"), "n_turns"))
+
+
+@query("SELECT concat_ws('-', conv_id, turn) AS reply_id, md5(text) AS content FROM conversations WHERE role = 'assistant'")
+def sse_decode_bytes(spark, sf_dir):
+    """Replies read as bytes that are cut every 61 of them, inside of characters too."""
+    said = turns_of(spark, sf_dir).where("role = 'assistant'").select(F.concat_ws("-", "conv_id", "turn").alias("reply_id"), "text")
+    event = S.chunk(F.col("piece"), F.lit("m"), F.col("reply_id"), F.lit(1700000000), F.lit(None))
+    pieces = said.select("reply_id", F.posexplode(F.split("text", " ")).alias("at", "word")).withColumn("piece", F.concat(F.when(F.col("at") > 0, " ").otherwise(""), "word"))
+    sent = pieces.groupBy("reply_id").agg(F.array_sort(F.collect_list(F.struct("at", event.alias("e")))).alias("es"))
+    whole = sent.select("reply_id", F.encode(F.array_join(F.transform("es", lambda x: x["e"]), ""), "UTF-8").alias("b"))
+    cuts = F.sequence(F.lit(0), F.greatest(F.octet_length("b") - 1, F.lit(0)), F.lit(61))
+    reads = whole.select("reply_id", "b", F.explode(cuts).alias("seq")).select("reply_id", "seq", F.substring("b", F.col("seq") + 1, F.lit(61)).alias("data"))
+    return S.decode_bytes(reads, "reply_id", mode="buffered").select("reply_id", F.md5("content").alias("content"))
+
+
 _SETTINGS = ("max_seq_len", "stream", "peak_rate", "model_name")
 
 

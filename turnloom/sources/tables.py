@@ -1,12 +1,11 @@
-"""Sources and sinks: JSON lines, Parquet, logs, settings."""
+"""Sources and sinks: conversations in JSON lines, Parquet."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.operators.conversations import require_valid
-from turnloom.sources.shared import delete
+from turnloom.operators.conversations import MESSAGES, problem_of_variant
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,19 +59,43 @@ def messages_of(line: Column) -> Column:
     return F.zip_with(texts, typed, message)
 
 
+def parsed_lines(lines: DataFrame, column: str = "line") -> DataFrame:
+    """The lines with `problem` (null where valid) and `messages` (the type template.RICH), from one parse of each.
+
+    Only lines with tool calls are parsed again, for the text of arguments as it was written.
+    """
+    parsed = lines.withColumn("tl_parsed", F.try_parse_json(column))
+    listed = parsed.withColumn("tl_listed", F.try_variant_get("tl_parsed", "$.messages", "array<variant>"))
+    field = lambda m, name: F.try_variant_get(m, f"$.{name}", "variant")
+    is_text = lambda v: F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False))
+    text = lambda m, name: F.when(is_text(field(m, name)), F.try_variant_get(m, f"$.{name}", "string"))
+    plain = F.transform(
+        "tl_listed",
+        lambda m: F.struct(
+            F.try_variant_get(m, "$.role", "string").alias("role"),
+            text(m, "content").alias("content"),
+            text(m, "reasoning_content").alias("reasoning_content"),
+            F.lit(None).cast("array<struct<name:string,arguments:string>>").alias("tool_calls"),
+        ),
+    )
+    messages = F.when(F.contains(column, F.lit('"tool_calls"')), messages_of(F.col(column))).otherwise(plain)
+    return listed.withColumns({"problem": problem_of_variant(F.col("tl_parsed"), F.col("tl_listed")), "messages": messages}).drop("tl_parsed", "tl_listed")
+
+
 def read_conversations(spark: SparkSession, path: str, strict: bool = True, calls: bool = False) -> DataFrame:
     """Conversations from JSON lines with a list `messages`.
 
     strict: the job fails at an invalid line. calls: messages keep reasoning
     and tool calls (the type template.RICH), else role and content only.
     """
-    lines = read_lines(spark, path)
-    if strict:
-        lines = require_valid(lines)
-    messages = messages_of(F.col("line"))
+    rows = parsed_lines(read_lines(spark, path))
+    messages = F.col("messages")
     if not calls:
-        messages = F.transform(messages, lambda m: F.struct(m["role"], m["content"]))
-    return lines.select(messages.alias("messages"))
+        messages = F.transform(messages, lambda m: F.struct(m["role"], m["content"])).cast(MESSAGES)
+    if strict:
+        wrong = F.raise_error(F.concat(F.lit("invalid conversation: "), F.col("problem")))
+        messages = F.when(F.col("problem").isNull(), messages).otherwise(wrong)
+    return rows.select(messages.alias("messages"))
 
 
 def write_conversations(conversations: DataFrame, path: str) -> None:
@@ -81,25 +104,3 @@ def write_conversations(conversations: DataFrame, path: str) -> None:
 
 def write_features(features: DataFrame, path: str) -> None:
     features.write.parquet(path)
-
-
-def read_log(spark: SparkSession, path: str, run: str) -> DataFrame:
-    """Lines of a training log in order; progress bars that overwrite a line count as lines."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split("value", r"[\r\n]+")).alias("pos", "value")).withColumn("run", F.lit(run))
-
-
-class SettingsStore:
-    """Client settings by key, as a small table that is overwritten as a whole."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def get(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
-
-    def set(self, settings: DataFrame) -> None:
-        settings.write.mode("overwrite").parquet(self.path)
-
-    def remove(self) -> None:
-        delete(self.spark, self.path)
