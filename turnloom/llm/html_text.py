@@ -54,6 +54,8 @@ from turnloom.llm.workspace import Workspace
 
 #: A template token is on one page in so many at least; a template text on so many pages.
 SHARE, TEXT_PAGES = 10, 10
+#: Hosts whose templates a task remembers.
+REMEMBERED = 512
 _BATCH = 1 << 20
 
 # Fixed values of HTML.
@@ -249,7 +251,7 @@ def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, line, tokens in zip(*(batch.column(n) for n in ("host", "line", "classes")), strict=True):
             host = host.as_py()
             if host not in known:
-                if len(known) > 64:
+                if len(known) > REMEMBERED:
                     known.clear()
                 known[host] = {t["token"]: t["cls"] for t in tokens.as_py() or [] if t["label"] is not None}
             cls_of = known[host]
@@ -395,7 +397,7 @@ def extract_text(pages: DataFrame, url: str = "url", html: str = "html", keep_ht
             texts = []
             for i, (name, page) in enumerate(zip(batch.column("tl_host").to_pylist(), batch.column("tl_html").to_pylist(), strict=True)):
                 if name not in built:
-                    if len(built) > 64:
+                    if len(built) > REMEMBERED:
                         built.clear()
                     tokens = batch.column("tokens")[i].as_py()
                     built[name] = Template(tokens, batch.column("broken")[i].as_py()) if tokens else None

@@ -49,7 +49,7 @@ THRESHOLD = 0.7
 #: Texts at the common rate that every entry's counts begin with, and toxic texts that a seed's begin with besides.
 PRIOR, SEED_TEXTS = 3.0, 6.0
 #: Standard errors that an entry's log ratio must reach.
-SURE = 2.0
+SURE = 3.0
 #: Bytes of word beginnings that are entries like words.
 STEMS = (5, 6, 7, 8)
 #: General insults that count before any label is seen; the rest of the lexicon is learned.
@@ -83,16 +83,19 @@ def hashes_of(vocabulary) -> np.ndarray:
     return np.unique(textops.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0])
 
 
+_YOU, _SEEDS = hashes_of(SECOND_PERSON), hashes_of(SEEDS)
+
+
 def _entries(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, whole: np.ndarray) -> list[np.ndarray]:
     """Hashes of each word and of its beginnings; a beginning that is all of the word is the word's own hash."""
-    return [whole, *(textops.span_hashes(raw, starts, np.minimum(starts + k, ends)) for k in STEMS)]
+    lasts = [np.minimum(starts + k, ends) for k in STEMS]
+    return [whole, *np.split(textops.span_hashes(raw, np.tile(starts, len(STEMS)), np.concatenate(lasts)), len(STEMS))]
 
 
 def plain_words(batch: pa.RecordBatch, text: str):
     raw, at = textops.buffers(batch.column(text))
     lower = textops.LOWER[raw]
-    h, counts, starts, ends = textops.words(lower, at, separator=_NOT_WORD)
-    return raw, at, h, counts, _entries(lower, starts, ends, h)
+    return raw, at, lower, *textops.words(lower, at, separator=_NOT_WORD)
 
 
 def _member(values: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,16 +106,22 @@ def _member(values: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return known[near] == values, near
 
 
-def _weights(entries: list[np.ndarray], lexicon: Lexicon) -> np.ndarray:
+def _weights(raw: np.ndarray, words: np.ndarray, starts: np.ndarray, ends: np.ndarray, lexicon: Lexicon) -> np.ndarray:
     """The greatest weight of each word's entries, 0 where the lexicon has none."""
     known, weights = lexicon
-    out = np.zeros(len(entries[0]))
-    for values in entries if len(known) else ():
-        found, where = _member(values, known)
-        np.maximum(out, np.where(found, weights[where], 0.0), out=out)
+    out = np.zeros(len(words))
+    for values in _entries(raw, starts, ends, words) if len(known) and len(words) else ():
+        found, at = _member(values, known)
+        out[found] = np.maximum(out[found], weights[at[found]])
     return out
 
 
+def _sums(raw: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many bytes of each text are marked in two tables, from one running sum."""
+    both = textops.per_text((low + (high.astype(np.int64) << 32))[raw], at)
+    return both & 0xFFFFFFFF, both >> 32
+
+
 def _different(owner: np.ndarray, values: np.ndarray) -> np.ndarray:
     """One place of each different pair, in order of pairs."""
     order = np.lexsort((values, owner))
@@ -137,14 +146,16 @@ def _greatest(weight: np.ndarray, words: np.ndarray, edge: np.ndarray, n: int, m
 
 def features(batch: pa.RecordBatch, text: str, lexicon: Lexicon) -> np.ndarray:
     """One row of FEATURES per text."""
-    raw, at, h, counts, entries = plain_words(batch, text)
+    raw, at, lower, h, counts, starts, ends = plain_words(batch, text)
     edge = np.concatenate(([0], np.cumsum(counts)))
     count = lambda mask: textops.per_text(mask, edge)
-    weight = _weights(entries, lexicon)
+    # each different word is looked up once
+    words, first, which = np.unique(h, return_index=True, return_inverse=True)
+    weight = _weights(lower, words, starts[first], ends[first], lexicon)[which]
     hit = weight > 0
     hits = count(hit)
     total = np.concatenate(([0.0], np.cumsum(weight)))[edge]
-    you = _member(h, hashes_of(SECOND_PERSON))[0]
+    you = _member(words, _YOU)[0][which]
     # words at most NEAR places from a second-person word of the same text
     near_you, at_you = np.zeros(len(h), bool), np.flatnonzero(you)
     text_of_you = np.searchsorted(edge, at_you, "right") - 1
@@ -164,24 +175,29 @@ def features(batch: pa.RecordBatch, text: str, lexicon: Lexicon) -> np.ndarray:
     shown = _LEET[raw[solid]]
     h2, counts2, starts2, ends2 = textops.words(shown, kept_at)
     edge2 = np.concatenate(([0], np.cumsum(counts2)))
-    weight2 = _weights(_entries(shown, starts2, ends2, h2), lexicon)
+    words2, first2, which2 = np.unique(h2, return_index=True, return_inverse=True)
+    weight2 = _weights(shown, words2, starts2[first2], ends2[first2], lexicon)[which2]
     hidden = np.maximum(textops.per_text(weight2 > 0, edge2) - hits, 0)
-    byte = lambda mask: textops.per_text(mask[raw], at)
+    capitals, exclaims = _sums(raw, at, _UPPER, _EXCLAIM)
+    loose, digits = _sums(raw, at, _LOOSE, _DIGIT)
     size = np.maximum(np.diff(at), 1)
     n = np.maximum(counts, 1)
     odd = np.maximum(counts - counts2, 0)
     top = _greatest(weight, h, edge, batch.num_rows)
     hidden_weight = np.maximum(_greatest(weight2, h2, edge2, batch.num_rows, 1)[:, 0] - top[:, 0], 0)
     return np.stack([
-        top[:, 0], top[:, 1], top[:, 2], count(_member(h, hashes_of(SEEDS))[0]) / n, np.minimum(hits, 50), hits / n, peak, np.diff(total) / n, count(hit & near_you) / n, count(you) / n,
-        np.minimum(hidden, 50), hidden_weight, byte(_UPPER) / size, byte(_EXCLAIM) / n, byte(_LOOSE) / n, byte(_DIGIT) / size, odd / n, np.log1p(counts),
+        top[:, 0], top[:, 1], top[:, 2], count(_member(words, _SEEDS)[0][which]) / n, np.minimum(hits, 50), hits / n, peak, np.diff(total) / n, count(hit & near_you) / n, count(you) / n,
+        np.minimum(hidden, 50), hidden_weight, capitals / size, exclaims / n, loose / n, digits / size, odd / n, np.log1p(counts),
     ], axis=1)
 
 
 def count_entries(batch: pa.RecordBatch, text: str) -> tuple[np.ndarray, np.ndarray]:
     """(row, entry) of all different entries of each text."""
-    _, _, _, counts, entries = plain_words(batch, text)
-    owner, values = np.tile(np.repeat(np.arange(batch.num_rows), counts), len(entries)), np.concatenate(entries)
+    _, _, lower, h, counts, starts, ends = plain_words(batch, text)
+    owner = np.repeat(np.arange(batch.num_rows), counts)
+    first = _different(owner, h)
+    entries = _entries(lower, starts[first], ends[first], h[first])
+    owner, values = np.tile(owner[first], len(entries)), np.concatenate(entries)
     first = _different(owner, values)
     return owner[first], values[first]
 
