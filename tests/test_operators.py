@@ -1,7 +1,9 @@
 """Golden strings, invariants and edge rows of the conversation operators."""
 
+import hashlib
 import json
 import math
+from datetime import datetime, timezone
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -310,6 +312,42 @@ def test_live_lines_that_come_again(spark, tmp_path):
     assert taken_in(spark, source, out) == [("r", "ab", True), ("x", "c", True)]
 
 
+def test_chunks_hold_the_lines(spark):
+    """A chunk is what a task reads of a reply and time at once; lines that come twice stay by themselves, in their order."""
+    at = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    said = ["a", "\U0001F600b", "", "\u4f60", "e\u0301"]
+    rows = [("r", i, piece(x), at) for i, x in enumerate(said)] + [("s", -1, piece("z"), at), ("s", 3, "data: [DONE]", at), ("r", 5, "data: [DONE]", at), (None, 0, piece("x"), at), ("r", None, piece("x"), at)]
+    lines = spark.createDataFrame(rows, live.LINES).coalesce(1)
+    got = {c["reply_id"]: c for c in live.chunks(lines).collect()}
+    assert len(got) == 2 and live.chunks(lines).count() == 2
+    assert (got["r"]["steps"], got["r"]["sizes"], got["r"]["text"], got["r"]["ends"]) == ([0, 1, 1, 1, 1, 1], [1, 2, 0, 1, 2, 0], "".join(said), 5)
+    assert (got["s"]["steps"], got["s"]["sizes"], got["s"]["text"], got["s"]["ends"]) == ([-1, 4], [1, 0], "z", 3)
+    again = spark.createDataFrame([*rows, ("r", 1, piece("other"), at)], live.LINES).coalesce(1)
+    assert [c["text"] for c in live.chunks(again).collect() if c["reply_id"] == "r"] == [*said, "", "other"]
+    assert live.chunks(lines.limit(0)).count() == 0
+
+
+def test_the_stream_holds_a_round_of_lines(spark, tmp_path, monkeypatch):
+    """Lines lie in the folder compressed, a round at a time, and go when the stream has taken them in."""
+    from turnloom.plans import catalog
+
+    said = ["".join(chr(97 + (i * j) % 26) for j in range(400)) for i in range(40)]
+    spark.createDataFrame([(i // 2, i % 2, "assistant", t) for i, t in enumerate(said)], TURNS).write.parquet(str(tmp_path / "conversations.parquet"))
+    monkeypatch.setattr(catalog, "_AT_ONCE", 3000)
+    monkeypatch.setattr(catalog, "scratch", lambda _, name: str(tmp_path / name))
+    held, take = [], live.run_available
+
+    def watched(lines, out):
+        held.append(sum(f.stat().st_size for f in (tmp_path / "stream" / "lines").rglob("*") if f.is_file()))
+        take(lines, out)
+
+    monkeypatch.setattr(live, "run_available", watched)
+    got = {r["reply_id"]: (r["done"], r["content"]) for r in catalog.stream_replies(spark, str(tmp_path)).collect()}
+    assert got == {f"{i // 2}-{i % 2}": (True, hashlib.md5(t.encode()).hexdigest()) for i, t in enumerate(said)}
+    assert len(held) == 6 and max(held) < 20 * 16_000 / 3  # before: once, 250 bytes for each of 16,000 characters
+    assert [p.name for p in (tmp_path / "stream").iterdir()] == ["replies"]
+
+
 def test_plans_and_rates(spark):
     rows = spark.createDataFrame([(1490, 3), (4598, 2), (7141, 3)], "n long, e int").select(G.total_steps(F.col("n"), F.col("e")).alias("s"))
     rows = rows.select("s", G.warmup_steps(F.col("s")).alias("w")).collect()

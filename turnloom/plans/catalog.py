@@ -15,7 +15,7 @@ from turnloom.operators import streams as S
 from turnloom.operators import template as M
 from turnloom.operators import training as G
 from turnloom.plans.registry import DIGEST, NEST, ORACLES, QUERIES, digest, long, nested, query, turns_of
-from turnloom.sources.shared import scratch
+from turnloom.sources.shared import delete, scratch
 from turnloom.sources.tables import read_table
 from turnloom.streaming import replies as live
 
@@ -242,8 +242,8 @@ def _answers(spark, sf_dir):
     return turns_of(spark, sf_dir).where("role = 'assistant'").select(F.concat_ws("-", "conv_id", "turn").alias("reply_id"), F.col("text").alias("content"))
 
 
-def _events(spark, sf_dir):
-    return S.encode_characters(_answers(spark, sf_dir), "reply_id", F.lit("m"), F.lit(1700000000), F.concat(F.lit("chatcmpl-"), "reply_id"))
+def _events(answers):
+    return S.encode_characters(answers, "reply_id", F.lit("m"), F.lit(1700000000), F.concat(F.lit("chatcmpl-"), "reply_id"))
 
 
 _REPLY = "SELECT concat_ws('-', conv_id, turn) AS reply_id, text FROM conversations WHERE role = 'assistant'"
@@ -252,23 +252,38 @@ _REPLY = "SELECT concat_ws('-', conv_id, turn) AS reply_id, text FROM conversati
 @query(f"SELECT reply_id, CAST(length(text) + 2 AS BIGINT) AS n_events, CAST(length(text) AS BIGINT) AS n_pieces, CAST(1 AS BIGINT) AS n_stops, CAST(1 AS BIGINT) AS n_done FROM ({_REPLY})")
 def sse_encode(spark, sf_dir):
     finish = F.get_json_object(F.substring("event", 7, 2**31 - 1), "$.choices[0].finish_reason")
-    return _events(spark, sf_dir).groupBy("reply_id").agg(long(F.count("*"), "n_events"), long(F.count_if(F.col("part") == 0), "n_pieces"), long(F.count_if(finish == "stop"), "n_stops"), long(F.count_if(F.col("event") == "data: [DONE]\n\n"), "n_done"))
+    return _events(_answers(spark, sf_dir)).groupBy("reply_id").agg(long(F.count("*"), "n_events"), long(F.count_if(F.col("part") == 0), "n_pieces"), long(F.count_if(finish == "stop"), "n_stops"), long(F.count_if(F.col("event") == "data: [DONE]\n\n"), "n_done"))
 
 
 @query(f"SELECT reply_id, md5(text) AS content FROM ({_REPLY})")
 def sse_decode(spark, sf_dir):
-    reads = _events(spark, sf_dir).select("reply_id", (F.col("part") * 1_000_000_000 + F.col("seq")).alias("seq"), F.col("event").alias("data"))
+    reads = _events(_answers(spark, sf_dir)).select("reply_id", (F.col("part") * 1_000_000_000 + F.col("seq")).alias("seq"), F.col("event").alias("data"))
     return S.decode(reads, "reply_id").select("reply_id", F.md5("content").alias("content"))
 
 
+#: Characters whose events lie in the stream's folder at once, at least, and the most rounds that replies are dealt to.
+_AT_ONCE, _ROUNDS = 4_000_000, 8
+
+
 @query(f"SELECT reply_id, TRUE AS done, md5(text) AS content FROM ({_REPLY})")
 def stream_replies(spark, sf_dir):
+    """Replies as event lines in files, put together by the stream.
+
+    A line is some 250 bytes for each character, so the files are compressed, and the
+    replies arrive in rounds: what the stream has taken in is deleted before the next are written.
+    """
     place = scratch(spark, "stream")
     # lines of a reply lie on both sides of an hour, and so in two windows of any clock
     at = F.when(F.col("position") % 2 == 0, "2024-01-01 00:59:59").otherwise("2024-01-01 01:00:01").cast("timestamp")
-    lines = _events(spark, sf_dir).select("reply_id", F.col("position").alias("seq"), F.rtrim(F.regexp_replace("event", "\n", "")).alias("line"), at.alias("at"))
-    lines.write.json(f"{place}/lines")
-    live.run_available(live.read_lines(spark, f"{place}/lines"), f"{place}/replies")
+    answers = _answers(spark, sf_dir)
+    characters = answers.agg(F.sum(F.length("content"))).first()[0] or 0
+    rounds = min(_ROUNDS, characters // _AT_ONCE + 1)
+    for i in range(rounds):
+        lines = _events(answers.where(F.pmod(F.xxhash64("reply_id"), F.lit(rounds)) == i)).select("reply_id", F.col("position").alias("seq"), F.rtrim(F.regexp_replace("event", "\n", "")).alias("line"), at.alias("at"))
+        lines.write.json(f"{place}/lines", compression="gzip")
+        live.run_available(live.read_lines(spark, f"{place}/lines"), f"{place}/replies")
+        delete(spark, f"{place}/lines")
+    delete(spark, f"{place}/replies-state")
     return spark.read.schema(live.REPLIES).parquet(f"{place}/replies").select("reply_id", "done", F.md5("content").alias("content"))
 
 
