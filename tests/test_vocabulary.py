@@ -107,3 +107,21 @@ def test_pieces_join_to_the_decoding(spark):
     rows = spark.createDataFrame([(1, vocabulary.encode(["one two \U0001F600 three"])[0]), (2, []), (3, None)], "k int, ids array<int>")
     got = {r["k"]: r["p"] for r in rows.select("k", vocabulary.pieces()("ids").alias("p")).collect()}
     assert "".join(got[1]) == "one two \U0001F600 three" and got[1][0] == "" and got[2] == [""] and got[3] is None
+
+
+def test_column_functions_take_a_bounded_portion(spark, monkeypatch):
+    """However many rows a batch has, ids, texts and pieces are worked out for a portion of them; nulls and long values keep their place."""
+    import pandas as pd
+
+    from turnloom.functions import vocabulary as V
+
+    monkeypatch.setattr(V, "AT_ONCE", 100)
+    vocabulary, taken = Vocabulary(public_tokenizers.path(FILES[0])), []
+    texts = [*(f"word {i} " * (i % 9) for i in range(300)), None, "", "long " * 500, None, "end"]
+    udf = vocabulary._column(lambda given: taken.append(sum(map(len, given))) or [len(t) for t in given], V.T.IntegerType(), "").func
+    got = pd.concat(udf(iter([pd.Series(texts), pd.Series([], dtype=object)])))
+    assert [None if pd.isna(n) else n for n in got] == [None if t is None else len(t) for t in texts]
+    assert len(taken) > 50 and sorted(taken)[-2] <= 200 and max(taken) <= 200 + 2500
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").coalesce(1)
+    shown = rows.select("k", "t", vocabulary.ids()("t").alias("ids")).select("k", "t", vocabulary.text()("ids").alias("back"), vocabulary.pieces()("ids").alias("p")).collect()
+    assert [(r["back"], None if r["p"] is None else "".join(r["p"])) for r in sorted(shown)] == [(t, t) for t in texts]

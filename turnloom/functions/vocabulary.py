@@ -14,6 +14,7 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ from turnloom.functions.tokens import SPECIAL_TOKENS
 #: Put behind the first character of a control string that is only text; doubled where it stands itself.
 GUARD = "\x1a"
 IDS = T.ArrayType(T.IntegerType())
+#: Characters or ids that a column function works on at once; a longer value is worked on by itself.
+AT_ONCE = 200_000
 
 
 def guarded(text: Column, controls=tuple(t for t, _, _ in SPECIAL_TOKENS)) -> Column:
@@ -37,6 +40,14 @@ def unguarded(text: str) -> str:
     return re.sub(f"{GUARD}({GUARD}?)", r"\1", text) if GUARD in text else text
 
 
+def _portions(values: pd.Series) -> Iterator[pd.Series]:
+    """A batch in its order, AT_ONCE characters or ids at a time: a batch has thousands of rows of any length."""
+    sizes = np.cumsum([1 if gone else 1 + len(v) for v, gone in zip(values, values.isna(), strict=True)], dtype=np.int64)
+    cuts = np.flatnonzero(np.diff(sizes // AT_ONCE)) + 1
+    for start, stop in zip((0, *cuts), (*cuts, len(values)), strict=True):
+        yield values.iloc[start:stop]
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     """A tokenizer file and control tokens: (string, left out when ids are decoded).
@@ -89,7 +100,7 @@ class Vocabulary:
 
     def _column(self, work: Callable[[list], list], kind: T.DataType, empty):
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for values in batches:
+            for values in (part for batch in batches for part in _portions(batch)):
                 missing = values.isna()
                 given = [empty if gone else v for v, gone in zip(values, missing, strict=True)]
                 yield pd.Series([None if gone else x for x, gone in zip(work(given), missing, strict=True)], dtype=object)
