@@ -10,6 +10,7 @@ its blocks one after the other.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -26,7 +27,7 @@ from turnloom.functions.tokens import SPECIAL_TOKENS
 GUARD = "\x1a"
 IDS = T.ArrayType(T.IntegerType())
 #: Characters or ids that a column function works on at once; a longer value is worked on by itself.
-AT_ONCE = 200_000
+AT_ONCE = 50_000
 
 
 def guarded(text: Column, controls=tuple(t for t, _, _ in SPECIAL_TOKENS)) -> Column:
@@ -64,21 +65,32 @@ class Vocabulary:
     def __getstate__(self):
         return {"path": self.path, "controls": self.controls, "_loaded": {}}
 
-    def _parts(self):
-        if not self._loaded:
-            import os
+    def _tokenizer(self):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already fill the cores
+        from tokenizers import Tokenizer
 
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already fill the cores
-            from tokenizers import AddedToken, Tokenizer
+        return Tokenizer.from_file(self.path)
 
-            plain, whole = Tokenizer.from_file(self.path), Tokenizer.from_file(self.path)
-            plain.encode_special_tokens = True
-            for string, special in self.controls:
-                token = AddedToken(string, normalized=False, special=special)
-                whole.add_special_tokens([token]) if special else whole.add_tokens([token])
+    def _whole(self):
+        """The tokenizer with the control tokens, for decoding."""
+        from tokenizers import AddedToken
+
+        whole = self._tokenizer()
+        for string, special in self.controls:
+            token = AddedToken(string, normalized=False, special=special)
+            whole.add_special_tokens([token]) if special else whole.add_tokens([token])
+        return whole
+
+    def _parts(self):
+        """What encoding needs; a worker that only encodes keeps one tokenizer, and so does one that only decodes."""
+        if "plain" not in self._loaded:
+            whole = self._loaded.get("whole") or self._whole()
             ids = {string: whole.token_to_id(string) for string, _ in self.controls}
+            del whole
+            plain = self._tokenizer()
+            plain.encode_special_tokens = True
             found = re.compile("(" + "|".join(re.escape(c) for c in sorted(ids, key=len, reverse=True)) + ")")
-            self._loaded.update(plain=plain, whole=whole, ids=ids, found=found)
+            self._loaded.update(plain=plain, ids=ids, found=found)
         return self._loaded
 
     def control_ids(self) -> dict[str, int]:
@@ -94,7 +106,9 @@ class Vocabulary:
         return [[i for at, s in enumerate(pieces) for i in ([ids[s]] if at % 2 else next(encoded).ids)] for pieces in cut]
 
     def decode(self, rows: list[list[int]], skip_special: bool = True) -> list[str]:
-        return self._parts()["whole"].decode_batch(rows, skip_special_tokens=skip_special)
+        if "whole" not in self._loaded:
+            self._loaded["whole"] = self._whole()
+        return self._loaded["whole"].decode_batch(rows, skip_special_tokens=skip_special)
 
     # ------------------------------------------------------------ column functions
 
