@@ -859,6 +859,27 @@ def test_very_long_urls(spark):
     assert time.monotonic() - began < 60
 
 
+def test_odd_urls_follow_the_rules(spark):
+    """Ports, user names, dots, cases, control characters and broken URLs: rule and verdict are those of plain Python."""
+    from turnloom.llm.url_filters import RULES, filter_urls
+
+    rng = random.Random(17)
+    parts = [".", "/", "?", "#", ":80", "u@", "://", "com", "net", "org", "example", "en", "de", "7", "A", "\u0130", "\U0001F600", " ", "\n", "\0", "example.com/en/7", "example.net/de/8", "Org/es/", "com/en/", "net/de/"]
+    urls = [None, "", *(rng.choice(["http://", "", "x://"]) + "".join(rng.choice(parts) for _ in range(rng.randint(0, 8))) for _ in range(3000))]
+    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    fitted = 0
+    for r in filter_urls(pages).collect():
+        host = path = ""
+        if r["url"] and "://" in r["url"]:
+            host, path = re.match(r"([^/?#]*)([^?#]*)", r["url"].split("://", 1)[1]).groups()
+        host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+        fit = [(len(x), v, x) for v, x in RULES for h, p in [x.split("/", 1)] if (host == h or host.endswith(f".{h}")) and path.startswith(f"/{p}")]
+        _, verdict, rule = max(fit, default=(0, r["verdict"], None))
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, rule, verdict)
+        fitted += bool(fit)
+    assert fitted > 100
+
+
 def test_toxicity_held_out(spark):
     from turnloom.llm.toxicity import fit_toxicity, score_toxicity
 
